@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .langid import identify, train
+from .licenses import license_scan
+from .mixing import mix
+from .packing import pack
+from .pii import personal_data
 from .quality import ORACLE as QUALITY_SQL
 from .quality import quality_rules
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
+from .url_filter import ORACLE as URL_SQL
+from .url_filter import RULES, parse_rule, url_verdicts
 
 #: Production parameters.
 QUALITY = {"max_docs": 20, "max_line_words": 25, "least_share": 0.3}
+MIXING = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 42}
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +29,43 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, "doc_id", "text", largest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, [parse_rule(r) for r in RULES]).withColumnRenamed("id", "page_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, **MIXING).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules(docs, **QUALITY).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, rows_per_label=200)
+    return identify(docs, model).withColumnRenamed("id", "doc_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents").select("doc_id", "text"), capacity=2048, end_id=1)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents").select("doc_id", "text"), containment=0.8)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash_components(docs, "doc_id", "text", radius=2, words_per_shingle=3, seed=42)
@@ -32,9 +73,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op5_quality_rules": op5_quality_rules,
-    "op10_simhash": op10_simhash,
+    q.__name__: q
+    for q in (op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op6_language_id, op7_packing, op8_pii, op9_license_scan, op10_simhash)
 }
 
 ORACLE = {
@@ -44,5 +84,6 @@ ORACLE = {
           doc_id = max(doc_id) over (partition by coalesce(text, '')) as kept,
           sha256(coalesce(text, '')) as text_sha256
         from documents""",
+    "op3_url_filters": URL_SQL,
     "op5_quality_rules": QUALITY_SQL.format(**QUALITY),
 }
