@@ -18,6 +18,29 @@ from pyspark.sql import functions as F
 from .common import WORD, body, materialise
 
 
+def settle_large(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, large: float = 0.03) -> np.ndarray:
+    """Rounds each entry with over ``large`` of all mass against all smaller ones at once, the largest first.
+
+    All shares must be equal at the start; the smaller ones then stay equal, and every entry keeps its expectation. So no large
+    document is left for the end, where its rounding would miss the target.
+    """
+    share = share.copy()
+    order = np.argsort(-size, kind="stable")
+    for place, k in enumerate(order.tolist()):
+        rest = order[place + 1 :]
+        mass = size[rest].sum()
+        if not len(rest) or size[k] <= large * size.sum():
+            break
+        p = share[rest[0]]
+        up, down = min((1 - share[k]) * size[k], p * mass), min(share[k] * size[k], (1 - p) * mass)
+        if up + down <= 0:
+            break
+        moved = up if rng.random() * (up + down) < down else -down
+        share[k] += moved / size[k]
+        share[rest] = p - moved / mass
+    return np.clip(share, 0, 1)
+
+
 def pivotal(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, tiny: float = 1e-9) -> np.ndarray:
     """``share`` (each in 0..1) with all but at most one entry rounded to 0 or 1; sum(share * size) does not change.
 
@@ -25,6 +48,9 @@ def pivotal(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, tiny:
     expectation.
     """
     share = share.astype(float).copy()
+    if len(share) > 1 and np.ptp(share) == 0:
+        share = settle_large(share, size, rng)
+        share = np.where(share < tiny, 0.0, np.where(share > 1 - tiny, 1.0, share))
     active = np.flatnonzero((share > tiny) & (share < 1 - tiny))
     while len(active) > 1:
         a, b, rest = active[0 : len(active) // 2 * 2 : 2], active[1::2], active[len(active) // 2 * 2 :]

@@ -3,7 +3,7 @@
 A document's ids are cut at every ``capacity``-th; full pieces are sequences of their own. The rest go by length class
 into a histogram, whose linear program over patterns is solved by column generation: the dual prices of the
 classes enter a knapsack dynamic program, which finds the next pattern. Rounded-down patterns take documents by
-their rank in the class; the few that are left go into patterns found by best fit. Only the histogram, at most one count
+their rank in the class; the few that are left go into patterns that fill a sequence best. Only the histogram, at most one count
 for each class, reaches the driver.
 """
 
@@ -137,61 +137,86 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(value[capacity]), counts
 
 
-def column_generation(sizes: list[int], needs: list[int], capacity: int, gap: float = 2e-4, most_rounds: int = 4000) -> list[tuple[dict, float]]:
-    """Patterns and how often each is used, of a linear program that cuts ``needs`` pieces of ``sizes``.
+def column_generation(sizes: list[int], needs: list[int], capacity: int, gap: float = 2e-3, most_rounds: int = 6000) -> list[tuple[dict, float]]:
+    """Patterns and how often each is used, of a linear program that covers ``needs`` pieces of ``sizes``.
 
-    A revised simplex method: it starts from one pattern for each size, and stops when the best price is within ``gap`` of
-    1, at which the number of sequences is proven to be within that share of the least.
+    A revised simplex method from one pattern for each size. A size with a negative price gets its surplus column; otherwise
+    the knapsack prices a new pattern. The sum divided by the best price bounds the least number of sequences from below, as does
+    the total length; the method stops within ``gap`` of the higher bound.
     """
     order = np.argsort(sizes)
     s, n = np.asarray(sizes)[order], np.asarray(needs, float)[order]
     start = capacity // s
-    basis = np.diag(start.astype(float))
+    basis, cost = np.diag(start.astype(float)), np.ones(len(s))
     inverse, x = np.diag(1.0 / start), n / start
+    bound = float((s * n).sum() / capacity)
     for _ in range(most_rounds):
-        prices = inverse.sum(0)
-        value, pattern = best_pattern(s, prices, capacity)
-        if value <= 1 + gap:
-            break
-        direction = inverse @ pattern
+        prices = cost @ inverse
+        low = int(prices.argmin())
+        column, price = np.zeros(len(s)), 0.0
+        if prices[low] < -1e-7:
+            column[low] = -1
+        else:
+            value, column = best_pattern(s, prices, capacity)
+            price, total = 1.0, float(cost @ x)
+            bound = max(bound, total / max(value, 1.0))
+            if value <= 1 + 1e-9 or total <= bound * (1 + gap):
+                break
+        direction = inverse @ column
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
+        if not np.isfinite(step):
+            break
         x = np.maximum(x - step * direction, 0)
-        x[out] = step
-        basis[:, out] = pattern
+        x[out], basis[:, out], cost[out] = step, column, price
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-    return [({int(s[k]): int(basis[k, j]) for k in np.flatnonzero(basis[:, j])}, float(x[j])) for j in range(len(s))]
+    return [({int(s[k]): int(basis[k, j]) for k in np.flatnonzero(basis[:, j])}, float(x[j])) for j in range(len(s)) if cost[j]]
+
+
+def fill(left: dict[int, int], capacity: int) -> list[dict]:
+    """Patterns for the few pieces that rounding leaves: the longest piece, and the others that fill its rest best."""
+    left, out = {s: c for s, c in left.items() if c}, []
+    while left:
+        first = max(left)
+        taken = {first: 1}
+        room, sums, trail = capacity - first, 1, []
+        for s in sorted(left, reverse=True):
+            for _ in range(min(left[s] - taken.get(s, 0), room // s)):
+                trail.append((s, sums))  # sums: bit r is set if the pieces so far can add up to r
+                sums |= sums << s & (1 << room + 1) - 1
+            if sums >> room & 1:
+                break
+        at = sums.bit_length() - 1
+        for s, before in reversed(trail):
+            if not before >> at & 1:
+                taken[s] = taken.get(s, 0) + 1
+                at -= s
+        for s, c in taken.items():
+            left[s] -= c
+            if not left[s]:
+                del left[s]
+        out.append(taken)
+    return out
 
 
 def plan(needs: dict[int, int], capacity: int) -> list[tuple[dict, int]]:
-    """(pattern, times) that cut exactly ``needs``: the program's patterns rounded down, then best fit for what is left."""
+    """(pattern, times) that cut exactly ``needs``: the program's patterns rounded down, then ``fill`` for what is left."""
     if not needs:
         return []
     used, left = [], dict(needs)
-    for pattern, times in column_generation(list(needs), list(needs.values()), capacity):
+    for pattern, times in sorted(column_generation(list(needs), list(needs.values()), capacity), key=lambda p: -p[1]):
         times = min([int(times + 1e-6), *(left[s] // c for s, c in pattern.items())])
         if times:
             used.append((pattern, times))
             for s, c in pattern.items():
                 left[s] -= times * c
-    sizes, bins = sorted((s for s, c in left.items() for _ in range(c)), reverse=True), []
-    by_room: dict[int, list] = {}
-    for s in sizes:
-        room = min((r for r, held in by_room.items() if r >= s and held), default=None)
-        if room is None:
-            bins.append({})
-            room, k = capacity, len(bins) - 1
-        else:
-            k = by_room[room].pop()
-        bins[k][s] = bins[k].get(s, 0) + 1
-        by_room.setdefault(room - s, []).append(k)
-    return used + [(b, 1) for b in bins]
+    return used + [(p, 1) for p in fill(left, capacity)]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 4, rows_per_rank: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8, rows_per_rank: int = 50_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every row.
 
     Null texts count as empty: one piece that holds ``end_id``. Repeated rows and rows with a null id are packed like any
