@@ -84,7 +84,7 @@ def close_pairs(fps: np.ndarray, radius: int, rows_at_once: int = 128, look_ever
         valid = (position[None, first * 64 :] > rows[:, None]) & (position[None, first * 64 :] < n)
         over = ~np.packbits(valid, axis=1, bitorder="little").view(np.uint64)
         masks = np.where(fps[rows, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1), ALL, np.uint64(0))
-        counters = [np.zeros_like(over) for _ in range(radius.bit_length())]
+        counters = [np.zeros_like(over) for _ in range(max(1, radius.bit_length()))]
         for p in range(64):
             carry = planes[p, first:][None, :] ^ masks[:, p][:, None]
             for k, c in enumerate(counters):
@@ -195,4 +195,5 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = sorted_rows.mapInArrow(_link_blocks(radius, 512), "a long, b long")
     roots = connected_components(links, "a", "b")
     classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    classes = materialise(classes, "classes")  # so that the join shuffles both sides, and adaptive execution can split a hot fingerprint
     return fps.join(classes, "fp").select("id", "fp", "component_id")
