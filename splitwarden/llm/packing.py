@@ -216,7 +216,7 @@ def plan(needs: dict[int, int], capacity: int) -> list[tuple[dict, int]]:
     return used + [(p, 1) for p in fill(left, capacity)]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8, rows_per_rank: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8, rows_per_rank: int = 8192) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every row.
 
     Null texts count as empty: one piece that holds ``end_id``. Repeated rows and rows with a null id are packed like any
