@@ -297,7 +297,7 @@ def remove_spans(data: bytes, spans: list) -> tuple[list[tuple[int, int]], bytes
     return [tuple(r) for r in runs], b"".join([*kept, data[at:]])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, tile: int = 1024) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, tile: int = 1024, salts: int = 16) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has (doc, th, text) rows; spans (doc, th, s, e), bytes that repeated strings cover.
 
     A row is known by its id and the hash of its text (th), so null and repeated ids do no harm. An anchor with more than ``tile``
@@ -307,11 +307,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = texts.where(F.octet_length("text") >= length).mapInArrow(_contexts_of(length, gram), "key long, ctx long, doc long, th long, at long, back int, wins int")
     found = materialise(found, "contexts")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), (F.min("ctx") == F.max("ctx")).alias("alike")).where("n > 1").select("key", "alike")
+    keys = materialise(keys, "keys")  # so that the join shuffles both sides, and adaptive execution can split a hot key
     again = materialise(found.join(keys, "key"), "repeated")
     whole = lambda rows: rows.select("doc", "th", F.col("at").alias("s"), (F.col("at") + F.col("wins") + length - 1).alias("e"))
     other = again.where(~F.col("alike"))
     distinct = materialise(other.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "at", "back", "wins")).alias("one")), "distinct")
-    tiles = distinct.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    tiles = materialise(distinct.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "tiles")
     asked = distinct.join(tiles, "key").select("one.doc", "one.th", F.struct("key", (F.col("n") == 1).alias("ask"), "tiles", "one.at", "one.back", "one.wins").alias("q"))
     asked = asked.groupBy("doc", "th").agg(F.collect_list("q").alias("asked"))
     chunks = texts.join(asked.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "asked"), F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th")))
@@ -322,7 +323,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("key", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), "ask", "doc", "th", "at", "back", "wins", "chunk")
     )
     parts = chunks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_resolve(length), "doc long, th long, s long, e long")
-    full = other.join(distinct.where("n > 1").select("key", "ctx"), ["key", "ctx"])
+    # many rows can hold one context, so both sides of this join are salted
+    salted = distinct.where("n > 1").select("key", "ctx", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    full = other.withColumn("salt", F.pmod(F.xxhash64("doc", "th", "at"), F.lit(salts)).cast("int")).join(salted, ["key", "ctx", "salt"])
     return texts, whole(again.where("alike")).unionByName(whole(full)).unionByName(parts)
 
 
