@@ -51,7 +51,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(best("__id").alias("__hot_keep"), F.count("*").alias("__hot_size"))
     )
 
-    key = text if normalise is not unchanged else F.col("__body")
     rows = base.withColumn("__null", F.col(text_col).isNull()).withColumn("__body", F.coalesce(F.col(text_col), F.lit(""))).drop(text_col)
     rows = rows.withColumn("__key", normalise(F.col("__body"))) if normalise is not unchanged else rows
     key = "__body" if normalise is unchanged else "__key"
@@ -74,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_hot = F.col("__hot_size").isNotNull()
     keep = F.when(is_hot, F.col("__hot_keep")).otherwise(F.col("__keep"))
     return rows.select(
-        *[F.when(~F.col("__null"), F.col("__body")).alias(c) if c == text_col else F.col(c) for c in base.columns],
+        *[F.when(~F.col("__null"), F.col("__body")).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
         keep.alias("keep_id"),
         F.coalesce("__hot_size", "__size").alias("group_size"),
         ((F.col("__rank") == 1) & F.col("__keep").eqNullSafe(keep)).alias("kept"),
