@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 
 @dataclass
 class LanguageModel:
@@ -82,7 +84,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_label: int) -> DataFrame:
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows_per_label: int, most_broadcast: int = 100_000) -> DataFrame:
     """At most ``rows_per_label`` (text, lang) rows of every label, by the order of a hash of the id.
 
     Texts of 200 to 20,000 characters come first, so what the driver fetches stays small. Only ids, labels and lengths are
@@ -93,6 +95,9 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     size = F.length("text")
     ranked = rows.select("id", "lang", F.when(size.between(200, 20000), 0).when(size < 200, 1).otherwise(2).alias("tier"), F.xxhash64(F.lit(6), "id").alias("h"))
     best = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("tier", "h", "id"))).where(F.col("k") <= rows_per_label).select("id", "lang", "k").dropDuplicates(["id", "lang"])
+    best = materialise(best, "chosen")
+    if best.count() <= most_broadcast:  # ids and labels only; beyond that both sides are shuffled
+        best = F.broadcast(best)
     return rows.join(best, ["id", "lang"]).dropDuplicates(["id", "lang"]).select("lang", "k", "id", "text").orderBy("lang", "k", "id")
 
 
