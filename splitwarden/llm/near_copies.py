@@ -1,0 +1,119 @@
+"""Near copies: pairs of texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
+
+MinHash bands only choose which texts meet; every link is the exact Jaccard similarity of the two shingle sets. Buckets
+with the same members are compared once, and a bucket yields a spanning forest, not its pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import body, materialise
+from .components import connected_components
+
+
+def shingle_set(text: str, words_per_shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle, a text without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    k, digest, join = words_per_shingle, xxhash.xxh64_intdigest, b" ".join
+    return np.unique(np.fromiter((digest(join(words[i : i + k]), seed) for i in range(max(1, len(words) - k + 1))), np.uint64))
+
+
+def band_keys(shingles: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> list[int]:
+    """A signed key for each row of ``factors`` (bands x rows): the hash of the band's number and its minima."""
+    if not len(shingles):
+        return []
+    least = np.full(factors.size, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        part = shingles[at : at + 4096]
+        np.minimum(least, ((part[:, None] ^ masks.ravel()) * factors.ravel()).min(0), out=least)
+    least = least.reshape(factors.shape)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)], np.uint64).view(np.int64).tolist()
+
+
+def is_near(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    small, large = sorted((len(a), len(b)))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both)
+
+
+def forest(sets: list[np.ndarray], sides: list[int], least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the near pairs; where two tiles meet, only pairs of different tiles are compared."""
+    across = len(set(sides)) > 1
+    groups, edges = [], []
+    for i, s in enumerate(sets):
+        mine, rest = [i], []
+        for group in groups:
+            j = next((j for j in group if not (across and sides[j] == sides[i]) and is_near(s, sets[j], least)), None)
+            if j is None:
+                rest.append(group)
+            else:
+                edges.append((j, i))
+                mine += group
+        groups = [*rest, mine]
+    return edges
+
+
+def _links(words_per_shingle: int, seed: int, least: float):
+    """Reads rows sorted by bucket and tiles, and compares one bucket's tiles at a time."""
+
+    def run(batches):
+        ids, sides, sets, last = [], [], [], None
+
+        def found():
+            pairs = forest(sets, sides, least)
+            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, low, high, mine, id_, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (key, low, high) != last and ids:
+                    yield found()
+                    ids, sides, sets = [], [], []
+                last = (key, low, high)
+                ids.append(id_)
+                sides.append(mine)
+                sets.append(shingle_set(text, words_per_shingle, seed))
+        if ids:
+            yield found()
+
+    return run
+
+
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words_per_shingle: int = 5, bands: int = 20, rows: int = 4, seed: int = 42, tile: int = 512) -> DataFrame:
+    """(node, root) for every id that is linked to another; root is the smallest id reachable by links.
+
+    Two rows link if the Jaccard similarity of their shingle sets is at least ``least``. A pair of similarity s shares none of
+    the bands with probability (1 - s^rows)^bands: 3 in 100000 at 0.8. Rows with a null id and texts without words have
+    no links; rows that share an id are one node. A bucket with more than ``tile`` rows is cut into tiles, and each pair of
+    tiles is compared in a task of its own.
+    """
+    rng = np.random.default_rng(seed)
+    masks, factors = rng.integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2), rng.integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(batches):
+        for batch in batches:
+            keys = [band_keys(shingle_set(t, words_per_shingle, seed), masks, factors) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), body(F.col(text_col)).alias("t")).where(F.col("id").isNotNull())
+    keyed = materialise(texts.mapInArrow(sketch, "id long, keys array<long>"), "sketches").select("id", F.explode("keys").alias("key"))
+    who = F.sum(F.shiftright(F.xxhash64("id"), 24))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), who.alias("who"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1")
+    buckets = buckets.groupBy("n", "who", "low", "high").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    members = materialise(keyed.join(buckets, "key"), "members")
+    met = (
+        members.join(texts, "id")
+        .withColumn("mine", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "t")
+    )
+    met = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return connected_components(met.mapInArrow(_links(words_per_shingle, seed, least), "a long, b long"), "a", "b")

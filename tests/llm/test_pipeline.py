@@ -89,3 +89,31 @@ def test_run_and_awkward_tables(spark, tmp_path):
             df = spark.createDataFrame([(*r, "x", "x", "x", "x", "x") for r in some], f"{SCHEMA}, {extra}")
             out = stage(spark, df, str(tmp_path))
             assert out.count() <= 2 * len(some) + 200
+
+
+def test_no_near_copy_reaches_mixing(spark, tmp_path):
+    rng = random.Random(3)
+    rows = corpus(2)
+    for i in range(400, 440):  # several edits, and chains of edits
+        words = rng.choice(rows[:120] + rows[203:])[1].split(" ")
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(50)}"
+        rows.append((i, " ".join(words), "en", "a", None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    before = None
+    for name, stage in corpus_pipeline.STAGES[: names.index("mixing")]:
+        before, docs = docs, stage(spark, docs, str(tmp_path)).localCheckpoint()
+    kept, given = ({r.doc_id: r.text for r in df.collect()} for df in (docs, before))
+
+    def near_pairs(texts):
+        words = {i: (t or "").lower().split() for i, t in texts.items()}
+        sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+        return [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+    assert not near_pairs(kept)
+    root, pairs = {i: i for i in given}, near_pairs(given)
+    for _ in given:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(kept) == {i for i, r in root.items() if i == r}
