@@ -339,6 +339,26 @@ def test_pii_windows_cover_triggers():
             assert set(range(max(0, m.start() - 24), min(len(text), m.end() + 24))) <= inside
 
 
+def test_pii_every_form_from_text_to_spans(tagger):
+    """Every form of pii.labelled_windows, in texts that hold nothing else to look at."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    found, count = defaultdict(int), 20
+    for _ in range(count):
+        card = next(c for c in (f"4{digits(15)}" for _ in range(1000)) if pii.luhn(c))
+        a, b, c, quarters = digits(3), digits(3), digits(4), [card[k : k + 4] for k in range(0, 16, 4)]
+        forms = {("email", k, at, m): user + at + host + ".org" for k, user in enumerate((word(), f"{word()}.{digits(2)}", f"{word()}_{word()}")) for at in ("@", " (at) ", " [at] ") for m, host in enumerate((word(), f"mail{digits(1)}.{word()}"))}
+        forms |= {("card", j): j.join(quarters) for j in ("", " ", "-", ".")} | {("ip",): ".".join(str(rng.randrange(256)) for _ in range(4))}
+        forms |= {("phone", k): t for k, t in enumerate((f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0049 {a} {b}{c}", f"0{a}/{b}{c}"))}
+        for form, s in forms.items():
+            before = "please write to or call us about the new order "
+            text = f"{before}{s} today and thanks for all of it"
+            found[form] += (len(before), form[0], len(before) + len(s)) in pii.add_spans(tagger, [text], [pii.base_spans(text)])[0]
+    assert len(found) == 30 and min(found.values()) >= 0.8 * count, found
+    assert pii.add_spans(tagger, ["write to john_doe (at) example.org today"], [[]]) == [[(9, "email", 34)]]
+
+
 # ---- 9 ----
 
 
