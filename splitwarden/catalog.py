@@ -14,6 +14,7 @@ from .functions import severity_rank
 from .operators import alignment, cleaning, fragility, leakage, metrics, splits
 from .operators.similarity import knn, knn_vote
 from .plans import compile as plans
+from .plans.audit import issue_order
 from .sources import tables
 from .spec.lineage import artifact_id_column, run_id_column
 from .spec.lineage import lineage_edges as edges_of
@@ -457,12 +458,18 @@ def issue_severity_counts(spark, d):
 
 @query(f"with i as (select event_id, {SEVERITY} as severity, event_type as code, case when user_id % 3 > 0 then 'user' || cast(user_id as varchar) end as path from events), o as (select *, row_number() over (order by case severity when 'ERROR' then 0 when 'WARNING' then 1 when 'INFO' then 2 else 9 end, code, coalesce(path, ''), event_id) as place from i) select place, severity, code, path from o where place <= 100")
 def issue_sort(spark, d):
-    """The first hundred issues in order; a top-k report, so no task sorts them all."""
+    """The first hundred issues in order, a top-k report; issue_sort_all returns them all."""
     order = [severity_rank(F.col("severity")), F.col("code"), F.coalesce("path", F.lit("")), F.col("event_id")]
     first = _issues(spark, d).orderBy(*order).limit(100)
     return first.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "severity", "code", "path")
 
 
+@query(f"with i as (select event_id, {SEVERITY} as severity, event_type as code, case when user_id % 3 > 0 then 'user' || cast(user_id as varchar) end as path from events) select event_id, severity, code, path from i order by case severity when 'ERROR' then 0 when 'WARNING' then 1 when 'INFO' then 2 else 9 end, code, coalesce(path, ''), event_id")
+def issue_sort_all(spark, d):
+    """Every issue, in order."""
+    return issue_order(_issues(spark, d), "event_id").select("event_id", "severity", "code", "path")
+
+
 @query(f"with s as ({ranked_sql('documents', 'doc_id')}), t as (select {CUT_SQL} from s) select partition, count(*) as n, round(count(*) / cast(sum(count(*)) over () as double), 6) as fraction from t group by 1")
 def split_fractions(spark, d):
     return rounded(splits.fractions(splits.random_split(table(spark, d, "documents").select("doc_id"), "doc_id")))

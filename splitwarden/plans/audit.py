@@ -39,5 +39,6 @@ def severity_counts(issues: DataFrame, keys: list[str]) -> DataFrame:
     return issues.groupBy(*keys).agg(*[F.count(F.when(F.col("severity") == s, 1)).alias(f"n_{s.lower()}") for s in ("ERROR", "WARNING", "INFO")])
 
 
-def issue_order(issues: DataFrame) -> DataFrame:
-    return issues.orderBy(severity_rank(F.col("severity")), "code", F.coalesce("path", F.lit("")))
+def issue_order(issues: DataFrame, *ties: str) -> DataFrame:
+    """Every issue, by severity, code and path (null as ''), then by ``ties``: a range-partitioned sort."""
+    return issues.orderBy(severity_rank(F.col("severity")), "code", F.coalesce("path", F.lit("")), *ties)

@@ -46,6 +46,12 @@ def test_query_equals_sql(spark, db, sf_dir, name):
         assert all(same(x, y) for a, b in zip(got, rows) for x, y in zip(a, b))
 
 
+def test_issue_sort_all_returns_every_issue_in_order(spark, db, sf_dir):
+    got = [tuple(r) for r in catalog.QUERIES["issue_sort_all"](spark, sf_dir).collect()]
+    assert got == db.execute(catalog.ORACLE["issue_sort_all"]).fetchall()
+    assert len(got) == db.execute("select count(*) from events").fetchone()[0] > 100
+
+
 # ---- splits ----
 
 
