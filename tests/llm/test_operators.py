@@ -187,6 +187,15 @@ def test_quality_awkward(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_judges_lines_of_any_length(spark):
+    rng = random.Random(6)
+    passage = prose(rng, 80, 9000)
+    rows = [(i, f"{passage}\n{prose(rng, 10, 9000)}", "a") for i in range(30)] + [(i, prose(rng, 90, 9000), "a") for i in range(30, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(df, max_line_words=None).collect()}
+    assert got == {i: i >= 30 for i in range(40)} == {i: w[6] for i, w in brute.quality(rows, 20, 10**9, 0.3).items()}
+
+
 # ---- 6 ----
 
 
