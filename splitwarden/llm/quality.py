@@ -77,31 +77,32 @@ def normal_line(line: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(line, f"[{SPACE}]+", " ")))
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 20, max_line_words: int | None = 25) -> DataFrame:
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 20, max_line_words: int | None = 25, count_documents: bool = False) -> DataFrame:
     """(host, text_hash, frequent array<long>): the hashes of the boilerplate lines of every distinct text that has some.
 
     A line of at most ``max_line_words`` words is boilerplate where more than ``max_docs`` distinct texts of its
     host hold it. Longer lines are prose: copies of them are the business of deduplication; with None lines of any
-    length are judged. Distinct (host, line,
+    length are judged. With ``count_documents`` every document counts, copies of a text too. Distinct (host, line,
     text) rows are aggregated first, so that neither a hot host nor a hot line meets in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     short = F.filter(F.array_distinct(F.transform(F.split(text, "\n"), normal_line)), lambda x: (x != "") & (F.lit(True) if max_line_words is None else F.size(F.split(x, " ")) <= max_line_words))
-    rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(F.transform(short, lambda x: F.xxhash64(x))).alias("line")).distinct()
-    often = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select(F.col("host").alias("__host"), F.col("line").alias("__line"))
+    rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(F.transform(short, lambda x: F.xxhash64(x))).alias("line"))
+    rows = rows.groupBy("host", "text_hash", "line").agg(F.count("*").alias("copies")) if count_documents else rows.distinct()
+    often = rows.groupBy("host", "line").agg((F.sum("copies") if count_documents else F.count("*")).alias("n")).where(F.col("n") > max_docs).select(F.col("host").alias("__host"), F.col("line").alias("__line"))
     hit = rows.join(often, (F.col("line") == F.col("__line")) & F.col("host").eqNullSafe(F.col("__host")))
     return hit.groupBy("host", "text_hash").agg(F.collect_set("line").alias("frequent"))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 20, max_line_words: int | None = 25, least_share: float = 0.3, clean: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 20, max_line_words: int | None = 25, least_share: float = 0.3, clean: bool = False, count_documents: bool = False) -> DataFrame:
     """``docs`` with the statistics, ``removed_lines``, ``removed_words`` and ``kept``; with ``clean`` also ``clean_text``.
 
     ``kept`` is false where base_failed, or where under ``least_share`` of the words are left without boilerplate
     lines. Null text counts as empty (fails); a null host is a host of its own; repeated rows are judged alike and count as
-    one text; an empty table gives an empty result. Columns with a result's name are replaced.
+    one text (with ``count_documents`` each counts); an empty table gives an empty result. Columns with a result's name are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lost = frequent_lines(docs, text_col, host_col, max_docs, max_line_words)
+    lost = frequent_lines(docs, text_col, host_col, max_docs, max_line_words, count_documents)
     lost = lost.select(F.col("host").alias("__host"), F.col("text_hash").alias("__lost_hash"), F.col("frequent").alias("__frequent"))
     out = text_statistics(docs.drop("clean_text"), text_col).withColumn("__hash", F.xxhash64(text))
     out = out.join(lost, (F.col("__hash") == F.col("__lost_hash")) & F.col(host_col).eqNullSafe(F.col("__host")), "left")

@@ -48,6 +48,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, **QUALITY).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_quality_rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with lines of any length, and with every document counted."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return quality_rules(docs, **{**QUALITY, "max_line_words": None}, count_documents=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs, rows_per_label=200)
@@ -74,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op6_language_id, op7_packing, op8_pii, op9_license_scan, op10_simhash)
+    for q in (op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op5_quality_rules_whole, op6_language_id, op7_packing, op8_pii, op9_license_scan, op10_simhash)
 }
 
 ORACLE = {
@@ -86,4 +92,5 @@ ORACLE = {
         from documents""",
     "op3_url_filters": URL_SQL,
     "op5_quality_rules": QUALITY_SQL.format(**QUALITY),
+    "op5_quality_rules_whole": QUALITY_SQL.format(**{**QUALITY, "max_line_words": 10**9}).replace("count(distinct t)", "count(distinct doc_id)"),
 }

@@ -196,6 +196,15 @@ def test_quality_judges_lines_of_any_length(spark):
     assert got == {i: i >= 30 for i in range(40)} == {i: w[6] for i, w in brute.quality(rows, 20, 10**9, 0.3).items()}
 
 
+def test_quality_counts_documents(spark):
+    rng = random.Random(7)
+    line, texts = prose(rng, 20, 9000), [prose(rng, 50, 9000) for _ in range(5)]
+    rows = [(i, f"{line}\n{texts[i % 5]}", "a") for i in range(30)] + [(i, prose(rng, 90, 9000), "a") for i in range(30, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.removed_words for r in quality.quality_rules(df, count_documents=True).collect()}
+    assert got == {i: 20 * (i < 30) for i in range(40)}
+
+
 # ---- 6 ----
 
 
