@@ -90,6 +90,8 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(F.transform(short, lambda x: F.xxhash64(x))).alias("line"))
     rows = rows.groupBy("host", "text_hash", "line").agg(F.count("*").alias("copies")) if count_documents else rows.distinct()
     often = rows.groupBy("host", "line").agg((F.sum("copies") if count_documents else F.count("*")).alias("n")).where(F.col("n") > max_docs).select(F.col("host").alias("__host"), F.col("line").alias("__line"))
+    if count_documents:
+        rows = rows.where("copies > 0")  # keeps the column, so that both readers share one exchange
     hit = rows.join(often, (F.col("line") == F.col("__line")) & F.col("host").eqNullSafe(F.col("__host")))
     return hit.groupBy("host", "text_hash").agg(F.collect_set("line").alias("frequent"))
 
