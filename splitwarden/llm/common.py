@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +18,15 @@ WORD = rf"[^{SPACE}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder, which its one
+    process shares with itself; any other master is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir() if context.getCheckpointDir() else None
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            context.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -38,6 +41,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterable, rows: int = 500) -> Iterator:
+    """The same rows in smaller Arrow batches, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where a column of ``df`` has one of them (upper and lower case are one)."""
+    tail, taken = "", {c.lower() for c in df.columns}
+    while any(f"{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"{n}{tail}" for n in names]
+
+
 def body(text: Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(text, F.lit(""))

@@ -20,7 +20,7 @@ from .url_filter import ORACLE as URL_SQL
 from .url_filter import RULES, parse_rule, url_verdicts
 
 #: Production parameters.
-QUALITY = {"max_docs": 20, "max_line_words": 25, "least_share": 0.3}
+QUALITY = {"max_docs": 20, "least_share": 0.3}
 MIXING = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 42}
 
 
@@ -49,9 +49,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5 with lines of any length, and with every document counted."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules(docs, **{**QUALITY, "max_line_words": None}, count_documents=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """op5 under the name it had while op5 judged short lines only."""
+    return op5_quality_rules(spark, sf_dir)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +91,5 @@ ORACLE = {
         from documents""",
     "op3_url_filters": URL_SQL,
     "op5_quality_rules": QUALITY_SQL.format(**QUALITY),
-    "op5_quality_rules_whole": QUALITY_SQL.format(**{**QUALITY, "max_line_words": 10**9}).replace("count(distinct t)", "count(distinct doc_id)"),
+    "op5_quality_rules_whole": QUALITY_SQL.format(**QUALITY),
 }

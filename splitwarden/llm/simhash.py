@@ -7,6 +7,7 @@ as soon as all of its pairs exceed the radius.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -15,34 +16,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, materialise
+from .common import body, materialise, slices
 from .components import connected_components
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text; 0 for a text without words."""
+def shingle_hashes(text: str, words_per_shingle: int, seed: int) -> np.ndarray:
+    """The hash of every shingle, repeats included; a shorter text is one shingle, a text without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII only
     if not words:
-        return 0
-    if len(words) <= words_per_shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.zeros(0, np.uint64)
     k, digest, join = words_per_shingle, xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((digest(join(words[i : i + k]), seed) for i in range(len(words) - k + 1)), np.uint64)
-    set_in = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        set_in += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * set_in > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(join(words[i : i + k]), seed) for i in range(max(1, len(words) - k + 1))), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The words whose bits are set in over half of the rows of ``hashes`` (n x words)."""
+    n, width = hashes.shape
+    set_in = np.zeros(64 * width, np.int64)
+    for at in range(0, n, 255 * 64):
+        bits = np.unpackbits(hashes[at : at + 255 * 64].view(np.uint8), axis=1, bitorder="little")
+        lanes = bits.view(np.uint64)  # eight counters in a word, which hold 255 rows each
+        set_in += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * set_in > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str, words_per_shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text; 0 for a text without words."""
+    hashes = shingle_hashes(text, words_per_shingle, seed)
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(t, words_per_shingle, seed) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
@@ -51,10 +61,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words_per_shingle:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit j of row p is bit p of fingerprint j."""
+    """One row of words for each bit of the fingerprints (n x words): bit j of row p is bit p of fingerprint j."""
     n = len(fps)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").T
-    packed = np.zeros((64, -(-n // 64) * 8), np.uint8)
+    bits = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    packed = np.zeros((len(bits), -(-n // 64) * 8), np.uint8)
     packed[:, : -(-n // 8)] = np.packbits(bits, axis=1, bitorder="little")
     return packed.view(np.uint64)
 
@@ -71,97 +81,103 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def close_pairs(fps: np.ndarray, radius: int, rows_at_once: int = 128, look_every: int = 8) -> np.ndarray:
-    """A bit matrix (n x words): bit j of row i is set if j > i and fps[i], fps[j] differ in at most radius bits."""
+def close_pairs(fps: np.ndarray, radii: list[int], rows_at_once: int = 128, look_every: int = 8) -> list[np.ndarray]:
+    """A bit matrix (n x words) for each of the rising radii: bit j of row i is set if j > i and fps[i], fps[j] differ in at most
+    that many bits. Fingerprints are rows of one or more 64-bit words."""
     n = len(fps)
+    fps = np.ascontiguousarray(fps).reshape(n, -1)
     planes = _planes(fps)
-    width = planes.shape[1]
-    out = np.zeros((n, width), np.uint64)
+    width, most = planes.shape[1], radii[-1]
+    out = [np.zeros((n, width), np.uint64) for _ in radii]
     position = np.arange(width * 64)
     for at in range(0, n, rows_at_once):
         rows = np.arange(at, min(n, at + rows_at_once))
         first = at // 64
         valid = (position[None, first * 64 :] > rows[:, None]) & (position[None, first * 64 :] < n)
         over = ~np.packbits(valid, axis=1, bitorder="little").view(np.uint64)
-        masks = np.where(fps[rows, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1), ALL, np.uint64(0))
-        counters = [np.zeros_like(over) for _ in range(max(1, radius.bit_length()))]
-        for p in range(64):
+        mine = np.unpackbits(fps[rows].view(np.uint8), axis=1, bitorder="little")
+        masks = np.where(mine, ALL, np.uint64(0))
+        counters = [np.zeros_like(over) for _ in range(max(1, most.bit_length()))]
+        for p in range(len(planes)):
             carry = planes[p, first:][None, :] ^ masks[:, p][:, None]
             for k, c in enumerate(counters):
                 counters[k], carry = c ^ carry, c & carry
             over |= carry
-            if p % look_every == look_every - 1 and ((over | _above(counters, radius)) == ALL).all():
+            if p % look_every == look_every - 1 and ((over | _above(counters, most)) == ALL).all():
                 break
         else:
-            out[rows, first:] = ~(over | _above(counters, radius))
+            for matrix, radius in zip(out, radii):
+                matrix[rows, first:] = ~(over | _above(counters, radius))
     return out
 
 
-def forest(links: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph whose upper half is the bit matrix."""
-    n = len(links)
-    edges = []
-    touched = np.flatnonzero(links.any(axis=1))
-    if not len(touched):
-        return edges
-    parent = list(range(n))
+def forest(levels: list[np.ndarray], rounds: int = 1) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph whose upper half is the last bit matrix; edges of earlier matrices come first.
+
+    Each further round adds a spanning forest of the edges not yet taken over the components of the first matrix, for a caller that
+    may drop edges.
+    """
+    n = len(levels[0])
+    near = [[(i, np.flatnonzero(np.unpackbits(links[i].view(np.uint8), bitorder="little")).tolist()) for i in np.flatnonzero(links.any(axis=1)).tolist()] for links in levels]
+    edges: dict = {}
+    sure = list(range(n))
 
-    def root(x):
+    def root(parent, x):
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for i in touched:
-        near = np.flatnonzero(np.unpackbits(links[i].view(np.uint8), bitorder="little"))
-        for j in near.tolist():
-            a, b = root(int(i)), root(j)
-            if a != b:
-                parent[b] = a
-                edges.append((int(i), j))
-    return edges
+    def join(parent, rows):
+        for i, others in rows:
+            for j in others:
+                if (i, j) not in edges:
+                    a, b = root(parent, i), root(parent, j)
+                    if a != b:
+                        parent[b] = a
+                        edges[i, j] = True
 
+    join(sure, near[0])
+    for _ in range(rounds):
+        parent = sure.copy()
+        for rows in near[1:]:
+            join(parent, rows)
+    return list(edges)
 
-def _link_blocks(radius: int, block: int):
-    """Reads rows sorted by bucket, and compares whole buckets, several small ones at a time."""
+
+def _link_blocks(radii: list[int], block: int, keys: int, rounds: int = 1):
+    """Reads rows (``keys`` columns, rep, words of the fingerprint) sorted by the keys, and compares whole buckets, several small ones
+    at a time. Smaller reps come first, so that a clique becomes a star around its smallest rep."""
 
     def compare(fps, reps):
         fps, reps = np.concatenate(fps), np.concatenate(reps)
-        fps, first = np.unique(fps, return_index=True)
-        reps = reps[first]
-        pairs = forest(close_pairs(fps, radius))
-        return [(int(reps[i]), int(reps[j])) for i, j in pairs]
+        reps, first = np.unique(reps, return_index=True)
+        pairs = forest(close_pairs(fps[first], radii, 512, 8 * fps.shape[1]), rounds)
+        return pa.RecordBatch.from_arrays([pa.array(reps[[p[k] for p in pairs]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         fps, reps, held, last = [], [], 0, None
         for batch in batches:
-            combo, key, low, high, fp, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            if not len(fp):
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            key, rep, fp = columns[:keys], columns[keys], np.stack(columns[keys + 1 :], 1).view(np.uint64)
+            if not len(rep):
                 continue
-            new = np.flatnonzero((combo[1:] != combo[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            starts = np.concatenate([[0], new, [len(fp)]])
-            found = []
-            for k in range(len(starts) - 1):
-                s, e = int(starts[k]), int(starts[k + 1])
-                here = (combo[s], key[s], low[s], high[s])
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), len(rep)]):
+                here = tuple(k[s] for k in key)
                 if here != last and held >= block:
-                    found += compare(fps, reps)
+                    yield compare(fps, reps)
                     fps, reps, held = [], [], 0
                 last = here
-                fps.append(fp[s:e].view(np.uint64))
+                fps.append(fp[s:e])
                 reps.append(rep[s:e])
                 held += e - s
-            yield _pairs(found)
         if held:
-            yield _pairs(compare(fps, reps))
+            yield compare(fps, reps)
 
     return run
 
 
-def _pairs(found):
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4, words_per_shingle: int = 3, seed: int = 42, tile: int = 2048) -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id reachable by links.
 
@@ -189,11 +205,139 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keyed.join(sizes, ["combo", "key"])
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("combo", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp", "rep")
+        .select("combo", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "rep", "fp")
     )
     sorted_rows = tiled.repartition("combo", "key", "low", "high").sortWithinPartitions("combo", "key", "low", "high")
-    links = sorted_rows.mapInArrow(_link_blocks(radius, 512), "a long, b long")
+    links = sorted_rows.mapInArrow(_link_blocks([radius], 512, 4), "a long, b long")
     roots = connected_components(links, "a", "b")
     classes = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     classes = materialise(classes, "classes")  # so that the join shuffles both sides, and adaptive execution can split a hot fingerprint
     return fps.join(classes, "fp").select("id", "fp", "component_id")
+
+
+# ---- near duplicates by Jaccard similarity ----
+
+
+def wide_fingerprint(text: str, words_per_shingle: int, seed: int, width: int) -> tuple[int, ...] | None:
+    """A SimHash of ``width`` signed words: every shingle's hash is mixed into as many. None for a text without words."""
+    hashes = shingle_hashes(text, words_per_shingle, seed)
+    if not len(hashes):
+        return None
+    x = hashes[:, None] ^ np.random.default_rng(seed).integers(0, 1 << 63, width, np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return tuple(majority(x ^ (x >> np.uint64(33))).view(np.int64).tolist())
+
+
+def differing_share(jaccard: float) -> float:
+    """The expected share of differing bits of two texts whose shingle sets, of like size, have that similarity."""
+    return math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+
+
+def choose_bands(rows: int, least: float, bits: int, seed: int, per_bucket: int = 256, recall: float = 0.999) -> np.ndarray:
+    """bands x positions: which bits make the key of each band.
+
+    A key has so many bits that a bucket of unlike texts holds about ``per_bucket``; there are so many bands that a pair of
+    similarity ``least`` shares a key with probability ``recall``. The number of bands grows as rows to the power 0.24.
+    """
+    long = max(6, math.ceil(math.log2(max(1, rows / per_bucket))))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(least)) ** long))
+    rng = np.random.default_rng(seed)
+    return np.array([rng.choice(bits, long, replace=False) for _ in range(count)])
+
+
+def _band_keys(bands: np.ndarray):
+    weights = 1 << np.arange(bands.shape[1], dtype=np.int64)
+
+    def run(batches):
+        for batch in slices(batches, 2000):
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rep, fp = columns[0], np.stack(columns[1:], 1)
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+            keys = np.stack([bits[:, band].astype(np.int64) @ weights for band in bands], 1) * len(bands) + np.arange(len(bands))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel()), *(pa.array(np.repeat(c, len(bands))) for c in [rep, *fp.T])], names=["key", *batch.schema.names]
+            )
+
+    return run
+
+
+def _jaccard_links(least: float, words_per_shingle: int, seed: int):
+    """Reads (a, ta, b, tb) and yields the (a, b) whose shingle sets are alike enough; rows with one a lie side by side."""
+
+    def run(batches):
+        last, set_a = None, None
+        for batch in slices(batches):
+            out = []
+            for a, ta, b, tb in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, ta) != last:
+                    last, set_a = (a, ta), np.unique(shingle_hashes(ta, words_per_shingle, seed))
+                set_b = np.unique(shingle_hashes(tb, words_per_shingle, seed))
+                both = len(np.intersect1d(set_a, set_b, assume_unique=True))
+                if both and both >= least * (len(set_a) + len(set_b) - both):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, words_per_shingle: int = 5, seed: int = 42, width: int = 4, tile: int = 1024
+) -> DataFrame:
+    """(node, root) for every id that is linked to another; root is the smallest id reachable by links.
+
+    Two rows link if the Jaccard similarity of their sets of word shingles is at least ``least``. SimHash fingerprints of 64 x
+    ``width`` bits choose the pairs: texts that share the key of a band are compared bit-sliced, within a radius three standard
+    deviations above the mean distance at ``least``. A bucket yields spanning forests that take closer pairs first, and the
+    exact similarity decides each of their edges. So no link is wrong, but a link close to the threshold can be missed.
+
+    Rows with a null id and texts without words have no links; rows that share an id are one node. A bucket of over ``tile`` texts
+    is cut into tiles. First only texts of one tile are compared, which folds a large group of near copies to one text for
+    each tile; then the smallest texts of the groups found so far are compared across tiles.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), body(F.col(text_col)).alias("t")).where(F.col("id").isNotNull())
+    names = [f"f{k}" for k in range(width)]
+
+    def sketch(batches):
+        for batch in slices(batches):
+            fps = [wide_fingerprint(t, words_per_shingle, seed, width) for t in batch.column(1).to_pylist()]
+            at = [k for k, f in enumerate(fps) if f]
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([fps[k][w] for k in at], pa.int64()) for w in range(width))], names=["id", *names])
+
+    fps = materialise(texts.mapInArrow(sketch, "id long, " + ", ".join(f"{n} long" for n in names)), "sketches")
+    reps = materialise(fps.groupBy(*names).agg(F.min("id").alias("rep")).select("rep", *names), "reps")
+    copies = fps.join(reps, names).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+
+    bits = 64 * width
+    bands = choose_bands(reps.count(), least, bits, seed)
+    mean = differing_share(least)
+    most = bits * mean + 3 * math.sqrt(bits * mean * (1 - mean))
+    radii = [round(bits * differing_share((1 + least) / 2)), round(bits * mean), round((bits * mean + most) / 2), round(most)]
+    keyed_schema = "key long, rep long, " + ", ".join(f"{n} long" for n in names)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+        two = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+        met = pairs.distinct().join(one, "b").join(two, "a").select("a", "ta", "b", "tb")
+        return met.mapInArrow(_jaccard_links(least, words_per_shingle, seed), "a long, b long")
+
+    def compared(keyed: DataFrame) -> DataFrame:
+        grouped = keyed.select("key", "low", "high", "rep", *names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
+        return grouped.mapInArrow(_link_blocks(radii, 128, 3, rounds=3), "a long, b long")
+
+    keyed = reps.mapInArrow(_band_keys(bands), keyed_schema)
+    tiles = materialise(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "tiles")
+    many = tiles.count() > 0
+    mine = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("tiles")).cast("int")
+    keyed = keyed.join(tiles, "key", "left").withColumn("low", F.coalesce(mine, F.lit(0))).withColumn("high", F.col("low"))
+    links = materialise(verified(compared(keyed).unionByName(copies)), "links")
+    roots = connected_components(links, "a", "b")
+    if not many:
+        return roots
+    left = reps.join(roots.where("node != root").select(F.col("node").alias("rep")), "rep", "left_anti")
+    crowded = left.mapInArrow(_band_keys(bands), keyed_schema).join(tiles.select("key"), "key")
+    again = crowded.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    crowded = crowded.join(again, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    crowded = crowded.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    return connected_components(links.unionByName(verified(compared(crowded))), "a", "b")

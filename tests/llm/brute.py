@@ -26,15 +26,20 @@ def suffix(docs, length):
     return out
 
 
-def quality(docs, max_docs, max_line_words, least_share):
-    """{doc_id: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)} of (doc_id, text, source) rows."""
+def boilerplate(docs, max_docs, count="documents"):
+    """A test of (source, line): whether more than max_docs documents, or distinct texts, of the source hold the line."""
     holders = defaultdict(set)
     norm = lambda line: " ".join(WORD.findall(line)).lower()
-    for _, t, s in docs:
+    for k, (_, t, s) in enumerate(docs):
         for line in (t or "").split("\n"):
-            if 0 < len(norm(line).split(" ")) <= max_line_words and norm(line):
-                holders[s, norm(line)].add(t or "")
-    out = {}
+            if norm(line):
+                holders[s, norm(line)].add(k if count == "documents" else t)
+    return lambda s, line: len(holders[s, norm(line)]) > max_docs
+
+
+def quality(docs, max_docs, least_share, count="documents"):
+    """{doc_id: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)} of (doc_id, text, source) rows."""
+    often, out = boilerplate(docs, max_docs, count), {}
     for d, t, s in docs:
         t = t or ""
         words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
@@ -42,7 +47,7 @@ def quality(docs, max_docs, max_line_words, least_share):
         many = Counter(windows)
         covered = {p for i, w in enumerate(windows) if many[w] > 1 for p in (i, i + 1, i + 2)}
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
-        lost = sum(len(WORD.findall(x)) for x in t.split("\n") if len(holders[s, norm(x)]) > max_docs)
+        lost = sum(len(WORD.findall(x)) for x in t.split("\n") if often(s, x))
         out[d] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed, not failed and len(words) - lost >= least_share * len(words))
     return out
 

@@ -163,46 +163,43 @@ def test_mixing_awkward(spark):
 # ---- 5 ----
 
 
-def test_quality_matches_brute_force(spark):
+@pytest.mark.parametrize("count", ["documents", "texts"])
+def test_quality_matches_brute_force(spark, count):
     rng = random.Random(5)
-    boiler = ["Accept all cookies now", "  read   MORE here ", prose(rng, 30), *[prose(rng, 8, 9000) for _ in range(10)]]
+    boiler = ["Accept all cookies now", "  read   MORE here ", prose(rng, 200, 9000), *[prose(rng, 8, 9000) for _ in range(10)]]
     rows = []
     for i in range(300):
         lines = [prose(rng, rng.randint(1, 40), rng.choice([3, 400])) for _ in range(rng.randint(1, 4))]
         if i % 3 == 0:
             lines = [boiler[i % 2]] * rng.randint(1, 4) + lines[:1] + [boiler[2]] if i % 2 else [*boiler[3:], prose(rng, 20, 9000)]
         rows.append((i, rng.choice(["\n", "\n\n", "\r\n"]).join(lines) + rng.choice(["", "#*$ é|<>"]), rng.choice(["a", "b", None])))
-    rows += [(900, None, "a"), (901, "", None), (902, " \n ", "a"), (903, rows[0][1], rows[0][2])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = quality.quality_rules(df, max_docs=5, max_line_words=25, least_share=0.5, clean=True).collect()
-    want = brute.quality(rows, 5, 25, 0.5)
+    copied = f"{prose(rng, 60, 9000)}\n{prose(rng, 40, 9000)}"
+    rows += [(900, None, "a"), (901, "", None), (902, " \n ", "a"), (903, rows[0][1], rows[0][2]), *[(1000 + i, copied, "a") for i in range(30)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("__words", "__host", "words", "host")})
+    got = quality.quality_rules(df, max_docs=5, least_share=0.5, clean=True, count=count).collect()
+    want, often = brute.quality(rows, 5, 0.5, count), brute.boilerplate(rows, 5, count)
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got} == want
     assert any(r.removed_lines for r in got) and any(not r.kept and not r.base_failed for r in got)
-    assert all(len(brute.WORD.findall(r.clean_text or "")) == r.n_words - r.removed_words for r in got)
-
+    assert want[1000][6] == (count == "texts")  # whether copies of a text make its lines boilerplate
+    for r, t, s in ((r, *next(x[1:] for x in rows if x[0] == r.doc_id)) for r in got):
+        assert r.clean_text == (t if t is None else "\n".join(x for x in t.split("\n") if not often(s, x)))
+        assert (r["__words"], r["__host"], r["words"], r["host"]) == ("x",) * 4
 
-def test_quality_awkward(spark):
-    df = frame(spark, AWKWARD).withColumn("source", F.lit(None).cast("string"))
-    assert quality.quality_rules(df).count() == len(AWKWARD)
-    assert quality.quality_rules(df.limit(0)).count() == 0
 
-
-def test_quality_judges_lines_of_any_length(spark):
-    rng = random.Random(6)
-    passage = prose(rng, 80, 9000)
-    rows = [(i, f"{passage}\n{prose(rng, 10, 9000)}", "a") for i in range(30)] + [(i, prose(rng, 90, 9000), "a") for i in range(30, 40)]
+def test_repeated_words_where_all_hashes_collide(spark):
+    rng = random.Random(55)
+    rows = [(i, prose(rng, rng.randint(0, 60), 4), "a") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r.kept for r in quality.quality_rules(df, max_line_words=None).collect()}
-    assert got == {i: i >= 30 for i in range(40)} == {i: w[6] for i, w in brute.quality(rows, 20, 10**9, 0.3).items()}
+    want = {i: w[4] for i, w in brute.quality(rows, 20, 0.3).items()}
+    for hashed in (F.xxhash64, lambda *_: F.lit(0).cast("long"), lambda a, b, c: F.length(a).cast("long") * 1024):
+        assert {r.doc_id: r.n_repeat_words for r in quality.text_statistics(df, hashed=hashed).collect()} == want
 
 
-def test_quality_counts_documents(spark):
-    rng = random.Random(7)
-    line, texts = prose(rng, 20, 9000), [prose(rng, 50, 9000) for _ in range(5)]
-    rows = [(i, f"{line}\n{texts[i % 5]}", "a") for i in range(30)] + [(i, prose(rng, 90, 9000), "a") for i in range(30, 40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r.removed_words for r in quality.quality_rules(df, count_documents=True).collect()}
-    assert got == {i: 20 * (i < 30) for i in range(40)}
+def test_quality_awkward(spark):
+    df = frame(spark, AWKWARD).withColumn("source", F.lit(None).cast("string"))
+    rows = quality.quality_rules(df).collect()
+    assert len(rows) == len(AWKWARD) and {r["__words"] for r in rows} == {"x"}
+    assert quality.quality_rules(df.limit(0)).count() == 0
 
 
 # ---- 6 ----
@@ -243,11 +240,11 @@ def test_word_coder_on_documents(spark):
         assert np.frombuffer(code.encode(r.text), "<u4").tolist() == code.tokenizer.encode(r.text, add_special_tokens=False).ids
 
 
-def check_packing(rows, docs, code, capacity):
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+def check_pieces(rows, docs, code):
+    """The pieces of each document are all of its ids, in order."""
+    by_doc = defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
-        by_sequence[r.sequence_id].append(r)
     for d, t in docs:
         ids = code.encode(t or "") + np.array([1], "<u4").tobytes()
         at = 0
@@ -255,6 +252,13 @@ def check_packing(rows, docs, code, capacity):
             assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids[4 * at : 4 * (at + r.length)]))
             at += r.length
         assert at == len(ids) // 4
+
+
+def check_sequences(rows, capacity):
+    """Sequences have no gap and fit; the share of padding."""
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r)
     padding = 0
     for s in by_sequence.values():
         at = 0
@@ -269,7 +273,8 @@ def check_packing(rows, docs, code, capacity):
 def test_packing_round_trip(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = packing.pack(df, rows_per_rank=9).collect()
-    assert check_packing(rows, [tuple(r) for r in df.collect()], packing.coder(packing.tokenizer_path()), 2048) < 0.02
+    check_pieces(rows, [tuple(r) for r in df.collect()], packing.coder(packing.tokenizer_path()))
+    assert check_sequences(rows, 2048) < 0.02
 
 
 def test_packing_awkward(spark):
@@ -406,7 +411,7 @@ def test_close_pairs_matches_popcount():
     base = rng.integers(0, 1 << 63, 40, np.uint64)
     fps = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)), base ^ (np.uint64(7) << rng.integers(0, 60, 40, np.uint64))]))
     for radius in (0, 1, 2, 3, 5):
-        links = simhash.close_pairs(fps, radius, rows_at_once=32)
+        (links,) = simhash.close_pairs(fps, [radius], rows_at_once=32)
         bits = np.unpackbits(links.view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
         far = np.bitwise_count(fps[:, None] ^ fps[None, :])
         assert (bits.astype(bool) == np.triu(far <= radius, 1)).all()
@@ -449,3 +454,21 @@ def test_query_equals_sql(spark, sf_dir, name):
     where = [[c[0] for c in want.description].index(c) for c in columns]
     assert sorted(df.columns) == columns
     assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted((tuple(r[k] for k in where) for r in want.fetchall()), key=str)
+
+
+def test_near_copy_bands_have_high_recall():
+    """Edited texts of five-word Jaccard 0.8 or more meet in a band and lie within the radius, whatever the number of rows."""
+    rng, pairs = random.Random(12), []
+    while len(pairs) < 150:
+        words = prose(rng, rng.randint(60, 400), 3000).split(" ")
+        edited = list(words)
+        for _ in range(max(1, int(len(words) * rng.choice([0.01, 0.02, 0.03, 0.04])))):
+            edited[rng.randrange(len(edited))] = f"edit{rng.randrange(99)}"
+        a, b = (set(simhash.shingle_hashes(" ".join(w), 5, 42).tolist()) for w in (words, edited))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            pairs.append([np.array(simhash.wide_fingerprint(" ".join(w), 5, 42, 4)).view(np.uint64) for w in (words, edited)])
+    bits = [[np.unpackbits(fp.view(np.uint8), bitorder="little") for fp in pair] for pair in pairs]
+    for rows in (1000, 200_000, 10**9):
+        bands = simhash.choose_bands(rows, 0.8, 256, 42)
+        met = sum((x[bands] == y[bands]).all(1).any() and (x != y).sum() <= 57 for x, y in bits)
+        assert met >= 0.98 * len(pairs)
