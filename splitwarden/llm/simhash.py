@@ -324,7 +324,7 @@ def near_duplicates(
 
     def compared(keyed: DataFrame) -> DataFrame:
         grouped = keyed.select("key", "low", "high", "rep", *names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-        return grouped.mapInArrow(_link_blocks(radii, 128, 3, rounds=3), "a long, b long")
+        return grouped.mapInArrow(_link_blocks(radii, 128, 3, rounds=8), "a long, b long")
 
     keyed = reps.mapInArrow(_band_keys(bands), keyed_schema)
     tiles = materialise(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "tiles")

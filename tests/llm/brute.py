@@ -11,18 +11,30 @@ import xxhash
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def suffix(docs, length):
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    data = [(d, (t or "").encode()) for d, t in docs]
-    seen = Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
+def suffix(docs, length, passage):
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words)."""
+    data = [(d, t or "") for d, t in docs]
+    seen, holders = Counter(), defaultdict(set)
+    for d, t in data:
+        b, words = t.encode(), WORD.findall(t)
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+        for i in range(len(words) - passage + 1):
+            holders[tuple(words[i : i + passage])].add((d, t))
+
+    def covered(n, width, repeats):
+        gone = bytearray(n)
+        for i in range(n - width + 1):
+            if repeats(i):
+                gone[i : i + width] = b"\1" * width
+        return gone, sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+
     out = []
-    for d, b in data:
-        gone = bytearray(len(b))
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
+    for d, t in data:
+        b, words = t.encode(), WORD.findall(t)
+        gone, spans = covered(len(b), length, lambda i: seen[b[i : i + length]] > 1)
+        inside, passages = covered(len(words), passage, lambda i: len(holders[tuple(words[i : i + passage])]) > 1)
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((d, len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), passages, sum(inside)))
     return out
 
 

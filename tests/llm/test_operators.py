@@ -61,20 +61,27 @@ def test_exact_dedup_awkward(spark):
 
 
 @pytest.mark.parametrize("tile", [1000, 3])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, tile):
-    whole = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda df, i, t, n: whole(df, i, t, n, 10, tile))
+def test_suffix_dedup_matches_brute_force(spark, tile):
     rng = random.Random(tile)
-    base = ["".join(rng.choice("abé") for _ in range(rng.randint(60, 300))) for _ in range(4)]
+    base = ["".join(rng.choice("abé ") for _ in range(rng.randint(60, 300))) for _ in range(4)]
     docs = []
     for d in range(50):
         t = list(rng.choice(base))
         for _ in range(rng.randint(0, 3)):
-            t[rng.randrange(len(t))] = rng.choice("xyz")
-        docs.append((d, "".join(t[: rng.randint(1, len(t))] + ["ab"] * rng.choice([0, 30]))))
+            t[rng.randrange(len(t))] = rng.choice("xyz \n")
+        docs.append((d, "".join(t[: rng.randint(1, len(t))] + ["ab"] * rng.choice([0, 30]) + [" a b"] * rng.choice([0, 0, 9]))))
     docs += [(3, docs[3][1]), (4, "other"), (90, None), (91, ""), (None, docs[5][1])]  # repeated rows, a repeated id, nulls
-    got = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), length=40)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(brute.suffix(docs, 40), key=str)
+    docs += [(92, "q r s t u v w x " * 4), (93, "k l m n o p 1 2 " * 5), (93, "k l m n o p 1 2 " * 5)]  # repeats within one document
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string"), length=40, gram=10, passage=8, tile=tile).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute.suffix(docs, 40, 8), key=str)
+    by = {r.doc_id: r for r in got}
+    assert by[92].n_removed and not by[92].n_passages and not by[93].n_passages and sum(r.n_passages > 0 for r in got) > 20
+
+
+def test_suffix_dedup_of_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == sorted(brute.suffix(rows, 400, 50))
 
 
 def test_suffix_order_and_extents():

@@ -150,5 +150,5 @@ def test_near_copies_of_a_large_group(spark):
     for tile, missed in ((1024, 0), (16, 3)):  # between tiles, only the smallest texts of the groups meet
         found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
         gone = {r.node for r in found if r.node != r.root}
-        assert gone <= want and len(want - gone) <= missed and len(want) > 80
+        assert gone <= want and len(want) > 80 and len(want - gone) <= missed, (tile, gone - want, want - gone, len(want))
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
