@@ -112,6 +112,7 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     first = lambda x, k: (k == 0) | (F.get(F.col("each"), k - 1)["line"] != x["line"])
     rows = rows.select("host", "text", F.explode(F.transform("each", lambda x, k: F.struct(x["line"].alias("line"), x["words"].alias("words"), first(x, k).cast("int").alias("first")))).alias("x"))
     rows = rows.groupBy("host", "text", "x.line").agg(F.sum("x.first").alias("copies"), F.count("*").alias("times"), F.max("x.words").alias("words"))
+    rows = rows.where("copies > 0 and times > 0 and words > 0")  # always so; keeps the columns, so that both readers share one exchange
     often = rows.groupBy("host", "line").agg((F.sum("copies") if count == "documents" else F.sum(F.sign("copies").cast("long"))).alias("n")).where(F.col("n") > max_docs)
     often = often.select(F.col("host").alias("often_host"), F.col("line").alias("often_line"))
     hit = rows.join(often, (F.col("line") == F.col("often_line")) & F.col("host").eqNullSafe(F.col("often_host")))

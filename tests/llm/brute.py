@@ -108,3 +108,35 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
             out[s] = cap * sizes[s]
         open_ = [s for s in open_ if s not in out]
     return out
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def personal(text):
+    """(start, kind, end) of the patterns as they are written down."""
+
+    def holds(kind, match):
+        digits = [int(c) for c in match if c.isdigit()]
+        doubled = [d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(digits))]
+        return {
+            "email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in match.split(".")), "card": 12 <= len(digits) <= 19 and sum(doubled) % 10 == 0, "phone": 9 <= len(digits) <= 15,
+        }[kind]
+
+    found = [(m.start(), kind, m.end()) for kind, p in PATTERNS.items() for m in re.finditer(p, text) if holds(kind, m.group())]
+    return sorted(found, key=lambda x: (x[0], list(PATTERNS).index(x[1])))
+
+
+def contained(text, template, words_per_shingle=5, containment=0.8, stretch=1.5):
+    """Whether some stretch of 1.5 template lengths holds 80 % of the template's distinct shingles."""
+    k = words_per_shingle
+    t, w = (re.findall(r"[^\W_]+", x.lower()) for x in (template, text))
+    own = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    shingles = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    reach = max(1, int(stretch * (len(t) - k + 1)))
+    return any(len(own & set(shingles[i : i + reach])) >= containment * len(own) for i in range(max(1, len(shingles) - reach + 1)))

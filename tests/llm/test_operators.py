@@ -339,38 +339,93 @@ def tagger():
 
 
 def test_pii_held_out_windows(tagger):
-    codes, labels = pii.labelled_windows(400, 64, 99)
+    codes, labels = pii.labelled_windows(200, 160, 99)
     found = tagger.decode(codes)
-    assert (found == labels).mean() > 0.96 and (found[labels > 0] == labels[labels > 0]).mean() > 0.88
+    assert (found == labels).mean() > 0.98 and (found[labels > 0] == labels[labels > 0]).mean() > 0.96
+
+
+def test_pii_training_is_deterministic_and_lowers_the_loss():
+    first, again = (pii.train_tagger(windows=128, width=48, epochs=3, batch=32) for _ in range(2))
+    assert all((first.w[k] == again.w[k]).all() for k in first.w)
+    codes, labels = pii.labelled_windows(64, 48, 5)
+    losses = [t.gradient(codes, labels)[0] for t in (pii.Tagger(seed=8), first, pii.trained())]
+    assert losses[0] > losses[1] > losses[2]
+
+
+def test_pii_base_spans_equal_the_patterns():
+    rng = random.Random(18)
+    pieces = ["1", "22", "255", "256", "4111 1111 1111 1111", "4111111111111111", "+1 (415) 555-2671", "a", "b-c", "x_y%", "@", "@d.e", "@d..e", ".", "..", " ", "-", "(", ")", "+", "é", "٣", "\n", "007.1.2.3", "00000"]
+    some = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        want = brute.personal(text)
+        assert pii.base_spans(text) == want, text
+        some += bool(want)
+    assert some > 1000
 
 
 def test_pii_spans(spark, tagger):
-    text = "é " * 50 + "mail a.b@c-d.org, call +1 (415) 555-2671 or (415) 555-2671; ip 10.0.0.255 not 1.2.3.400; card 4111 1111 1111 1111 or 4111111111111112. On 2024-01-02, v2.0"
+    text = "é " * 50 + "mail a.b@c-d.org, call +1 (415) 555-2671 or (415) 555-2671; ip 10.0.0.255 not 1.2.3.400; card 4111 1111 1111 1111 or 4111111111111112. On 2024-01-02, v2.0, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
     base = pii.base_spans(text)
     assert [(k, text[s:e]) for s, k, e in base] == [("email", "a.b@c-d.org"), ("phone", "+1 (415) 555-2671"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111")]
     both = pii.add_spans(tagger, [text], [base])[0]
-    assert set(base) <= set(both) and ("phone", "(415) 555-2671") in [(k, text[s:e]) for s, k, e in both]
+    assert set(base) <= set(both) and {("phone", "(415) 555-2671"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")} <= {(k, text[s:e]) for s, k, e in both}
     rows = pii.personal_data(frame(spark, [*AWKWARD, (20, text)]), model=tagger).collect()
     assert len(rows) == len(AWKWARD) + 1
     r = next(r for r in rows if r.doc_id == 20)
     spell = lambda spans: ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
-    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1) and r.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest() and r.spans == spell(both)
-    assert {r.spans for r in rows if r.doc_id != 20} == {""}
+    assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1) and r.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest()
+    assert r.spans == spell([x for x in both if x[1] != "secret"]) and r.secrets == spell([x for x in both if x[1] == "secret"]) and (r.n_spans, r.n_secret) == (5, 1)
+    assert {(r.spans, r.secrets) for r in rows if r.doc_id != 20} == {("", "")}
     assert pii.personal_data(frame(spark, []), model=tagger).count() == 0
 
 
-def test_pii_windows_cover_triggers():
+def test_pii_windows_cover_regions():
     rng = random.Random(8)
     for _ in range(50):
-        text = "".join(rng.choice("ab 1@" + "x" * 60) for _ in range(800))
-        starts = pii.windows_of(text, 64, 24)
-        inside = {p for s in starts for p in range(s, s + 64)}
+        text = "".join(rng.choice("ab 1@" + "x" * 60 + "\n") for _ in range(1500)) + rng.choice(["", " mail (at) x.org"])
+        inside = [p for low, high in pii.regions_of(text) for p in range(low, high)]
+        read = [p for s, low, high in pii.windows_of(text, 64) for p in range(low, min(high, len(text))) if s <= p < s + 64]
+        assert read == inside
         for m in pii.TRIGGER.finditer(text):
-            assert set(range(max(0, m.start() - 24), min(len(text), m.end() + 24))) <= inside
+            long = len(pii.RUN.match(text, m.start()).group()) > 100 or not m.group()[0].isdigit()
+            assert long or set(range(max(0, m.start() - 48), min(len(text), m.end() + 48))) <= set(inside)
+
+
+def test_pii_recall_and_precision_on_documents(spark, sf_dir, tagger):
+    """Personal data and secrets planted in real prose, in forms that the patterns miss, beside look-alikes."""
+    rng = np.random.default_rng(5)
+    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 500 and 5000").orderBy("doc_id").limit(60).collect() if not pii.TRIGGER.search(r.text)]
+    wanted, found, right = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in range(200):
+        text, marks = "", []
+        for word in docs[r % len(docs)].split(" ")[:150]:
+            text += word + " "
+            if rng.random() < 0.1:
+                item, where = pii.labelled_text(rng, 1, 0.5)
+                marks += [(len(text) + s, k, len(text) + e) for s, k, e in where]
+                text += item
+        base = pii.base_spans(text)
+        added = set(pii.add_spans(tagger, [text], [base])[0]) - set(base)
+        missed = set(marks) - set(base)
+        for counts, spans in ((wanted, missed), (found, added), (right, added & set(marks))):
+            for _, kind, _ in spans:
+                counts[kind] += 1
+    for kind in (*pii.KINDS, pii.SECRET):
+        assert wanted[kind] >= 50 and right[kind] >= 0.9 * wanted[kind] and right[kind] >= 0.9 * found[kind], (kind, wanted, found, right)
+
+
+def test_pii_long_runs_take_linear_time(tagger):
+    import time
+
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + " x@", "1." * 500_000, "@" * 1_000_000, "+1" + "(" * 1_000_000, "a1" * 500_000):
+        began = time.process_time()
+        assert pii.add_spans(tagger, [text], [pii.base_spans(text)]) is not None
+        assert time.process_time() - began < 3
 
 
 def test_pii_every_form_from_text_to_spans(tagger):
-    """Every form of pii.labelled_windows, in texts that hold nothing else to look at."""
+    """Every form of pii.labelled_text, in texts that hold nothing else to look at."""
     rng = random.Random(8)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
@@ -378,38 +433,66 @@ def test_pii_every_form_from_text_to_spans(tagger):
     for _ in range(count):
         card = next(c for c in (f"4{digits(15)}" for _ in range(1000)) if pii.luhn(c))
         a, b, c, quarters = digits(3), digits(3), digits(4), [card[k : k + 4] for k in range(0, 16, 4)]
-        forms = {("email", k, at, m): user + at + host + ".org" for k, user in enumerate((word(), f"{word()}.{digits(2)}", f"{word()}_{word()}")) for at in ("@", " (at) ", " [at] ") for m, host in enumerate((word(), f"mail{digits(1)}.{word()}"))}
-        forms |= {("card", j): j.join(quarters) for j in ("", " ", "-", ".")} | {("ip",): ".".join(str(rng.randrange(256)) for _ in range(4))}
+        forms = {("email", k, at, m): user + at + host + ".org" for k, user in enumerate((word(), f"{word()}.{digits(2)}", f"{word()}_{word()}")) for at in ("@", " (at) ", " [at] ", "(at)") for m, host in enumerate((word(), f"mail{digits(1)}.{word()}"))}
+        forms |= {("card", j): j.join(quarters) for j in ("", " ", "-", ".")} | {("ip", j): j.join(str(rng.randrange(256)) for _ in range(4)) for j in (".", "[.]", "(.)")}
         forms |= {("phone", k): t for k, t in enumerate((f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0049 {a} {b}{c}", f"0{a}/{b}{c}"))}
         for form, s in forms.items():
             before = "please write to or call us about the new order "
             text = f"{before}{s} today and thanks for all of it"
             found[form] += (len(before), form[0], len(before) + len(s)) in pii.add_spans(tagger, [text], [pii.base_spans(text)])[0]
-    assert len(found) == 30 and min(found.values()) >= 0.8 * count, found
-    assert pii.add_spans(tagger, ["write to john_doe (at) example.org today"], [[]]) == [[(9, "email", 34)]]
+    assert len(found) == 38 and min(found.values()) >= 0.8 * count, found
+    assert pii.add_spans(tagger, ["write to john_doe (at) example.org today", "write to john.smith (at) example.com"], [[], []]) == [[(9, "email", 34)], [(9, "email", 36)]]
 
 
 # ---- 9 ----
 
 
+def altered(rng, text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = "changed"
+    return " ".join(words)
+
+
 def test_license_scan(spark):
     rng = random.Random(9)
     rows, want = [], {}
     for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
-        words = text.split()
-        if len(words) > 30:
-            words[rng.randrange(len(words))] = "changed"
-        rows.append((100 + i, prose(rng, rng.randint(0, 90)) + " É " + " ".join(words).upper() + "\n" + prose(rng, 50)))
-        want[100 + i] = name
-    rows += [*AWKWARD, (50, prose(rng, 300)), (51, "licensed under the sun " * 50)]
+        body = altered(rng, text, len(text.split()) > 30)
+        before = prose(rng, rng.randint(0, 90)) + " É "
+        rows.append((100 + i, before + body.upper() + "\n" + prose(rng, 50)))
+        want[100 + i] = name, len(before), len(before) + len(body)
+    rows += [*AWKWARD, (50, prose(rng, 300)), (51, "licensed under the sun " * 50), (52, prose(rng, 40_000) + licenses.TEMPLATES["Zlib"] + prose(rng, 20_000))]
     got = {r.doc_id: r for r in licenses.license_scan(frame(spark, rows)).collect() if r.doc_id}
-    assert all(name in got[i].licenses.split(",") for i, name in want.items())
-    assert all(got[i].n_matches == 0 for i in got if i < 100)
-    start, end = got[103].spans.split(",")[0].split(":")[1:]
-    assert rows[3][1][int(start) : int(end)].lower().startswith("redistribution")
+    for i, (name, first, last) in want.items():
+        assert got[i].licenses == name, (name, got[i].licenses)
+        start, end = map(int, got[i].spans.split(":")[1:])
+        assert first <= start and end <= last and end - start >= 0.7 * (last - first)
+    assert all(got[i].n_matches == 0 for i in got if i < 100 and i != 52) and got[52].licenses == "Zlib"
     assert licenses.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_bands_retrieve_what_is_contained(monkeypatch):
+    """Against exact containment in every stretch of a text; and only what the bands retrieve is verified."""
+    rng, index = random.Random(19), licenses.TemplateIndex(licenses.TEMPLATES)
+    verified, whole = [], licenses.matches
+    monkeypatch.setattr(licenses, "matches", lambda index, name, *rest: verified.append(name) or whole(index, name, *rest))
+    wanted = met = 0
+    for name, text in licenses.TEMPLATES.items():
+        for _ in range(6):
+            doc = f"{prose(rng, rng.randint(0, 400))} {altered(rng, text, rng.randint(0, len(text.split()) // 25))} {prose(rng, rng.randint(0, 400))}"
+            if brute.contained(doc, text):
+                wanted += 1
+                stretches = licenses.shingles_of(licenses.TOKEN.findall(doc.lower()), 5)
+                met += any(n == name and whole(index, n, stretches, s, e, 0.8) for n, s, e in index.retrieved(stretches))
+    assert wanted > 100 and met >= 0.99 * wanted, (wanted, met)
+    verified.clear()
+    assert licenses.scan(index, [prose(rng, 5000)]) == [[]] and not verified
+    assert licenses.scan(index, [licenses.TEMPLATES["ISC"]])[0][0][0] == "ISC" and "ISC" in verified
+    monkeypatch.setattr(licenses.TemplateIndex, "retrieved", lambda *_: [])
+    assert licenses.scan(index, [licenses.TEMPLATES["ISC"]]) == [[]]
+
+
 # ---- 10 ----
 
 
