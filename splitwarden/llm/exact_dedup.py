@@ -28,13 +28,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``docs`` that have the name of a result column are replaced.
 
     A text that more than a quarter of a partition's share of rows carry is hot: its rows are salted by id, so its
-    group is spread over many sort ranges, and its totals come from a map-side aggregation. At most 4 x partitions
-    texts can be hot, which bounds both broadcasts.
+    group is spread over many sort ranges, and its totals come from a map-side aggregation; the parts of such a group are matched by
+    SHA-256. At most 4 x partitions texts can be hot, which bounds both broadcasts.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     best = F.max if largest else F.min
-    base = docs.drop(*RESULT)
+    own = docs.drop(*RESULT).columns
+    base = docs.drop(*RESULT).toDF(*[f"own{k}" for k in range(len(own))])  # so that no column has the name of an internal one
+    id_col, text_col = (f"own{own.index(c)}" for c in (id_col, text_col))
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
 
     threshold = max(64, base.count() // (4 * parts))
@@ -73,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_hot = F.col("__hot_size").isNotNull()
     keep = F.when(is_hot, F.col("__hot_keep")).otherwise(F.col("__keep"))
     return rows.select(
-        *[F.when(~F.col("__null"), F.col("__body")).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
+        *[(F.when(~F.col("__null"), F.col("__body")) if c == text_col else F.col(c)).alias(name) for c, name in zip(base.columns, own)],
         keep.alias("keep_id"),
         F.coalesce("__hot_size", "__size").alias("group_size"),
         ((F.col("__rank") == 1) & F.col("__keep").eqNullSafe(keep)).alias("kept"),

@@ -20,49 +20,68 @@ from .common import materialise
 @dataclass
 class LanguageModel:
     labels: list
-    landmarks: np.ndarray  # dims x m, 0 or 1
+    grams: np.ndarray  # the sorted codes of all n-grams that a landmark has
+    landmarks: np.ndarray  # grams x m, 0 or 1
     landmark_norms: np.ndarray
     weights: np.ndarray  # m x labels
     orders: int
-    bits: int
 
 
-def presence(text: str, out: np.ndarray, orders: int, bits: int) -> None:
-    """Set ``out`` at the hash of every n-gram of the whole lower-cased text, n = 1..orders."""
-    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    gram = np.zeros(len(chars), np.uint32)
-    for n in range(1, orders + 1):
-        if len(chars) < n:
-            return
-        gram = gram[: len(chars) - n + 1] * np.uint32(0x01000193) + chars[n - 1 :] + np.uint32(n)
-        out[(gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)] = 1
+def gram_codes(text: str, orders: int) -> np.ndarray:
+    """The distinct 64-bit codes of the n-grams of the whole lower-cased text, n = 1..orders, sorted. Code points are mixed one to one
+    into 64 bits and added up by a polynomial, so two n-grams of one code are a matter of 2**-64."""
+    chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    x = (chars + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    gram, found = np.zeros(len(x), np.uint64), []
+    for n in range(1, min(orders, len(x)) + 1):
+        gram = gram[: len(x) - n + 1] * np.uint64(0xD1342543DE82EF95) + x[n - 1 :]
+        found.append(_distinct(gram + np.uint64(n)))
+    return np.sort(np.concatenate(found)) if found else gram
 
 
-def _matrix(texts: list[str], orders: int, bits: int) -> np.ndarray:
-    out = np.zeros((len(texts), 1 << bits), np.float32)
-    for k, t in enumerate(texts):
-        presence(t, out[k], orders, bits)
-    return out
+def _distinct(codes: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """np.unique of an array in parts, so that a long text needs no more room than its distinct codes."""
+    held = np.unique(codes[:at_once])
+    for at in range(at_once, len(codes), at_once):
+        held = np.union1d(held, codes[at : at + at_once])
+    return held
 
 
-def fit(texts: list[str], labels: list, landmarks_per_label: int = 24, orders: int = 4, bits: int = 14, ridge: float = 1e-2) -> LanguageModel:
-    """Kernel ridge regression on the Nyström features of a bounded sample; deterministic in the order of the rows."""
+def _features(codes: list[np.ndarray], grams: np.ndarray, landmarks: np.ndarray, landmark_norms: np.ndarray) -> np.ndarray:
+    """The kernel of each text with each landmark: shared n-grams over the root of both counts."""
+    present = np.zeros((len(codes), len(grams)), np.float32)
+    for k, c in enumerate(codes):
+        at = np.searchsorted(c, grams)
+        present[k] = c[np.minimum(at, len(c) - 1)] == grams if len(c) else 0
+    norms = np.sqrt(np.array([max(len(c), 1) for c in codes]))
+    return (present @ landmarks) / (norms[:, None] * landmark_norms[None, :])
+
+
+def fit(texts: list[str], labels: list, landmarks_per_label: int = 24, landmark_chars: int = 500, orders: int = 4, ridge: float = 1e-2, batch: int = 64) -> LanguageModel:
+    """Kernel ridge regression on the Nyström features of a bounded sample; deterministic in the order of the rows.
+
+    A label's landmarks are its shortest sampled texts of ``landmark_chars`` characters or more, then its longest others: whole texts.
+    """
     names = sorted(set(labels))
-    x = _matrix(texts, orders, bits)
-    norms = np.sqrt(np.maximum(x.sum(1), 1))
-    chosen = [k for name in names for k in [i for i, y in enumerate(labels) if y == name][:landmarks_per_label]]
-    z, zn = x[chosen].T.copy(), norms[chosen]
-    kernel = lambda rows, n: (rows @ z) / (n[:, None] * zn[None, :])
-    values, vectors = np.linalg.eigh(kernel(x[chosen], zn).astype(float))
+    codes = [gram_codes(t, orders) for t in texts]
+    first = sorted(range(len(texts)), key=lambda k: (len(texts[k]) < landmark_chars, len(texts[k]) if len(texts[k]) >= landmark_chars else -len(texts[k])))
+    chosen = [k for name in names for k in [i for i in first if labels[i] == name][:landmarks_per_label]]
+    marks = [codes[k] for k in chosen]
+    grams = np.unique(np.concatenate(marks))
+    z = np.stack([np.isin(grams, m) for m in marks], 1).astype(np.float32)
+    zn = np.sqrt(np.maximum(z.sum(0), 1))
+    kernel = lambda held: np.concatenate([_features(held[k : k + batch], grams, z, zn) for k in range(0, len(held), batch)]).astype(float)
+    values, vectors = np.linalg.eigh(kernel(marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = kernel(x, norms).astype(float) @ root
+    features = kernel(codes) @ root
     truth = np.array([[y == name for name in names] for y in labels], float)
     share = truth.sum(0)
     balance = (truth / share).sum(1) * len(labels) / len(names)  # each label weighs alike
     weighted = features * balance[:, None]
     solution = np.linalg.solve(weighted.T @ features + ridge * np.eye(features.shape[1]), weighted.T @ truth)
-    return LanguageModel(names, z, zn, (root @ solution).astype(np.float32), orders, bits)
+    return LanguageModel(names, grams, z, zn, (root @ solution).astype(np.float32), orders)
 
 
 def predict(model: LanguageModel, texts: list, batch: int = 64) -> tuple[list, list]:
@@ -71,9 +90,7 @@ def predict(model: LanguageModel, texts: list, batch: int = 64) -> tuple[list, l
     known = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     for at in range(0, len(known) if model.labels else 0, batch):
         rows = known[at : at + batch]
-        x = _matrix([texts[k] for k in rows], model.orders, model.bits)
-        k = (x @ model.landmarks) / (np.sqrt(np.maximum(x.sum(1), 1))[:, None] * model.landmark_norms[None, :])
-        s = k @ model.weights
+        s = _features([gram_codes(texts[k], model.orders) for k in rows], model.grams, model.landmarks, model.landmark_norms) @ model.weights
         best = s.argmax(1)
         for r, b, v in zip(rows, best, s[np.arange(len(rows)), best]):
             labels[r], scores[r] = model.labels[b], float(min(1.0, max(0.0, v)))
@@ -104,7 +121,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_label: int = 200, **settings) -> LanguageModel:
     sample = training_sample(docs, id_col, text_col, lang_col, rows_per_label).collect()
     if not sample:
-        return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32), 1, 1)
+        return LanguageModel([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32), 1)
     return fit([r.text for r in sample], [r.lang for r in sample], **settings)
 
 

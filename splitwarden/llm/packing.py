@@ -10,6 +10,7 @@ for each class, reaches the driver.
 from __future__ import annotations
 
 import importlib
+import json
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -17,35 +18,54 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body, materialise
+from .common import body, materialise, slices
 
-#: Fixed value: how the vocabulary's file splits a chunk of text.
-CHUNK = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How word_bpe_49k.json prepares a text, which the shortcut relies on.
+CHUNK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": CHUNK_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+CHUNK = regex.compile(CHUNK_PATTERN)
 LATIN = regex.compile("[\x21-\x7e\xa1-ɏ]+")
 
 
 class WordCoder:
-    """The ids of a text as little-endian 32-bit integers, by a tokenizer that never joins across white space.
+    """The ids of a text as little-endian 32-bit integers.
 
-    Ids are kept for words and for the chunks in them, so the tokenizer runs once for each new chunk. Texts in which
-    white space or special strings could mean something else than to str.split() go to the tokenizer whole.
+    A tokenizer that prepares texts as word_bpe_49k.json does never joins across white space: ids are then kept for words and for the
+    chunks in them, so the tokenizer runs once for each new chunk. Texts in which white space or special strings could mean
+    something else than to str.split(), and all texts for other tokenizers, go to the tokenizer whole. What is kept
+    is bounded by ``most_bytes``, beyond which it is dropped and gathered anew.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most_bytes: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.most = most
+        made = json.loads(self.tokenizer.to_str())
+        self.by_word = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and made["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in made["added_tokens"])
+        self.most_bytes, self.held_bytes = most_bytes, 0
         self.words: dict = {}
         self.chunks: dict = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level vocabularies
         other = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
 
+    def keep(self, held: dict, key: str, ids: bytes) -> None:
+        self.held_bytes += len(key) + len(ids) + 200  # and the objects around them
+        if self.held_bytes > self.most_bytes:
+            self.words.clear()
+            self.chunks.clear()
+            self.held_bytes = 0
+        held[key] = ids
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -54,8 +74,7 @@ class WordCoder:
         if got is None:
             spelled = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
             got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.chunks) < self.most:
-                self.chunks[chunk] = got
+            self.keep(self.chunks, chunk, got)
         return got
 
     def word(self, word: str) -> bytes:
@@ -69,12 +88,11 @@ class WordCoder:
                 got = b"".join([self.chunk(c) for c in CHUNK.findall(low)])
         else:
             got = self.whole(word)
-        if len(self.words) < self.most:
-            self.words[word] = got
+        self.keep(self.words, word, got)
         return got
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        if not self.by_word or "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self.whole(text)
         words = text.split()
         got = list(map(self.words.get, words))
@@ -92,23 +110,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
-def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of every document's ids."""
+def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int, quantum: int) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, class, part, k): the pieces of every document's ids, of which each task numbers
+    those of a length class."""
 
     def run(batches):
-        code = coder(tokenizer)
+        code, part, seen = coder(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = code.encode(text) + end
                 n = len(ids) // 4
-                rows += [(key, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                for s in range(0, n, capacity):
+                    length = min(capacity, n - s)
+                    c = -(-length // quantum)
+                    rows.append((key, s, length, zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n, c, part, seen.get(c, 0)))
+                    seen[c] = seen.get(c, 0) + 1
+            columns = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "k"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), body(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, part long, k long")
 
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -216,40 +239,56 @@ def plan(needs: dict[int, int], capacity: int) -> list[tuple[dict, int]]:
     return used + [(p, 1) for p in fill(left, capacity)]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8, rows_per_rank: int = 8192) -> DataFrame:
+def slots_of(counts: dict[int, int], whole: int) -> dict[str, np.ndarray]:
+    """Ranges of ranks in a class, sorted by class and rank: each range goes to one place (``slot``) of one pattern's sequences, of which
+    ``base`` is the first; a sequence takes ``each`` pieces of it."""
+    patterns = ([({whole: 1}, counts[whole])] if counts.get(whole) else []) + plan({c: n for c, n in counts.items() if c != whole}, whole)
+    rows, given, base = [], dict.fromkeys(counts, 0), 0
+    for pattern, times in patterns:
+        slot = 0
+        for c, each in sorted(pattern.items(), reverse=True):
+            rows.append((c, given[c], each, base, slot))
+            given[c] += each * times
+            slot += each
+        base += times
+    columns = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    return dict(zip(("class", "low", "each", "base", "slot"), columns))
+
+
+def _place(shared):
+    def run(batches):
+        slots = shared.value
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            kind, rank = (columns[c].to_numpy(zero_copy_only=False) for c in ("class", "rank"))
+            at = np.searchsorted((slots["class"] << 44) + slots["low"], (kind << 44) + rank, "right") - 1
+            turn, each = rank - slots["low"][at], slots["each"][at]
+            sequence, place = slots["base"][at] + turn // each, slots["slot"][at] + turn % each
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), pa.array(sequence), pa.array(place)], names=[*names, "sequence_id", "at"])
+
+    return run
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every row.
 
     Null texts count as empty: one piece that holds ``end_id``. Repeated rows and rows with a null id are packed like any
     other; an empty table gives an empty result; other columns are not read. Lengths are rounded up to ``quantum`` to form
     classes, so a sequence loses at most ``quantum - 1`` tokens for each piece in it.
 
-    A class is ranked in salted parts of about ``rows_per_rank`` rows, whose sizes are summed up to offsets.
+    A piece's rank in its class is its number within the task that cut it plus the counts of the tasks before, so no class is
+    sorted, and none meets in one task.
     """
     spark = docs.sparkSession
-    pieces = materialise(cut(docs, id_col, text_col, tokenizer or tokenizer_path(), capacity, end_id), "pieces")
-    pieces = pieces.withColumn("class", F.ceil(F.col("length") / quantum).cast("int"))
-    counts = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    whole = capacity // quantum
-    patterns = ([({whole: 1}, counts[whole])] if counts.get(whole) else []) + plan({c: n for c, n in counts.items() if c != whole}, whole)
-    slots, given, base = [], dict.fromkeys(counts, 0), 0
-    for pattern, times in patterns:
-        slot = 0
-        for c, each in sorted(pattern.items(), reverse=True):
-            slots.append((c, given[c], given[c] + each * times, each, base, slot))
-            given[c] += each * times
-            slot += each
-        base += times
-    slots = spark.createDataFrame(slots, "class int, low long, high long, each long, base long, slot long")
-
-    salts = max(1, -(-max(counts.values(), default=1) // rows_per_rank))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.groupBy("class", "salt").agg(F.count("*").alias("n")).select("class", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(offsets, ["class", "salt"]).withColumn("rank", F.col("before") + F.col("k"))
-    # bounded: a pattern and a class for each row, and both are bounded by the number of classes
-    placed = ranked.join(F.broadcast(slots), "class").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    turn = F.col("rank") - F.col("low")
-    placed = placed.withColumn("sequence_id", F.col("base") + F.floor(turn / F.col("each"))).withColumn("at", F.col("slot") + turn % F.col("each"))
+    pieces = materialise(cut(docs, id_col, text_col, tokenizer or tokenizer_path(), capacity, end_id, quantum), "pieces")
+    per_task = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(per_task.select("class", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
+    counts = {r["class"]: r["n"] for r in offsets.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    shared = spark.sparkContext.broadcast(slots_of(counts, capacity // quantum))
+    ranked = pieces.join(offsets.drop("n"), ["class", "part"]).withColumn("rank", F.col("before") + F.col("k"))
+    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "rank")
+    placed = placed.mapInArrow(_place(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, at long")
     in_sequence = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

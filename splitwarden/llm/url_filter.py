@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -92,26 +94,31 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def judge(hosts: list[str], paths: list[str], rules: list[Rule], array: DigestArray, lengths: list[int]) -> list[int]:
-    """The index of the longest rule that fits each URL, or -1."""
+def judge(hosts: list[str], paths: list[str], rules: list[Rule], array: DigestArray, lengths: list[int], longest: int, at_once: int = 1 << 16) -> list[int]:
+    """The index of the longest rule that fits each URL, or -1. Suffixes of a host that are longer than any rule's host can't fit."""
+    best = [-1] * len(hosts)
     probes, owner = [], []
+
+    def look():
+        found = array.find(probes)
+        for p in np.flatnonzero(found >= 0):
+            k, r = owner[p], int(found[p])
+            if best[k] < 0 or len(rules[r].text) > len(rules[best[k]].text):
+                best[k] = r
+        probes.clear()
+        owner.clear()
+
     for k, (host, path) in enumerate(zip(hosts, paths)):
         starts = [path[:n] for n in lengths if n <= len(path)]
-        suffix = host
-        while True:
+        at = 0 if len(host) <= longest else host.find(".", len(host) - longest - 1) + 1 or len(host) + 1
+        while at <= len(host):
             for start in starts:
-                probes.append((suffix + start).encode("utf-8", "surrogatepass"))
+                probes.append((host[at:] + start).encode("utf-8", "surrogatepass"))
                 owner.append(k)
-            dot = suffix.find(".")
-            if dot < 0:
-                break
-            suffix = suffix[dot + 1 :]
-    best = [-1] * len(hosts)
-    found = array.find(probes)
-    for p in np.flatnonzero(found >= 0):
-        k, r = owner[p], int(found[p])
-        if best[k] < 0 or len(rules[r].text) > len(rules[best[k]].text):
-            best[k] = r
+            at = host.find(".", at) + 1 or len(host) + 1
+        if len(probes) >= at_once:
+            look()
+    look()
     return best
 
 
@@ -129,13 +136,13 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], url_col: str = "url", id_c
     if sum(len(r.text.encode()) + 24 for r in rules) > most_rule_bytes:
         raise ValueError(f"rules exceed {most_rule_bytes} bytes; split them by host and judge each part")
     array = DigestArray([r.text for r in rules])
-    lengths = sorted({len(r.path) for r in rules})
+    lengths, longest = sorted({len(r.path) for r in rules}), max((len(r.host) for r in rules), default=0)
     shared = pages.sparkSession.sparkContext.broadcast(array)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2000):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            best = judge(hosts, paths, rules, shared.value, lengths)
+            best = judge(hosts, paths, rules, shared.value, lengths, longest)
             rule = pa.array([rules[k].text if k >= 0 else None for k in best], pa.string())
             verdict = pa.array([rules[k].verdict if k >= 0 else default for k in best], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=["id", "host", "path", "rule", "verdict"])

@@ -45,12 +45,13 @@ def test_exact_dedup_matches_groups(spark):
 
 
 def test_exact_dedup_awkward(spark):
-    rows = exact_dedup.exact_dedup(frame(spark, AWKWARD)).collect()
+    rows = exact_dedup.exact_dedup(frame(spark, AWKWARD).withColumns({c: F.lit("x") for c in ("__rank", "a.b", "own1")})).collect()
     assert len(rows) == len(AWKWARD)
     by = defaultdict(list)
     for r in rows:
         by[r.text or ""].append(r)
     assert all(sum(r.kept for r in g) == 1 for g in by.values())
+    assert {(r["__rank"], r["a.b"], r.own1) for r in rows} == {("x", "x", "x")}
     assert [r.keep_id for r in by["a"]] == [5] * 4 and [r.group_size for r in by[""]] == [3] * 3
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
     smallest = exact_dedup.exact_dedup(frame(spark, AWKWARD), largest=False, normalise=F.lower).where("text = 'a'").first()
@@ -104,7 +105,7 @@ def test_suffix_dedup_awkward(spark):
 
 # ---- 3 ----
 
-URLS = ["http://a.com/x", "https://Example.COM/en/1?q#f", "http://www.example.com/en/", "x.net/es/", "ftp://b.net/es/y", "http://net/fr/", "http://com", "http://com/", "", None, "://", "http://notexample.com/en/", "http://u@example.com:80/en/", "a://b://c.com/d", "http://example.com?x=/en/", "http://x.com/é\n/z"]
+URLS = ["http://a.com/x", "https://Example.COM/en/1?q#f", "http://www.example.com/en/", "x.net/es/", "ftp://b.net/es/y", "http://net/fr/", "http://com", "http://com/", "", None, "://", "http://notexample.com/en/", "http://u@example.com:80/en/", "a://b://c.com/d", "http://example.com?x=/en/", "http://x.com/é\n/z", "http://" + "." * 200_000 + "com/", "http://" + "a." * 100_000 + "b.net/fr/", "http://" + "c" * 300_000 + "/", "http://.com/", "http://com./", "http://xcom/"]
 
 
 def test_url_filter(spark):
@@ -220,6 +221,36 @@ def test_language_id_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_kernel_counts_shared_ngrams():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé 日ß𝄞") for _ in range(rng.randint(1, 400))) for _ in range(40)] + ["A", "ab", "x" * 5000]
+    sets = [{t.lower()[i : i + n] for n in range(1, 5) for i in range(len(t.lower()) - n + 1)} for t in texts]
+    codes = [langid.gram_codes(t, 4) for t in texts]
+    assert [len(c) for c in codes] == [len(x) for x in sets]
+    marks, z = [0, 5, 41], None
+    grams = np.unique(np.concatenate([codes[k] for k in marks]))
+    z = np.stack([np.isin(grams, codes[k]) for k in marks], 1).astype(np.float32)
+    got = langid._features(codes, grams, z, np.sqrt(z.sum(0)))
+    want = np.array([[len(a & sets[k]) / np.sqrt(len(a) * len(sets[k])) for k in marks] for a in sets])
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_language_id_equals_plain_kernel_ridge():
+    """With every text a landmark, Nyström features give kernel ridge regression itself."""
+    rng = random.Random(66)
+    alphabets = {"p": "abcde ", "q": "cdefg ", "r": "éabfg "}
+    rows = [("".join(rng.choice(a) for _ in range(80)), name) for name, a in alphabets.items() for _ in range(12)]
+    texts, labels = [t for t, _ in rows], [y for _, y in rows]
+    sets = [{t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)} for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    names = sorted(alphabets)
+    truth = np.array([[y == n for n in names] for y in labels], float)
+    want = kernel @ np.linalg.solve(kernel + 0.01 * np.eye(len(rows)), truth)
+    model = langid.fit(texts, labels, landmarks_per_label=12)
+    got, scores = langid.predict(model, texts)
+    assert got == [names[k] for k in want.argmax(1)] and np.allclose(scores, np.clip(want.max(1), 0, 1), atol=0.01)
+
+
 def test_language_id_awkward(spark):
     df = frame(spark, [*AWKWARD, (10, "123 .,")]).withColumn("lang", F.when(F.col("doc_id") > 3, "xx"))
     got = langid.identify(df, langid.train(df)).collect()
@@ -247,6 +278,19 @@ def test_word_coder_on_documents(spark):
         assert np.frombuffer(code.encode(r.text), "<u4").tolist() == code.tokenizer.encode(r.text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_are_used_whole():
+    import public_tokenizers
+
+    code = packing.WordCoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("Hello,  don't\n x1y2 naïve", "a b"):
+        assert not code.by_word and np.frombuffer(code.encode(t), "<u4").tolist() == code.tokenizer.encode(t, add_special_tokens=False).ids
+    small = packing.WordCoder(packing.tokenizer_path(), most_bytes=2000)
+    rng = random.Random(71)
+    for _ in range(50):
+        t = prose(rng, 30)
+        assert small.by_word and np.frombuffer(small.encode(t), "<u4").tolist() == small.tokenizer.encode(t, add_special_tokens=False).ids and small.held_bytes <= 2000
+
+
 def check_pieces(rows, docs, code):
     """The pieces of each document are all of its ids, in order."""
     by_doc = defaultdict(list)
@@ -279,7 +323,7 @@ def check_sequences(rows, capacity):
 
 def test_packing_round_trip(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    rows = packing.pack(df, rows_per_rank=9).collect()
+    rows = packing.pack(df.repartition(9)).collect()
     check_pieces(rows, [tuple(r) for r in df.collect()], packing.coder(packing.tokenizer_path()))
     assert check_sequences(rows, 2048) < 0.02
 
