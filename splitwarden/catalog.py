@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import severity_rank
-from .operators import alignment, cleaning, fragility, leakage, metrics, splits
-from .operators.similarity import knn, knn_vote
+from .operators import alignment, cleaning, fragility, identity, leakage, metrics, splits
+from .operators.similarity import knn, knn_vote, pairs_above
 from .plans import compile as plans
 from .plans.audit import issue_order
+from .shared import new_path
 from .sources import tables
 from .spec.lineage import artifact_id_column, run_id_column
 from .spec.lineage import lineage_edges as edges_of
@@ -101,11 +102,7 @@ CSV_SCHEMA = "id long, name string, size int, price double"
 @query("select r_regionkey as id, r_name as name, length(r_name) as size, cast(r_regionkey as double) / 4 as price from region")
 def scan_csv(spark, d):
     """Writes a CSV and reads it back with a schema."""
-    from tempfile import mkdtemp
-    from uuid import uuid4
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="scan-")
-    path = f"{folder}/{uuid4().hex}.csv"
+    path = new_path(spark, "scan") + ".csv"
     rows = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"), F.length("r_name").alias("size"), (F.col("r_regionkey") / 4).alias("price"))
     tables.write_table(rows, path)
     return tables.read_table(spark, path, CSV_SCHEMA)
@@ -230,8 +227,7 @@ def fragility_gap_join(spark, d):
 
 def _lookup(spark, d, last):
     e = table(spark, d, "events").select("event_id", "event_type", "user_id")
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).limit(0).unionByName(e.select("user_id").distinct())
-    return alignment.lookup(users, e, "user_id", "event_type", "event_id", last, strict=True)
+    return alignment.lookup(e.select("user_id").distinct(), e, "user_id", "event_type", "event_id", last, strict=True)
 
 
 @query("select user_id, arg_max(event_type, event_id) as event_type from events group by 1")
@@ -515,10 +511,9 @@ def split_group(spark, d):
     return splits.cluster_split(table(spark, d, "documents").select("doc_id", "source"), "source")
 
 
-@query("with t as (select date_trunc('hour', ts) as hour, event_id from events), h as (select hour, min(rk) as rk, max(n) as n from (select hour, row_number() over (order by hour) as rk, count(*) over () as n from t) group by 1) select event_id, " + CUT_SQL + " from t join h using (hour)")
+@query("with t as (select ts, row_number() over (order by ts) as k, count(*) over () as n from events), h as (select ts, min(k) as rk, max(n) as n from t group by 1) select event_id, " + CUT_SQL + " from events join h using (ts)")
 def split_temporal(spark, d):
-    e = table(spark, d, "events").select("event_id", F.date_trunc("hour", "ts").alias("hour"))
-    return splits.temporal_split(e, "hour").drop("hour")
+    return splits.temporal_split(table(spark, d, "events").select("event_id", "ts"), "ts").drop("ts")
 
 
 @query(f"with s as ({ranked_sql('documents', 'doc_id')}) select doc_id, cast((rk - 1) % 5 as int) as fold from s")
@@ -536,10 +531,9 @@ def group_kfold(spark, d):
     return splits.group_kfold(table(spark, d, "documents").select("doc_id", "source"), "source")
 
 
-@query("with t as (select date_trunc('day', ts) as day, count(*) as n from events group by 1), f as (select day, cast(floor(coalesce(sum(n) over (order by day rows between unbounded preceding and 1 preceding), 0) * 5 / cast(sum(n) over () as double)) as int) as fold from t) select event_id, fold from events join f on date_trunc('day', ts) = day")
+@query("with t as (select ts, count(*) as n from events group by 1), f as (select ts, cast(floor(coalesce(sum(n) over (order by ts rows between unbounded preceding and 1 preceding), 0) * 5 / cast(sum(n) over () as double)) as int) as fold from t) select event_id, fold from events join f using (ts)")
 def time_series_folds(spark, d):
-    e = table(spark, d, "events").select("event_id", F.date_trunc("day", "ts").alias("day"))
-    return splits.time_series_folds(e, "day").drop("day")
+    return splits.time_series_folds(table(spark, d, "events").select("event_id", "ts"), "ts").drop("ts")
 
 
 # ---- leakage ----
@@ -574,13 +568,60 @@ def leak_group_overlap(spark, d):
     return leakage.group_overlap(_parts(spark, d), "source")
 
 
-@query(f"with {NEIGHBOURS}, s as ({ranked_sql('embeddings', 'vec_id')}), parts as (select vec_id, {CUT_SQL} from s), x as (select distinct least(p.partition, q.partition) as part_a, greatest(p.partition, q.partition) as part_b, least(a, b) as a, greatest(a, b) as b, 1 - distance as similarity from n join parts p on n.a = p.vec_id join parts q on n.b = q.vec_id where p.partition <> q.partition and 1 - distance >= cast(0.4 as double)) select part_a, part_b, count(x.a) as n_pairs, round(max(similarity), 6) as max_similarity from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b) left join x using (part_a, part_b) group by 1, 2")
+SIMILARITY = "round(list_cosine_similarity(cast(x.embedding as double[]), cast(y.embedding as double[])), 9)"
+
+
+@query(
+    f"with s as ({ranked_sql('embeddings', 'vec_id')}), parts as (select vec_id, {CUT_SQL} from s), v as (select vec_id, partition, embedding from embeddings join parts using (vec_id)), "
+    f"x as (select least(x.partition, y.partition) as part_a, greatest(x.partition, y.partition) as part_b, x.vec_id as a, {SIMILARITY} as similarity from v x join v y on x.vec_id < y.vec_id and x.partition <> y.partition where {SIMILARITY} >= 0.4) "
+    "select part_a, part_b, count(x.a) as n_pairs, round(max(similarity), 6) as max_similarity from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b) left join x using (part_a, part_b) group by 1, 2"
+)
 def leak_embedding_similarity(spark, d):
-    found = _neighbours(spark, d).select("a", "b", (1 - F.col("distance")).alias("similarity"))
-    parts = splits.random_split(table(spark, d, "embeddings").select("vec_id"), "vec_id")
+    """All pairs of different parts at the threshold."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    parts = splits.random_split(v.select("vec_id"), "vec_id").select("vec_id", "partition")
+    found = pairs_above(v.join(parts, "vec_id"), 0.4, "vec_id", part="partition")
     return rounded(leakage.similar_embeddings(found, parts, "vec_id", 0.4))
 
 
+@query(f"select x.vec_id as a, y.vec_id as b, round({SIMILARITY}, 6) as similarity from embeddings x join embeddings y on x.vec_id < y.vec_id where {SIMILARITY} >= 0.45")
+def similar_embedding_pairs(spark, d):
+    return rounded(pairs_above(table(spark, d, "embeddings"), 0.45, "vec_id"))
+
+
+def alike_sql(x: str, y: str, threshold: float) -> str:
+    return f"levenshtein({x}, {y}) <= floor((1 - cast({threshold} as double)) * greatest(length({x}), length({y})) + 1e-9)"
+
+
+@query(
+    f"with s as ({ranked_sql('customer', 'c_custkey')}), v as (select c_name as seq, {CUT_SQL} from s join customer using (c_custkey)), u as (select distinct seq, partition from v), "
+    "p as (select distinct least(a.partition, b.partition) as part_a, greatest(a.partition, b.partition) as part_b, least(a.seq, b.seq) as sa, greatest(a.seq, b.seq) as sb "
+    f"from u a join u b on a.partition < b.partition and {alike_sql('a.seq', 'b.seq', 0.9)}) "
+    "select part_a, part_b, count(p.sa) as n_pairs, round(max(1 - levenshtein(sa, sb) / cast(greatest(length(sa), length(sb)) as double)), 6) as max_identity "
+    "from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b) left join p using (part_a, part_b) group by 1, 2"
+)
+def leak_sequence_identity(spark, d):
+    """Names as sequences: pairs of different parts with an identity of 0.9 or more."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    parts = splits.random_split(c.select("c_custkey"), "c_custkey").join(c, "c_custkey")
+    return rounded(identity.similar_sequences(parts, "c_custkey", "c_name", 0.9))
+
+
+CLUSTERED = (
+    "seqs as (select p_name as seq, min(p_partkey) as rep from part group by 1), "
+    f"edges as (select a.rep as a, b.rep as b from seqs a join seqs b on {alike_sql('a.seq', 'b.seq', 0.75)}), "
+    "reach as (select rep as node, rep as root from seqs union select e.b, r.root from reach r join edges e on e.a = r.node), "
+    "clusters as (select seq, min(root) as cluster from reach join seqs on node = rep group by 1)"
+)
+
+
+@query(f"with recursive {CLUSTERED} select p_partkey, cluster from part join clusters on seq = p_name")
+def identity_clusters(spark, d):
+    """Clusters of names by chains of an identity of 0.75 or more."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return identity.identity_clusters(p, "p_partkey", "p_name", 0.75).select("p_partkey", "cluster")
+
+
 # ---- order and selection ----
 
 
@@ -708,3 +749,25 @@ DATASET_SPEC = {
 @query("select doc_id, lang, source from (select *, row_number() over (partition by text order by doc_id) as rn from documents where length(text) between 500 and 3000 and lang in ('en', 'de')) where rn = 1")
 def compiled_dataset(spark, d):
     return plans.compile_dataset(table(spark, d, "documents"), parse("dataset", DATASET_SPEC)).drop("text")
+
+
+IDENTITY_SPEC = DATASET_SPEC | {
+    "id_field": "p_partkey", "sequence_field": "p_name", "metadata": [{"name": "p_brand", "dtype": "str"}], "filters": [], "redundancy_control": {"method": "sequence_identity", "threshold": 0.75},
+}
+
+
+@query(f"with recursive {CLUSTERED} select p_partkey, p_name, p_brand from part join clusters on seq = p_name where p_partkey = cluster")
+def redundancy_identity(spark, d):
+    """One row of each cluster of similar names: that with the smallest id."""
+    return plans.compile_dataset(table(spark, d, "part"), parse("dataset", IDENTITY_SPEC))
+
+
+IDENTITY_SPLIT = SPLIT_SPEC | {"protocol": "cluster_aware", "group_field": None, "identity": {"measure": "sequence_identity", "threshold": 0.75}, "leakage_checks": [{"type": "sequence_identity", "threshold": 0.75}]}
+
+
+@query("select cast(0 as int) as \"check\", 'sequence_identity' as type, part_a, part_b, cast(0 as bigint) as n_shared from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b)")
+def identity_split_checks(spark, d):
+    """A cluster-aware split by sequence identity has no pair of similar names across its parts."""
+    spec = parse("split", IDENTITY_SPLIT)
+    parts = plans.compile_split(table(spark, d, "part").select("p_partkey", "p_name"), spec, "p_partkey", sequence="p_name")
+    return plans.compile_checks(parts, spec, "p_partkey", "p_name")

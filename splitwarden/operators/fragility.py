@@ -25,8 +25,10 @@ def quartiles(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     rows = df
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    out = rows.groupBy(*keys).agg(F.count(metric).alias("n"), F.percentile(metric, F.lit(0.5)).alias("median"), F.percentile(metric, F.lit(0.25)).alias("q25"), F.percentile(metric, F.lit(0.75)).alias("q75"))
-    return out.withColumn("iqr", F.col("q75") - F.col("q25"))
+    cuts = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one buffer for the three
+    out = rows.groupBy(*keys).agg(F.count(metric).alias("n"), cuts.alias("__q"))
+    at = lambda k: F.get("__q", F.lit(k))
+    return out.select(*keys, "n", at(1).alias("median"), at(0).alias("q25"), at(2).alias("q75"), (at(2) - at(0)).alias("iqr"))
 
 
 def pivot(df: DataFrame, index: str, column: str, value: str, values: list[str]) -> DataFrame:

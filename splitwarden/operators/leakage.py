@@ -35,10 +35,13 @@ def group_overlap(df: DataFrame, field: str, scope: str = "all") -> DataFrame:
     return shared_values(df, field, scope)
 
 
-def similar_embeddings(neighbours: DataFrame, parts: DataFrame, id_col: str, threshold: float, scope: str = "all") -> DataFrame:
-    """(part_a, part_b, n_pairs, max_similarity) of neighbour pairs (a, b, similarity) across parts at or above the threshold."""
+def similar_embeddings(pairs: DataFrame, parts: DataFrame, id_col: str, threshold: float, scope: str = "all") -> DataFrame:
+    """(part_a, part_b, n_pairs, max_similarity) of pairs (a, b, similarity) across parts at or above the threshold.
+
+    ``pairs`` must hold all of them, as similarity.pairs_above gives; pairs of nearest neighbours do not.
+    """
     p = parts.select(F.col(id_col).alias("id"), "partition")
-    both = neighbours.where(F.col("similarity") >= threshold)
+    both = pairs.where(F.col("similarity") >= threshold)
     both = both.join(p.select(F.col("id").alias("a"), F.col("partition").alias("pa")), "a").join(p.select(F.col("id").alias("b"), F.col("partition").alias("pb")), "b")
     both = both.where(F.col("pa") != F.col("pb")).select(F.least("pa", "pb").alias("part_a"), F.greatest("pa", "pb").alias("part_b"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
     found = both.groupBy("part_a", "part_b").agg(F.count("*").alias("n_pairs"), F.max("similarity").alias("max_similarity"))

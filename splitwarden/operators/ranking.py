@@ -1,35 +1,58 @@
-"""Ranks in a seeded order, without a window over all rows in one task."""
+"""Ranks and running sums in a given order, without a window over all rows in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shuffle_key
 
 
-def rank_in_buckets(df: DataFrame, by: list[str], bucket, order: list) -> DataFrame:
-    """``df`` with __rank (1, 2, ...) within ``by`` and __n, the number of rows of ``by``.
+def sums_before(df: DataFrame, by: list[str], bucket: Column, order: list, value: Column | None = None) -> DataFrame:
+    """``df`` with __before, the sum of ``value`` (1 by default) over the rows before each one within ``by``, and __n, the sum over ``by``.
 
-    ``bucket`` must not decrease along the order. Rows are ranked within (by, bucket); the buckets' sizes, one row for each, are
+    ``bucket`` must not decrease along the order. Sums run within (by, bucket); the buckets' totals, one row for each, are
     summed up to offsets. So a task sorts one bucket, however large the table is.
     """
-    rows = df.withColumn("__bucket", bucket)
-    sizes = rows.groupBy(*by, "__bucket").agg(F.count("*").alias("__size"))
-    within = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = within.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).withColumn("__n", F.sum("__size").over(within)).drop("__size")
-    renamed = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__bucket").alias("__by_bucket"), "__before", "__n")
+    rows = df.withColumn("__bucket", bucket).withColumn("__value", F.lit(1).cast("long") if value is None else value)
+    sizes = rows.groupBy(*by, "__bucket").agg(F.sum("__value").alias("__size"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).withColumn("__n", F.sum("__size").over(group)).drop("__size")
+    renamed = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__bucket").alias("__by_bucket"), "__offset", "__n")
     match = F.col("__bucket").eqNullSafe(F.col("__by_bucket"))
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
-    local = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(*order))
-    out = rows.withColumn("__local", local).join(renamed, match)
-    return out.withColumn("__rank", F.col("__before") + F.col("__local")).drop("__local", "__before", "__bucket", "__by_bucket", *[f"__by_{c}" for c in by])
+    within = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("__local", F.coalesce(F.sum("__value").over(within), F.lit(0))).join(renamed, match)
+    return out.withColumn("__before", F.col("__offset") + F.col("__local")).drop("__local", "__offset", "__value", "__bucket", "__by_bucket", *[f"__by_{c}" for c in by])
+
+
+def rank_in_buckets(df: DataFrame, by: list[str], bucket: Column, order: list) -> DataFrame:
+    """``df`` with __rank (1, 2, ...) within ``by`` and __n, the number of rows of ``by``; see sums_before."""
+    return sums_before(df, by, bucket, order).withColumn("__rank", F.col("__before") + 1).drop("__before")
+
+
+def key_bucket(key: str = "__key") -> Column:
+    """The first four hex digits of a digest: 65536 buckets of like size, and as many offsets at most."""
+    return F.substring(key, 1, 4)
+
+
+def range_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
+    """A number that rises with the column: between which of its approximate quantiles (one aggregation) a value lies; null first.
+
+    Strings have no quantiles; they go by their first ten characters, which keep the order too.
+    """
+    kind = dict(df.dtypes)[column]
+    if kind in ("string", "binary"):
+        return F.substring(column, 1, 10)
+    cuts = df.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"]
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))]), lambda c: c <= F.col(column)))
 
 
 def ranked(df: DataFrame, id_col: str, seed, by: list[str] | None = None) -> DataFrame:
-    """Ranks in the order of the seeded md5 of the id; its first two hex digits are the buckets."""
-    key = shuffle_key(F.col(id_col), seed)
-    rows = df.withColumn("__key", key)
-    return rank_in_buckets(rows, by or [], F.substring("__key", 1, 2), [F.col("__key"), F.col(id_col)]).drop("__key")
+    """Ranks in the order of the seeded md5 of the id."""
+    rows = df.withColumn("__key", shuffle_key(F.col(id_col), seed))
+    return rank_in_buckets(rows, by or [], key_bucket(), [F.col("__key"), F.col(id_col)]).drop("__key")

@@ -1,44 +1,114 @@
-"""Exact nearest neighbours by cosine distance, in blocks."""
+"""Exact nearest neighbours, and exact pairs above a cosine similarity, in blocks."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import unit_vector
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", rows_per_block: int = 2048, digits: int = 9) -> DataFrame:
-    """(a, b, distance, rank): the k rows of ``base`` nearest to each row of ``queries``, itself left out.
+def _matrix(table: pa.Table, column: str = "v") -> np.ndarray:
+    """The rows of an array column, without a Python object for each number."""
+    return table.column(column).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return 1 - x @ y.T
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):  # one dimension at a time, so that no array has three
+        step = np.abs(x[:, k, None] - y[None, :, k])
+        out += step if metric == "manhattan" else step * step
+    return out if metric == "manhattan" else np.sqrt(out)
+
 
-    Distances are rounded to ``digits``, and ties go to the smaller id. Each pair of blocks is one matrix product, which yields
-    k candidates for each query; a window of blocks x k rows picks the best. Vectors of a different length than the first don't occur.
+def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", rows_per_block: int = 2048, digits: int = 9, metric: str = "cosine", leave_out: bool = True) -> DataFrame:
+    """(a, b, distance, rank): the k rows of ``base`` nearest to each row of ``queries``, itself left out (with ``leave_out``).
+
+    ``metric`` is cosine, euclidean or manhattan. Distances are rounded to ``digits``, and ties go to the smaller id. Each pair of
+    blocks is one matrix product, which yields k candidates for each query; a window of blocks x k rows picks the best. Vectors of
+    a different length than the first don't occur.
     """
     n_base, n_queries = base.count(), queries.count()
     blocks = max(1, -(-n_base // rows_per_block))
     parts = max(1, -(-n_queries // rows_per_block))
-    unit = unit_vector(F.col(vector)).alias("v")
+    unit = (unit_vector(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))).alias("v")
     left = queries.select(F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bb"))
     right = base.select(F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("qb"))
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        b = b.sort_values("id")
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        distance = np.round(1 - np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T, digits) + 0.0
-        distance[ids[:, None] == others[None, :]] = np.inf
-        best = np.argsort(distance, axis=1, kind="stable")[:, : k]
-        out = pd.DataFrame({"a": np.repeat(ids, best.shape[1]), "b": others[best].ravel(), "distance": np.take_along_axis(distance, best, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(nearest, "a long, b long, distance double")
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["a", "b", "distance"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        b = b.sort_by("id")
+        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+        distance = np.round(_distances(_matrix(a), _matrix(b), metric), digits) + 0.0
+        if leave_out:
+            distance[ids[:, None] == others[None, :]] = np.inf
+        best = np.argsort(distance, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(distance, best, 1).ravel()
+        keep = np.isfinite(found)
+        return pa.table([np.repeat(ids, best.shape[1])[keep], others[best].ravel()[keep], found[keep]], names=names)
+
+    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(nearest, "a long, b long, distance double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", part: str | None = None, rows_per_block: int = 2048, digits: int = 9) -> DataFrame:
+    """(a, b, similarity): all pairs a < b with a cosine similarity (rounded to ``digits``) of at least ``threshold``, of different parts if
+    ``part`` names a column.
+
+    Angles obey the triangle inequality, so vectors within an angle t of each other have angles to a pivot that differ by at most t. Rows
+    are dealt into bands of that width around the pivot (the first vector by id), and only a band and the next one meet, in
+    blocks of ``rows_per_block`` rows and one matrix product each. Nothing is lost; a low threshold prunes little. Zero vectors
+    have no similarity. The driver sees one count for each band, of which there are at most 315.
+    """
+    theta = max(0.01, math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector)).alias("v"), (F.col(part) if part else F.lit(None)).cast("string").alias("part"))
+    first = rows.orderBy("id").limit(1).first()
+    pivot = F.array(*[F.lit(x) for x in (first["v"] if first else [0.0])])
+    dot = F.aggregate(F.zip_with("v", pivot, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("band", F.floor(F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) / theta).cast("int"))
+    tiles = {r["band"]: -(-r["n"] // rows_per_block) for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect() if r["band"] is not None}
+    if not tiles:
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    count = F.create_map(*[F.lit(x) for band, n in tiles.items() for x in (band, n)])
+    rows = rows.where("band is not null").withColumn("mine", F.pmod(F.xxhash64("id"), count[F.col("band")]).cast("int"))
+    several = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def side(at: str, other: str, step: int) -> DataFrame:
+        """Each row once for every block of its own band and of the next one (``step`` 1 from the left, -1 from the right)."""
+        bands = F.filter(F.array(F.col("band"), F.col("band") + step), lambda b: F.map_contains_key(count, b))
+        out = rows.withColumn(f"{other}_band", F.explode(bands)).withColumn(f"{other}_tile", F.explode(several(count[F.col(f"{other}_band")])))
+        own = [F.col(c).alias(f"{at}_{c}") for c in ("id", "v", "part", "band")]
+        return out.select(*own, F.col("mine").alias(f"{at}_tile"), f"{other}_band", f"{other}_tile")
+
+    keys = ["l_band", "l_tile", "r_band", "r_tile"]
+    once = (F.col("l_band") != F.col("r_band")) | (F.col("l_tile") <= F.col("r_tile"))
+    left, right = side("l", "r", 1).where(once), side("r", "l", -1).where(once)
+
+    def close(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["a", "b", "similarity"]
+        if not x.num_rows or not y.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        ids, others = x.column("l_id").to_numpy(), y.column("r_id").to_numpy()
+        found = np.round(_matrix(x, "l_v") @ _matrix(y, "r_v").T, digits)
+        same_block = all(x.column(f"l_{k}")[0].as_py() == x.column(f"r_{k}")[0].as_py() for k in ("band", "tile"))
+        wanted = (found >= threshold) & ((ids[:, None] < others[None, :]) if same_block else (ids[:, None] != others[None, :]))
+        if part:
+            wanted &= np.array(x.column("l_part").to_pylist(), object)[:, None] != np.array(y.column("r_part").to_pylist(), object)[None, :]
+        i, j = np.nonzero(wanted)
+        return pa.table([np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j]), found[i, j]], names=names)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(close, "a long, b long, similarity double")
+
+
 def knn_vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:
     """(id, predicted, score): the label with most votes among the neighbours, ties to the smaller label; score is its share."""
     votes = neighbours.join(labels.select(F.col("id").alias("b"), "label"), "b")

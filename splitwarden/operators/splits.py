@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shuffle_key
-from .ranking import rank_in_buckets, ranked
+from .ranking import key_bucket, range_bucket, rank_in_buckets, ranked, sums_before
 
 RATIOS = (0.8, 0.1, 0.1)
 
@@ -38,7 +38,7 @@ def split_pool(df: DataFrame, id_col: str, seeds: list[int], stratum: str | None
     by = ["seed"] + ([stratum] if stratum else [])
     rows = with_seeds(df, seeds)
     rows = rows.withColumn("__key", shuffle_key(F.col(id_col), F.col("seed")))
-    rows = rank_in_buckets(rows, by, F.substring("__key", 1, 2), [F.col("__key"), F.col(id_col)]).drop("__key")
+    rows = rank_in_buckets(rows, by, key_bucket(), [F.col("__key"), F.col(id_col)]).drop("__key")
     return rows.withColumn("partition", part_of(F.col("__rank"), F.col("__n"), ratios)).drop("__rank", "__n")
 
 
@@ -46,16 +46,14 @@ def greedy_clusters(df: DataFrame, cluster: str, seed: int = 42, test: float = 0
     """(cluster, size, partition): whole clusters in seeded order fill test, then val, until each target is reached.
 
     A cluster goes to test if the clusters before it have not reached the target; sizes are positive, so this equals the greedy
-    loop. The windows see one row for each cluster.
+    loop. Sums run over one row for each cluster, in buckets of the key.
     """
     sizes = df.groupBy(cluster).agg(F.count("*").alias("size")).withColumn("__key", shuffle_key(F.col(cluster), seed))
-    total = F.sum("size").over(Window.partitionBy())
-    before = Window.orderBy("__key", cluster).rowsBetween(Window.unboundedPreceding, -1)
-    rows = sizes.withColumn("__before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("__test", F.bround(F.lit(test) * total)).withColumn("__val", F.bround(F.lit(val) * total))
-    rows = rows.withColumn("__is_test", F.col("__before") < F.col("__test"))
-    later = Window.partitionBy("__is_test").orderBy("__key", cluster).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__rest", F.coalesce(F.sum("size").over(later), F.lit(0)))
-    part = F.when(F.col("__is_test"), "test").when(F.col("__rest") < F.col("__val"), "val").otherwise("train")
+    order = [F.col("__key"), F.col(cluster)]
+    rows = sums_before(sizes, [], key_bucket(), order, F.col("size"))
+    rows = rows.withColumn("__is_test", F.col("__before") < F.bround(F.lit(test) * F.col("__n"))).withColumn("__val", F.bround(F.lit(val) * F.col("__n"))).drop("__before", "__n")
+    rows = sums_before(rows, ["__is_test"], key_bucket(), order, F.col("size"))
+    part = F.when(F.col("__is_test"), "test").when(F.col("__before") < F.col("__val"), "val").otherwise("train")
     return rows.select(cluster, "size", part.alias("partition"))
 
 
@@ -68,12 +66,15 @@ def cluster_split(df: DataFrame, cluster: str, seed: int = 42, test: float = 0.2
 group_split = cluster_split
 
 
+def _times(df: DataFrame, time: str) -> DataFrame:
+    """(__time, __before, __n): the rows before each distinct time, and all rows; sums run in ranges of time."""
+    times = df.groupBy(F.col(time).alias("__time")).agg(F.count("*").alias("__size"))
+    return sums_before(times, [], range_bucket(times, "__time"), [F.col("__time")], F.col("__size"))
+
+
 def temporal_split(df: DataFrame, time: str, ratios=RATIOS) -> DataFrame:
     """Cuts by time; rows of one time stay together, in the part of the first of them. Only distinct times are ranked."""
-    times = df.groupBy(time).agg(F.count("*").alias("__size"))
-    before = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    times = times.withColumn("__rank", F.coalesce(F.sum("__size").over(before), F.lit(0)) + 1).withColumn("__n", F.sum("__size").over(Window.partitionBy()))
-    times = times.select(F.col(time).alias("__time"), part_of(F.col("__rank"), F.col("__n"), ratios).alias("partition"))
+    times = _times(df, time).select("__time", part_of(F.col("__before") + 1, F.col("__n"), ratios).alias("partition"))
     return df.join(times, F.col(time).eqNullSafe(F.col("__time"))).drop("__time")
 
 
@@ -95,10 +96,7 @@ def time_series_folds(df: DataFrame, time: str, folds: int = 5) -> DataFrame:
 
 
 def temporal_blocks(df: DataFrame, time: str, blocks: int) -> DataFrame:
-    times = df.groupBy(time).agg(F.count("*").alias("__size"))
-    before = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    share = F.coalesce(F.sum("__size").over(before), F.lit(0)) * blocks / F.sum("__size").over(Window.partitionBy())
-    times = times.select(F.col(time).alias("__time"), F.floor(share).cast("int").alias("fold"))
+    times = _times(df, time).select("__time", F.floor(F.col("__before") * blocks / F.col("__n")).cast("int").alias("fold"))
     return df.join(times, F.col(time).eqNullSafe(F.col("__time"))).drop("__time")
 
 
