@@ -286,6 +286,16 @@ def knn_vote_labels(spark, d):
 QUERIES["knn_vote"], ORACLE["knn_vote"] = QUERIES.pop("knn_vote_labels"), ORACLE.pop("knn_vote_labels")
 
 
+MANHATTAN = "n as (select a, b, distance, rk from (select x.vec_id as a, y.vec_id as b, round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))), 9) as distance, row_number() over (partition by x.vec_id order by round(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: abs(cast(z[1] as double) - cast(z[2] as double)))), 9), y.vec_id) as rk from embeddings x join embeddings y on x.vec_id <> y.vec_id where x.vec_id % 10 = 0) where rk <= 5)"
+
+
+@query(f"with {MANHATTAN}, v as (select a, label, sum(1 / distance) as w from n join embeddings e on n.b = e.vec_id group by 1, 2) select a as id, label as predicted, round(w / sum(w) over (partition by a), 6) as score from v qualify row_number() over (partition by a order by w desc, label) = 1")
+def knn_vote_manhattan(spark, d):
+    """Five neighbours by Manhattan distance, weighted by it; the queries are the vectors whose id is divisible by ten."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return rounded(knn_vote(knn(v.where("id % 10 = 0"), v, 5, metric="manhattan"), v.select("id", "label"), weighted=True))
+
+
 # ---- aggregates ----
 
 

@@ -21,6 +21,16 @@ def kmer(df: DataFrame, sequence: str, spec=None, k: int = 3, dims: int = 256) -
 PROVIDERS: dict[str, Callable] = {"kmer": kmer}
 
 
+def select_layer(embedder, layer="last") -> dict:
+    """Sets the layer of a provider's embedder through the first attribute it has for that, and says which; else its own default stays."""
+    value = -1 if layer == "last" else int(layer)
+    for name in ("layer", "layer_idx", "layer_index", "layers"):
+        if hasattr(embedder, name):
+            setattr(embedder, name, value)
+            return {"layer": layer, "attribute": name, "value": value}
+    return {"layer": "default", "attribute": None, "value": None}
+
+
 def embed(df: DataFrame, sequence: str, provider: str = "kmer", spec=None, **options) -> DataFrame:
     if provider not in PROVIDERS:
         raise NotImplementedError(f"no provider {provider}; register a callable in PROVIDERS, there are {', '.join(PROVIDERS)}")
@@ -30,3 +40,10 @@ def embed(df: DataFrame, sequence: str, provider: str = "kmer", spec=None, **opt
 def from_wide(df: DataFrame, columns: list[str]) -> DataFrame:
     """One column for each dimension, as ``embedding``."""
     return df.withColumn("embedding", F.array(*[F.col(c).cast("float") for c in columns])).drop(*columns)
+
+
+def feature_matrix(df: DataFrame, columns: list[str], sequence: str = "sequence", missing: str = "<missing_seq>") -> DataFrame:
+    """from_wide, with a sequence column in any case: ``missing`` where there is none."""
+    out = from_wide(df, columns)
+    text = F.col(sequence).cast("string") if sequence in df.columns else F.lit(None).cast("string")
+    return out.withColumn(sequence, F.coalesce(text, F.lit(missing)))

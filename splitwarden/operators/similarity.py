@@ -66,20 +66,20 @@ def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "id", vector
 
     Angles obey the triangle inequality, so vectors within an angle t of each other have angles to a pivot that differ by at most t. Rows
     are dealt into bands of that width around the pivot (the first vector by id), and only a band and the next one meet, in
-    blocks of ``rows_per_block`` rows and one matrix product each. Nothing is lost; a low threshold prunes little. Zero vectors
-    have no similarity. The driver sees one count for each band, of which there are at most 315.
+    blocks of ``rows_per_block`` rows and one matrix product each. Nothing is lost; a low threshold prunes little. A zero vector's
+    similarity to any other is 0; null vectors are left out. The driver sees one count for each band, of which there are at most 315.
     """
     theta = max(0.01, math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector)).alias("v"), (F.col(part) if part else F.lit(None)).cast("string").alias("part"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector)).alias("v"), (F.col(part) if part else F.lit(None)).cast("string").alias("part")).where("v is not null")
     first = rows.orderBy("id").limit(1).first()
     pivot = F.array(*[F.lit(x) for x in (first["v"] if first else [0.0])])
     dot = F.aggregate(F.zip_with("v", pivot, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     rows = rows.withColumn("band", F.floor(F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) / theta).cast("int"))
-    tiles = {r["band"]: -(-r["n"] // rows_per_block) for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect() if r["band"] is not None}
+    tiles = {r["band"]: -(-r["n"] // rows_per_block) for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect()}
     if not tiles:
         return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
     count = F.create_map(*[F.lit(x) for band, n in tiles.items() for x in (band, n)])
-    rows = rows.where("band is not null").withColumn("mine", F.pmod(F.xxhash64("id"), count[F.col("band")]).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), count[F.col("band")]).cast("int"))
     several = lambda n: F.sequence(F.lit(0), n - 1)
 
     def side(at: str, other: str, step: int) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import severity_rank
 from ..spec.rules import check_pack
 from ..spec.schema import KINDS, SpecError, parse
 
-COLUMNS = ["pack_id", "severity", "code", "path", "message"]
+COLUMNS = ["pack_id", "severity", "code", "path", "message", "hint"]
 
 
 def pack_issues(packs: DataFrame, id_col: str = "pack_id") -> DataFrame:
@@ -25,10 +25,10 @@ def pack_issues(packs: DataFrame, id_col: str = "pack_id") -> DataFrame:
             for pack, *documents in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 try:
                     specs = {k: parse(k, json.loads(d)) for k, d in zip(kinds, documents) if d is not None}
-                    out += [(pack, i.severity, i.code, i.path, i.message) for i in check_pack(**specs)]
+                    out += [(pack, i.severity, i.code, i.path, i.message, i.hint) for i in check_pack(**specs)]
                 except (SpecError, json.JSONDecodeError) as error:
-                    out.append((pack, "ERROR", "SPEC_SHAPE", getattr(error, "where", None), str(error)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [()] * 5)], names=COLUMNS)
+                    out.append((pack, "ERROR", "SPEC_SHAPE", getattr(error, "where", None), str(error), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [()] * 6)], names=COLUMNS)
 
     rows = packs.select(F.col(id_col).cast("string"), *[F.col(k).cast("string") for k in kinds])
     return rows.mapInArrow(run, ", ".join(f"{c} string" for c in COLUMNS))

@@ -30,10 +30,11 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records split at '>'; sequences may span lines."""
-    rows = spark.read.option("lineSep", ">").text(str(path)).where(F.length(F.trim("value")) > 0)
-    head = F.split_part("value", F.lit("\n"), F.lit(1))
-    sequence = F.regexp_replace(F.expr("substr(value, instr(value, '\n') + 1)"), r"\s", "")
+    """Records begin with '>' at the start of a line; sequences may span lines."""
+    rows = spark.read.option("lineSep", "\n>").text(str(path)).select(F.regexp_replace("value", r"^>", "").alias("value"))
+    rows = rows.where(F.length(F.trim("value")) > 0)
+    head = F.rtrim(F.regexp_replace(F.split_part("value", F.lit("\n"), F.lit(1)), "\r", ""))
+    sequence = F.when(F.instr("value", "\n") > 0, F.regexp_replace(F.expr("substr(value, instr(value, '\n') + 1)"), r"\s", "")).otherwise("")
     return rows.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("id"), head.alias("description"), sequence.alias("sequence"))
 
 

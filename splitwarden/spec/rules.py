@@ -159,13 +159,88 @@ RULES = [
 ]
 
 
+#: What to do about a finding, by code; a code that says it all has none.
+HINTS = {
+    "DATASET_NO_SOURCES": "list where the rows come from under sources",
+    "DATASET_SOURCE_UNVERSIONED": "give the source a version, an accession or a dated snapshot",
+    "DATASET_UNLABELED": "declare labels if models are to be trained on the dataset",
+    "DATASET_REQUIRED_META_NO_DESC": "describe what the field holds and its unit",
+    "DATASET_NO_OUTPUT": "declare output with format and path",
+    "DATASET_OUTPUT_EMPTY_PATH": "set output.path",
+    "DATASET_OUTPUT_NO_CHECKSUM": "record the sha256 of the written file",
+    "FILTER_BETWEEN_SHAPE": "write value: [low, high]",
+    "FILTER_BETWEEN_NONE": "give both bounds, or use ge or le for one",
+    "FILTER_IN_TYPE": "write value as a list",
+    "FILTER_IN_EMPTY": "an empty list keeps nothing (in) or everything (not_in)",
+    "FILTER_REGEX_EMPTY": "write the pattern as text",
+    "FILTER_EXISTS_VALUE": "use true for present, false for absent",
+    "FILTER_NO_DESC": "say why the rows are filtered",
+    "REDUNDANCY_NONE": "remove similar sequences before splitting, or say why not",
+    "REDUNDANCY_NO_TOOL": "name the tool and its version",
+    "REDUNDANCY_CUSTOM_UNSPECIFIED": "name the tool or give its parameters",
+    "SPLIT_NO_SEED": "set an integer seed",
+    "SPLIT_SEED_NEGATIVE": "use a seed of 0 or more",
+    "SPLIT_RANDOM_NO_CHECKS": "add an exact_duplicate check at least",
+    "SPLIT_NO_CHECKS_NONRANDOM": "declare the checks that guard the protocol",
+    "SPLIT_GROUP_NO_GROUP_OVERLAP_CHECK": "add a group_overlap check on the group field",
+    "SPLIT_IDENTITY_MISSING": "declare identity with a measure",
+    "SPLIT_IDENTITY_THRESHOLD_MISSING": "set identity.threshold between 0 and 1",
+    "SPLIT_IDENTITY_THRESHOLD_HIGH": "consider a lower threshold, such as 0.3 to 0.5",
+    "SPLIT_TEMPORAL_NO_CHECKS": "add checks that no later row reaches the training part",
+    "SPLIT_NO_EXACT_DUP_CHECK": "add a check of type exact_duplicate",
+    "SPLIT_NO_VALIDATION_SET": "keep a validation part, or use cross-validation",
+    "EMB_MODEL_ID_EMPTY": "name the model",
+    "EMB_MAXLEN_INVALID": "set tokenization.max_length to 1 or more",
+    "EMB_PAD_MAXLEN_NO_TRUNC": "turn truncation on, or pad to the longest",
+    "EMB_CLS_NO_SPECIAL_TOKENS": "turn add_special_tokens on, or pool by mean",
+    "EMB_CPU_LARGE_BATCH": "use a smaller batch, or another device",
+    "EMB_NO_OUTPUT": "declare output with format and path",
+    "EMB_OUTPUT_EMPTY_PATH": "set output.path",
+    "EMB_OUTPUT_NO_CHECKSUM": "record the sha256 of the written file",
+    "EMB_NO_DATASET_LINK": "set input_dataset_fingerprint",
+    "TRAIN_NO_SEED": "set an integer seed",
+    "TRAIN_NEGATIVE_SEED": "use a seed of 0 or more",
+    "TRAIN_UNSUP_WITH_METRICS": "drop the metrics, or choose a supervised task",
+    "TRAIN_NO_RANDOM_STATE_IN_HYPERPARAMS": "pass the seed on as random_state",
+    "TRAIN_CV_FOLDS_INVALID": "use two folds or more",
+    "TRAIN_NO_OUTPUT": "declare where model, metrics and predictions go",
+    "TRAIN_OUTPUT_NO_METRICS_PATH": "set output.metrics_path",
+    "EXEC_PYTHON_VERSION_EMPTY": "set python_version",
+    "EXEC_NO_GIT_COMMIT": "record the commit of the code that ran",
+    "EXEC_DEPS_REF_EMPTY": "name the lock file",
+    "EXEC_DEPS_NO_CHECKSUM": "record the sha256 of the lock file",
+    "EXEC_CUDA_NO_GPU_NAME": "name the GPU under hardware.gpu",
+    "EXEC_NO_DETERMINISM_FLAGS": "list the flags that make runs repeatable",
+    "CONSIST_STRATIFY_UNKNOWN_FIELD": "declare the field as a label or metadata",
+    "CONSIST_GROUP_UNKNOWN_FIELD": "declare the field as a label or metadata",
+    "CONSIST_TIME_UNKNOWN_FIELD": "declare the field as a label or metadata",
+    "CONSIST_GROUP_OVERLAP_NO_FIELD": "name the field that must not overlap",
+    "CONSIST_GROUP_OVERLAP_UNKNOWN_FIELD": "declare the field as a label or metadata",
+    "CONSIST_NO_REDUNDANCY_WITH_IDENTITY_SPLIT": "control redundancy before splitting by identity",
+    "CONSIST_SPLIT_THRESHOLD_GE_REDUNDANCY": "split at a lower identity than redundancy was removed at",
+    "CONSIST_RANDOM_WITH_LABELS": "stratify by the label, so that the parts hold alike shares",
+    "CONSIST_EMB_DATASET_FP_MISMATCH": "link the fingerprint of the dataset that was embedded",
+    "CONSIST_DATASET_NO_SEQUENCE_FIELD": "set dataset.sequence_field",
+    "CONSIST_TRAIN_SUPERVISED_NO_LABELS": "declare the label that is trained on",
+    "CONSIST_TRAIN_SPLIT_FP_MISMATCH": "link the fingerprint of the split that was used",
+    "TRAIN_NO_SPLIT_LINK": "set input_split_fingerprint",
+    "CONSIST_TRAIN_EMB_FP_MISMATCH": "link the fingerprint of the embedding that was used",
+    "TRAIN_NO_EMB_LINK": "set input_embedding_fingerprint",
+    "CONSIST_NO_VAL_RECOMMEND_CV": "enable cross-validation to choose settings",
+    "CONSIST_NO_VAL_NO_TEST": "keep a part that models are judged on",
+    "CONSIST_NO_GIT_COMMIT": "record the commit of the code that ran",
+    "CONSIST_CUDA_EXEC_CPU_EMB": "embed on the GPU, or say that none is used",
+    "CONSIST_NONCUDA_EXEC_CUDA_EMB": "declare the accelerator that the embedding needs",
+}
+
+
 def check_pack(**specs: Spec | None) -> list[Issue]:
     """Issues of the given specs (dataset=, split=, ...), sorted; a rule runs if all it needs is given."""
     found = []
     for rule in RULES:
         have = [specs.get(kind) for kind in rule.needs]
         if all(s is not None for s in have):
-            found += [Issue(rule.severity, rule.code, message, path) for path, message in rule.find(*have)]
+            found += [Issue(rule.severity, rule.code, message, path, HINTS.get(rule.code)) for path, message in rule.find(*have)]
     return sort_issues(found)
 
 

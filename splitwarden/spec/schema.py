@@ -236,6 +236,11 @@ REQUIREMENTS: dict[str, list] = {
 }
 
 
+#: How a split says what it goes by.
+_USING = " using {measure}{limit}"
+REGIMES = {"stratified": " stratified by '{stratify_field}'", "group": " grouped by '{group_field}'", "temporal": " ordered by '{time_field}'", "cluster_aware": _USING, "structure_aware": _USING}
+
+
 class Spec:
     """A checked document. Fields are attributes; assigning one is not checked again."""
 
@@ -263,17 +268,12 @@ class Spec:
 
     def describe_regime(self) -> str:
         """One line about a split."""
-        head = f"{self.protocol} split"
-        if self.protocol == "stratified":
-            return f"{head} stratified by '{self.stratify_field}'"
-        if self.protocol == "group":
-            return f"{head} grouped by '{self.group_field}'"
-        if self.protocol == "temporal":
-            return f"{head} ordered by '{self.time_field}'"
-        if self.protocol in ("cluster_aware", "structure_aware") and self.identity:
-            limit = "" if self.identity.threshold is None else f" (threshold={self.identity.threshold})"
-            return f"{head} using {self.identity.measure}{limit}"
-        return head
+        by = REGIMES.get(self.protocol, "")
+        shown = {k: v for k in ("stratify_field", "group_field", "time_field") if (v := getattr(self, k)) is not None}
+        if self.identity:
+            shown["measure"] = self.identity.measure
+            shown["limit"] = f" (threshold={self.identity.threshold})" if self.identity.threshold is not None else ""
+        return f"{self.protocol} split" + (by.format(**shown) if all(f"{{{k}}}" not in by for k in ("measure", "limit") if k not in shown) else "")
 
 
 def _plain(value):

@@ -186,8 +186,8 @@ def test_custom_needs_registration(spark):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "x.fasta").write_text(">a first\nMK\nV\n>b\nGG\n")
-    assert [tuple(r) for r in tables.read_table(spark, str(tmp_path / "x.fasta")).collect()] == [("a", "a first", "MKV"), ("b", "b", "GG")]
+    (tmp_path / "x.fasta").write_text(">a size>3 b\r\nMK\r\nV\r\n>b\nGG\n>c\n>d x\nA")
+    assert [tuple(r) for r in tables.read_table(spark, str(tmp_path / "x.fasta")).collect()] == [("a", "a size>3 b", "MKV"), ("b", "b", "GG"), ("c", "c", ""), ("d", "d x", "A")]
     df = spark.createDataFrame([(1, 'a "q", b\nc')], "id long, s string")
     tables.write_table(df, f"{tmp_path}/t.csv")
     with pytest.raises(ValueError):
@@ -242,7 +242,174 @@ def test_models_select_refit_and_calibrate(spark, sf_dir):
     for method in ("platt", "isotonic", "temperature"):
         assert all(0 <= r.y_prob <= 1 for r in calibration.calibrate(val, val, method).collect())
     with pytest.raises(NotImplementedError):
-        models.estimator("rbf_svm", 10)
+        models.estimator("xgb", 10)
     assert models.clusters(rows, 4).select("cluster_id").distinct().count() <= 4
     e = embedding.embed(spark.createDataFrame([("MKVMKV",), ("",)], "s string"), "s").collect()
     assert len(e[0].embedding) == 256 and sum(x * x for x in e[0].embedding) == pytest.approx(1, abs=1e-5)
+
+
+def test_grids_and_every_model(spark, sf_dir, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from splitwarden.ml import models
+
+    assert [len(models.grid(m)) for m in ("rf", "svm", "knn", "lr")] == [1, 1, 4, 3] and [len(models.grid(m, wide=True)) for m in ("rf", "svm", "knn", "lr")] == [32, 6, 16, 5]
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("kind")).limit(200)
+    # a circle within a ring: no plane parts them
+    angle, far = F.col("id") * 0.7, F.col("id") % 2
+    ring = v.withColumn("label", far.cast("double")).withColumn("embedding", F.array((F.cos(angle) * (1 + 2 * far)).cast("float"), (F.sin(angle) * (1 + 2 * far)).cast("float")))
+    rows = models.features(splits.stratified_split(ring.select("id", "label", "embedding"), "id", "label")).repartition(2).cache()
+    area = {}
+    for model, params in (("rf", {"n_estimators": 10}), ("svm", {"kernel": "rbf"}), ("svm", {"kernel": "linear"}), ("knn", {"weights": "distance", "p": 1}), ("knn", {"n_neighbors": 15})):
+        best = models.fit_best(rows, model, [params])
+        area[model, params.get("kernel")] = best["metrics"]["test"]["auroc"]
+        assert all(0 <= r.y_prob <= 1 for r in best["predictions"].collect())
+        if params.get("kernel") == "rbf":
+            best["model"].write().overwrite().save(str(tmp_path / "svm"))
+            again = PipelineModel.load(str(tmp_path / "svm"))
+            assert {r.id: r.y_prob for r in models.predict(again, rows).collect()} == pytest.approx({r.id: r.y_prob for r in best["predictions"].collect()})
+    assert area["rf", None] > 0.9 and area["svm", "rbf"] > 0.9 > 0.8 > area["svm", "linear"] and area["knn", None] > 0.9
+
+
+def test_neighbours_equal_a_plain_version(spark):
+    import random
+
+    import numpy as np
+
+    from splitwarden.ml import models
+
+    rng = random.Random(4)
+    points = [(k, [rng.gauss(0, 1), rng.gauss(0, 2)], float(rng.random() < 0.4)) for k in range(60)]
+    df = models.features(spark.createDataFrame(points, "id long, embedding array<double>, label double"))
+    x = np.array([p for _, p, _ in points])
+    x, y = (x - x.mean(0)) / x.std(0, ddof=1), np.array([label for *_, label in points])
+    for p, weights in ((1, "uniform"), (2, "distance")):
+        got = {r.id: r.y_prob for r in models.Neighbours(7, weights, p).fit(df).transform(df).collect()}
+        for k in range(60):
+            d = (np.abs(x - x[k]) ** p).sum(1) ** (1 / p)
+            near = np.argsort(d, kind="stable")[:7]
+            w = np.ones(7) if weights == "uniform" else (d[near] == 0).astype(float)  # a row is its own neighbour
+            assert got[k] == pytest.approx((w * y[near]).sum() / w.sum())
+
+
+def test_result_sinks_and_loaders(spark, sf_dir, tmp_path):
+    import numpy as np
+
+    from splitwarden.sources import results
+
+    folder = str(tmp_path / "case/random/seed_2/lr")
+    found = spark.createDataFrame([(1, "MK", 1, 0.7, "test"), (2, None, 0, 0.2, "val")], "i long, s string, y_true int, y_prob double, partition string")
+    results.write_predictions(found, folder, "i", "s", threshold=0.8)
+    assert [tuple(r) for r in results.load_predictions(spark, folder).collect()] == [(1, "MK", 1, 0.7, 0, "test")]
+    with pytest.raises(FileNotFoundError, match="part train"):
+        results.load_predictions(spark, folder, "train")
+    results.write_metrics(spark, folder, {"train": {"auprc": 0.9}, "val": {"auprc": None}, "test": {"auprc": float("nan")}})
+    with pytest.raises(Exception, match="exists"):
+        results.write_metrics(spark, folder, {"train": {}})
+    r = tables.read_metrics(spark, f"{tmp_path}/case/*/*/*/metrics.json").first()
+    assert (r.seed, r.auprc_train, r.auprc_val, r.auprc_test) == (2, 0.9, None, None)
+
+    (tmp_path / "case/random/seed_10").mkdir()
+    assert results.folders(spark, f"{tmp_path}/case/random") == ["seed_2", "seed_10"] and list(results.seeds(spark, f"{tmp_path}/case/random")) == [2, 10]
+    with pytest.raises(FileNotFoundError, match="seeds 3"):
+        results.seeds(spark, f"{tmp_path}/case/random", [2, 3])
+
+    run = tmp_path / "case/executions/r1"
+    run.mkdir(parents=True)
+    for load in (lambda: results.load_summary(spark, f"{tmp_path}/case", "r1", "seed int"), lambda: results.load_execution(spark, f"{tmp_path}/case", "r1")):
+        with pytest.raises(FileNotFoundError, match="of run r1"):
+            load()
+    (run / "summary.csv").write_text("seed\n4\n")
+    tables.write_manifest(run / "execution.yaml", {"split": {"seed": 4, "notes": None}})
+    assert results.load_summary(spark, f"{tmp_path}/case", "r1", "seed int").first().seed == 4
+    manifest = results.load_execution(spark, f"{tmp_path}/case", "r1")
+    assert [results.manifest_get(manifest, k, "none") for k in ("split.seed", "split.notes", "split.seed.x", "model")] == [4, "none", "none", "none"]
+
+    data = spark.createDataFrame([(k, f"s{k}") for k in range(6)], "row long, sequence string")
+    where = tmp_path / "split"
+    where.mkdir()
+    with pytest.raises(FileNotFoundError, match="none of"):
+        results.load_split(spark, str(where), "val", data, "sequence string", "row")
+    results.write_split(spark.createDataFrame([(1, "val"), (5, "val"), (2, "test")], "dataset_index long, partition string"), f"{where}/assignment")
+    rows = lambda part: sorted(r.sequence for r in results.load_split(spark, str(where), part, data, "sequence string", "row").collect())
+    assert rows("val") == ["s1", "s5"]
+    np.save(where / "val_idx.npy", np.array([3, 0]))
+    assert rows("val") == ["s0", "s3"] and [tuple(r) for r in results.read_indices(spark, f"{where}/val_idx.npy").collect()] == [(0, 3), (1, 0)]
+    (where / "val.csv").write_text("sequence\nother\n")
+    assert rows("val") == ["other"] and rows("test") == ["s2"]
+
+
+def test_labels_by_order_or_lookup(spark):
+    from splitwarden.operators.alignment import labelled_in_order
+
+    data = spark.createDataFrame([(0, "A", 1), (1, "B", 0), (2, "A", 0)], "position long, sequence string, label int")
+    same = spark.createDataFrame([(0, "A"), (1, "B"), (2, "A")], "position long, sequence string")
+    rows, how = labelled_in_order(same, data, "position", "sequence", "label")
+    assert how["method"] == "order" and [(r.position, r.label) for r in rows.orderBy("position").collect()] == [(0, 1), (1, 0), (2, 0)]
+    rows, how = labelled_in_order(same.where("position > 0"), data, "position", "sequence", "label")
+    assert how["method"] == "lookup" and how["n_equal"] == 2 and {r.sequence: r.label for r in rows.collect()} == {"A": 0, "B": 0}
+    with pytest.raises(Exception, match="no label for sequence C"):
+        labelled_in_order(spark.createDataFrame([(0, "C")], "position long, sequence string"), data, "position", "sequence", "label")[0].collect()
+
+
+def test_identity_pairs_against_all_pairs(spark):
+    import random
+
+    from splitwarden.operators.identity import identity_clusters, most_edits, similar_pairs
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ACDEFGHIKL") for _ in range(rng.choice([2, 5, 9, 14, 40]))) for _ in range(25)]
+    texts = set(base)
+    for _ in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "K"])
+        texts.add("".join(t))
+    rows = [(k, t) for k, t in enumerate(sorted(texts))]
+    df = spark.createDataFrame(rows, "rep long, seq string").cache()
+    for threshold in (0.6, 0.75, 0.9, 0.95):
+        want = {(a, b) for a, x in rows for b, y in rows if a < b and edits(x, y) <= int((1 - threshold) * max(len(x), len(y)) + 1e-9)}
+        assert {(r.a, r.b) for r in similar_pairs(df, threshold).collect()} == want and (len(want) > 5 or threshold > 0.9)
+    assert spark.range(1).select(most_edits(F.lit(10), 0.9)).first()[0] == 1
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, ""), (4, "MKV"), (None, "MKV")], "id long, s string")
+    assert sorted(((r.id, r.cluster) for r in identity_clusters(odd, "id", "s", 0.8).collect()), key=str) == [(1, 1), (2, 2), (3, 2), (4, 4), (None, 4)]
+    with pytest.raises(NotImplementedError):
+        similar_pairs(df, 0.4)
+
+
+def test_pairs_above_against_all_pairs(spark):
+    import numpy as np
+
+    from splitwarden.operators.similarity import pairs_above
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 4))
+    x = np.concatenate([x, x[:50] + 0.05 * rng.standard_normal((50, 4)), np.zeros((2, 4))])
+    df = spark.createDataFrame([(k, v.tolist(), "ab"[k % 2]) for k, v in enumerate(x)] + [(999, None, "a")], "id long, embedding array<double>, part string")
+    with np.errstate(invalid="ignore"):
+        unit = np.nan_to_num(x / np.linalg.norm(x, axis=1, keepdims=True))
+    cos = np.round(unit @ unit.T, 9)
+    for threshold, part in ((0.99, None), (0.9, "part"), (0.2, None)):
+        want = {(a, b) for a in range(len(x)) for b in range(a + 1, len(x)) if cos[a, b] >= threshold and not (part and a % 2 == b % 2)}
+        got = [(r.a, r.b) for r in pairs_above(df, threshold, part=part, rows_per_block=17).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert pairs_above(df.limit(0), 0.5).count() == 0
+
+
+def test_temporal_split_without_truncation(spark):
+    from splitwarden.operators.ranking import range_bucket, sums_before
+
+    df = spark.createDataFrame([(k, f"2024-01-{1 + k % 28:02d} 10:{k % 60:02d}") if k % 50 else (k, None) for k in range(2000)], "id long, t string")
+    for kind in ("string", "timestamp", "date"):
+        rows = df.withColumn("t", F.col("t").cast(kind))
+        got = sums_before(rows, [], range_bucket(rows, "t", 7), [F.col("t"), F.col("id")]).orderBy("__before").collect()
+        assert [r["__before"] for r in got] == list(range(2000)) and [(r.t is not None, r.t, r.id) for r in got if r.t] == sorted((r.t is not None, r.t, r.id) for r in got if r.t)

@@ -194,7 +194,19 @@ def test_layer_union():
     assert [S.parse("embedding", EMBEDDING | {"layer": v}).layer for v in ("last", 3, "3", 3.0, True)] == ["last", 3, 3, 3, 1]
 
 
+def test_every_rule_has_a_hint():
+    from splitwarden.spec.rules import HINTS, RULES
+
+    assert {r.code for r in RULES} == set(HINTS)
+    (issue,) = [i for i in S.validate_specs(parsed(dataset__labels=[])) if i.code == "DATASET_UNLABELED"]
+    assert issue.hint == HINTS["DATASET_UNLABELED"] and f"(hint: {issue.hint})" in S.format_issues([issue])
+
+
 def test_regime_text():
+    more = {"stratified": ({"stratify_field": "y"}, " stratified by 'y'"), "group": ({"group_field": "g"}, " grouped by 'g'"), "temporal": ({"time_field": "t"}, " ordered by 't'"), "random": ({}, ""), "structure_aware": ({"identity": {"measure": "structure"}}, " using structure")}
+    for protocol, (fields, text) in more.items():
+        spec = {k: v for k, v in SPLIT.items() if k != "identity"} | {"protocol": protocol} | fields
+        assert S.parse("split", spec).describe_regime() == f"{protocol} split{text}"
     assert S.parse("split", SPLIT).describe_regime() == "cluster_aware split using sequence_identity (threshold=0.3)"
 
 
