@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,24 @@ def kmer(df: DataFrame, sequence: str, spec=None, k: int = 3, dims: int = 256) -
 PROVIDERS: dict[str, Callable] = {"kmer": kmer}
 
 
+def pool(tokens: DataFrame, id_col: str, position: str, vector: str, method: str = "mean", weight: str | None = None, max_length: int | None = None) -> DataFrame:
+    """(id, embedding) of a table with one row for each token: mean or sum of its vectors, the first one (cls), or their mean by the
+    ``weight`` column (attention). Tokens from position ``max_length`` on are cut off. Sums are partial in each task."""
+    rows = tokens if max_length is None else tokens.where(F.col(position) < max_length)
+    rows = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    if method == "cls":
+        found = F.min_by("__v", position)
+    elif method in ("mean", "sum"):
+        found = {"mean": Summarizer.mean, "sum": Summarizer.sum}[method](F.col("__v"))
+    elif method == "attention":
+        if weight is None:
+            raise ValueError("attention pooling needs the column of the weights")
+        found = Summarizer.mean(F.col("__v"), F.col(weight))
+    else:
+        raise NotImplementedError(f"pooling {method}; there are mean, cls, sum and attention")
+    return rows.groupBy(id_col).agg(found.alias("__pooled")).select(id_col, vector_to_array("__pooled", "float32").alias("embedding"))
+
+
 def select_layer(embedder, layer="last") -> dict:
     """Sets the layer of a provider's embedder through the first attribute it has for that, and says which; else its own default stays."""
     value = -1 if layer == "last" else int(layer)

@@ -41,15 +41,19 @@ def key_bucket(key: str = "__key") -> Column:
 def range_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
     """A number that rises with the column: between which of its approximate quantiles (one aggregation) a value lies; null first.
 
-    Strings have no quantiles; they go by their first ten characters, which keep the order too.
+    Strings have no quantiles in Spark; their cuts come from a sample of distinct values, chosen by hash, of 16 for each bucket.
     """
     kind = dict(df.dtypes)[column]
     if kind in ("string", "binary"):
-        return F.substring(column, 1, 10)
-    cuts = df.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"]
+        n = df.agg(F.approx_count_distinct(column)).first()[0]
+        share = max(1, n // (16 * buckets))
+        sample = [r[0] for r in df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(share)) == 0)).distinct().sort(column).collect()]
+        cuts = sample[:: max(1, len(sample) // buckets)]
+    else:
+        cuts = sorted(set(df.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"] or []))
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts))]), lambda c: c <= F.col(column)))
+    return F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(column)))
 
 
 def ranked(df: DataFrame, id_col: str, seed, by: list[str] | None = None) -> DataFrame:

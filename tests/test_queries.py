@@ -413,3 +413,50 @@ def test_temporal_split_without_truncation(spark):
         rows = df.withColumn("t", F.col("t").cast(kind))
         got = sums_before(rows, [], range_bucket(rows, "t", 7), [F.col("t"), F.col("id")]).orderBy("__before").collect()
         assert [r["__before"] for r in got] == list(range(2000)) and [(r.t is not None, r.t, r.id) for r in got if r.t] == sorted((r.t is not None, r.t, r.id) for r in got if r.t)
+
+
+def test_train_specs_run(spark, sf_dir):
+    from splitwarden.plans import train
+
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.slice("embedding", 1, 6).alias("embedding")).limit(160)
+    v = v.withColumn("label", (F.col("embedding")[0] > 0).cast("double"))
+    from splitwarden.ml import models
+
+    rows = models.features(splits.stratified_split(v, "id", "label", ratios=(0.6, 0.2, 0.2))).repartition(2).cache()
+    base = {"name": "t", "task": "classification", "model_family": "linear", "metrics": ["accuracy", "ROC_AUC"], "seed": 3}
+    spec = lambda **more: parse("train", base | more)
+    for family, hyperparams in (("linear", {"C": 10.0, "random_state": 1}), ("rf", {"n_estimators": 5}), ("xgb", {"n_estimators": 3}), ("nn", {"hidden": [4], "max_iter": 30})):
+        out = train.run_train(rows, spec(model_family=family, hyperparams=hyperparams))
+        assert set(out["metrics"]) == {"train", "val", "test"} and out["metrics"]["train"]["ROC_AUC"] > 0.9
+    cv = {"enabled": True, "folds": 3}
+    out = train.run_train(rows, spec(calibration={"enabled": True, "method": "platt"}, cross_validation=cv | {"strategy": "group_kfold", "group_field": "kind"}))
+    assert sorted(r.fold for r in out["folds"].collect()) == [0, 1, 2] and all(0 <= r.y_prob <= 1 for r in out["predictions"].collect())
+    for strategy, folds in (("stratified_kfold", [0, 1, 2]), ("time_series", [1, 2])):
+        assert sorted(r.fold for r in train.cross_validate(rows.where("partition = 'train'"), spec(cross_validation=cv | {"strategy": strategy}), time="id").collect()) == folds
+    numbers = rows.withColumn("label", F.col("embedding")[0].cast("double") * 3 + 1)
+    for family, hyperparams in (("linear", {}), ("rf", {"n_estimators": 5}), ("xgb", {"n_estimators": 3})):
+        out = train.run_train(numbers, spec(task="regression", model_family=family, hyperparams=hyperparams, metrics=["rmse", "mae", "r2"]))
+        assert out["metrics"]["train"]["r2"] > (0.999 if family == "linear" else 0.3)
+    assert train.run_train(rows, spec(task="unsupervised", metrics=[], hyperparams={"n_clusters": 3}))["predictions"].select("cluster_id").distinct().count() <= 3
+    for more, error in (({"model_family": "gdl"}, NotImplementedError), ({"task": "ranking"}, NotImplementedError), ({"hyperparams": {"depth": 3}}, ValueError), ({"metrics": ["bleu"]}, ValueError)):
+        with pytest.raises(error):
+            train.run_train(rows, spec(**more))
+
+
+def test_pooling_and_layers(spark):
+    from splitwarden.ml import embedding
+
+    tokens = spark.createDataFrame([("a", 1, [2.0, 0.0], 3.0), ("a", 0, [0.0, 4.0], 1.0), ("a", 2, [9.0, 9.0], 0.0), ("b", 0, [1.0, 1.0], 1.0)], "id string, pos int, v array<double>, w double")
+    got = lambda method, **more: {r.id: r.embedding for r in embedding.pool(tokens, "id", "pos", "v", method, **more).collect()}
+    assert got("mean", max_length=2) == {"a": [1, 2], "b": [1, 1]} and got("sum", max_length=2)["a"] == [2, 4] and got("cls")["a"] == [0, 4] and got("attention", weight="w")["a"] == [1.5, 1]
+    for method, error in (("attention", ValueError), ("custom", NotImplementedError)):
+        with pytest.raises(error):
+            got(method)
+
+    class Embedder:
+        layer_idx = 3
+
+    e = Embedder()
+    assert embedding.select_layer(e)["attribute"] == "layer_idx" and e.layer_idx == -1 and embedding.select_layer(object())["attribute"] is None
+    wide = spark.createDataFrame([(1, 2.0, 3.0, None)], "id long, p_1 double, p_2 double, sequence string")
+    assert tuple(embedding.feature_matrix(wide, ["p_1", "p_2"]).select("embedding", "sequence").first()) == ([2.0, 3.0], "<missing_seq>")
