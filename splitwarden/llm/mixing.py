@@ -12,17 +12,23 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import range_bucket, rank_in_buckets
 from .common import WORD, body, materialise
 
 
 def settle_large(share: np.ndarray, size: np.ndarray, rng: np.random.Generator, large: float = 0.03) -> np.ndarray:
-    """Rounds each entry with over ``large`` of all mass against all smaller ones at once, the largest first.
-
-    All shares must be equal at the start; the smaller ones then stay equal, and every entry keeps its expectation. So no large
+    """Rounds each entry with over ``large`` of all mass in a pair with the pool of all smaller ones, the largest first, so that no large
     document is left for the end, where its rounding would miss the target.
+
+    This is the move of ``pivotal`` with a pool in the place of the second document. All shares must be equal at the start. Let an
+    entry have size s and share x, the pool mass m and share p. Mass u = min((1 - x) s, p m) can move into the entry, d = min(x s,
+    (1 - p) m) out of it. Moving u with probability d / (u + d), else d, moves 0 in expectation, so every entry keeps its
+    expectation, x s + p m stays as it is, and x and p stay within 0..1. Afterwards x is integral or p is. As all entries of the
+    pool change by the same share, they stay equal, and the next largest can be rounded against the rest; once p is
+    integral all of them are.
     """
     share = share.copy()
     order = np.argsort(-size, kind="stable")
@@ -71,20 +77,22 @@ def targets(per_source: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.
     """``per_source`` (source, source_size, n) with target and a position ``rank`` of the source by code point, null last.
 
     Sources weigh ``weights`` in turn and share ``share`` of all sizes; a target stops at ``cap`` times its source's
-    size and the excess is reshared by weight until none is above. In the order of cap / weight the capped sources come first,
-    so cumulative sums give the same fixed point without iterating. The windows see one row for each source.
+    size and the excess is reshared by weight until none is above. Each round of that is one aggregation over the sources; ranks are
+    taken in ranges of the source, so sources may be as many as hosts.
     """
-    everything = Window.partitionBy()
-    rows = per_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("rank") % len(weights) + 1))
-    rows = rows.withColumn("most", cap * F.col("source_size")).withColumn("total", share * F.sum("source_size").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
-    before = Window.orderBy(F.col("most") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    rows = rows.withColumn("capped", F.col("most") < F.col("weight") * level)
-    spent = F.sum(F.when(F.col("capped"), F.col("most")).otherwise(0.0)).over(everything)
-    used = F.sum(F.when(F.col("capped"), F.col("weight")).otherwise(0.0)).over(everything)
-    target = F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * F.try_divide(F.col("total") - spent, F.col("all_weight") - used))
-    return rows.select("source", "source_size", "n", "rank", target.alias("target"))
+    null_last = F.when(F.col("source").isNull(), 1 << 30).otherwise(range_bucket(per_source, "source"))
+    rows = rank_in_buckets(per_source, [], null_last, [F.col("source").asc_nulls_last()]).withColumn("rank", F.col("__rank") - 1).drop("__rank", "__n")
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    rows = materialise(rows.withColumn("most", cap * F.col("source_size")), "ranks")
+    total = share * float(rows.agg(F.sum("source_size")).first()[0] or 0)
+    capped, before, level = F.lit(False), -1, 0.0
+    while True:
+        spent, open_weight, n = rows.agg(F.sum(F.when(capped, F.col("most"))), F.sum(F.when(~capped, F.col("weight"))), F.count(F.when(capped, 1))).first()
+        if n == before or not open_weight:  # none is above, or all are at their cap
+            break
+        before, level = n, (total - (spent or 0.0)) / open_weight
+        capped = F.col("most") < F.col("weight") * level
+    return rows.select("source", "source_size", "n", "rank", F.when(capped, F.col("most")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _round_groups(seed: int, level: int):

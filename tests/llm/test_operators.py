@@ -154,6 +154,23 @@ def test_mixing_meets_targets(spark):
         assert abs(taken[s] - t) <= 0.03 * t + 1
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(44)
+    for sizes in ({f"https://h{k}.x": rng.choice([0, 1, 10, 5000]) for k in range(700)}, {"a": 5}, {"a": 0, None: 0}, {f"s{k}": 4**k for k in range(12)} | {None: 7}):
+        df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long")
+        got = mixing.targets(df).collect()
+        order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+        assert [r.source for r in sorted(got, key=lambda r: r["rank"])] == order
+        want = brute.targets(sizes)
+        assert {r.source: r.target for r in got} == {s: pytest.approx(t) for s, t in want.items()}
+
+
+def test_settle_large_keeps_expectations():
+    size = np.array([500.0, 300, 20, 10, 10, 9, 8, 7, 6, 5])
+    draws = np.array([mixing.settle_large(np.full(10, 0.4), size, np.random.default_rng(k), 0.1) for k in range(6000)])
+    assert np.allclose(draws @ size, 0.4 * size.sum()) and np.allclose(draws.mean(0), 0.4, atol=0.02) and ((draws >= 0) & (draws <= 1)).all()
+
+
 def test_pivotal_keeps_mass_and_expectation():
     size = np.array([5.0, 9, 2, 7, 40, 1, 3])
     draws = np.array([mixing.pivotal(np.full(7, 0.3), size, np.random.default_rng(k)) for k in range(4000)])
@@ -288,7 +305,7 @@ def test_other_tokenizers_are_used_whole():
     rng = random.Random(71)
     for _ in range(50):
         t = prose(rng, 30)
-        assert small.by_word and np.frombuffer(small.encode(t), "<u4").tolist() == small.tokenizer.encode(t, add_special_tokens=False).ids and small.held_bytes <= 2000
+        assert small.by_word and np.frombuffer(small.encode(t), "<u4").tolist() == small.tokenizer.encode(t, add_special_tokens=False).ids and 2 * small.held_bytes <= 2000 and len(small.words) + len(small.old_words) < 20
 
 
 def check_pieces(rows, docs, code):
