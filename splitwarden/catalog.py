@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import severity_rank
+from .functions import embedding_id, run_stamp, seed_id, severity_rank, split_id
 from .operators import alignment, cleaning, fragility, identity, leakage, metrics, splits
 from .operators.similarity import knn, knn_vote, pairs_above
 from .plans import compile as plans
@@ -207,6 +207,16 @@ _filter_query("filter_regex", [("p_name", "regex", "^(small|red) .*t$")], "regex
 _filter_query("filter_exists", [("p_brand", "exists", True)], "p_brand is not null")
 
 
+@query(
+    "select event_id, event_type || '__random__seed_' || cast(user_id as varchar) as split, event_type || '_seed_' || cast(user_id as varchar) as seed_dir, "
+    "'embedding_esm2_t6_mean_last_bs' || cast(user_id as varchar) || '_cpu_fp32' as embedding, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp from events"
+)
+def composed_ids(spark, d):
+    kind, n = F.col("event_type"), F.col("user_id")
+    ids = [split_id(kind, F.lit("random"), n).alias("split"), seed_id(kind, n).alias("seed_dir"), embedding_id(F.lit("org/esm2-t6"), F.lit("mean"), n, F.lit("cpu"), F.lit("fp32")).alias("embedding")]
+    return table(spark, d, "events").select("event_id", *ids, run_stamp(F.col("ts")).alias("stamp"))
+
+
 # ---- joins ----
 
 

@@ -37,6 +37,26 @@ def short_model_name(name: Column) -> Column:
     return F.translate(F.element_at(F.split(name, "/"), -1), "-", "_")
 
 
+def split_id(dataset: Column, strategy: Column, seed: Column) -> Column:
+    """<dataset>__<strategy>__seed_<n>"""
+    return F.concat_ws("__", dataset, strategy, F.concat(F.lit("seed_"), seed.cast("string")))
+
+
+def seed_id(strategy: Column, seed: Column) -> Column:
+    """<strategy>_seed_<n>"""
+    return F.concat(strategy, F.lit("_seed_"), seed.cast("string"))
+
+
+def embedding_id(model: Column, pooling: Column, batch: Column, device: Column, precision: Column) -> Column:
+    """embedding_<model>_<pooling>_last_bs<batch>_<device>_<precision>"""
+    return F.concat_ws("_", F.lit("embedding"), short_model_name(model), pooling, F.lit("last"), F.concat(F.lit("bs"), batch.cast("string")), device, precision)
+
+
+def run_stamp(moment: Column) -> Column:
+    """20240131T235959Z of a timestamp in a session on UTC; stamps sort as their moments do."""
+    return F.date_format(moment, "yyyyMMdd'T'HHmmss'Z'")
+
+
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "ERROR", 0).when(severity == "WARNING", 1).when(severity == "INFO", 2).otherwise(9)
 
