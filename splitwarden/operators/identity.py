@@ -19,19 +19,21 @@ def most_edits(longer: Column, threshold: float) -> Column:
     return F.floor((1 - threshold) * longer + 1e-9)
 
 
-def _edits_with_any(n, threshold: float):
-    """The most edits between a sequence of length n and any partner of that identity, which has at most n / threshold characters."""
-    return (1 - threshold) * n / threshold + 1e-9
+def _edits_with_any(n, threshold: float, longest: int, least=min):
+    """The most edits between a sequence of length n and any partner of that identity, which has at most n / threshold characters and no
+    more than the ``longest`` sequence."""
+    return (1 - threshold) * least(n / threshold, longest) + 1e-9
 
 
-def _prefix_tokens(sequences: DataFrame, q: int, threshold: float) -> DataFrame:
+def _prefix_tokens(sequences: DataFrame, q: int, threshold: float, longest: int) -> DataFrame:
     """(rep, n, q, gram, k): the rarest q * edits + 1 of each sequence's q-grams; the k-th occurrence of a gram is a token of its own."""
     grams = sequences.where(F.length("seq") >= q).select("rep", F.length("seq").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - q + 1), lambda i: F.substring(F.col("seq"), i, F.lit(q)))).alias("gram"))
     grams = grams.groupBy("rep", "n", "gram").agg(F.count("*").cast("int").alias("times"))
     tokens = grams.select("rep", "n", "gram", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
     frequency = tokens.groupBy("gram", "k").agg(F.count("*").alias("df"))
+    edits = _edits_with_any(F.col("n"), threshold, longest, lambda x, y: F.least(x, F.lit(float(y))))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "gram", "k"))
-    chosen = tokens.join(frequency, ["gram", "k"]).withColumn("place", place).where(F.col("place") <= q * F.floor(_edits_with_any(F.col("n"), threshold)) + 1)
+    chosen = tokens.join(frequency, ["gram", "k"]).withColumn("place", place).where(F.col("place") <= q * F.floor(edits) + 1)
     return chosen.where("df > 1").select("rep", "n", F.lit(q).alias("q"), "gram", "k")
 
 
@@ -39,18 +41,23 @@ def similar_pairs(sequences: DataFrame, threshold: float) -> DataFrame:
     """(a, b, identity) of all pairs a < b of the distinct sequences (rep, seq) whose identity is at least ``threshold``.
 
     d edits destroy at most q * d of a sequence's q-grams, so among the q * d + 1 rarest of either sequence one is among those of the other.
-    q is the largest (up to 5) for which long sequences have that many. Shorter ones, and all that could be their
-    partners, are also indexed by single characters, where the filter holds for any length. This needs a threshold above 0.5.
+    q is chosen by the mean length, so that these are a quarter of all grams at most (the frequent ones are then rarely among them). Sequences
+    too short to have that many, and all that could be their partners, are also indexed by single characters, where the filter holds
+    for any length. This needs a threshold above 0.5.
     """
     if not 0.5 < threshold <= 1:
         raise NotImplementedError("sequence identity of 0.5 or less needs an aligner with a seed index")
     if threshold == 1:
         return sequences.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("identity")).limit(0)
-    q = max(1, min(5, math.ceil(threshold / (1 - threshold) - 1e-9) - 1))
-    tokens = _prefix_tokens(sequences, q, threshold)
+    mean, longest = (x or 1 for x in sequences.agg(F.avg(F.length("seq")), F.max(F.length("seq"))).first())
+    most = min(5, math.ceil(threshold / (1 - threshold) - 1e-9) - 1)  # beyond it, no sequence has that many
+    share = lambda n: (n * math.floor(_edits_with_any(mean, threshold, longest)) + 1) / max(1.0, mean - n + 1)
+    q = max([n for n in range(1, most + 1) if share(n) <= 0.25], default=1)
+    q = max(q, min(2, most))
+    tokens = _prefix_tokens(sequences, q, threshold, longest)
     if q > 1:
-        short = max((n for n in range(1, 5000) if n - q + 1 < q * math.floor(_edits_with_any(n, threshold)) + 1), default=0)
-        tokens = tokens.unionByName(_prefix_tokens(sequences.where(F.length("seq") <= short / threshold), 1, threshold))
+        short = max((n for n in range(1, 5000) if n - q + 1 < q * math.floor(_edits_with_any(n, threshold, longest)) + 1), default=0)
+        tokens = tokens.unionByName(_prefix_tokens(sequences.where(F.length("seq") <= short / threshold), 1, threshold, longest))
     tokens = materialise(tokens, "tokens")
     left, right = (tokens.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), "q", "gram", "k") for side in "ab")
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
