@@ -33,7 +33,9 @@ def calibrate(val: DataFrame, scored: DataFrame, method: str = "platt") -> DataF
         return scored.withColumn("y_prob", 1 / (1 + F.exp(-_logit(F.col("y_prob")) / temperature(val))))
     if method == "platt":
         with_z = lambda df: df.withColumn("__z", array_to_vector(F.array(_logit(F.col("y_prob")))))
-        model = LogisticRegression(featuresCol="__z", labelCol="__y", predictionCol="__p", rawPredictionCol="__r", probabilityCol="__q").fit(with_z(val).withColumn("__y", F.col("y_true").cast("double")))
+        model = LogisticRegression(
+            featuresCol="__z", labelCol="__y", predictionCol="__p", rawPredictionCol="__r", probabilityCol="__q"
+        ).fit(with_z(val).withColumn("__y", F.col("y_true").cast("double")))
         return model.transform(with_z(scored)).withColumn("y_prob", vector_to_array("__q")[1]).drop("__z", "__p", "__r", "__q")
     if method == "isotonic":
         model = IsotonicRegression(featuresCol="y_prob", labelCol="__y", predictionCol="__p").fit(val.withColumn("__y", F.col("y_true").cast("double")))

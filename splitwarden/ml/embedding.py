@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 def kmer(df: DataFrame, sequence: str, spec=None, k: int = 3, dims: int = 256) -> DataFrame:
     """Hashed k-mer counts, normalised: needs no model, and is the same everywhere."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(sequence) - k + 1, F.lit(1))), lambda i: F.substring(F.col(sequence), i, F.lit(k)))
-    counted = HashingTF(inputCol="__grams", outputCol="__counts", numFeatures=dims).transform(df.withColumn("__grams", F.coalesce(grams, F.array().cast("array<string>"))))
+    counted = HashingTF(inputCol="__grams", outputCol="__counts", numFeatures=dims).transform(
+        df.withColumn("__grams", F.coalesce(grams, F.array().cast("array<string>")))
+    )
     unit = Normalizer(inputCol="__counts", outputCol="__unit", p=2.0).transform(counted)
     return unit.withColumn("embedding", vector_to_array("__unit", "float32")).drop("__grams", "__counts", "__unit")
 
@@ -22,7 +24,9 @@ def kmer(df: DataFrame, sequence: str, spec=None, k: int = 3, dims: int = 256) -
 PROVIDERS: dict[str, Callable] = {"kmer": kmer}
 
 
-def pool(tokens: DataFrame, id_col: str, position: str, vector: str, method: str = "mean", weight: str | None = None, max_length: int | None = None) -> DataFrame:
+def pool(
+    tokens: DataFrame, id_col: str, position: str, vector: str, method: str = "mean", weight: str | None = None, max_length: int | None = None
+) -> DataFrame:
     """(id, embedding) of a table with one row for each token: mean or sum of its vectors, the first one (cls), or their mean by the
     ``weight`` column (attention). Tokens from position ``max_length`` on are cut off. Sums are partial in each task."""
     rows = tokens if max_length is None else tokens.where(F.col(position) < max_length)

@@ -121,11 +121,20 @@ def estimator(
         if kernel not in ("rbf", "linear"):
             raise NotImplementedError(f"kernel {kernel}; there are rbf and linear")
         mapped = [FourierFeatures(gamma=0.0 if gamma == "scale" else float(gamma), seed=seed)] if kernel == "rbf" else []
-        machine = LinearSVC(featuresCol="fourier" if mapped else "scaled", labelCol="label", regParam=1 / (C * rows), maxIter=100, rawPredictionCol="margin", predictionCol="side", **weight)
+        machine = LinearSVC(
+            featuresCol="fourier" if mapped else "scaled", labelCol="label", regParam=1 / (C * rows), maxIter=100, rawPredictionCol="margin",
+            predictionCol="side", **weight
+        )
         return Pipeline(stages=[scale, *mapped, machine, LogisticRegression(featuresCol="margin", labelCol="label")])
     if model == "rf":
         least = max(min_samples_leaf, -(-min_samples_split // 2))
-        return Pipeline(stages=[RandomForestClassifier(labelCol="label", numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=least, seed=seed, **weight)])
+        return Pipeline(
+            stages=[
+                RandomForestClassifier(
+                    labelCol="label", numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=least, seed=seed, **weight
+                )
+            ]
+        )
     if model == "knn":
         return Neighbours(n_neighbors, weights, p)
     raise NotImplementedError(f"no model {model}; there are {', '.join(GRIDS)}")
@@ -182,7 +191,9 @@ def fit_best(df: DataFrame, model: str, candidates: list[dict] | None = None, se
     both = df.where("partition in ('train', 'val')")
     final = estimator(model, both.count(), seed, **best["params"] | more).fit(both)
     predictions = predict(final, df)
-    return best | {"model": final, "predictions": predictions, "metrics": {r.partition: {m: r[m] for m in METRICS} for r in evaluate(predictions, ["partition"]).collect()}}
+    return best | {
+        "model": final, "predictions": predictions, "metrics": {r.partition: {m: r[m] for m in METRICS} for r in evaluate(predictions, ["partition"]).collect()}
+    }
 
 
 def clusters(df: DataFrame, k: int = 200, seed: int = 0, normalise: bool = True) -> DataFrame:

@@ -29,7 +29,10 @@ def alignment(a: DataFrame, b: DataFrame, position: str, sequence: str) -> DataF
     left = a.select(F.col(position).alias("pos"), F.col(sequence).alias("sa"), F.lit(1).alias("in_a"))
     right = b.select(F.col(position).alias("pos"), F.col(sequence).alias("sb"), F.lit(1).alias("in_b"))
     both = left.join(right, "pos", "full_outer")
-    out = both.agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"), F.count(F.when((F.col("in_a") == 1) & (F.col("in_b") == 1) & F.col("sa").eqNullSafe(F.col("sb")), 1)).alias("n_equal"))
+    out = both.agg(
+        F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b"),
+        F.count(F.when((F.col("in_a") == 1) & (F.col("in_b") == 1) & F.col("sa").eqNullSafe(F.col("sb")), 1)).alias("n_equal")
+    )
     aligned = (F.col("n_a") == F.col("n_b")) & (F.col("n_a") == F.col("n_equal"))
     return out.withColumn("method", F.when(aligned, "order").otherwise("lookup"))
 

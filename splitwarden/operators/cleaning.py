@@ -27,7 +27,10 @@ def binary_label(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
     if strict:
         out = out.withColumn(column, F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{column} has a value that is no number"))).otherwise(F.col(column)))
     out = out.where(F.col(column).isNotNull())
-    return out.withColumn(column, F.when(F.col(column).isin(0.0, 1.0), F.col(column).cast("int")).otherwise(F.raise_error(F.lit(f"{column} has a value other than 0 and 1")).cast("int")))
+    return out.withColumn(
+        column,
+        F.when(F.col(column).isin(0.0, 1.0), F.col(column).cast("int")).otherwise(F.raise_error(F.lit(f"{column} has a value other than 0 and 1")).cast("int"))
+    )
 
 
 def dedup_first(df: DataFrame, key: list[str], order: list, last: bool = False) -> DataFrame:

@@ -19,7 +19,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     next one is written. The number of rounds grows with the logarithm of the largest component. Edges with a null end are left
     out. Joins with a hub's minimum are plain equi-joins, which adaptive execution splits where a hub is skewed.
     """
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
+    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
+    ).distinct()
     edges = materialise(edges, "edges")
     before = _signature(edges)
     if before[0] == 0:

@@ -10,7 +10,9 @@ from ..functions import finite, safe_ratio
 
 def metric_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """mean, sample std, min and max of each metric."""
-    return df.groupBy(*keys).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    return df.groupBy(*keys).agg(
+        *[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    )
 
 
 def fragility_stats(df: DataFrame, keys: list[str], metric: str) -> DataFrame:

@@ -27,7 +27,10 @@ def _edits_with_any(n, threshold: float, longest: int, least=min):
 
 def _prefix_tokens(sequences: DataFrame, q: int, threshold: float, longest: int) -> DataFrame:
     """(rep, n, q, gram, k): the rarest q * edits + 1 of each sequence's q-grams; the k-th occurrence of a gram is a token of its own."""
-    grams = sequences.where(F.length("seq") >= q).select("rep", F.length("seq").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - q + 1), lambda i: F.substring(F.col("seq"), i, F.lit(q)))).alias("gram"))
+    grams = sequences.where(F.length("seq") >= q).select(
+        "rep", F.length("seq").alias("n"),
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - q + 1), lambda i: F.substring(F.col("seq"), i, F.lit(q)))).alias("gram")
+    )
     grams = grams.groupBy("rep", "n", "gram").agg(F.count("*").cast("int").alias("times"))
     tokens = grams.select("rep", "n", "gram", F.explode(F.sequence(F.lit(1), "times")).alias("k"))
     frequency = tokens.groupBy("gram", "k").agg(F.count("*").alias("df"))
@@ -62,7 +65,9 @@ def similar_pairs(sequences: DataFrame, threshold: float) -> DataFrame:
     left, right = (tokens.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), "q", "gram", "k") for side in "ab")
     fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
     found = left.join(right, ["q", "gram", "k"]).where(fits).select("a", "b").distinct()
-    found = found.join(sequences.select(F.col("rep").alias("a"), F.col("seq").alias("sa")), "a").join(sequences.select(F.col("rep").alias("b"), F.col("seq").alias("sb")), "b")
+    found = found.join(
+        sequences.select(F.col("rep").alias("a"), F.col("seq").alias("sa")), "a"
+    ).join(sequences.select(F.col("rep").alias("b"), F.col("seq").alias("sb")), "b")
     longer = F.greatest(F.length("sa"), F.length("sb"))
     found = found.withColumn("edits", F.levenshtein("sa", "sb")).where(F.col("edits") <= most_edits(longer, threshold))
     return found.select("a", "b", (1 - F.col("edits") / longer).alias("identity"))
@@ -86,10 +91,15 @@ def similar_sequences(parts: DataFrame, id_col: str, sequence: str, threshold: f
     parts hold is a pair with itself. Copies of a sequence count once."""
     flags = [F.max((F.col("partition") == p).cast("int")).alias(p) for p in ("train", "val", "test")]
     sequences = materialise(distinct_sequences(parts, id_col, sequence, *flags), "sequences")
-    pairs = similar_pairs(sequences.select("rep", "seq"), threshold).unionByName(sequences.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("identity")))
+    pairs = similar_pairs(sequences.select("rep", "seq"), threshold).unionByName(
+        sequences.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("identity"))
+    )
     held = lambda side: sequences.select(F.col("rep").alias(side), *[F.col(p).alias(f"{p}_{side}") for p in ("train", "val", "test")])
     pairs = pairs.join(held("a"), "a").join(held("b"), "b")
     across = lambda x, y: (F.col(f"{x}_a") * F.col(f"{y}_b") + F.col(f"{y}_a") * F.col(f"{x}_b")) > 0
     found = pairs.agg(*[f(F.when(across(x, y), F.col("identity"))).alias(f"{n}|{x}|{y}") for x, y in PAIRS[scope] for n, f in (("n", F.count), ("m", F.max))])
-    rows = [F.struct(F.lit(x).alias("part_a"), F.lit(y).alias("part_b"), F.col(f"`n|{x}|{y}`").alias("n_pairs"), F.col(f"`m|{x}|{y}`").alias("max_identity")) for x, y in PAIRS[scope]]
+    rows = [
+        F.struct(F.lit(x).alias("part_a"), F.lit(y).alias("part_b"), F.col(f"`n|{x}|{y}`").alias("n_pairs"), F.col(f"`m|{x}|{y}`").alias("max_identity")) for x,
+        y in PAIRS[scope]
+    ]
     return found.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

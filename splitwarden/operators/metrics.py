@@ -42,7 +42,10 @@ def score_steps(df: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame
     slices = steps.groupBy(*keys, "slice").agg(F.sum("n").alias("sn"), F.sum("p").alias("sp"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     above = group.orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("slice").alias("k_slice"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("an"), F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("ap"), F.sum("sn").over(group).alias("total"), F.sum("sp").over(group).alias("pos"))
+    slices = slices.select(
+        *[F.col(k).alias(f"k_{k}") for k in keys], F.col("slice").alias("k_slice"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("an"),
+        F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("ap"), F.sum("sn").over(group).alias("total"), F.sum("sp").over(group).alias("pos")
+    )
     match = F.col("slice") == F.col("k_slice")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"k_{k}"))
@@ -55,7 +58,9 @@ def auroc(df: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve, ties count half; null where a class is absent."""
     s = score_steps(df, keys)
     area = F.sum((F.col("n") - F.col("p")) * (F.col("cp") - F.col("p") + F.col("p") / 2.0))
-    return s.groupBy(*keys).agg(area.alias("area"), F.max("pos").alias("pos"), F.max("total").alias("total")).select(*keys, F.try_divide(F.col("area"), (F.col("pos") * (F.col("total") - F.col("pos"))).cast("double")).alias("auroc"))
+    return s.groupBy(*keys).agg(area.alias("area"), F.max("pos").alias("pos"), F.max("total").alias("total")).select(
+        *keys, F.try_divide(F.col("area"), (F.col("pos") * (F.col("total") - F.col("pos"))).cast("double")).alias("auroc")
+    )
 
 
 def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +73,9 @@ def calibration_curve(df: DataFrame, keys: list[str], bins: int = 10) -> DataFra
     """Rows, mean score and share of positives of each non-empty bin; a score on an inner edge belongs to the bin below it."""
     edges = [i * (1.0 / bins) for i in range(1, bins)]
     bin_ = sum((F.when(F.col("y_prob") > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    return df.withColumn("bin", bin_.cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("y_prob").alias("mean_predicted"), F.avg(F.col("y_true").cast("double")).alias("fraction_positive"))
+    return df.withColumn("bin", bin_.cast("int")).groupBy(*keys, "bin").agg(
+        F.count("*").alias("n"), F.avg("y_prob").alias("mean_predicted"), F.avg(F.col("y_true").cast("double")).alias("fraction_positive")
+    )
 
 
 def errors(df: DataFrame) -> DataFrame:
@@ -82,16 +89,25 @@ def error_jaccard(df: DataFrame, seed: str, id_col: str, seeds: DataFrame) -> Da
     the pairs are few.
     """
     wrong = errors(df).select(F.col(seed).alias("s"), F.col(id_col).alias("i")).distinct()
-    sizes = seeds.select(F.col(seed).alias("s")).distinct().join(wrong.groupBy("s").agg(F.count("*").alias("n")), "s", "left").select("s", F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = seeds.select(F.col(seed).alias("s")).distinct().join(
+        wrong.groupBy("s").agg(F.count("*").alias("n")), "s", "left"
+    ).select("s", F.coalesce("n", F.lit(0)).alias("n"))
     lists = wrong.groupBy("i").agg(F.array_sort(F.collect_list("s")).alias("held"))
-    both = lists.select("held", F.explode("held").alias("seed_a")).select("seed_a", F.explode("held").alias("seed_b")).groupBy("seed_a", "seed_b").agg(F.count("*").alias("shared"))
+    both = lists.select("held", F.explode("held").alias("seed_a")).select(
+        "seed_a", F.explode("held").alias("seed_b")
+    ).groupBy("seed_a", "seed_b").agg(F.count("*").alias("shared"))
     grid = sizes.select(F.col("s").alias("seed_a"), F.col("n").alias("na")).crossJoin(sizes.select(F.col("s").alias("seed_b"), F.col("n").alias("nb")))
     out = grid.join(both, ["seed_a", "seed_b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     union = F.col("na") + F.col("nb") - F.col("shared")
-    return out.select("seed_a", "seed_b", F.when(union == 0, 1.0).otherwise(F.try_divide(F.col("shared").cast("double"), union.cast("double"))).alias("jaccard"))
+    return out.select(
+        "seed_a", "seed_b", F.when(union == 0, 1.0).otherwise(F.try_divide(F.col("shared").cast("double"), union.cast("double"))).alias("jaccard")
+    )
 
 
 def regression_metrics(df: DataFrame, keys: list[str], truth: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     """rmse, mae and r2 (null where the truth is constant)."""
     t, p = F.col(truth).cast("double"), F.col(predicted).cast("double")
-    return df.groupBy(*keys).agg(F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"), (1 - F.try_divide(F.sum((t - p) * (t - p)), F.var_pop(t) * F.count(t))).alias("r2"))
+    return df.groupBy(*keys).agg(
+        F.sqrt(F.avg((t - p) * (t - p))).alias("rmse"), F.avg(F.abs(t - p)).alias("mae"),
+        (1 - F.try_divide(F.sum((t - p) * (t - p)), F.var_pop(t) * F.count(t))).alias("r2")
+    )

@@ -25,7 +25,9 @@ def sums_before(df: DataFrame, by: list[str], bucket: Column, order: list, value
         match = match & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     within = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("__local", F.coalesce(F.sum("__value").over(within), F.lit(0))).join(renamed, match)
-    return out.withColumn("__before", F.col("__offset") + F.col("__local")).drop("__local", "__offset", "__value", "__bucket", "__by_bucket", *[f"__by_{c}" for c in by])
+    return out.withColumn("__before", F.col("__offset") + F.col("__local")).drop(
+        "__local", "__offset", "__value", "__bucket", "__by_bucket", *[f"__by_{c}" for c in by]
+    )
 
 
 def rank_in_buckets(df: DataFrame, by: list[str], bucket: Column, order: list) -> DataFrame:
@@ -47,7 +49,9 @@ def range_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
     if kind in ("string", "binary"):
         n = df.agg(F.approx_count_distinct(column)).first()[0]
         share = max(1, n // (16 * buckets))
-        sample = [r[0] for r in df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(share)) == 0)).distinct().sort(column).collect()]
+        sample = [
+            r[0] for r in df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(share)) == 0)).distinct().sort(column).collect()
+        ]
         cuts = sample[:: max(1, len(sample) // buckets)]
     else:
         cuts = sorted(set(df.agg(F.percentile_approx(column, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("q")).first()["q"] or []))

@@ -27,7 +27,10 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "manhattan" else np.sqrt(out)
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", rows_per_block: int = 2048, digits: int = 9, metric: str = "cosine", leave_out: bool = True) -> DataFrame:
+def knn(
+    queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", rows_per_block: int = 2048, digits: int = 9,
+    metric: str = "cosine", leave_out: bool = True
+) -> DataFrame:
     """(a, b, distance, rank): the k rows of ``base`` nearest to each row of ``queries``, itself left out (with ``leave_out``).
 
     ``metric`` is cosine, euclidean or manhattan. Distances are rounded to ``digits``, and ties go to the smaller id. Each pair of
@@ -38,8 +41,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector:
     blocks = max(1, -(-n_base // rows_per_block))
     parts = max(1, -(-n_queries // rows_per_block))
     unit = (unit_vector(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))).alias("v")
-    left = queries.select(F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bb"))
-    right = base.select(F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("qb"))
+    left = queries.select(
+        F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bb")
+    )
+    right = base.select(
+        F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("bb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("qb")
+    )
 
     def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
         names = ["a", "b", "distance"]
@@ -60,7 +69,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", part: str | None = None, rows_per_block: int = 2048, digits: int = 9) -> DataFrame:
+def pairs_above(
+    vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", part: str | None = None, rows_per_block: int = 2048, digits: int = 9
+) -> DataFrame:
     """(a, b, similarity): all pairs a < b with a cosine similarity (rounded to ``digits``) of at least ``threshold``, of different parts if
     ``part`` names a column.
 
@@ -70,7 +81,9 @@ def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "id", vector
     similarity to any other is 0; null vectors are left out. The driver sees one count for each band, of which there are at most 315.
     """
     theta = max(0.01, math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector)).alias("v"), (F.col(part) if part else F.lit(None)).cast("string").alias("part")).where("v is not null")
+    rows = vectors.select(
+        F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector)).alias("v"), (F.col(part) if part else F.lit(None)).cast("string").alias("part")
+    ).where("v is not null")
     first = rows.orderBy("id").limit(1).first()
     pivot = F.array(*[F.lit(x) for x in (first["v"] if first else [0.0])])
     dot = F.aggregate(F.zip_with("v", pivot, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -51,7 +51,9 @@ def greedy_clusters(df: DataFrame, cluster: str, seed: int = 42, test: float = 0
     sizes = df.groupBy(cluster).agg(F.count("*").alias("size")).withColumn("__key", shuffle_key(F.col(cluster), seed))
     order = [F.col("__key"), F.col(cluster)]
     rows = sums_before(sizes, [], key_bucket(), order, F.col("size"))
-    rows = rows.withColumn("__is_test", F.col("__before") < F.bround(F.lit(test) * F.col("__n"))).withColumn("__val", F.bround(F.lit(val) * F.col("__n"))).drop("__before", "__n")
+    rows = rows.withColumn(
+        "__is_test", F.col("__before") < F.bround(F.lit(test) * F.col("__n"))
+    ).withColumn("__val", F.bround(F.lit(val) * F.col("__n"))).drop("__before", "__n")
     rows = sums_before(rows, ["__is_test"], key_bucket(), order, F.col("size"))
     part = F.when(F.col("__is_test"), "test").when(F.col("__before") < F.col("__val"), "val").otherwise("train")
     return rows.select(cluster, "size", part.alias("partition"))
@@ -116,7 +118,9 @@ def fractions(df: DataFrame, key: str = "partition") -> DataFrame:
 def integrity(df: DataFrame, id_col: str, reference: DataFrame) -> DataFrame:
     """One row: totals, and whether the parts hold each id of the reference exactly once."""
     split = df.agg(F.count("*").alias("n_rows"), F.countDistinct(id_col).alias("n_ids"))
-    both = df.select(id_col).distinct().withColumn("__in", F.lit(1)).join(reference.select(id_col).distinct().withColumn("__ref", F.lit(1)), id_col, "full_outer")
+    both = df.select(id_col).distinct().withColumn("__in", F.lit(1)).join(
+        reference.select(id_col).distinct().withColumn("__ref", F.lit(1)), id_col, "full_outer"
+    )
     gaps = both.agg(F.count(F.when(F.col("__in").isNull(), 1)).alias("n_missing"), F.count(F.when(F.col("__ref").isNull(), 1)).alias("n_unknown"))
     out = split.crossJoin(gaps)  # one row each
     return out.withColumn("ok", (F.col("n_rows") == F.col("n_ids")) & (F.col("n_missing") == 0) & (F.col("n_unknown") == 0))

@@ -19,7 +19,10 @@ from ..spec.schema import Spec
 
 #: name -> callable(df, spec) for whatever has no built-in plan, such as 'split:custom' or 'redundancy:custom'.
 CUSTOM: dict[str, Callable] = {}
-CUT = {"eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "le": lambda c, v: c <= v, "gt": lambda c, v: c > v, "ge": lambda c, v: c >= v}
+CUT = {
+    "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "le": lambda c, v: c <= v, "gt": lambda c, v: c > v, "ge": lambda c,
+    v: c >= v
+}
 
 
 def virtual_fields(sequence_field: str) -> dict[str, Column]:
@@ -107,7 +110,9 @@ def cluster_column(df: DataFrame, measure: Spec, id_col: str, sequence: str | No
     return None
 
 
-def compile_split(df: DataFrame, split: Spec, id_col: str, cluster_col: str | None = None, sequence: str | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def compile_split(
+    df: DataFrame, split: Spec, id_col: str, cluster_col: str | None = None, sequence: str | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
     """``df`` with ``partition``."""
     r = (split.ratios.train, split.ratios.val, split.ratios.test)
     if split.protocol == "random":
@@ -139,7 +144,9 @@ def compile_checks(parts: DataFrame, split: Spec, id_col: str, sequence: str, ve
         elif check.type == "embedding_similarity" and vectors is not None:
             ids = parts.select(F.col(id_col).alias("id"), "partition")
             pairs = similarity.pairs_above(vectors.join(ids, "id"), check.threshold, part="partition")
-            found = leakage.similar_embeddings(pairs, parts, id_col, check.threshold, check.scope).select("part_a", "part_b", F.col("n_pairs").alias("n_shared"))
+            found = leakage.similar_embeddings(pairs, parts, id_col, check.threshold, check.scope).select(
+                "part_a", "part_b", F.col("n_pairs").alias("n_shared")
+            )
         else:
             found = _custom(f"check:{check.type}", parts, check)
         found = found.select(F.lit(k).alias("check"), F.lit(check.type).alias("type"), "part_a", "part_b", F.col("n_shared").cast("long"))

@@ -18,7 +18,10 @@ from ..operators import metrics, splits
 from ..spec.schema import Spec
 from .compile import CUSTOM
 
-CLASSIFICATION = {"accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "f1": "f1", "mcc": "mcc", "auroc": "auroc", "roc_auc": "auroc", "auprc": "auprc", "pr_auc": "auprc"}
+CLASSIFICATION = {
+    "accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "f1": "f1", "mcc": "mcc", "auroc": "auroc", "roc_auc": "auroc", "auprc": "auprc",
+    "pr_auc": "auprc"
+}
 REGRESSION = {"rmse": "rmse", "mae": "mae", "r2": "r2"}
 
 
@@ -48,11 +51,15 @@ def boosted(kind, n_estimators: int = 50, max_depth: int = 5, learning_rate: flo
 def network(dims: int, hidden: tuple = (32,), max_iter: int = 100, seed: int = 42) -> Pipeline:
     """A perceptron with hidden layers, on scaled features, for two classes."""
     scale = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="scaled")
-    return Pipeline(stages=[scale, MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[dims, *hidden, 2], maxIter=max_iter, seed=seed)])
+    return Pipeline(
+        stages=[scale, MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="label", layers=[dims, *hidden, 2], maxIter=max_iter, seed=seed)]
+    )
 
 
 def forest(n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, seed: int = 42) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol="label", numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_samples_leaf, seed=seed)
+    return RandomForestRegressor(
+        labelCol="label", numTrees=n_estimators, maxDepth=30 if max_depth is None else max_depth, minInstancesPerNode=min_samples_leaf, seed=seed
+    )
 
 
 def linear(alpha: float = 0.0, l1_ratio: float = 0.0, seed: int = 42) -> LinearRegression:
@@ -139,7 +146,9 @@ def run_train(df: DataFrame, spec: Spec, id_col: str = "id", time: str | None =
     predictions = _predict(spec, fitted, df)
     if spec.calibration and spec.calibration.enabled:
         val = predictions.where("partition = 'val'").select("y_true", "y_prob")
-        calibrated = CUSTOM["calibration:custom"](val, predictions) if spec.calibration.method == "custom" else calibrate(val, predictions, spec.calibration.method)
+        calibrated = CUSTOM["calibration:custom"](val, predictions) if spec.calibration.method == "custom" else calibrate(
+            val, predictions, spec.calibration.method
+        )
         predictions = metrics.threshold(calibrated)
     found = {} if spec.task == "unsupervised" else {r["partition"]: {m: r[m] for m in spec.metrics} for r in score(spec, predictions, ["partition"]).collect()}
     folds = None

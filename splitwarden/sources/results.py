@@ -80,7 +80,10 @@ def write_metrics(spark: SparkSession, folder: str, metrics: dict, overwrite: bo
 def write_predictions(predictions: DataFrame, folder: str, index: str, sequence: str, threshold: float = 0.5, mode: str = "ignore") -> str:
     """Parquet (dataset_index, sequence, y_true, y_prob, y_pred) in a folder for each part, if there are parts."""
     rows = predictions.withColumn("y_pred", (F.col("y_prob") >= threshold).cast("int"))
-    kept = [F.col(index).cast("long").alias("dataset_index"), F.col(sequence).cast("string").alias("sequence"), F.col("y_true").cast("int"), F.col("y_prob").cast("double"), "y_pred"]
+    kept = [
+        F.col(index).cast("long").alias("dataset_index"), F.col(sequence).cast("string").alias("sequence"), F.col("y_true").cast("int"),
+        F.col("y_prob").cast("double"), "y_pred"
+    ]
     writer = rows.select(*kept, *(["partition"] if "partition" in rows.columns else [])).write.mode(mode)
     (writer.partitionBy("partition") if "partition" in rows.columns else writer).parquet(f"{folder}/predictions")
     return f"{folder}/predictions"

@@ -51,7 +51,9 @@ def pick_path(spark: SparkSession, folder: str, name: str) -> str:
 def read_metrics(spark: SparkSession, pattern: str) -> DataFrame:
     """One JSON document for each run: <partition>/seed_<n>/<algorithm>/metrics.json with train, val and test metrics."""
     metrics = "struct<accuracy:double,balanced_accuracy:double,f1:double,mcc:double,auroc:double,auprc:double>"
-    rows = spark.read.schema(f"train {metrics}, val {metrics}, test {metrics}").option("multiLine", True).json(pattern).withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.schema(
+        f"train {metrics}, val {metrics}, test {metrics}"
+    ).option("multiLine", True).json(pattern).withColumn("path", F.col("_metadata.file_path"))
     part = F.split("path", "/")
     return rows.select(
         F.element_at(part, -4).alias("folder"), F.regexp_extract("path", r"seed_(\d+)", 1).cast("int").alias("seed"), F.element_at(part, -2).alias("algorithm"),
@@ -61,7 +63,9 @@ def read_metrics(spark: SparkSession, pattern: str) -> DataFrame:
 
 def classify_partition(folder) -> tuple:
     """(partition, k) of a folder name: cluster-aware folders end in k<clusters>."""
-    kind = F.when(F.instr(folder, "cluster") > 0, "Cluster aware").when(F.instr(folder, "stratified") > 0, "Stratified").when(F.instr(folder, "random") > 0, "Random").otherwise(folder)
+    kind = F.when(
+        F.instr(folder, "cluster") > 0, "Cluster aware"
+    ).when(F.instr(folder, "stratified") > 0, "Stratified").when(F.instr(folder, "random") > 0, "Random").otherwise(folder)
     k = F.when(F.instr(folder, "cluster") > 0, F.regexp_extract(folder, r"k(\d+)$", 1).try_cast("int"))
     return kind, k
 

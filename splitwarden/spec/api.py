@@ -52,7 +52,10 @@ def register_run(specs: dict[str, Spec], record: Record, registry, artifact_mode
     return registry.put_all(specs, record, artifact_mode, overwrite)
 
 
-def run_pack(directory, registry, strict: bool = True, salt: str | None = None, artifacts: list | None = None, artifact_mode: str = "reference", overwrite: bool = False, metrics: dict | None = None, notes: str | None = None, **files: str) -> dict:
+def run_pack(
+    directory, registry, strict: bool = True, salt: str | None = None, artifacts: list | None = None, artifact_mode: str = "reference", overwrite: bool = False,
+    metrics: dict | None = None, notes: str | None = None, **files: str
+) -> dict:
     """Load, check, record and register a pack: {specs, issues, record, registry_paths}."""
     specs = load_specs(directory, **files)
     issues = validate_specs(specs, strict)

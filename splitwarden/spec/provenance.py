@@ -62,7 +62,10 @@ class Record:
         out = {"run_id": self.run_id, "created_at_utc": self.created_at_utc, "format_version": self.format_version}
         for k in KINDS:
             out[f"{k}_fingerprint"], out[f"{k}_name"] = self.fingerprints[k], self.names.get(k)
-        out |= {"artifacts": [{k: v for k, v in a.items() if v is not None} for a in self.artifacts], "metrics": self.metrics, "notes": self.notes, "extra": self.extra}
+        out |= {
+            "artifacts": [{k: v for k, v in a.items() if v is not None} for a in self.artifacts], "metrics": self.metrics, "notes": self.notes,
+            "extra": self.extra
+        }
         return {k: v for k, v in out.items() if v is not None}
 
     def fingerprint(self) -> str:

@@ -81,7 +81,10 @@ class Registry:
         return {f"{a['kind']}:{a['path']}": self.put_artifact(record.run_id, a, mode, overwrite) for a in record.artifacts}
 
     def put_all(self, specs: dict[str, Spec], record: Record, artifact_mode: str = "reference", overwrite: bool = False) -> dict:
-        return {"specs": {k: self.put_spec(specs[k], overwrite)[0] for k in KINDS}, "run": self.put_run(record, overwrite)[0], "artifacts": self.put_artifacts(record, artifact_mode, overwrite)}
+        return {
+            "specs": {k: self.put_spec(specs[k], overwrite)[0] for k in KINDS}, "run": self.put_run(record, overwrite)[0],
+            "artifacts": self.put_artifacts(record, artifact_mode, overwrite)
+        }
 
 
 def put_if_absent(table: DataFrame, rows: DataFrame, key: list[str], overwrite: bool = False) -> DataFrame:

@@ -87,75 +87,222 @@ def _split_not_tighter(d, s):
 
 RULES = [
     Rule("DATASET_NO_SOURCES", "ERROR", D, when("sources", "no source is declared", lambda d: not d.sources)),
-    Rule("DATASET_SOURCE_UNVERSIONED", "WARNING", D, each(lambda d: d.sources, "sources[{i}]", "a mutable source has neither version nor identifier", lambda x: x.type in ("database", "url") and not x.version and not x.identifier)),
+    Rule(
+        "DATASET_SOURCE_UNVERSIONED", "WARNING", D,
+        each(
+            lambda d: d.sources, "sources[{i}]", "a mutable source has neither version nor identifier",
+            lambda x: x.type in ("database", "url") and not x.version and not x.identifier
+        )
+    ),
     Rule("DATASET_UNLABELED", "INFO", D, when("labels", "no label is declared", lambda d: not d.labels)),
-    Rule("DATASET_REQUIRED_META_NO_DESC", "WARNING", D, each(lambda d: d.metadata, "metadata[{i}]", "a required field has no description", lambda x: x.required and not x.description)),
+    Rule(
+        "DATASET_REQUIRED_META_NO_DESC", "WARNING", D,
+        each(lambda d: d.metadata, "metadata[{i}]", "a required field has no description", lambda x: x.required and not x.description)
+    ),
     Rule("DATASET_NO_OUTPUT", "INFO", D, when("output", "no output is declared", lambda d: d.output is None)),
     Rule("DATASET_OUTPUT_EMPTY_PATH", "ERROR", D, when("output.path", "the output path is blank", lambda d: d.output is not None and blank(d.output.path))),
-    Rule("DATASET_OUTPUT_NO_CHECKSUM", "INFO", D, when("output.checksum", "the output has no checksum", lambda d: d.output is not None and d.output.checksum is None)),
+    Rule(
+        "DATASET_OUTPUT_NO_CHECKSUM", "INFO", D,
+        when("output.checksum", "the output has no checksum", lambda d: d.output is not None and d.output.checksum is None)
+    ),
     Rule("FILTER_BETWEEN_SHAPE", "ERROR", D, on_filters("between takes [low, high]", lambda f: f.op == "between" and not pair(f.value))),
     Rule("FILTER_BETWEEN_NONE", "ERROR", D, on_filters("a bound of between is null", lambda f: f.op == "between" and pair(f.value) and None in list(f.value))),
     Rule("FILTER_IN_TYPE", "ERROR", D, on_filters("a list is expected", lambda f: f.op in ("in", "not_in") and not isinstance(f.value, (list, tuple)))),
-    Rule("FILTER_IN_EMPTY", "WARNING", D, on_filters("the list is empty", lambda f: f.op in ("in", "not_in") and isinstance(f.value, (list, tuple)) and not f.value)),
+    Rule(
+        "FILTER_IN_EMPTY", "WARNING", D,
+        on_filters("the list is empty", lambda f: f.op in ("in", "not_in") and isinstance(f.value, (list, tuple)) and not f.value)
+    ),
     Rule("FILTER_REGEX_EMPTY", "ERROR", D, on_filters("a pattern is expected", lambda f: f.op == "regex" and (not isinstance(f.value, str) or blank(f.value)))),
     Rule("FILTER_EXISTS_VALUE", "WARNING", D, on_filters("true, false or null is expected", lambda f: f.op == "exists" and f.value not in (None, True, False))),
     Rule("FILTER_NO_DESC", "INFO", D, on_filters("the filter has no description", lambda f: not f.description, "filters[{i}].description")),
     Rule("REDUNDANCY_NONE", "INFO", D, when("redundancy_control.method", "redundancy is not controlled", lambda d: d.redundancy_control.method == "none")),
-    Rule("REDUNDANCY_NO_TOOL", "INFO", D, when("redundancy_control.tool", "no tool is named", lambda d: d.redundancy_control.method in ("sequence_identity", "cluster") and d.redundancy_control.tool is None)),
-    Rule("REDUNDANCY_CUSTOM_UNSPECIFIED", "WARNING", D, when("redundancy_control", "neither tool nor parameters describe the custom method", lambda d: d.redundancy_control.method == "custom" and not d.redundancy_control.tool and not d.redundancy_control.parameters)),
+    Rule(
+        "REDUNDANCY_NO_TOOL", "INFO", D,
+        when(
+            "redundancy_control.tool", "no tool is named",
+            lambda d: d.redundancy_control.method in ("sequence_identity", "cluster") and d.redundancy_control.tool is None
+        )
+    ),
+    Rule(
+        "REDUNDANCY_CUSTOM_UNSPECIFIED", "WARNING", D,
+        when(
+            "redundancy_control", "neither tool nor parameters describe the custom method",
+            lambda d: d.redundancy_control.method == "custom" and not d.redundancy_control.tool and not d.redundancy_control.parameters
+        )
+    ),
     Rule("SPLIT_NO_SEED", "ERROR", S, when("seed", "no seed is set", lambda s: s.seed is None)),
     Rule("SPLIT_SEED_NEGATIVE", "WARNING", S, when("seed", "the seed is negative", lambda s: s.seed is not None and s.seed < 0)),
-    Rule("SPLIT_RANDOM_NO_CHECKS", "INFO", S, when("leakage_checks", "a random split without leakage checks", lambda s: s.protocol == "random" and not s.leakage_checks)),
-    Rule("SPLIT_NO_CHECKS_NONRANDOM", "ERROR", S, when("leakage_checks", "this protocol must declare leakage checks", lambda s: s.protocol != "random" and not s.leakage_checks)),
-    Rule("SPLIT_GROUP_NO_GROUP_OVERLAP_CHECK", "WARNING", S, when("leakage_checks", "no group_overlap check guards the groups", lambda s: s.protocol == "group" and s.group_field and not has_check(s, "group_overlap"))),
-    Rule("SPLIT_IDENTITY_MISSING", "ERROR", S, when("identity", "the protocol needs an identity", lambda s: s.protocol in IDENTITY_AWARE and s.identity is None)),
-    Rule("SPLIT_IDENTITY_THRESHOLD_MISSING", "ERROR", S, when("identity.threshold", "the measure needs a threshold", lambda s: s.protocol in IDENTITY_AWARE and s.identity is not None and s.identity.measure in SIMILAR and s.identity.threshold is None)),
-    Rule("SPLIT_IDENTITY_THRESHOLD_HIGH", "WARNING", S, when("identity.threshold", "a threshold of 0.8 or more lets close relatives apart", lambda s: s.protocol in IDENTITY_AWARE and s.identity is not None and s.identity.measure in SIMILAR and s.identity.threshold is not None and s.identity.threshold >= 0.8)),
-    Rule("SPLIT_TEMPORAL_NO_CHECKS", "WARNING", S, when("leakage_checks", "a temporal split without leakage checks", lambda s: s.protocol == "temporal" and not s.leakage_checks)),
+    Rule(
+        "SPLIT_RANDOM_NO_CHECKS", "INFO", S,
+        when("leakage_checks", "a random split without leakage checks", lambda s: s.protocol == "random" and not s.leakage_checks)
+    ),
+    Rule(
+        "SPLIT_NO_CHECKS_NONRANDOM", "ERROR", S,
+        when("leakage_checks", "this protocol must declare leakage checks", lambda s: s.protocol != "random" and not s.leakage_checks)
+    ),
+    Rule(
+        "SPLIT_GROUP_NO_GROUP_OVERLAP_CHECK", "WARNING", S,
+        when(
+            "leakage_checks", "no group_overlap check guards the groups",
+            lambda s: s.protocol == "group" and s.group_field and not has_check(s, "group_overlap")
+        )
+    ),
+    Rule(
+        "SPLIT_IDENTITY_MISSING", "ERROR", S, when("identity", "the protocol needs an identity", lambda s: s.protocol in IDENTITY_AWARE and s.identity is None)
+    ),
+    Rule(
+        "SPLIT_IDENTITY_THRESHOLD_MISSING", "ERROR", S,
+        when(
+            "identity.threshold", "the measure needs a threshold",
+            lambda s: s.protocol in IDENTITY_AWARE and s.identity is not None and s.identity.measure in SIMILAR and s.identity.threshold is None
+        )
+    ),
+    Rule(
+        "SPLIT_IDENTITY_THRESHOLD_HIGH", "WARNING", S,
+        when(
+            "identity.threshold", "a threshold of 0.8 or more lets close relatives apart",
+            lambda s: s.protocol in IDENTITY_AWARE and s.identity is not None and s.identity.measure in SIMILAR and s.identity.threshold is not None and s.identity.threshold >= 0.8
+        )
+    ),
+    Rule(
+        "SPLIT_TEMPORAL_NO_CHECKS", "WARNING", S,
+        when("leakage_checks", "a temporal split without leakage checks", lambda s: s.protocol == "temporal" and not s.leakage_checks)
+    ),
     Rule("SPLIT_NO_EXACT_DUP_CHECK", "INFO", S, when("leakage_checks", "exact duplicates are not checked", lambda s: not has_check(s, "exact_duplicate"))),
     Rule("SPLIT_NO_VALIDATION_SET", "INFO", S, when("ratios.val", "there is no validation part", lambda s: s.ratios.val == 0)),
     Rule("EMB_MODEL_ID_EMPTY", "ERROR", E, when("model_id", "the model is blank", lambda e: blank(e.model_id))),
     Rule("EMB_MAXLEN_INVALID", "ERROR", E, when("tokenization.max_length", "the length must be positive", lambda e: e.tokenization.max_length <= 0)),
-    Rule("EMB_PAD_MAXLEN_NO_TRUNC", "ERROR", E, when("tokenization", "padding to a length needs truncation", lambda e: e.tokenization.padding == "max_length" and not e.tokenization.truncation)),
-    Rule("EMB_CLS_NO_SPECIAL_TOKENS", "WARNING", E, when("tokenization.add_special_tokens", "cls pooling without special tokens", lambda e: e.pooling == "cls" and e.tokenization.add_special_tokens is False)),
+    Rule(
+        "EMB_PAD_MAXLEN_NO_TRUNC", "ERROR", E,
+        when("tokenization", "padding to a length needs truncation", lambda e: e.tokenization.padding == "max_length" and not e.tokenization.truncation)
+    ),
+    Rule(
+        "EMB_CLS_NO_SPECIAL_TOKENS", "WARNING", E,
+        when(
+            "tokenization.add_special_tokens", "cls pooling without special tokens", lambda e: e.pooling == "cls" and e.tokenization.add_special_tokens is False
+        )
+    ),
     Rule("EMB_CPU_LARGE_BATCH", "INFO", E, when("batch_size", "a large batch on a CPU", lambda e: e.device == "cpu" and e.batch_size >= 64)),
     Rule("EMB_NO_OUTPUT", "INFO", E, when("output", "no output is declared", lambda e: e.output is None)),
     Rule("EMB_OUTPUT_EMPTY_PATH", "ERROR", E, when("output.path", "the output path is blank", lambda e: e.output is not None and blank(e.output.path))),
-    Rule("EMB_OUTPUT_NO_CHECKSUM", "INFO", E, when("output.checksum", "the output has no checksum", lambda e: e.output is not None and e.output.checksum is None)),
+    Rule(
+        "EMB_OUTPUT_NO_CHECKSUM", "INFO", E, when("output.checksum", "the output has no checksum", lambda e: e.output is not None and e.output.checksum is None)
+    ),
     Rule("EMB_NO_DATASET_LINK", "INFO", E, when("input_dataset_fingerprint", "no dataset is linked", lambda e: e.input_dataset_fingerprint is None)),
     Rule("TRAIN_NO_SEED", "ERROR", T, when("seed", "no seed is set", lambda t: t.seed is None)),
     Rule("TRAIN_NEGATIVE_SEED", "WARNING", T, when("seed", "the seed is negative", lambda t: t.seed is not None and t.seed < 0)),
     Rule("TRAIN_UNSUP_WITH_METRICS", "INFO", T, when("metrics", "an unsupervised task with metrics", lambda t: t.task == "unsupervised" and bool(t.metrics))),
-    Rule("TRAIN_NO_RANDOM_STATE_IN_HYPERPARAMS", "INFO", T, when("hyperparams", "no random_state among the hyperparameters", lambda t: bool(t.hyperparams) and "random_state" not in t.hyperparams and t.seed is not None)),
-    Rule("TRAIN_CV_FOLDS_INVALID", "ERROR", T, when("cross_validation.folds", "two folds at least", lambda t: bool(t.cross_validation) and t.cross_validation.enabled and t.cross_validation.folds < 2)),
+    Rule(
+        "TRAIN_NO_RANDOM_STATE_IN_HYPERPARAMS", "INFO", T,
+        when(
+            "hyperparams", "no random_state among the hyperparameters",
+            lambda t: bool(t.hyperparams) and "random_state" not in t.hyperparams and t.seed is not None
+        )
+    ),
+    Rule(
+        "TRAIN_CV_FOLDS_INVALID", "ERROR", T,
+        when("cross_validation.folds", "two folds at least", lambda t: bool(t.cross_validation) and t.cross_validation.enabled and t.cross_validation.folds < 2)
+    ),
     Rule("TRAIN_NO_OUTPUT", "INFO", T, when("output", "no output is declared", lambda t: t.output is None)),
-    Rule("TRAIN_OUTPUT_NO_METRICS_PATH", "INFO", T, when("output.metrics_path", "no metrics path is declared", lambda t: t.output is not None and t.output.metrics_path is None)),
+    Rule(
+        "TRAIN_OUTPUT_NO_METRICS_PATH", "INFO", T,
+        when("output.metrics_path", "no metrics path is declared", lambda t: t.output is not None and t.output.metrics_path is None)
+    ),
     Rule("EXEC_PYTHON_VERSION_EMPTY", "ERROR", X, when("python_version", "the version is blank", lambda x: blank(x.python_version))),
     Rule("EXEC_NO_GIT_COMMIT", "INFO", X, when("git_commit", "no commit is declared", lambda x: x.git_commit is None)),
     Rule("EXEC_DEPS_REF_EMPTY", "ERROR", X, when("dependencies.reference", "the reference is blank", lambda x: blank(x.dependencies.reference))),
     Rule("EXEC_DEPS_NO_CHECKSUM", "INFO", X, when("dependencies.checksum", "the dependencies have no checksum", lambda x: x.dependencies.checksum is None)),
-    Rule("EXEC_CUDA_NO_GPU_NAME", "WARNING", X, when("hardware.gpu", "cuda without the name of a GPU", lambda x: bool(x.hardware) and x.hardware.accelerator == "cuda" and not x.hardware.gpu)),
+    Rule(
+        "EXEC_CUDA_NO_GPU_NAME", "WARNING", X,
+        when("hardware.gpu", "cuda without the name of a GPU", lambda x: bool(x.hardware) and x.hardware.accelerator == "cuda" and not x.hardware.gpu)
+    ),
     Rule("EXEC_NO_DETERMINISM_FLAGS", "INFO", X, when("determinism_flags", "no determinism flag is declared", lambda x: not x.determinism_flags)),
-    Rule("CONSIST_STRATIFY_UNKNOWN_FIELD", "ERROR", D + S, when("split.stratify_field", "the dataset does not declare the field", unknown("stratified", "stratify_field"))),
+    Rule(
+        "CONSIST_STRATIFY_UNKNOWN_FIELD", "ERROR", D + S,
+        when("split.stratify_field", "the dataset does not declare the field", unknown("stratified", "stratify_field"))
+    ),
     Rule("CONSIST_GROUP_UNKNOWN_FIELD", "ERROR", D + S, when("split.group_field", "the dataset does not declare the field", unknown("group", "group_field"))),
     Rule("CONSIST_TIME_UNKNOWN_FIELD", "ERROR", D + S, when("split.time_field", "the dataset does not declare the field", unknown("temporal", "time_field"))),
     Rule("CONSIST_GROUP_OVERLAP_NO_FIELD", "ERROR", D + S, on_checks("group_overlap needs a field", lambda c, d: not c.field)),
-    Rule("CONSIST_GROUP_OVERLAP_UNKNOWN_FIELD", "ERROR", D + S, on_checks("the dataset does not declare the field", lambda c, d: c.field and c.field not in fields_of(d))),
-    Rule("CONSIST_NO_REDUNDANCY_WITH_IDENTITY_SPLIT", "WARNING", D + S, when("dataset.redundancy_control.method", "an identity-aware split of a dataset whose redundancy is not controlled", lambda d, s: d.redundancy_control.method == "none" and s.protocol in IDENTITY_AWARE)),
-    Rule("CONSIST_SPLIT_THRESHOLD_GE_REDUNDANCY", "WARNING", D + S, when("split.identity.threshold", "the split is not stricter than the redundancy control", _split_not_tighter)),
-    Rule("CONSIST_RANDOM_WITH_LABELS", "INFO", D + S, when("split.protocol", "labels exist but the split is not stratified", lambda d, s: bool(d.labels) and s.protocol == "random")),
-    Rule("CONSIST_EMB_DATASET_FP_MISMATCH", "WARNING", D + E, when("embedding.input_dataset_fingerprint", "the embedding links another dataset", lambda d, e: e.input_dataset_fingerprint is not None and e.input_dataset_fingerprint != d.fingerprint())),
-    Rule("CONSIST_DATASET_NO_SEQUENCE_FIELD", "ERROR", D + E, when("dataset.sequence_field", "an embedding needs a sequence field", lambda d, e: blank(d.sequence_field))),
-    Rule("CONSIST_TRAIN_SUPERVISED_NO_LABELS", "ERROR", D + T, when("dataset.labels", "a supervised task without labels", lambda d, t: t.task != "unsupervised" and not d.labels)),
-    Rule("CONSIST_TRAIN_SPLIT_FP_MISMATCH", "WARNING", S + T, when("train.input_split_fingerprint", "the training links another split", lambda s, t: t.input_split_fingerprint is not None and t.input_split_fingerprint != s.fingerprint())),
+    Rule(
+        "CONSIST_GROUP_OVERLAP_UNKNOWN_FIELD", "ERROR", D + S,
+        on_checks("the dataset does not declare the field", lambda c, d: c.field and c.field not in fields_of(d))
+    ),
+    Rule(
+        "CONSIST_NO_REDUNDANCY_WITH_IDENTITY_SPLIT", "WARNING", D + S,
+        when(
+            "dataset.redundancy_control.method", "an identity-aware split of a dataset whose redundancy is not controlled", lambda d,
+            s: d.redundancy_control.method == "none" and s.protocol in IDENTITY_AWARE
+        )
+    ),
+    Rule(
+        "CONSIST_SPLIT_THRESHOLD_GE_REDUNDANCY", "WARNING", D + S,
+        when("split.identity.threshold", "the split is not stricter than the redundancy control", _split_not_tighter)
+    ),
+    Rule(
+        "CONSIST_RANDOM_WITH_LABELS", "INFO", D + S,
+        when("split.protocol", "labels exist but the split is not stratified", lambda d, s: bool(d.labels) and s.protocol == "random")
+    ),
+    Rule(
+        "CONSIST_EMB_DATASET_FP_MISMATCH", "WARNING", D + E,
+        when(
+            "embedding.input_dataset_fingerprint", "the embedding links another dataset", lambda d,
+            e: e.input_dataset_fingerprint is not None and e.input_dataset_fingerprint != d.fingerprint()
+        )
+    ),
+    Rule(
+        "CONSIST_DATASET_NO_SEQUENCE_FIELD", "ERROR", D + E,
+        when("dataset.sequence_field", "an embedding needs a sequence field", lambda d, e: blank(d.sequence_field))
+    ),
+    Rule(
+        "CONSIST_TRAIN_SUPERVISED_NO_LABELS", "ERROR", D + T,
+        when("dataset.labels", "a supervised task without labels", lambda d, t: t.task != "unsupervised" and not d.labels)
+    ),
+    Rule(
+        "CONSIST_TRAIN_SPLIT_FP_MISMATCH", "WARNING", S + T,
+        when(
+            "train.input_split_fingerprint", "the training links another split", lambda s,
+            t: t.input_split_fingerprint is not None and t.input_split_fingerprint != s.fingerprint()
+        )
+    ),
     Rule("TRAIN_NO_SPLIT_LINK", "INFO", S + T, when("train.input_split_fingerprint", "no split is linked", lambda s, t: t.input_split_fingerprint is None)),
-    Rule("CONSIST_TRAIN_EMB_FP_MISMATCH", "WARNING", E + T, when("train.input_embedding_fingerprint", "the training links another embedding", lambda e, t: t.input_embedding_fingerprint is not None and t.input_embedding_fingerprint != e.fingerprint())),
-    Rule("TRAIN_NO_EMB_LINK", "INFO", E + T, when("train.input_embedding_fingerprint", "no embedding is linked", lambda e, t: t.input_embedding_fingerprint is None)),
-    Rule("CONSIST_NO_VAL_RECOMMEND_CV", "INFO", S + T, when("train.cross_validation", "neither validation part nor cross-validation", lambda s, t: s.ratios.val == 0 and not (t.cross_validation and t.cross_validation.enabled))),
-    Rule("CONSIST_NO_VAL_NO_TEST", "WARNING", S + T, when("split.ratios", "neither validation nor test part", lambda s, t: s.ratios.val == 0 and s.ratios.test == 0)),
+    Rule(
+        "CONSIST_TRAIN_EMB_FP_MISMATCH", "WARNING", E + T,
+        when(
+            "train.input_embedding_fingerprint", "the training links another embedding", lambda e,
+            t: t.input_embedding_fingerprint is not None and t.input_embedding_fingerprint != e.fingerprint()
+        )
+    ),
+    Rule(
+        "TRAIN_NO_EMB_LINK", "INFO", E + T,
+        when("train.input_embedding_fingerprint", "no embedding is linked", lambda e, t: t.input_embedding_fingerprint is None)
+    ),
+    Rule(
+        "CONSIST_NO_VAL_RECOMMEND_CV", "INFO", S + T,
+        when(
+            "train.cross_validation", "neither validation part nor cross-validation", lambda s,
+            t: s.ratios.val == 0 and not (t.cross_validation and t.cross_validation.enabled)
+        )
+    ),
+    Rule(
+        "CONSIST_NO_VAL_NO_TEST", "WARNING", S + T,
+        when("split.ratios", "neither validation nor test part", lambda s, t: s.ratios.val == 0 and s.ratios.test == 0)
+    ),
     Rule("CONSIST_NO_GIT_COMMIT", "INFO", X, when("execution.git_commit", "no commit ties the runs to code", lambda x: x.git_commit is None)),
-    Rule("CONSIST_CUDA_EXEC_CPU_EMB", "INFO", E + X, when("embedding.device", "a CUDA run with embeddings on the CPU", lambda e, x: bool(x.hardware) and x.hardware.accelerator == "cuda" and e.device == "cpu")),
-    Rule("CONSIST_NONCUDA_EXEC_CUDA_EMB", "INFO", E + X, when("execution.hardware.accelerator", "CUDA embeddings in a run without CUDA", lambda e, x: bool(x.hardware) and x.hardware.accelerator in ("none", "mps", "tpu", "other") and e.device == "cuda")),
+    Rule(
+        "CONSIST_CUDA_EXEC_CPU_EMB", "INFO", E + X,
+        when(
+            "embedding.device", "a CUDA run with embeddings on the CPU", lambda e,
+            x: bool(x.hardware) and x.hardware.accelerator == "cuda" and e.device == "cpu"
+        )
+    ),
+    Rule(
+        "CONSIST_NONCUDA_EXEC_CUDA_EMB", "INFO", E + X,
+        when(
+            "execution.hardware.accelerator", "CUDA embeddings in a run without CUDA", lambda e,
+            x: bool(x.hardware) and x.hardware.accelerator in ("none", "mps", "tpu", "other") and e.device == "cuda"
+        )
+    ),
 ]
 
 

@@ -207,7 +207,10 @@ REQUIREMENTS: dict[str, list] = {
         (lambda s: s.sources, "at least one source required"),
         (lambda s: _unique([x.name for x in s.labels]), "label names repeat"),
         (lambda s: _unique([x.name for x in s.metadata]), "metadata names repeat"),
-        (lambda s: not {s.id_field, s.sequence_field} & {x.name for x in [*s.labels, *s.metadata]}, "a label or metadata field has the name of the id or sequence field"),
+        (
+            lambda s: not {s.id_field, s.sequence_field} & {x.name for x in [*s.labels, *s.metadata]},
+            "a label or metadata field has the name of the id or sequence field"
+        ),
     ],
     "leakage_check": [
         (lambda s: s.type not in SIMILAR or _in_unit(s.threshold), "threshold in 0..1 required by the type"),
@@ -230,7 +233,12 @@ REQUIREMENTS: dict[str, list] = {
     "train": [
         (lambda s: s.task == "unsupervised" or s.metrics, "metrics required by a supervised task"),
         (lambda s: not (s.calibration and s.calibration.enabled) or s.task == "classification", "calibration is for classification only"),
-        (lambda s: not (s.cross_validation and s.cross_validation.enabled and s.cross_validation.strategy == "group_kfold") or s.cross_validation.group_field, "cross_validation.group_field required by group_kfold"),
+        (
+            lambda s: not (
+                s.cross_validation and s.cross_validation.enabled and s.cross_validation.strategy == "group_kfold"
+            ) or s.cross_validation.group_field,
+            "cross_validation.group_field required by group_kfold"
+        ),
     ],
     "execution": [(lambda s: s.container is None or s.container.type == "none" or not s.container.image or s.container.digest, "container.digest required by an image")],
 }
@@ -238,7 +246,10 @@ REQUIREMENTS: dict[str, list] = {
 
 #: How a split says what it goes by.
 _USING = " using {measure}{limit}"
-REGIMES = {"stratified": " stratified by '{stratify_field}'", "group": " grouped by '{group_field}'", "temporal": " ordered by '{time_field}'", "cluster_aware": _USING, "structure_aware": _USING}
+REGIMES = {
+    "stratified": " stratified by '{stratify_field}'", "group": " grouped by '{group_field}'", "temporal": " ordered by '{time_field}'",
+    "cluster_aware": _USING, "structure_aware": _USING
+}
 
 
 class Spec:

@@ -18,7 +18,9 @@ def ingest_runs(spark: SparkSession, folder: str, table: str, checkpoint: str, s
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        rows = batch.where(F.col("run_id").isNotNull()).groupBy("run_id").agg(F.min(F.struct("created_at_utc", *[c for c in batch.columns if c not in ("run_id", "created_at_utc")])).alias("r")).select("run_id", "r.*").select(*batch.columns)
+        rows = batch.where(F.col("run_id").isNotNull()).groupBy("run_id").agg(
+            F.min(F.struct("created_at_utc", *[c for c in batch.columns if c not in ("run_id", "created_at_utc")])).alias("r")
+        ).select("run_id", "r.*").select(*batch.columns)
         try:
             existing = spark.read.schema(batch.schema).parquet(table)
             existing.head(1)
@@ -35,4 +37,6 @@ def ingest_runs(spark: SparkSession, folder: str, table: str, checkpoint: str, s
 def label_counts(events: DataFrame, time: str, label: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Rows of each label and window; state of windows older than the watermark is dropped. Batch tables work too."""
     counted = events.withWatermark(time, late) if events.isStreaming else events
-    return counted.groupBy(F.window(time, window), label).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), label, "n")
+    return counted.groupBy(F.window(time, window), label).agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("start"), F.col("window.end").alias("end"), label, "n"
+    )

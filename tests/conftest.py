@@ -18,7 +18,9 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.driver.memory", "4g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{folder}/shared").config("spark.local.dir", f"{folder}/local")
+        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config(
+            "spark.checkpoint.dir", f"file://{folder}/shared"
+        ).config("spark.local.dir", f"{folder}/local")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -135,7 +135,9 @@ def test_calibration_edges(spark):
 
 
 def test_jaccard_edges(spark):
-    df = spark.createDataFrame([(1, "a", 1, 0), (1, "b", 1, 1), (2, "a", 1, 1), (3, "b", 0, 0), (4, "a", 1, 0), (4, "c", 1, 0)], "seed int, i string, y_true int, y_pred int")
+    df = spark.createDataFrame(
+        [(1, "a", 1, 0), (1, "b", 1, 1), (2, "a", 1, 1), (3, "b", 0, 0), (4, "a", 1, 0), (4, "c", 1, 0)], "seed int, i string, y_true int, y_pred int"
+    )
     got = {(r.seed_a, r.seed_b): r.jaccard for r in metrics.error_jaccard(df, "seed", "i", df.select("seed")).collect()}
     assert len(got) == 16 and got[1, 4] == 0.5 and got[2, 3] == 1.0 and got[1, 2] == 0.0 and all(got[k, k] == 1.0 for k in range(1, 5))
 
@@ -172,7 +174,12 @@ def test_binary_label_rules(spark):
 
 def test_filters_and_nulls(spark):
     df = spark.createDataFrame([(1, "MKV", ["a"]), (2, "MKX", ["b"]), (3, None, None)], "id long, sequence string, tags array<string>")
-    ids = lambda *rules: [r.id for r in plans.apply_filters(df, parse("dataset", {"name": "d", "sources": [{"type": "internal", "name": "s"}], "filters": [dict(zip(("field", "op", "value"), r)) for r in rules]})).orderBy("id").collect()]
+    ids = lambda *rules: [
+        r.id for r in plans.apply_filters(
+            df,
+            parse("dataset", {"name": "d", "sources": [{"type": "internal", "name": "s"}], "filters": [dict(zip(("field", "op", "value"), r)) for r in rules]})
+        ).orderBy("id").collect()
+    ]
     assert ids(("has_noncanonical", "eq", False)) == [1] and ids(("tags", "contains", "b")) == [2] and ids(("sequence", "exists", False)) == [3]
     assert ids(("id", "in", [])) == [] and ids(("id", "not_in", [])) == [1, 2, 3] and ids(("sequence", "not_contains", "V")) == [2]
     with pytest.raises(ValueError):
@@ -180,14 +187,18 @@ def test_filters_and_nulls(spark):
 
 
 def test_custom_needs_registration(spark):
-    spec = parse("split", {"split_name": "s", "protocol": "custom", "ratios": {"train": 0.8, "val": 0.1, "test": 0.1}, "seed": 1, "leakage_checks": [{"type": "custom"}]})
+    spec = parse(
+        "split", {"split_name": "s", "protocol": "custom", "ratios": {"train": 0.8, "val": 0.1, "test": 0.1}, "seed": 1, "leakage_checks": [{"type": "custom"}]}
+    )
     with pytest.raises(NotImplementedError):
         plans.compile_split(spark.range(3), spec, "id")
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "x.fasta").write_text(">a size>3 b\r\nMK\r\nV\r\n>b\nGG\n>c\n>d x\nA")
-    assert [tuple(r) for r in tables.read_table(spark, str(tmp_path / "x.fasta")).collect()] == [("a", "a size>3 b", "MKV"), ("b", "b", "GG"), ("c", "c", ""), ("d", "d x", "A")]
+    assert [
+        tuple(r) for r in tables.read_table(spark, str(tmp_path / "x.fasta")).collect()
+    ] == [("a", "a size>3 b", "MKV"), ("b", "b", "GG"), ("c", "c", ""), ("d", "d x", "A")]
     df = spark.createDataFrame([(1, 'a "q", b\nc')], "id long, s string")
     tables.write_table(df, f"{tmp_path}/t.csv")
     with pytest.raises(ValueError):
@@ -253,14 +264,21 @@ def test_grids_and_every_model(spark, sf_dir, tmp_path):
 
     from splitwarden.ml import models
 
-    assert [len(models.grid(m)) for m in ("rf", "svm", "knn", "lr")] == [1, 1, 4, 3] and [len(models.grid(m, wide=True)) for m in ("rf", "svm", "knn", "lr")] == [32, 6, 16, 5]
+    assert [len(models.grid(m)) for m in ("rf", "svm", "knn", "lr")] == [1, 1, 4, 3] and [
+        len(models.grid(m, wide=True)) for m in ("rf", "svm", "knn", "lr")
+    ] == [32, 6, 16, 5]
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("kind")).limit(200)
     # a circle within a ring: no plane parts them
     angle, far = F.col("id") * 0.7, F.col("id") % 2
-    ring = v.withColumn("label", far.cast("double")).withColumn("embedding", F.array((F.cos(angle) * (1 + 2 * far)).cast("float"), (F.sin(angle) * (1 + 2 * far)).cast("float")))
+    ring = v.withColumn("label", far.cast("double")).withColumn(
+        "embedding", F.array((F.cos(angle) * (1 + 2 * far)).cast("float"), (F.sin(angle) * (1 + 2 * far)).cast("float"))
+    )
     rows = models.features(splits.stratified_split(ring.select("id", "label", "embedding"), "id", "label")).repartition(2).cache()
     area = {}
-    for model, params in (("rf", {"n_estimators": 10}), ("svm", {"kernel": "rbf"}), ("svm", {"kernel": "linear"}), ("knn", {"weights": "distance", "p": 1}), ("knn", {"n_neighbors": 15})):
+    for model, params in (
+        ("rf", {"n_estimators": 10}), ("svm", {"kernel": "rbf"}), ("svm", {"kernel": "linear"}), ("knn", {"weights": "distance", "p": 1}),
+        ("knn", {"n_neighbors": 15})
+    ):
         best = models.fit_best(rows, model, [params])
         area[model, params.get("kernel")] = best["metrics"]["test"]["auroc"]
         assert all(0 <= r.y_prob <= 1 for r in best["predictions"].collect())
@@ -412,33 +430,48 @@ def test_temporal_split_without_truncation(spark):
     for kind in ("string", "timestamp", "date"):
         rows = df.withColumn("t", F.col("t").cast(kind))
         got = sums_before(rows, [], range_bucket(rows, "t", 7), [F.col("t"), F.col("id")]).orderBy("__before").collect()
-        assert [r["__before"] for r in got] == list(range(2000)) and [(r.t is not None, r.t, r.id) for r in got if r.t] == sorted((r.t is not None, r.t, r.id) for r in got if r.t)
+        assert [r["__before"] for r in got] == list(range(2000)) and [
+            (r.t is not None, r.t, r.id) for r in got if r.t
+        ] == sorted((r.t is not None, r.t, r.id) for r in got if r.t)
 
 
 def test_train_specs_run(spark, sf_dir):
     from splitwarden.plans import train
 
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.slice("embedding", 1, 6).alias("embedding")).limit(160)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.slice("embedding", 1, 6).alias("embedding")
+    ).limit(160)
     v = v.withColumn("label", (F.col("embedding")[0] > 0).cast("double"))
     from splitwarden.ml import models
 
     rows = models.features(splits.stratified_split(v, "id", "label", ratios=(0.6, 0.2, 0.2))).repartition(2).cache()
     base = {"name": "t", "task": "classification", "model_family": "linear", "metrics": ["accuracy", "ROC_AUC"], "seed": 3}
     spec = lambda **more: parse("train", base | more)
-    for family, hyperparams in (("linear", {"C": 10.0, "random_state": 1}), ("rf", {"n_estimators": 5}), ("xgb", {"n_estimators": 3}), ("nn", {"hidden": [4], "max_iter": 30})):
+    for family, hyperparams in (
+        ("linear", {"C": 10.0, "random_state": 1}), ("rf", {"n_estimators": 5}), ("xgb", {"n_estimators": 3}), ("nn", {"hidden": [4], "max_iter": 30})
+    ):
         out = train.run_train(rows, spec(model_family=family, hyperparams=hyperparams))
         assert set(out["metrics"]) == {"train", "val", "test"} and out["metrics"]["train"]["ROC_AUC"] > 0.9
     cv = {"enabled": True, "folds": 3}
-    out = train.run_train(rows, spec(calibration={"enabled": True, "method": "platt"}, cross_validation=cv | {"strategy": "group_kfold", "group_field": "kind"}))
+    out = train.run_train(
+        rows, spec(calibration={"enabled": True, "method": "platt"}, cross_validation=cv | {"strategy": "group_kfold", "group_field": "kind"})
+    )
     assert sorted(r.fold for r in out["folds"].collect()) == [0, 1, 2] and all(0 <= r.y_prob <= 1 for r in out["predictions"].collect())
     for strategy, folds in (("stratified_kfold", [0, 1, 2]), ("time_series", [1, 2])):
-        assert sorted(r.fold for r in train.cross_validate(rows.where("partition = 'train'"), spec(cross_validation=cv | {"strategy": strategy}), time="id").collect()) == folds
+        assert sorted(
+            r.fold for r in train.cross_validate(rows.where("partition = 'train'"), spec(cross_validation=cv | {"strategy": strategy}), time="id").collect()
+        ) == folds
     numbers = rows.withColumn("label", F.col("embedding")[0].cast("double") * 3 + 1)
     for family, hyperparams in (("linear", {}), ("rf", {"n_estimators": 5}), ("xgb", {"n_estimators": 3})):
         out = train.run_train(numbers, spec(task="regression", model_family=family, hyperparams=hyperparams, metrics=["rmse", "mae", "r2"]))
         assert out["metrics"]["train"]["r2"] > (0.999 if family == "linear" else 0.3)
-    assert train.run_train(rows, spec(task="unsupervised", metrics=[], hyperparams={"n_clusters": 3}))["predictions"].select("cluster_id").distinct().count() <= 3
-    for more, error in (({"model_family": "gdl"}, NotImplementedError), ({"task": "ranking"}, NotImplementedError), ({"hyperparams": {"depth": 3}}, ValueError), ({"metrics": ["bleu"]}, ValueError)):
+    assert train.run_train(
+        rows, spec(task="unsupervised", metrics=[], hyperparams={"n_clusters": 3})
+    )["predictions"].select("cluster_id").distinct().count() <= 3
+    for more, error in (
+        ({"model_family": "gdl"}, NotImplementedError), ({"task": "ranking"}, NotImplementedError), ({"hyperparams": {"depth": 3}}, ValueError),
+        ({"metrics": ["bleu"]}, ValueError)
+    ):
         with pytest.raises(error):
             train.run_train(rows, spec(**more))
 
@@ -446,7 +479,10 @@ def test_train_specs_run(spark, sf_dir):
 def test_pooling_and_layers(spark):
     from splitwarden.ml import embedding
 
-    tokens = spark.createDataFrame([("a", 1, [2.0, 0.0], 3.0), ("a", 0, [0.0, 4.0], 1.0), ("a", 2, [9.0, 9.0], 0.0), ("b", 0, [1.0, 1.0], 1.0)], "id string, pos int, v array<double>, w double")
+    tokens = spark.createDataFrame(
+        [("a", 1, [2.0, 0.0], 3.0), ("a", 0, [0.0, 4.0], 1.0), ("a", 2, [9.0, 9.0], 0.0), ("b", 0, [1.0, 1.0], 1.0)],
+        "id string, pos int, v array<double>, w double"
+    )
     got = lambda method, **more: {r.id: r.embedding for r in embedding.pool(tokens, "id", "pos", "v", method, **more).collect()}
     assert got("mean", max_length=2) == {"a": [1, 2], "b": [1, 1]} and got("sum", max_length=2)["a"] == [2, 4] and got("cls")["a"] == [0, 4] and got("attention", weight="w")["a"] == [1.5, 1]
     for method, error in (("attention", ValueError), ("custom", NotImplementedError)):

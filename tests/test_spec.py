@@ -19,10 +19,19 @@ DATASET = {
     "redundancy_control": {"method": "sequence_identity", "threshold": 0.9, "tool": "mmseqs2"}, "labels": [{"name": "fitness", "dtype": "float"}], "metadata": [{"name": "organism", "dtype": "str", "description": "source"}, {"name": "year", "dtype": "int"}],
     "output": {"format": "parquet", "path": "data/x.parquet", "checksum": "abc"},
 }
-SPLIT = {"split_name": "s", "protocol": "cluster_aware", "ratios": {"train": 0.8, "val": 0.1, "test": 0.1}, "seed": 42, "identity": {"measure": "sequence_identity", "threshold": 0.3}, "leakage_checks": [{"type": "exact_duplicate"}]}
+SPLIT = {
+    "split_name": "s", "protocol": "cluster_aware", "ratios": {"train": 0.8, "val": 0.1, "test": 0.1}, "seed": 42,
+    "identity": {"measure": "sequence_identity", "threshold": 0.3}, "leakage_checks": [{"type": "exact_duplicate"}]
+}
 EMBEDDING = {"name": "e", "model_id": "m", "output": {"path": "e.npz", "checksum": "abc"}}
-TRAIN = {"name": "t", "task": "regression", "model_family": "rf", "hyperparams": {"max_depth": None, "random_state": 1}, "metrics": ["rmse"], "output": {"metrics_path": "m.json"}}
-EXECUTION = {"name": "x", "python_version": "3.12", "git_commit": "abc", "dependencies": {"reference": "requirements.txt", "checksum": "c"}, "hardware": {"accelerator": "none", "ram_gb": 64}, "determinism_flags": {"seed": 1}}
+TRAIN = {
+    "name": "t", "task": "regression", "model_family": "rf", "hyperparams": {"max_depth": None, "random_state": 1}, "metrics": ["rmse"],
+    "output": {"metrics_path": "m.json"}
+}
+EXECUTION = {
+    "name": "x", "python_version": "3.12", "git_commit": "abc", "dependencies": {"reference": "requirements.txt", "checksum": "c"},
+    "hardware": {"accelerator": "none", "ram_gb": 64}, "determinism_flags": {"seed": 1}
+}
 BASE = {"dataset": DATASET, "split": SPLIT, "embedding": EMBEDDING, "train": TRAIN, "execution": EXECUTION}
 
 
@@ -59,7 +68,10 @@ def test_rule_table_counts():
     assert [sum(r.severity == s for r in RULES) for s in ("ERROR", "WARNING", "INFO")] == [25, 18, 27]
 
 
-GROUP = {"split__protocol": "group", "split__group_field": "organism", "split__leakage_checks": [{"type": "group_overlap", "field": "organism"}, {"type": "exact_duplicate"}]}
+GROUP = {
+    "split__protocol": "group", "split__group_field": "organism",
+    "split__leakage_checks": [{"type": "group_overlap", "field": "organism"}, {"type": "exact_duplicate"}]
+}
 CHECK = [{"type": "exact_duplicate"}]
 TRIGGERS = {
     "DATASET_SOURCE_UNVERSIONED": {"dataset__sources": [{"type": "url", "name": "u"}]},
@@ -157,12 +169,28 @@ def test_rule_fires_after_mutation(code):
 
 
 BROKEN = [
-    ("dataset", "sources", []), ("dataset", "labels", [{"name": "a", "dtype": "int"}] * 2), ("dataset", "labels", [{"name": "id", "dtype": "int"}]), ("dataset", "redundancy_control", {"method": "cluster"}), ("dataset", "color", 1),
-    ("dataset", "redundancy_control", {"method": "cluster", "threshold": 1.5}), ("dataset", "name", ""), ("dataset", "demo_version", " "), ("dataset", "created_at", "yesterday"), ("split", "ratios", {"train": 0.5, "val": 0.1, "test": 0.1}),
-    ("split", "ratios", {"train": 1.0, "val": 0.0, "test": 0.0}), ("split", "identity", None), ("split", "identity", {"measure": "time"}), ("split", "identity", {"measure": "sequence_identity"}), ("split", "leakage_checks", []),
-    ("split", "leakage_checks", [{"type": "group_overlap"}]), ("split", "leakage_checks", [{"type": "sequence_identity"}]), ("split", "protocol", "stratified"), ("split", "protocol", "group"), ("split", "protocol", "temporal"),
-    ("split", "seed", "x"), ("embedding", "layer", -1), ("embedding", "layer", "first"), ("embedding", "tokenization", {"padding": "max_length", "truncation": False}), ("embedding", "output", {"path": " "}), ("embedding", "batch_size", 0),
-    ("train", "metrics", []), ("train", "calibration", {"enabled": True}), ("train", "cross_validation", {"enabled": True, "strategy": "group_kfold"}), ("train", "cross_validation", {"folds": 1}), ("execution", "container", {"type": "docker", "image": "i"}),
+    ("dataset", "sources", []), (
+        "dataset", "labels", [{"name": "a", "dtype": "int"}] * 2
+    ), ("dataset", "labels", [{"name": "id", "dtype": "int"}]), ("dataset", "redundancy_control", {"method": "cluster"}), ("dataset", "color", 1),
+    (
+        "dataset", "redundancy_control", {"method": "cluster", "threshold": 1.5}
+    ), ("dataset", "name", ""), ("dataset", "demo_version", " "), ("dataset", "created_at", "yesterday"), (
+        "split", "ratios", {"train": 0.5, "val": 0.1, "test": 0.1}
+    ),
+    (
+        "split", "ratios", {"train": 1.0, "val": 0.0, "test": 0.0}
+    ), ("split", "identity", None), ("split", "identity", {"measure": "time"}), (
+        "split", "identity", {"measure": "sequence_identity"}
+    ), ("split", "leakage_checks", []),
+    ("split", "leakage_checks", [{"type": "group_overlap"}]), (
+        "split", "leakage_checks", [{"type": "sequence_identity"}]
+    ), ("split", "protocol", "stratified"), ("split", "protocol", "group"), ("split", "protocol", "temporal"),
+    ("split", "seed", "x"), ("embedding", "layer", -1), ("embedding", "layer", "first"), (
+        "embedding", "tokenization", {"padding": "max_length", "truncation": False}
+    ), ("embedding", "output", {"path": " "}), ("embedding", "batch_size", 0),
+    ("train", "metrics", []), ("train", "calibration", {"enabled": True}), (
+        "train", "cross_validation", {"enabled": True, "strategy": "group_kfold"}
+    ), ("train", "cross_validation", {"folds": 1}), ("execution", "container", {"type": "docker", "image": "i"}),
     ("execution", "dependencies", {}), ("execution", "hardware", {"ram_gb": -1}),
 ]
 
@@ -179,7 +207,9 @@ def test_fingerprint_ignores_order_and_nulls_but_not_values():
     assert a.fingerprint() == b.fingerprint()
     assert a.to_dict()["hardware"]["ram_gb"] == 64.0 and '"ram_gb":64.0' in canonical_json(a.to_dict())
     assert S.parse("train", TRAIN).to_dict()["hyperparams"] == {"max_depth": None, "random_state": 1}  # nulls in free-form values stay
-    assert S.parse("dataset", DATASET | {"name": "é"}).fingerprint() == hashlib.sha256(json.dumps(S.parse("dataset", DATASET | {"name": "é"}).to_dict(), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    assert S.parse("dataset", DATASET | {"name": "é"}).fingerprint() == hashlib.sha256(
+        json.dumps(S.parse("dataset", DATASET | {"name": "é"}).to_dict(), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    ).hexdigest()
 
 
 def test_frozen_fingerprints():
@@ -203,7 +233,11 @@ def test_every_rule_has_a_hint():
 
 
 def test_regime_text():
-    more = {"stratified": ({"stratify_field": "y"}, " stratified by 'y'"), "group": ({"group_field": "g"}, " grouped by 'g'"), "temporal": ({"time_field": "t"}, " ordered by 't'"), "random": ({}, ""), "structure_aware": ({"identity": {"measure": "structure"}}, " using structure")}
+    more = {
+        "stratified": ({"stratify_field": "y"}, " stratified by 'y'"), "group": ({"group_field": "g"}, " grouped by 'g'"),
+        "temporal": ({"time_field": "t"}, " ordered by 't'"), "random": ({}, ""),
+        "structure_aware": ({"identity": {"measure": "structure"}}, " using structure")
+    }
     for protocol, (fields, text) in more.items():
         spec = {k: v for k, v in SPLIT.items() if k != "identity"} | {"protocol": protocol} | fields
         assert S.parse("split", spec).describe_regime() == f"{protocol} split{text}"
@@ -260,7 +294,10 @@ def test_artifacts(tmp_path):
 def test_pack_issues_table(spark):
     from splitwarden.plans.audit import pack_issues, severity_counts
 
-    rows = [("good", *(json.dumps(d) for d in BASE.values())), ("bad", json.dumps({"name": 1}), None, None, None, None), ("part", json.dumps(pack(dataset__labels=[])["dataset"]), json.dumps(SPLIT), None, json.dumps(TRAIN), None)]
+    rows = [
+        ("good", *(json.dumps(d) for d in BASE.values())), ("bad", json.dumps({"name": 1}), None, None, None, None),
+        ("part", json.dumps(pack(dataset__labels=[])["dataset"]), json.dumps(SPLIT), None, json.dumps(TRAIN), None)
+    ]
     found = pack_issues(spark.createDataFrame(rows, "pack_id string, dataset string, split string, embedding string, train string, execution string"))
     got = {(r.pack_id, r.code) for r in found.collect()}
     assert ("bad", "SPEC_SHAPE") in got and ("part", "CONSIST_TRAIN_SUPERVISED_NO_LABELS") in got
