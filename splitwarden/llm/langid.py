@@ -58,7 +58,9 @@ def _features(codes: list[np.ndarray], grams: np.ndarray, landmarks: np.ndarray,
     return (present @ landmarks) / (norms[:, None] * landmark_norms[None, :])
 
 
-def fit(texts: list[str], labels: list, landmarks_per_label: int = 24, landmark_chars: int = 500, orders: int = 4, ridge: float = 1e-2, batch: int = 64) -> LanguageModel:
+def fit(
+    texts: list[str], labels: list, landmarks_per_label: int = 24, landmark_chars: int = 500, orders: int = 4, ridge: float = 1e-2, batch: int = 64
+) -> LanguageModel:
     """Kernel ridge regression on the Nyström features of a bounded sample; deterministic in the order of the rows.
 
     A label's landmarks are its shortest sampled texts of ``landmark_chars`` characters or more, then its longest others: whole texts.
@@ -110,8 +112,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("id")) & F.col("id").isNotNull())
     size = F.length("text")
-    ranked = rows.select("id", "lang", F.when(size.between(200, 20000), 0).when(size < 200, 1).otherwise(2).alias("tier"), F.xxhash64(F.lit(6), "id").alias("h"))
-    best = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("tier", "h", "id"))).where(F.col("k") <= rows_per_label).select("id", "lang", "k").dropDuplicates(["id", "lang"])
+    ranked = rows.select(
+        "id", "lang", F.when(size.between(200, 20000), 0).when(size < 200, 1).otherwise(2).alias("tier"), F.xxhash64(F.lit(6), "id").alias("h")
+    )
+    best = ranked.withColumn(
+        "k", F.row_number().over(Window.partitionBy("lang").orderBy("tier", "h", "id"))
+    ).where(F.col("k") <= rows_per_label).select("id", "lang", "k").dropDuplicates(["id", "lang"])
     best = materialise(best, "chosen")
     if best.count() <= most_broadcast:  # ids and labels only; beyond that both sides are shuffled
         best = F.broadcast(best)
@@ -138,7 +144,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             for at in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(at, 256)
                 labels, scores = predict(shared.value, part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
+                    names=["id", "held_out", "lang_pred", "score"]
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")

@@ -107,7 +107,10 @@ def _round_groups(seed: int, level: int):
     return run
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42, leaf_rows: int = 4096) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5,
+    cap: float = 2.0, seed: int = 42, leaf_rows: int = 4096
+) -> DataFrame:
     """(id, size, source, source_size, target, copies, taken) of every row.
 
     ``size`` counts the words (null text: 0), ``copies`` is how often the mix takes the document, ``taken`` = copies x size.
@@ -118,7 +121,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A leaf holds about ``leaf_rows`` documents of one source, chosen by a hash of the id: a hot source just has more leaves.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.regexp_count(body(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.regexp_count(body(F.col(text_col)), F.lit(WORD)).cast("long").alias("size")
+    )
     rows = materialise(rows, "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap)
     per_source = materialise(per_source, "targets")

@@ -54,10 +54,15 @@ def _repeat_words(words: Column, n: Column, ranked: Column, low: Column, alike:
     different words share a hash, and could stand between equal ones; such a text's windows are sorted as strings instead.
     """
     position = lambda j: F.get(ranked, j).bitwiseAND(low).cast("int")
-    differ = lambda p, q: (F.get(words, p) != F.get(words, q)) | (F.get(words, p + 1) != F.get(words, q + 1)) | (F.get(words, p + 2) != F.get(words, q + 2))
+    differ = lambda p, q: (F.get(words, p) != F.get(words, q)) | (
+        F.get(words, p + 1) != F.get(words, q + 1)
+    ) | (F.get(words, p + 2) != F.get(words, q + 2))
     collide = F.exists(alike, lambda j: differ(position(j), position(j + 1)))
     spelled = F.sort_array(
-        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("at")))
+        F.transform(
+            F.sequence(F.lit(0), n - 3),
+            lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("at"))
+        )
     )
     exact = _covered(_neighbours(n - 2, lambda j: F.get(spelled, j)["w"] == F.get(spelled, j + 1)["w"]), lambda j: F.get(spelled, j)["at"])
     return F.when(F.size(alike) == 0, F.lit(0).cast("long")).when(collide, exact).otherwise(_covered(alike, position))
@@ -96,7 +101,9 @@ def normal_line(line: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(line, f"[{SPACE}]+", " ")))
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 20, count: str = "documents", with_lines: bool = False) -> DataFrame:
+def frequent_lines(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 20, count: str = "documents", with_lines: bool = False
+) -> DataFrame:
     """(host, text, removed_lines, removed_words) of every distinct text that holds boilerplate; host and text are known by SHA-256,
     and so are lines. ``with_lines`` adds the digests of its boilerplate lines.
 
@@ -111,10 +118,17 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     each = F.sort_array(F.transform(normal, lambda x: F.struct(_digest(x).alias("line"), F.size(F.split(x, " ")).alias("words"))))
     rows = docs.select(F.col(host_col).alias("host"), _digest(text).alias("text"), each.alias("each"))
     first = lambda x, k: (k == 0) | (F.get(F.col("each"), k - 1)["line"] != x["line"])
-    rows = rows.select("host", "text", F.explode(F.transform("each", lambda x, k: F.struct(x["line"].alias("line"), x["words"].alias("words"), first(x, k).cast("int").alias("first")))).alias("x"))
+    rows = rows.select(
+        "host", "text",
+        F.explode(
+            F.transform("each", lambda x, k: F.struct(x["line"].alias("line"), x["words"].alias("words"), first(x, k).cast("int").alias("first")))
+        ).alias("x")
+    )
     rows = rows.groupBy("host", "text", "x.line").agg(F.sum("x.first").alias("copies"), F.count("*").alias("times"), F.max("x.words").alias("words"))
     rows = rows.where("copies > 0 and times > 0 and words > 0")  # always so; keeps the columns, so that both readers share one exchange
-    often = rows.groupBy("host", "line").agg((F.sum("copies") if count == "documents" else F.sum(F.sign("copies").cast("long"))).alias("n")).where(F.col("n") > max_docs)
+    often = rows.groupBy("host", "line").agg(
+        (F.sum("copies") if count == "documents" else F.sum(F.sign("copies").cast("long"))).alias("n")
+    ).where(F.col("n") > max_docs)
     often = often.select(F.col("host").alias("often_host"), F.col("line").alias("often_line"))
     hit = rows.join(often, (F.col("line") == F.col("often_line")) & F.col("host").eqNullSafe(F.col("often_host")))
     each_time = (F.col("times") / F.col("copies")).cast("long")  # copies of a text hold a line equally often

@@ -79,7 +79,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op5_quality_rules_whole, op6_language_id, op7_packing, op8_pii, op9_license_scan, op10_simhash)
+    for q in (
+        op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op5_quality_rules_whole, op6_language_id, op7_packing, op8_pii,
+        op9_license_scan, op10_simhash
+    )
 }
 
 ORACLE = {

@@ -8,6 +8,7 @@ as soon as all of its pairs exceed the radius.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -118,7 +119,11 @@ def forest(levels: list[np.ndarray], rounds: int = 1) -> list[tuple[int, int]]:
     may drop edges.
     """
     n = len(levels[0])
-    near = [[(i, np.flatnonzero(np.unpackbits(links[i].view(np.uint8), bitorder="little")).tolist()) for i in np.flatnonzero(links.any(axis=1)).tolist()] for links in levels]
+    near = [
+        [
+            (i, np.flatnonzero(np.unpackbits(links[i].view(np.uint8), bitorder="little")).tolist()) for i in np.flatnonzero(links.any(axis=1)).tolist()
+        ] for links in levels
+    ]
     edges: dict = {}
     sure = list(range(n))
 
@@ -178,7 +183,10 @@ def _link_blocks(radii: list[int], block: int, keys: int, rounds: int = 1):
     return run
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4, words_per_shingle: int = 3, seed: int = 42, tile: int = 2048) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4, words_per_shingle: int = 3, seed: int = 42,
+    tile: int = 2048
+) -> DataFrame:
     """(id, fp, component_id) of every row: component_id is the smallest id reachable by links.
 
     Two rows link if their fingerprints differ in at most ``radius`` bits. Null texts count as empty; texts without words
@@ -218,12 +226,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # ---- near duplicates by Jaccard similarity ----
 
 
+@lru_cache(maxsize=4)
+def _mixers(seed: int, width: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, width, np.uint64)
+
+
 def wide_fingerprint(text: str, words_per_shingle: int, seed: int, width: int) -> tuple[int, ...] | None:
     """A SimHash of ``width`` signed words: every shingle's hash is mixed into as many. None for a text without words."""
     hashes = shingle_hashes(text, words_per_shingle, seed)
     if not len(hashes):
         return None
-    x = hashes[:, None] ^ np.random.default_rng(seed).integers(0, 1 << 63, width, np.uint64)
+    x = hashes[:, None] ^ _mixers(seed, width)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return tuple(majority(x ^ (x >> np.uint64(33))).view(np.int64).tolist())
@@ -240,6 +253,8 @@ def choose_bands(rows: int, least: float, bits: int, seed: int, per_bucket: int
     A key has so many bits that a bucket of unlike texts holds about ``per_bucket``; there are so many bands that a pair of
     similarity ``least`` shares a key with probability ``recall``. The number of bands grows as rows to the power 0.24.
     """
+    if not 0.5 <= least < 1:
+        raise ValueError("the similarity is from 0.5 to under 1")
     long = max(6, math.ceil(math.log2(max(1, rows / per_bucket))))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(least)) ** long))
     rng = np.random.default_rng(seed)

@@ -122,7 +122,10 @@ def _contexts_of(units: list[Unit], buffer_symbols: int = 1 << 19):
         at = window - (np.cumsum(size) - size)[part] + np.array([p[2] for p in parts], np.int64)[part]
         doc = pa.array([parts[k][0] for k in part.tolist()], pa.int64())
         th = np.array([p[1] for p in parts], np.int64)[part]
-        columns = [np.full(len(part), number, np.int32), key.view(np.int64), np.frombuffer(b"".join(digest), np.int64), doc, th, at, (anchor - window).astype(np.int32), count.astype(np.int32)]
+        columns = [
+            np.full(len(part), number, np.int32), key.view(np.int64), np.frombuffer(b"".join(digest), np.int64), doc, th, at,
+            (anchor - window).astype(np.int32), count.astype(np.int32)
+        ]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches):
@@ -223,7 +226,10 @@ class Suffixes:
         return best, much, order, step
 
 
-def repeated_windows(chunks: list[bytes], back: np.ndarray, wins: np.ndarray, group: np.ndarray, ask: np.ndarray, length: int, kind: type = np.uint8, owner: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+def repeated_windows(
+    chunks: list[bytes], back: np.ndarray, wins: np.ndarray, group: np.ndarray, ask: np.ndarray, length: int, kind: type = np.uint8,
+    owner: np.ndarray | None = None
+) -> list[tuple[int, int, int]]:
     """(context, first, last): windows (numbered from the context's start) that a context of its group and another owner holds too.
 
     ``group`` is sorted; without ``owner`` every context is its own. A window that starts d symbols left of the anchor repeats where
@@ -291,7 +297,9 @@ def _resolve(units: list[Unit], batch_bytes: int = 1 << 21):
             codes: dict = {}
             owner = np.array([codes.setdefault(d, len(codes)) for d in zip(doc, th)])
         length = units[unit].length
-        found = repeated_windows(list(chunks), np.array(back, np.int64), np.array(wins, np.int64), np.array(group), np.array(ask, bool), length, units[unit].kind, owner)
+        found = repeated_windows(
+            list(chunks), np.array(back, np.int64), np.array(wins, np.int64), np.array(group), np.array(ask, bool), length, units[unit].kind, owner
+        )
         out = list(zip(*[(unit, doc[x], th[x], at[x] + i, at[x] + j + length) for x, i, j in found])) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int32()] + [pa.int64()] * 4)], names=names)
 
@@ -373,27 +381,42 @@ def repeated_spans(docs: DataFrame, units: list[Unit], id_col: str = "doc_id", t
     salts = F.ceil(F.col("n") / threshold).cast("int")
     hot = F.broadcast(distinct.where(F.col("n") > threshold).select("unit", "key", "ctx", salts.alias("salts")))
     salted = distinct.select("unit", "key", "ctx", "full", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    spread = other.join(hot, ["unit", "key", "ctx"], "left").withColumn("salt", F.pmod(F.xxhash64("doc", "th", "at"), F.coalesce("salts", F.lit(1))).cast("int"))
+    spread = other.join(hot, ["unit", "key", "ctx"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("doc", "th", "at"), F.coalesce("salts", F.lit(1))).cast("int")
+    )
     spread = materialise(spread.join(salted, ["unit", "key", "ctx", "salt"]).select("full", "unit", "key", "doc", "th", "at", "back", "wins"), "spread")
 
     # the others are compared: all their rows ask, against one row of each context that repeats in whole
-    tiles = materialise(distinct.groupBy("unit", "key").agg(F.ceil(F.sum(F.when(F.col("full"), 1).otherwise(F.col("n"))) / tile).cast("int").alias("tiles")), "tiles")
+    tiles = materialise(
+        distinct.groupBy("unit", "key").agg(F.ceil(F.sum(F.when(F.col("full"), 1).otherwise(F.col("n"))) / tile).cast("int").alias("tiles")), "tiles"
+    )
     ask = spread.where(~F.col("full")).select("unit", "key", F.lit(True).alias("ask"), "doc", "th", "at", "back", "wins")
     held = distinct.where("full").select("unit", "key", F.lit(False).alias("ask"), "one.*")
-    asked = ask.unionByName(held).join(tiles, ["unit", "key"]).groupBy("doc", "th").agg(F.collect_list(F.struct("unit", "key", "ask", "tiles", "at", "back", "wins")).alias("asked"))
-    chunks = texts.join(asked.select(F.col("doc").alias("asked_doc"), F.col("th").alias("asked_th"), "asked"), F.col("doc").eqNullSafe(F.col("asked_doc")) & (F.col("th") == F.col("asked_th")))
-    chunks = chunks.select("doc", "th", "text", "asked").mapInArrow(_chunks_of(units), "unit int, key long, ask boolean, tiles int, doc long, th long, at long, back int, wins int, chunk binary")
+    asked = ask.unionByName(held).join(tiles, ["unit", "key"]).groupBy("doc", "th").agg(
+        F.collect_list(F.struct("unit", "key", "ask", "tiles", "at", "back", "wins")).alias("asked")
+    )
+    chunks = texts.join(
+        asked.select(F.col("doc").alias("asked_doc"), F.col("th").alias("asked_th"), "asked"),
+        F.col("doc").eqNullSafe(F.col("asked_doc")) & (F.col("th") == F.col("asked_th"))
+    )
+    chunks = chunks.select("doc", "th", "text", "asked").mapInArrow(
+        _chunks_of(units), "unit int, key long, ask boolean, tiles int, doc long, th long, at long, back int, wins int, chunk binary"
+    )
     chunks = (
         chunks.withColumn("mine", F.pmod(F.xxhash64("doc", "th", "at"), F.col("tiles")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("unit", "key", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), "ask", "doc", "th", "at", "back", "wins", "chunk")
+        .select(
+            "unit", "key", F.least("mine", "with").alias("low"), F.greatest("mine", "with").alias("high"), "ask", "doc", "th", "at", "back", "wins", "chunk"
+        )
     )
     group = ["unit", "key", "low", "high"]
     parts = chunks.repartition(*group).sortWithinPartitions(*group).mapInArrow(_resolve(units), "unit int, doc long, th long, s long, e long")
     return texts, whole(again.where("alike")).unionByName(whole(spread.where("full"))).unionByName(parts)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, passage: int = 50, with_text: bool = False, **settings) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 100, passage: int = 50, with_text: bool = False, **settings
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words) of every row, and ``kept`` bytes with ``with_text``.
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in any row, judged on the input. A passage is
@@ -403,7 +426,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     units = [Unit("bytes", length, gram, False), Unit("words", passage, max(1, passage // 4), True)]
     texts, spans = repeated_spans(docs, units, id_col, text_col, **settings)
-    per_doc = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans")).select(F.col("doc").alias("span_doc"), F.col("th").alias("span_th"), "spans")
+    per_doc = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans")).select(
+        F.col("doc").alias("span_doc"), F.col("th").alias("span_th"), "spans"
+    )
     rows = texts.join(per_doc, F.col("doc").eqNullSafe(F.col("span_doc")) & (F.col("th") == F.col("span_th")), "left").select("doc", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words"] + ["kept"] * with_text
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2 + [pa.binary()] * with_text

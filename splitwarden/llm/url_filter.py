@@ -122,7 +122,9 @@ def judge(hosts: list[str], paths: list[str], rules: list[Rule], array: DigestAr
     return best
 
 
-def url_verdicts(pages: DataFrame, rules: list[Rule], url_col: str = "url", id_col: str = "page_id", default: str = "allow", most_rule_bytes: int = 64 << 20) -> DataFrame:
+def url_verdicts(
+    pages: DataFrame, rules: list[Rule], url_col: str = "url", id_col: str = "page_id", default: str = "allow", most_rule_bytes: int = 64 << 20
+) -> DataFrame:
     """(id, host, path, rule, verdict) of every row; the longest rule that fits a URL's host and path decides.
 
     Null urls and urls without '://' have an empty host and path, fit no rule, and get ``default``, as does every URL

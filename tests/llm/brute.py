@@ -60,7 +60,10 @@ def quality(docs, max_docs, least_share, count="documents"):
         covered = {p for i, w in enumerate(windows) if many[w] > 1 for p in (i, i + 1, i + 2)}
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         lost = sum(len(WORD.findall(x)) for x in t.split("\n") if often(s, x))
-        out[d] = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed, not failed and len(words) - lost >= least_share * len(words))
+        out[d] = (
+            len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed,
+            not failed and len(words) - lost >= least_share * len(words)
+        )
     return out
 
 

@@ -13,7 +13,10 @@ from splitwarden.llm import exact_dedup, langid, licenses, mixing, packing, pii,
 
 from . import brute
 
-AWKWARD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (4, "a"), (5, "a"), (None, "a"), (None, None), (6, "word " * 30_000), (7, "word " * 30_000), (8, "ümläut ß\x1c\x85 日本語 \ud7ff")]
+AWKWARD = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "a"), (4, "a"), (5, "a"), (None, "a"), (None, None), (6, "word " * 30_000), (7, "word " * 30_000),
+    (8, "ümläut ß\x1c\x85 日本語 \ud7ff")
+]
 
 
 def frame(spark, rows, extra=True):
@@ -105,7 +108,12 @@ def test_suffix_dedup_awkward(spark):
 
 # ---- 3 ----
 
-URLS = ["http://a.com/x", "https://Example.COM/en/1?q#f", "http://www.example.com/en/", "x.net/es/", "ftp://b.net/es/y", "http://net/fr/", "http://com", "http://com/", "", None, "://", "http://notexample.com/en/", "http://u@example.com:80/en/", "a://b://c.com/d", "http://example.com?x=/en/", "http://x.com/é\n/z", "http://" + "." * 200_000 + "com/", "http://" + "a." * 100_000 + "b.net/fr/", "http://" + "c" * 300_000 + "/", "http://.com/", "http://com./", "http://xcom/"]
+URLS = [
+    "http://a.com/x", "https://Example.COM/en/1?q#f", "http://www.example.com/en/", "x.net/es/", "ftp://b.net/es/y", "http://net/fr/", "http://com",
+    "http://com/", "", None, "://", "http://notexample.com/en/", "http://u@example.com:80/en/", "a://b://c.com/d", "http://example.com?x=/en/",
+    "http://x.com/é\n/z", "http://" + "." * 200_000 + "com/", "http://" + "a." * 100_000 + "b.net/fr/", "http://" + "c" * 300_000 + "/", "http://.com/",
+    "http://com./", "http://xcom/"
+]
 
 
 def test_url_filter(spark):
@@ -156,7 +164,9 @@ def test_mixing_meets_targets(spark):
 
 def test_targets_of_many_sources(spark):
     rng = random.Random(44)
-    for sizes in ({f"https://h{k}.x": rng.choice([0, 1, 10, 5000]) for k in range(700)}, {"a": 5}, {"a": 0, None: 0}, {f"s{k}": 4**k for k in range(12)} | {None: 7}):
+    for sizes in (
+        {f"https://h{k}.x": rng.choice([0, 1, 10, 5000]) for k in range(700)}, {"a": 5}, {"a": 0, None: 0}, {f"s{k}": 4**k for k in range(12)} | {None: 7}
+    ):
         df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long")
         got = mixing.targets(df).collect()
         order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
@@ -279,7 +289,10 @@ def test_language_id_awkward(spark):
 
 # ---- 7 ----
 
-WORDS = ["Hello,", "don't", "ÄÖÜ", "naïve.", "x1y2", "e\u0301", "日本", "ΣΑΣ", "İ", "I'LL", "…", "a_b", "ª", "<|endoftext|>", "foo\x1cbar", "\x85", "½", "a\u00a0b", "ǆ", "\u0345"]
+WORDS = [
+    "Hello,", "don't", "ÄÖÜ", "naïve.", "x1y2", "e\u0301", "日本", "ΣΑΣ", "İ", "I'LL", "…", "a_b", "ª", "<|endoftext|>", "foo\x1cbar", "\x85", "½", "a\u00a0b",
+    "ǆ", "\u0345"
+]
 
 
 def test_word_coder_equals_the_tokenizer():
@@ -348,7 +361,9 @@ def test_packing_round_trip(spark):
 def test_packing_awkward(spark):
     df = frame(spark, AWKWARD)
     rows = packing.pack(df).collect()
-    assert sum(r.length for r in rows if r.doc_id == 1) == 1 and sum(r.length for r in rows if r.doc_id is None) == 3 and len([r for r in rows if r.doc_id == 4]) == 2
+    assert sum(r.length for r in rows if r.doc_id == 1) == 1 and sum(
+        r.length for r in rows if r.doc_id is None
+    ) == 3 and len([r for r in rows if r.doc_id == 4]) == 2
     assert packing.pack(df.limit(0)).count() == 0
 
 
@@ -415,7 +430,10 @@ def test_pii_training_is_deterministic_and_lowers_the_loss():
 
 def test_pii_base_spans_equal_the_patterns():
     rng = random.Random(18)
-    pieces = ["1", "22", "255", "256", "4111 1111 1111 1111", "4111111111111111", "+1 (415) 555-2671", "a", "b-c", "x_y%", "@", "@d.e", "@d..e", ".", "..", " ", "-", "(", ")", "+", "é", "٣", "\n", "007.1.2.3", "00000"]
+    pieces = [
+        "1", "22", "255", "256", "4111 1111 1111 1111", "4111111111111111", "+1 (415) 555-2671", "a", "b-c", "x_y%", "@", "@d.e", "@d..e", ".", "..", " ", "-",
+        "(", ")", "+", "é", "٣", "\n", "007.1.2.3", "00000"
+    ]
     some = 0
     for _ in range(6000):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
@@ -428,15 +446,21 @@ def test_pii_base_spans_equal_the_patterns():
 def test_pii_spans(spark, tagger):
     text = "é " * 50 + "mail a.b@c-d.org, call +1 (415) 555-2671 or (415) 555-2671; ip 10.0.0.255 not 1.2.3.400; card 4111 1111 1111 1111 or 4111111111111112. On 2024-01-02, v2.0, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""
     base = pii.base_spans(text)
-    assert [(k, text[s:e]) for s, k, e in base] == [("email", "a.b@c-d.org"), ("phone", "+1 (415) 555-2671"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111")]
+    assert [(k, text[s:e]) for s, k, e in base] == [
+        ("email", "a.b@c-d.org"), ("phone", "+1 (415) 555-2671"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111")
+    ]
     both = pii.add_spans(tagger, [text], [base])[0]
-    assert set(base) <= set(both) and {("phone", "(415) 555-2671"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")} <= {(k, text[s:e]) for s, k, e in both}
+    assert set(base) <= set(both) and {
+        ("phone", "(415) 555-2671"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")
+    } <= {(k, text[s:e]) for s, k, e in both}
     rows = pii.personal_data(frame(spark, [*AWKWARD, (20, text)]), model=tagger).collect()
     assert len(rows) == len(AWKWARD) + 1
     r = next(r for r in rows if r.doc_id == 20)
     spell = lambda spans: ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1) and r.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest()
-    assert r.spans == spell([x for x in both if x[1] != "secret"]) and r.secrets == spell([x for x in both if x[1] == "secret"]) and (r.n_spans, r.n_secret) == (5, 1)
+    assert r.spans == spell(
+        [x for x in both if x[1] != "secret"]
+    ) and r.secrets == spell([x for x in both if x[1] == "secret"]) and (r.n_spans, r.n_secret) == (5, 1)
     assert {(r.spans, r.secrets) for r in rows if r.doc_id != 20} == {("", "")}
     assert pii.personal_data(frame(spark, []), model=tagger).count() == 0
 
@@ -456,7 +480,11 @@ def test_pii_windows_cover_regions():
 def test_pii_recall_and_precision_on_documents(spark, sf_dir, tagger):
     """Personal data and secrets planted in real prose, in forms that the patterns miss, beside look-alikes."""
     rng = np.random.default_rng(5)
-    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) between 500 and 5000").orderBy("doc_id").limit(60).collect() if not pii.TRIGGER.search(r.text)]
+    docs = [
+        r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where(
+            "length(text) between 500 and 5000"
+        ).orderBy("doc_id").limit(60).collect() if not pii.TRIGGER.search(r.text)
+    ]
     wanted, found, right = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in range(200):
         text, marks = "", []
@@ -494,15 +522,26 @@ def test_pii_every_form_from_text_to_spans(tagger):
     for _ in range(count):
         card = next(c for c in (f"4{digits(15)}" for _ in range(1000)) if pii.luhn(c))
         a, b, c, quarters = digits(3), digits(3), digits(4), [card[k : k + 4] for k in range(0, 16, 4)]
-        forms = {("email", k, at, m): user + at + host + ".org" for k, user in enumerate((word(), f"{word()}.{digits(2)}", f"{word()}_{word()}")) for at in ("@", " (at) ", " [at] ", "(at)") for m, host in enumerate((word(), f"mail{digits(1)}.{word()}"))}
-        forms |= {("card", j): j.join(quarters) for j in ("", " ", "-", ".")} | {("ip", j): j.join(str(rng.randrange(256)) for _ in range(4)) for j in (".", "[.]", "(.)")}
-        forms |= {("phone", k): t for k, t in enumerate((f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0049 {a} {b}{c}", f"0{a}/{b}{c}"))}
+        forms = {
+            ("email", k, at, m): user + at + host + ".org" for k,
+            user in enumerate((word(), f"{word()}.{digits(2)}", f"{word()}_{word()}")) for at in ("@", " (at) ", " [at] ", "(at)") for m,
+            host in enumerate((word(), f"mail{digits(1)}.{word()}"))
+        }
+        forms |= {("card", j): j.join(quarters) for j in ("", " ", "-", ".")} | {
+            ("ip", j): j.join(str(rng.randrange(256)) for _ in range(4)) for j in (".", "[.]", "(.)")
+        }
+        forms |= {
+            ("phone", k): t for k,
+            t in enumerate((f"+1 ({a}) {b}-{c}", f"+44 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0049 {a} {b}{c}", f"0{a}/{b}{c}"))
+        }
         for form, s in forms.items():
             before = "please write to or call us about the new order "
             text = f"{before}{s} today and thanks for all of it"
             found[form] += (len(before), form[0], len(before) + len(s)) in pii.add_spans(tagger, [text], [pii.base_spans(text)])[0]
     assert len(found) == 38 and min(found.values()) >= 0.8 * count, found
-    assert pii.add_spans(tagger, ["write to john_doe (at) example.org today", "write to john.smith (at) example.com"], [[], []]) == [[(9, "email", 34)], [(9, "email", 36)]]
+    assert pii.add_spans(
+        tagger, ["write to john_doe (at) example.org today", "write to john.smith (at) example.com"], [[], []]
+    ) == [[(9, "email", 34)], [(9, "email", 36)]]
 
 
 # ---- 9 ----
@@ -560,7 +599,9 @@ def test_license_bands_retrieve_what_is_contained(monkeypatch):
 def test_close_pairs_matches_popcount():
     rng = np.random.default_rng(10)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
-    fps = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)), base ^ (np.uint64(7) << rng.integers(0, 60, 40, np.uint64))]))
+    fps = np.unique(
+        np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)), base ^ (np.uint64(7) << rng.integers(0, 60, 40, np.uint64))])
+    )
     for radius in (0, 1, 2, 3, 5):
         (links,) = simhash.close_pairs(fps, [radius], rows_at_once=32)
         bits = np.unpackbits(links.view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
@@ -579,7 +620,11 @@ def test_simhash_matches_brute_force(spark, tile):
             words[rng.randrange(len(words))] = "Edit"
         rows.append((i, rng.choice([" ", "  \n"]).join(words)))
     rows += [(500, None), (501, ""), (502, " \t"), (503, "A"), (504, "a"), (505, "a b")]
-    got = {r.id: (r.fp % (1 << 64), r.component_id) for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+    got = {
+        r.id: (r.fp % (1 << 64), r.component_id) for r in simhash.simhash_components(
+            spark.createDataFrame(rows, "doc_id long, text string"), tile=tile
+        ).collect()
+    }
     assert got == brute.components(rows)
 
 

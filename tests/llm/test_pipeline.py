@@ -103,7 +103,10 @@ def test_run_and_awkward_tables(spark, tmp_path):
     spark.createDataFrame(corpus(1), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(rows[0].asDict())
-    odd = [(None, None, None, None, None), (1, "", "en", None, 1), (1, "a", "en", "s", 1), (1, "a", "en", "s", 1), (None, "b " * 300, None, "s", 2), (2, "c " * 90_000, "de", "t", 3)]
+    odd = [
+        (None, None, None, None, None), (1, "", "en", None, 1), (1, "a", "en", "s", 1), (1, "a", "en", "s", 1), (None, "b " * 300, None, "s", 2),
+        (2, "c " * 90_000, "de", "t", 3)
+    ]
     extra = "kept string, `__words` string, component_id string, copies string, `a.b` string"
     for some in (odd, []):
         for _, stage in corpus_pipeline.STAGES:
