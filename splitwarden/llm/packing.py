@@ -39,45 +39,54 @@ class WordCoder:
     """The ids of a text as little-endian 32-bit integers.
 
     A tokenizer that prepares texts as word_bpe_49k.json does never joins across white space: ids are then kept for words and for the
-    chunks in them, so the tokenizer runs once for each new chunk. Texts in which white space or special strings could mean
+    chunks in them (a chunk is a word too), so the tokenizer runs once for each new chunk. Texts in which white space or special strings could mean
     something else than to str.split(), and all texts for other tokenizers, go to the tokenizer whole. What is kept
-    is bounded by ``most_bytes``, beyond which it is dropped and gathered anew.
+    is bounded by ``most_bytes``: half of it is gathered anew while the half before it still serves, so frequent words stay.
     """
 
-    def __init__(self, path: str, most_bytes: int = 24 << 20):
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         made = json.loads(self.tokenizer.to_str())
-        self.by_word = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and made["model"]["type"] == "BPE" and all(t["content"].startswith("<|") for t in made["added_tokens"])
+        self.by_word = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER and made["model"]["type"] == "BPE" and all(
+            t["content"].startswith("<|") for t in made["added_tokens"]
+        )
         self.most_bytes, self.held_bytes = most_bytes, 0
         self.words: dict = {}
-        self.chunks: dict = {}
+        self.old_words: dict = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level vocabularies
         other = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
 
-    def keep(self, held: dict, key: str, ids: bytes) -> None:
-        self.held_bytes += len(key) + len(ids) + 200  # and the objects around them
-        if self.held_bytes > self.most_bytes:
-            self.words.clear()
-            self.chunks.clear()
-            self.held_bytes = 0
-        held[key] = ids
+    def keep(self, word: str, ids: bytes) -> bytes:
+        self.held_bytes += len(word) + len(ids) + 200  # and the objects around them
+        if 2 * self.held_bytes > self.most_bytes:
+            self.old_words, self.words, self.held_bytes = self.words, {}, 0
+        self.words[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.words, self.old_words, self.held_bytes = {}, {}, 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        got = self.chunks.get(chunk)
+        got = self.words.get(chunk)
         if got is None:
-            spelled = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            self.keep(self.chunks, chunk, got)
+            got = self.old_words.get(chunk)
+            if got is None:
+                spelled = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+                got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            self.keep(chunk, got)
         return got
 
     def word(self, word: str) -> bytes:
+        got = self.old_words.get(word)
+        if got is not None:
+            return self.keep(word, got)
         low = word.lower()
         if low.isascii() and low.isprintable() or LATIN.fullmatch(low) and LATIN.fullmatch(word) and unicodedata.is_normalized("NFC", word):
             if low.isalpha():
@@ -86,10 +95,8 @@ class WordCoder:
                 got = self.chunk(low[:-1]) + self.chunk(low[-1])
             else:
                 got = b"".join([self.chunk(c) for c in CHUNK.findall(low)])
-        else:
-            got = self.whole(word)
-        self.keep(self.words, word, got)
-        return got
+            return got if word in self.words else self.keep(word, got)
+        return self.keep(word, self.whole(word))
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
@@ -128,7 +135,10 @@ def cut(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: i
                     rows.append((key, s, length, zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n, c, part, seen.get(c, 0)))
                     seen[c] = seen.get(c, 0) + 1
             columns = list(zip(*rows)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "k"]
+            )
+        code.forget()  # the worker process outlives the task
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), body(F.col(text_col)).alias("t"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class long, part long, k long")
@@ -270,7 +280,9 @@ def _place(shared):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8) -> DataFrame:
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, quantum: int = 8
+) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every row.
 
     Null texts count as empty: one piece that holds ``end_id``. Repeated rows and rows with a null id are packed like any
@@ -291,4 +303,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "rank")
     placed = placed.mapInArrow(_place(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, at long")
     in_sequence = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(in_sequence), F.lit(0))).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
