@@ -302,9 +302,10 @@ def near_duplicates(
     """(node, root) for every id that is linked to another; root is the smallest id reachable by links.
 
     Two rows link if the Jaccard similarity of their sets of word shingles is at least ``least``. SimHash fingerprints of 64 x
-    ``width`` bits choose the pairs: texts that share the key of a band are compared bit-sliced, within a radius three standard
-    deviations above the mean distance at ``least``. A bucket yields spanning forests that take closer pairs first, and the
-    exact similarity decides each of their edges. So no link is wrong, but a link close to the threshold can be missed.
+    ``width`` bits choose the pairs: texts that share the key of a band are compared bit-sliced, within a radius 2.5 standard
+    deviations above the mean distance at ``least``. A bucket yields three spanning forests that take closer pairs first (so edges grow
+    with its texts, not with its pairs), and the exact similarity decides each of their edges. So no link is wrong, but a text whose
+    few links are all close to the threshold can be missed, above all in a large group of texts that are almost as alike.
 
     Rows with a null id and texts without words have no links; rows that share an id are one node. A bucket of over ``tile`` texts
     is cut into tiles. First only texts of one tile are compared, which folds a large group of near copies to one text for
@@ -327,8 +328,8 @@ def near_duplicates(
     bits = 64 * width
     bands = choose_bands(reps.count(), least, bits, seed)
     mean = differing_share(least)
-    most = bits * mean + 3 * math.sqrt(bits * mean * (1 - mean))
-    radii = [round(bits * differing_share((1 + least) / 2)), round(bits * mean), round((bits * mean + most) / 2), round(most)]
+    spread = math.sqrt(bits * mean * (1 - mean))
+    radii = [round(bits * differing_share((1 + least) / 2)), *(round(bits * mean + k * spread) for k in (0, 1.25, 2.5))]
     keyed_schema = "key long, rep long, " + ", ".join(f"{n} long" for n in names)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -339,7 +340,7 @@ def near_duplicates(
 
     def compared(keyed: DataFrame) -> DataFrame:
         grouped = keyed.select("key", "low", "high", "rep", *names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-        return grouped.mapInArrow(_link_blocks(radii, 128, 3, rounds=8), "a long, b long")
+        return grouped.mapInArrow(_link_blocks(radii, 128, 3, rounds=3), "a long, b long")
 
     keyed = reps.mapInArrow(_band_keys(bands), keyed_schema)
     tiles = materialise(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "tiles")
