@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import importlib
 import json
-import unicodedata
+import struct
 import zlib
 from functools import lru_cache
 
@@ -32,7 +32,7 @@ PRE_TOKENIZER = {
     "pretokenizers": [{"type": "Split", "pattern": {"Regex": CHUNK_PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
 }
 CHUNK = regex.compile(CHUNK_PATTERN)
-LATIN = regex.compile("[\x21-\x7e\xa1-ɏ]+")
+LATIN, LAST = regex.compile("[\x21-\x7e\xa1-ɏ]+"), "ɏ"
 
 
 class WordCoder:
@@ -41,10 +41,10 @@ class WordCoder:
     A tokenizer that prepares texts as word_bpe_49k.json does never joins across white space: ids are then kept for words and for the
     chunks in them (a chunk is a word too), so the tokenizer runs once for each new chunk. Texts in which white space or special strings could mean
     something else than to str.split(), and all texts for other tokenizers, go to the tokenizer whole. What is kept
-    is bounded by ``most_bytes``: half of it is gathered anew while the half before it still serves, so frequent words stay.
+    is bounded by ``most_bytes``; frequent words come early, so the first ones are kept until ``forget``.
     """
 
-    def __init__(self, path: str, most_bytes: int = 96 << 20):
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,48 +55,46 @@ class WordCoder:
         )
         self.most_bytes, self.held_bytes = most_bytes, 0
         self.words: dict = {}
-        self.old_words: dict = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level vocabularies
         other = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(other)}
 
-    def keep(self, word: str, ids: bytes) -> bytes:
-        self.held_bytes += len(word) + len(ids) + 200  # and the objects around them
-        if 2 * self.held_bytes > self.most_bytes:
-            self.old_words, self.words, self.held_bytes = self.words, {}, 0
-        self.words[word] = ids
-        return ids
-
     def forget(self) -> None:
-        self.words, self.old_words, self.held_bytes = {}, {}, 0
+        self.words, self.held_bytes = {}, 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def chunk(self, chunk: str) -> bytes:
+        """The ids of a piece of a lower-case word that the tokenizer does not split before its merges."""
         got = self.words.get(chunk)
         if got is None:
-            got = self.old_words.get(chunk)
-            if got is None:
-                spelled = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
-                got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            spelled = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
             self.keep(chunk, got)
         return got
 
+    def keep(self, word: str, ids: bytes) -> None:
+        if self.held_bytes < self.most_bytes:
+            self.held_bytes += len(word) + len(ids) + 200  # and the objects around them
+            self.words[word] = ids
+
     def word(self, word: str) -> bytes:
-        got = self.old_words.get(word)
-        if got is not None:
-            return self.keep(word, got)
         low = word.lower()
-        if low.isascii() and low.isprintable() or LATIN.fullmatch(low) and LATIN.fullmatch(word) and unicodedata.is_normalized("NFC", word):
-            if low.isalpha():
-                got = self.chunk(low)
-            elif low[-1] in ".," and low[:-1].isalpha():
+        if low.isalpha() and (low.isascii() or max(low) <= LAST and max(word) <= LAST):  # no combining mark is below LAST, so it is NFC
+            got = self.chunk(low)
+            if low == word:
+                return got
+        elif low.isascii() and low.isprintable() or LATIN.fullmatch(low) and LATIN.fullmatch(word):
+            if low[-1] in ".," and low[:-1].isalpha():
                 got = self.chunk(low[:-1]) + self.chunk(low[-1])
             else:
                 got = b"".join([self.chunk(c) for c in CHUNK.findall(low)])
-            return got if word in self.words else self.keep(word, got)
-        return self.keep(word, self.whole(word))
+        else:
+            got = self.whole(word)
+        self.keep(word, got)
+        return got
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
@@ -104,7 +102,8 @@ class WordCoder:
         words = text.split()
         got = list(map(self.words.get, words))
         if None in got:
-            got = [self.word(words[k]) if g is None else g for k, g in enumerate(got)]
+            word = self.word
+            got = [word(w) if g is None else g for w, g in zip(words, got)]
         return b"".join(got)
 
 

@@ -318,7 +318,7 @@ def test_other_tokenizers_are_used_whole():
     rng = random.Random(71)
     for _ in range(50):
         t = prose(rng, 30)
-        assert small.by_word and np.frombuffer(small.encode(t), "<u4").tolist() == small.tokenizer.encode(t, add_special_tokens=False).ids and 2 * small.held_bytes <= 2000 and len(small.words) + len(small.old_words) < 20
+        assert small.by_word and np.frombuffer(small.encode(t), "<u4").tolist() == small.tokenizer.encode(t, add_special_tokens=False).ids and small.held_bytes < 2300 and len(small.words) < 20
 
 
 def check_pieces(rows, docs, code):
@@ -460,7 +460,7 @@ def test_pii_spans(spark, tagger):
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1) and r.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest()
     assert r.spans == spell(
         [x for x in both if x[1] != "secret"]
-    ) and r.secrets == spell([x for x in both if x[1] == "secret"]) and (r.n_spans, r.n_secret) == (5, 1)
+    ) and r.secrets == spell([x for x in both if x[1] == "secret"]) and (r.n_spans, r.n_secret, r.n_found) == (5, 1, 6)
     assert {(r.spans, r.secrets) for r in rows if r.doc_id != 20} == {("", "")}
     assert pii.personal_data(frame(spark, []), model=tagger).count() == 0
 
@@ -666,5 +666,5 @@ def test_near_copy_bands_have_high_recall():
     bits = [[np.unpackbits(fp.view(np.uint8), bitorder="little") for fp in pair] for pair in pairs]
     for rows in (1000, 200_000, 10**9):
         bands = simhash.choose_bands(rows, 0.8, 256, 42)
-        met = sum((x[bands] == y[bands]).all(1).any() and (x != y).sum() <= 57 for x, y in bits)
+        met = sum((x[bands] == y[bands]).all(1).any() and (x != y).sum() <= 53 for x, y in bits)
         assert met >= 0.98 * len(pairs)
