@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .langid import identify, train
 from .licenses import license_scan
 from .mixing import mix
 from .packing import pack
+from .periodic import periodic_runs
 from .pii import personal_data
 from .quality import ORACLE as QUALITY_SQL
 from .quality import quality_rules
@@ -21,6 +24,7 @@ from .url_filter import RULES, parse_rule, url_verdicts
 
 #: Production parameters.
 QUALITY = {"max_docs": 20, "least_share": 0.3}
+DIVERGENCE = {"least_docs": 3, "top": 200}
 MIXING = {"weights": (5, 2, 1), "share": 1.5, "cap": 2.0, "seed": 42}
 
 
@@ -77,11 +81,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(read(spark, sf_dir, "documents").select("doc_id", "text"), least=12, plant=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents").select("text", "lang", "source"), **DIVERGENCE)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op5_quality_rules_whole, op6_language_id, op7_packing, op8_pii,
-        op9_license_scan, op10_simhash
+        op9_license_scan, op10_simhash, op12_periodic_runs, op13_source_divergence
     )
 }
 
@@ -95,4 +108,5 @@ ORACLE = {
     "op3_url_filters": URL_SQL,
     "op5_quality_rules": QUALITY_SQL.format(**QUALITY),
     "op5_quality_rules_whole": QUALITY_SQL.format(**QUALITY),
+    "op13_source_divergence": DIVERGENCE_SQL.format(**DIVERGENCE),
 }
