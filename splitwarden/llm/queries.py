@@ -19,6 +19,8 @@ from .quality import ORACLE as QUALITY_SQL
 from .quality import quality_rules
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
+from .topk import ORACLE as TOPK_SQL
+from .topk import top_k
 from .url_filter import ORACLE as URL_SQL
 from .url_filter import RULES, parse_rule, url_verdicts
 
@@ -81,6 +83,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(read(spark, sf_dir, "documents").select("doc_id", "text"), least=12, plant=True)
     return found.withColumnRenamed("id", "doc_id")
@@ -94,7 +100,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_exact_dedup, op2_suffix_dedup, op3_url_filters, op4_mixing, op5_quality_rules, op5_quality_rules_whole, op6_language_id, op7_packing, op8_pii,
-        op9_license_scan, op10_simhash, op12_periodic_runs, op13_source_divergence
+        op9_license_scan, op10_simhash, op11_exact_topk, op12_periodic_runs, op13_source_divergence
     )
 }
 
@@ -108,5 +114,6 @@ ORACLE = {
     "op3_url_filters": URL_SQL,
     "op5_quality_rules": QUALITY_SQL.format(**QUALITY),
     "op5_quality_rules_whole": QUALITY_SQL.format(**QUALITY),
+    "op11_exact_topk": TOPK_SQL,
     "op13_source_divergence": DIVERGENCE_SQL.format(**DIVERGENCE),
 }
