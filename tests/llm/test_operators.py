@@ -642,7 +642,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     want = db.execute(queries.ORACLE[name])
