@@ -12,6 +12,7 @@ from __future__ import annotations
 import importlib
 import json
 import struct
+import warnings
 import zlib
 from functools import lru_cache
 
@@ -169,31 +170,51 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(value[capacity]), counts
 
 
-def column_generation(sizes: list[int], needs: list[int], capacity: int, gap: float = 2e-3, most_rounds: int = 6000) -> list[tuple[dict, float]]:
-    """Patterns and how often each is used, of a linear program that covers ``needs`` pieces of ``sizes``.
+def column_generation(sizes: list[int], needs: list[int], capacity: int, pool: list[dict], gap: float = 1e-3, most_rounds: int = 20_000) -> tuple[list[tuple[dict, float]], float]:
+    """Patterns and how often each is used, of a linear program that covers ``needs`` pieces of ``sizes``, and a lower bound of the number
+    of sequences.
 
-    A revised simplex method from one pattern for each size. A size with a negative price gets its surplus column; otherwise
-    the knapsack prices a new pattern. The sum divided by the best price bounds the least number of sequences from below, as does
-    the total length; the method stops within ``gap`` of the higher bound.
+    A revised simplex method from one pattern for each size. A size with a negative price (a surplus column) and the patterns known so
+    far, at first those of ``pool``, compete by what they save; where none saves anything, the knapsack prices a new pattern, at
+    prices smoothed by the best ones so far, or at the plain ones if that finds none. Prices divided by the dearest pattern's
+    price bound the number of sequences, as does the total length; the method stops within ``gap`` of the higher bound, or at the optimum. A
+    warning is given if it stops at ``most_rounds``.
     """
     order = np.argsort(sizes)
     s, n = np.asarray(sizes)[order], np.asarray(needs, float)[order]
+    place = {int(v): k for k, v in enumerate(s)}
+    known = np.zeros((len(s), len(pool)))
+    for j, pattern in enumerate(pool):
+        known[[place[v] for v in pattern], j] = list(pattern.values())
     start = capacity // s
     basis, cost = np.diag(start.astype(float)), np.ones(len(s))
     inverse, x = np.diag(1.0 / start), n / start
-    bound = float((s * n).sum() / capacity)
+    bound, best, best_bound = float((s * n).sum() / capacity), None, 0.0
     for _ in range(most_rounds):
         prices = cost @ inverse
-        low = int(prices.argmin())
-        column, price = np.zeros(len(s)), 0.0
-        if prices[low] < -1e-7:
+        low, worth = int(prices.argmin()), prices @ known
+        fit = int(worth.argmax()) if len(worth) else -1
+        saved = worth[fit] - 1 if len(worth) else 0.0
+        if -prices[low] > max(1e-7, saved):
+            column, price = np.zeros(len(s)), 0.0
             column[low] = -1
+        elif saved > 1e-7:
+            column, price = known[:, fit], 1.0
         else:
-            value, column = best_pattern(s, prices, capacity)
-            price, total = 1.0, float(cost @ x)
-            bound = max(bound, total / max(value, 1.0))
-            if value <= 1 + 1e-9 or total <= bound * (1 + gap):
+            if float(cost @ x) <= bound * (1 + gap):
                 break
+            plain, price = np.maximum(prices, 0), 1.0
+            for smooth in ([] if best is None else [0.7 * best + 0.3 * plain]) + [plain]:
+                value, column = best_pattern(s, smooth, capacity)
+                reached = float(n @ smooth) / max(value, 1e-9)
+                if reached > best_bound:
+                    best, best_bound = smooth / max(value, 1e-9), reached
+                if prices @ column > 1 + 1e-7:
+                    break
+            else:
+                bound = max(bound, best_bound)
+                break  # no pattern saves anything
+            bound, known = max(bound, best_bound), np.column_stack([known, column])
         direction = inverse @ column
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -205,47 +226,59 @@ def column_generation(sizes: list[int], needs: list[int], capacity: int, gap: fl
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
-    return [({int(s[k]): int(basis[k, j]) for k in np.flatnonzero(basis[:, j])}, float(x[j])) for j in range(len(s)) if cost[j]]
+    else:
+        warnings.warn(f"the linear program stopped after {most_rounds} rounds at {cost @ x:.1f} sequences, {bound:.1f} at least", stacklevel=2)
+    return [({int(s[k]): int(basis[k, j]) for k in np.flatnonzero(basis[:, j])}, float(x[j])) for j in range(len(s)) if cost[j]], bound
+
+
+def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
+    """The pattern of the longest piece and the others that fill its rest best."""
+    first = max(left)
+    taken = {first: 1}
+    room, sums, trail = capacity - first, 1, []
+    for s in sorted(left, reverse=True):
+        for _ in range(min(left[s] - taken.get(s, 0), room // s)):
+            trail.append((s, sums))  # sums: bit r is set if the pieces so far can add up to r
+            sums |= sums << s & (1 << room + 1) - 1
+        if sums >> room & 1:
+            break
+    at = sums.bit_length() - 1
+    for s, before in reversed(trail):
+        if not before >> at & 1:
+            taken[s] = taken.get(s, 0) + 1
+            at -= s
+    return taken
 
 
-def fill(left: dict[int, int], capacity: int) -> list[dict]:
-    """Patterns for the few pieces that rounding leaves: the longest piece, and the others that fill its rest best."""
-    left, out = {s: c for s, c in left.items() if c}, []
+def fill(needs: dict[int, int], capacity: int) -> list[tuple[dict, int]]:
+    """(pattern, times) of fullest patterns, each used as often as its pieces last."""
+    left, out = {s: c for s, c in needs.items() if c}, []
     while left:
-        first = max(left)
-        taken = {first: 1}
-        room, sums, trail = capacity - first, 1, []
-        for s in sorted(left, reverse=True):
-            for _ in range(min(left[s] - taken.get(s, 0), room // s)):
-                trail.append((s, sums))  # sums: bit r is set if the pieces so far can add up to r
-                sums |= sums << s & (1 << room + 1) - 1
-            if sums >> room & 1:
-                break
-        at = sums.bit_length() - 1
-        for s, before in reversed(trail):
-            if not before >> at & 1:
-                taken[s] = taken.get(s, 0) + 1
-                at -= s
-        for s, c in taken.items():
-            left[s] -= c
+        pattern = fullest(left, capacity)
+        times = min(left[s] // c for s, c in pattern.items())
+        out.append((pattern, times))
+        for s, c in pattern.items():
+            left[s] -= times * c
             if not left[s]:
                 del left[s]
-        out.append(taken)
     return out
 
 
 def plan(needs: dict[int, int], capacity: int) -> list[tuple[dict, int]]:
-    """(pattern, times) that cut exactly ``needs``: the program's patterns rounded down, then ``fill`` for what is left."""
+    """(pattern, times) that cut exactly ``needs``: the program's patterns rounded down and ``fill`` for what is left, or ``fill`` alone
+    where that takes fewer sequences."""
     if not needs:
         return []
+    plain = fill(needs, capacity)
     used, left = [], dict(needs)
-    for pattern, times in sorted(column_generation(list(needs), list(needs.values()), capacity), key=lambda p: -p[1]):
+    patterns, _ = column_generation(list(needs), list(needs.values()), capacity, [p for p, _ in plain])
+    for pattern, times in sorted(patterns, key=lambda p: -p[1]):
         times = min([int(times + 1e-6), *(left[s] // c for s, c in pattern.items())])
         if times:
             used.append((pattern, times))
             for s, c in pattern.items():
                 left[s] -= times * c
-    return used + [(p, 1) for p in fill(left, capacity)]
+    return min(used + fill(left, capacity), plain, key=lambda found: sum(times for _, times in found))
 
 
 def slots_of(counts: dict[int, int], whole: int) -> dict[str, np.ndarray]:

@@ -381,6 +381,24 @@ def test_plan_is_exact_and_near_the_bound():
         assert sum(t for _, t in used) <= 1.02 * sum(s * c for s, c in needs.items()) / 256 + 2
 
 
+def test_plan_is_no_worse_than_best_fit():
+    """Plans against best-fit decreasing, and the program against its bound."""
+    rng = np.random.default_rng(17)
+    for top, count, low in ((256, 3000, 1), (256, 800, 100), (200, 2000, 60), (40, 5000, 1)):
+        pieces = rng.integers(low, top, count)
+        needs = {int(s): int(c) for s, c in zip(*np.unique(pieces, return_counts=True))}
+        rooms = []
+        for size in sorted(pieces.tolist(), reverse=True):
+            fits = [r for r in rooms if r >= size]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else 256) - size)
+        used = sum(t for _, t in packing.plan(needs, 256))
+        patterns, bound = packing.column_generation(list(needs), list(needs.values()), 256, [p for p, _ in packing.fill(needs, 256)])
+        assert bound - 1e-6 <= sum(t for _, t in patterns) <= 1.002 * bound + 1e-6  # it converges
+        assert bound - 1e-6 <= used <= len(rooms)
+
+
 def test_knapsack_against_enumeration():
     sizes, prices = np.array([3, 5, 7]), np.array([0.3, 0.55, 0.7])
     best = max(0.3 * a + 0.55 * b + 0.7 * c for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 16)
