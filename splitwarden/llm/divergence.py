@@ -2,8 +2,9 @@
 
 The first pass counts in how many documents of a language each term stands, exactly, and keeps the terms of enough documents.
 The second pass finds the kept terms again in texts whose terms are padded by blanks, with an Aho-Corasick automaton
-of " term " patterns, and counts them for each source. Texts go in slices of bounded size, and a slice's automaton holds only
-the kept terms that occur in the slice, so no task and no driver ever holds a vocabulary.
+of " term " patterns, and counts them for each source. A task reads its texts in slices of bounded size, and a slice's automaton holds
+only those of the slice's terms that a Bloom filter of fixed size lets through; counts of terms that aren't kept fall out when they
+meet the kept ones. So no task and no driver ever holds a vocabulary.
 
 Sources are compared by sparse postings: a sum over all kept terms is what two sources without any term would give, plus what
 the terms of one or the other add, counted by a histogram of its shares, plus a correction for each term they share. Tasks add up
@@ -17,85 +18,96 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, materialise, slices
 
-#: Bytes of text in a slice, sources in a block, and entries that a task counts before it passes them on.
-SLICE_BYTES, BLOCK, HELD = 16 << 20, 512, 200_000
+#: Bytes of text in a slice, sources in a block, entries that a task counts before it passes them on, and bits of the filter as a power of two.
+SLICE_BYTES, BLOCK, HELD, FILTER_BITS = 32 << 20, 512, 400_000, 26
 #: ASCII letters become lower case, other ASCII characters blanks; bytes of other characters stay.
 TABLE = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 if b < 128 else b for b in range(256))
 
-SLICED = "slice long, lang string, source string, t string"
 
-
-def padded(text: str) -> str:
-    """The terms of a text, each between single blanks."""
-    terms = text.encode().translate(TABLE).split()
-    return f" {b' '.join(terms).decode()} " if terms else ""
-
-
-def _slice(batches):
-    """Rows with padded texts and the number of their slice."""
-    number, held = TaskContext.get().partitionId() << 32, 0
-    for batch in slices(batches):
-        texts, at = [], []
-        for t in batch.column(2).to_pylist():
-            texts.append(padded(t))
-            if held > SLICE_BYTES:
-                number, held = number + 1, 0
-            held += len(texts[-1])
-            at.append(number)
-        columns = [pa.array(at, pa.int64()), batch.column(0), batch.column(1), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=["slice", "lang", "source", "t"])
+def terms_of(text: str) -> list[bytes]:
+    return text.encode().translate(TABLE).split()
 
 
 def _counts(held: dict, names: list[str]) -> pa.RecordBatch:
     """Rows of keys, a term and its count."""
-    rows = [(*key, term, n) for key, terms in held.items() for term, n in terms.items()]
-    columns = list(zip(*rows)) or [()] * len(names)
-    kinds = {"slice": pa.int64(), "n": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(x, pa.string())) for x, c in zip(names, columns)], names=names)
+    size = [len(terms) for terms in held.values()]
+    keys = [pa.array(k, pa.string()).take(pa.array(np.repeat(np.arange(len(size)), size))) for k in (zip(*held) if held else [()] * (len(names) - 2))]
+    terms = pa.array([t for found in held.values() for t in found], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([*keys, terms, pa.array([n for found in held.values() for n in found.values()], pa.int64())], names=names)
 
 
 def _document_terms(batches):
-    """(slice, lang, term, n): in how many documents a term stands; a term may have several rows."""
-    names, held = ["slice", "lang", "term", "n"], defaultdict(Counter)
+    """(lang, term, n): in how many documents a term stands; a term may have several rows."""
+    names, held = ["lang", "term", "n"], defaultdict(Counter)
     for batch in slices(batches):
-        for number, lang, t in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))):
-            held[number, lang].update(set(t.split()) if t.isascii() else set(t[1:-1].split(" ")) - {""})
+        for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
+            held[lang,].update(set(terms_of(t)))
         if sum(map(len, held.values())) > HELD:
             yield _counts(held, names)
             held.clear()
     yield _counts(held, names)
 
 
-def _recount(batches):
-    """(lang, source, term, n) of slices: each begins with its kept terms, which the automaton then finds in its texts."""
-    import ahocorasick
-
-    names, held = ["lang", "source", "term", "n"], defaultdict(Counter)
-    at, automata, waiting = None, {}, {}
-    for batch in slices(batches):
-        for number, lang, source, t, term in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if number != at:
-                at, automata, waiting = number, {}, {}
-            if term is not None:
-                if lang not in waiting:
-                    waiting[lang] = ahocorasick.Automaton()
-                waiting[lang].add_word(f" {term} ", term)
-                continue
-            if lang in waiting:
-                automata[lang] = waiting.pop(lang)
-                automata[lang].make_automaton()
-            if lang in automata and t:
-                held[lang, source].update(map(itemgetter(1), automata[lang].iter(t)))
-        if sum(map(len, held.values())) > HELD:
-            yield _counts(held, names)
-            held.clear()
-    yield _counts(held, names)
+def filter_places(lang: str, term: bytes) -> tuple[int, int]:
+    """The two bits of the filter that a kept term sets, as ``_filter`` computes them."""
+    h, most = xxhash.xxh64_intdigest(b"%b %b" % (lang.encode(), term), 42), (1 << FILTER_BITS) - 1
+    return h & most, h >> 32 & most
+
+
+def _filter(kept: DataFrame) -> np.ndarray:
+    """The filter's words of 64 bits: at most 2^FILTER_BITS bits, whatever the number of terms."""
+    h, most = F.xxhash64(F.concat("lang", F.lit(" "), "term")), F.lit((1 << FILTER_BITS) - 1).cast("long")
+    places = kept.select(F.explode(F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most))).alias("at"))
+    words = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << FILTER_BITS - 6), np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def _recount(shared):
+    """(lang, term, source, n) of the terms that the filter lets through, which a slice's automaton finds in its texts."""
+
+    def run(batches):
+        import ahocorasick
+
+        words = shared.value
+        names, held = ["lang", "source", "term", "n"], defaultdict(Counter)
+
+        def count(texts: dict):
+            for lang, rows in texts.items():
+                automaton = ahocorasick.Automaton()
+                for term in {t for _, found in rows for t in found.split()}:
+                    if all(int(words[at >> 6]) >> (at & 63) & 1 for at in filter_places(lang, term)):
+                        automaton.add_word(f" {term.decode()} ", term)
+                if not len(automaton):
+                    continue
+                automaton.make_automaton()
+                for source, found in rows:
+                    held[lang, source].update(map(itemgetter(1), automaton.iter(found.decode())))
+
+        texts, size = defaultdict(list), 0
+        for batch in slices(batches):
+            for lang, source, t in zip(*(c.to_pylist() for c in batch.columns)):
+                found = terms_of(t)
+                if found:
+                    texts[lang].append((source, b" %b " % b" ".join(found)))
+                    size += len(texts[lang][-1][1])
+                if size > SLICE_BYTES:
+                    count(texts)
+                    texts, size = defaultdict(list), 0
+                    if sum(map(len, held.values())) > HELD:
+                        yield _counts(held, names)
+                        held.clear()
+        count(texts)
+        yield _counts(held, names)
+
+    return run
 
 
 def excess(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -131,8 +143,11 @@ def _corrections(batches):
         yield rows()
 
 
-#: 1 + floor(10^9 (n + 1) / (N + V)), and floor((p - q)^2 / q).
-SHARE = "1 + (cast(1000000000 as decimal(20, 0)) * cast({n} + 1 as decimal(18, 0))) div cast({total} + v as decimal(20, 0))"
+#: 1 + floor(10^9 (n + 1) / (N + V)), in decimals where longs are too short, and floor((p - q)^2 / q).
+SHARE = (
+    "case when {n} < 9000000000 then 1 + (1000000000L * ({n} + 1)) div ({total} + v) "
+    "else 1 + (cast(1000000000 as decimal(20, 0)) * cast({n} + 1 as decimal(18, 0))) div cast({total} + v as decimal(20, 0)) end"
+)
 EXCESS = "(({p} - {q}) * ({p} - {q})) div {q}"
 
 
@@ -147,27 +162,29 @@ def source_divergence(
     empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    plain = docs.select(*(body(F.col(c).cast("string")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "t"))))
-    texts = materialise(plain.mapInArrow(_slice, SLICED), "slices")
-    terms = materialise(texts.select("slice", "lang", "t").mapInArrow(_document_terms, "slice long, lang string, term string, n long"), "terms")
+    texts = docs.select(*(body(F.col(c).cast("string")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "t"))))
+    terms = texts.select("lang", "t").mapInArrow(_document_terms, "lang string, term string, n long")
     kept = materialise(terms.groupBy("lang", "term").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"), "kept")
-    own = terms.select("slice", "lang", "term").join(kept, ["lang", "term"]).distinct()
-    both = texts.withColumn("term", F.lit(None).cast("string")).unionByName(own, allowMissingColumns=True)
-    both = both.repartition("slice").sortWithinPartitions("slice", F.col("term").isNull()).select("slice", "lang", "source", "t", "term")
-    counts = both.mapInArrow(_recount, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "postings")
+    found = texts.mapInArrow(_recount(spark.sparkContext.broadcast(_filter(kept))), "lang string, source string, term string, n long")
+    # one shuffle by term: sums for each source, and the mark of the kept terms
+    marked = found.unionByName(kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(0).cast("long").alias("n"))).repartition("lang", "term")
+    summed = marked.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    lists = summed.groupBy("lang", "term").agg(F.max(F.col("source").isNull()).alias("kept"), F.sum("n").alias("whole"), F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))).alias("list"))
+    lists = materialise(lists.where("kept").drop("kept"), "postings")
+    counts = lists.select("lang", "term", "whole", F.explode("list").alias("at")).select("lang", "term", "whole", "at.source", "at.n")
 
     # every source of a language: its number in the language, the words it has of kept terms, and the share of a term it lacks
     order = Window.partitionBy("lang").orderBy("source")
     groups = texts.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-    groups = groups.join(kept.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").na.fill(0, ["total", "v"])
+    groups = groups.join(lists.groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").na.fill(0, ["total", "v"])
     groups = groups.withColumn("number", (F.row_number().over(order) - 1).cast("long"))
     groups = materialise(groups.withColumn("zero", F.when(F.col("v") > 0, F.expr(SHARE.format(n="0L", total="total")))), "groups")
-    postings = counts.join(groups, ["lang", "source"]).withColumn("p", F.expr(SHARE.format(n="n", total="total")))
-
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("v").alias("v"))
-    share = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "term", F.expr(SHARE.format(n="n", total="total")).alias("q"))
-    above = postings.select("lang", "source", "term", "p").join(share, ["lang", "term"]).where("p > q")
+    sums = groups.groupBy("lang").agg(F.sum("total").alias("all_terms"))
+    postings = counts.join(groups.join(sums, "lang"), ["lang", "source"]).withColumns(
+        {"p": F.expr(SHARE.format(n="n", total="total")), "q": F.expr(SHARE.format(n="whole", total="all_terms"))}
+    )
+    postings = postings.select("lang", "term", "source", "number", "zero", "p", "q")
+    above = postings.where("p > q")
     above = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(EXCESS.format(p="p", q="q")).alias("value"))
 
     blocks = postings.groupBy("lang", "term", F.expr(f"number div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("number", "p", "zero")).alias("list"))

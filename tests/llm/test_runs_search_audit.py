@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from splitwarden.llm import divergence, periodic, queries, topk
+from splitwarden.llm import divergence, periodic, topk
 
 from .brute import WORD
 
@@ -249,7 +249,18 @@ def test_divergence_awkward(spark):
     assert found_divergence(spark, []) == []
 
 
-def test_padded_terms():
-    assert divergence.padded("A1b-Ç\x7fÄz\n") == " a b Ç Äz "
-    assert divergence.padded("12 \x1c") == ""
-    assert {"op11_exact_topk", "op12_periodic_runs", "op13_source_divergence"} <= set(queries.QUERIES)
+def test_terms_and_filter(spark):
+    assert divergence.terms_of("A1b-Ç\x7fÄz\n") == [b"a", b"b", "Ç".encode(), "Äz".encode()]
+    assert divergence.terms_of("12 \x1c") == []
+    words = divergence._filter(spark.createDataFrame([("de", "wort"), ("", "ß")], "lang string, term string"))
+    set_bits = {64 * k + b for k in np.flatnonzero(words).tolist() for b in range(64) if int(words[k]) >> b & 1}
+    assert set_bits == {*divergence.filter_places("de", b"wort"), *divergence.filter_places("", "ß".encode())}
+
+
+@pytest.mark.parametrize("bits", [6, 8])
+def test_divergence_with_a_full_filter(spark, monkeypatch, bits):
+    """Terms that pass the filter and aren't kept must not count."""
+    monkeypatch.setattr(divergence, "FILTER_BITS", bits)
+    rng = random.Random(bits)
+    rows = [(" ".join("t" + "".join(rng.choice("abcdef") for _ in range(2)) for _ in range(6)), "en", f"s{k % 4}") for k in range(60)]
+    assert found_divergence(spark, rows, least_docs=10, top=5) == plain_divergence(rows, 10, 5)
