@@ -82,17 +82,18 @@ def _above(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def close_pairs(fps: np.ndarray, radii: list[int], rows_at_once: int = 128, look_every: int = 8) -> list[np.ndarray]:
+def close_pairs(fps: np.ndarray, radii: list[int], rows_at_once: int = 128, look_every: int = 8, first_rows: int | None = None) -> list[np.ndarray]:
     """A bit matrix (n x words) for each of the rising radii: bit j of row i is set if j > i and fps[i], fps[j] differ in at most
-    that many bits. Fingerprints are rows of one or more 64-bit words."""
+    that many bits. Fingerprints are rows of one or more 64-bit words. With ``first_rows``, only so many rows are compared with those after them."""
     n = len(fps)
+    compared = n if first_rows is None else first_rows
     fps = np.ascontiguousarray(fps).reshape(n, -1)
     planes = _planes(fps)
     width, most = planes.shape[1], radii[-1]
     out = [np.zeros((n, width), np.uint64) for _ in radii]
     position = np.arange(width * 64)
-    for at in range(0, n, rows_at_once):
-        rows = np.arange(at, min(n, at + rows_at_once))
+    for at in range(0, compared, rows_at_once):
+        rows = np.arange(at, min(compared, at + rows_at_once))
         first = at // 64
         valid = (position[None, first * 64 :] > rows[:, None]) & (position[None, first * 64 :] < n)
         over = ~np.packbits(valid, axis=1, bitorder="little").view(np.uint64)
@@ -112,52 +113,57 @@ def close_pairs(fps: np.ndarray, radii: list[int], rows_at_once: int = 128, look
     return out
 
 
-def forest(levels: list[np.ndarray], rounds: int = 1) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph whose upper half is the last bit matrix; edges of earlier matrices come first.
+def forest(levels: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph whose upper half is the last bit matrix; edges of earlier matrices come first."""
+    edges, parent = [], list(range(len(levels[0])))
 
-    Each further round adds a spanning forest of the edges not yet taken over the components of the first matrix, for a caller that
-    may drop edges.
-    """
-    n = len(levels[0])
-    near = [
-        [
-            (i, np.flatnonzero(np.unpackbits(links[i].view(np.uint8), bitorder="little")).tolist()) for i in np.flatnonzero(links.any(axis=1)).tolist()
-        ] for links in levels
-    ]
-    edges: dict = {}
-    sure = list(range(n))
-
-    def root(parent, x):
+    def root(x):
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    def join(parent, rows):
-        for i, others in rows:
-            for j in others:
-                if (i, j) not in edges:
-                    a, b = root(parent, i), root(parent, j)
-                    if a != b:
-                        parent[b] = a
-                        edges[i, j] = True
-
-    join(sure, near[0])
-    for _ in range(rounds):
-        parent = sure.copy()
-        for rows in near[1:]:
-            join(parent, rows)
-    return list(edges)
-
-
-def _link_blocks(radii: list[int], block: int, keys: int, rounds: int = 1):
+    for links in levels:
+        for i in np.flatnonzero(links.any(axis=1)).tolist():
+            for j in np.flatnonzero(np.unpackbits(links[i].view(np.uint8), bitorder="little")).tolist():
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[b] = a
+                    edges.append((i, j))
+    return edges
+
+
+def forests(pairs: list[tuple[int, int]], groups: np.ndarray, count: int) -> list[tuple[int, int]]:
+    """The edges of up to ``count`` spanning forests over the groups of nodes, each of pairs that no forest before it took."""
+    taken: dict = {}
+    for _ in range(count):
+        parent, before = {}, len(taken)
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for i, j in pairs:
+            if (i, j) not in taken:
+                a, b = root(groups[i]), root(groups[j])
+                if a != b:
+                    parent[b] = a
+                    taken[i, j] = True
+        if len(taken) == before:
+            break
+    return list(taken)
+
+
+def _link_blocks(radii: list[int], block: int, keys: int):
     """Reads rows (``keys`` columns, rep, words of the fingerprint) sorted by the keys, and compares whole buckets, several small ones
     at a time. Smaller reps come first, so that a clique becomes a star around its smallest rep."""
 
     def compare(fps, reps):
         fps, reps = np.concatenate(fps), np.concatenate(reps)
         reps, first = np.unique(reps, return_index=True)
-        pairs = forest(close_pairs(fps[first], radii, 512, 8 * fps.shape[1]), rounds)
+        pairs = forest(close_pairs(fps[first], radii, 512, 8 * fps.shape[1]))
         return pa.RecordBatch.from_arrays([pa.array(reps[[p[k] for p in pairs]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
@@ -277,21 +283,67 @@ def _band_keys(bands: np.ndarray):
     return run
 
 
-def _jaccard_links(least: float, words_per_shingle: int, seed: int):
-    """Reads (a, ta, b, tb) and yields the (a, b) whose shingle sets are alike enough; rows with one a lie side by side."""
+def _jaccard(least: float, words_per_shingle: int, seed: int):
+    """Reads (a, ta, b, tb) and yields whether their shingle sets are alike enough; rows with one a lie side by side."""
 
     def run(batches):
         last, set_a = None, None
         for batch in slices(batches):
-            out = []
+            alike = []
             for a, ta, b, tb in zip(*(c.to_pylist() for c in batch.columns)):
                 if (a, ta) != last:
                     last, set_a = (a, ta), np.unique(shingle_hashes(ta, words_per_shingle, seed))
                 set_b = np.unique(shingle_hashes(tb, words_per_shingle, seed))
                 both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                if both and both >= least * (len(set_a) + len(set_b) - both):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                alike.append(both > 0 and both >= least * (len(set_a) + len(set_b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(alike, pa.bool_())], names=["a", "b", "alike"])
+
+    return run
+
+
+def _proposals(radii: list[int], count: int):
+    """Reads rows (key, i, j, side, a, b, words of the fingerprint) sorted by the first four: of side 0 and 1 are the texts (rep a, root b) that
+    are to be compared, of side 2 the pairs (a, b) that were not alike. Yields (key, a, b) of ``count`` forests of the other close pairs
+    of texts with different roots."""
+
+    def compare(key, parts):
+        left, right, failed = (np.concatenate(x) if x else np.zeros((0, parts[0][0].shape[1]), np.int64) for x in parts)
+        both = np.concatenate([left, right])
+        reps, roots = both[:, 0], both[:, 1]
+        n = len(left)
+        at = [dict(zip(reps[:n].tolist(), range(n))), dict(zip(reps[n:].tolist(), range(n, len(reps))))]
+        levels = close_pairs(both[:, 2:].copy().view(np.uint64), radii, 128, 8 * (both.shape[1] - 2), n)
+        fresh = np.zeros((n, len(reps)), bool)
+        fresh[:, n:] = roots[:n, None] != roots[None, n:]
+        for a, b in failed[:, :2].tolist():
+            for x, y in ((a, b), (b, a)):
+                if x in at[0] and y in at[1]:
+                    fresh[at[0][x], at[1][y]] = False
+        pairs = []
+        for links in levels:
+            here = np.unpackbits(links[:n].view(np.uint8), axis=1, bitorder="little")[:, : len(reps)].astype(bool) & fresh
+            fresh &= ~here
+            pairs += zip(*(x.tolist() for x in np.nonzero(here)))
+        found = np.array(sorted({tuple(sorted((int(reps[i]), int(reps[j])))) for i, j in forests(pairs, roots.tolist(), count)}), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "a", "b"])
+
+    def run(batches):
+        last, parts = None, ([], [], [])
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns[:4]], axis=0)) + 1
+            rows = np.stack(columns[4:], 1)
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                here = tuple(int(k[s]) for k in columns[:3])
+                if here != last:
+                    if last and parts[0]:
+                        yield compare(last, parts)
+                    last, parts = here, ([], [], [])
+                parts[columns[3][s]].append(rows[s:e])
+        if last and parts[0]:
+            yield compare(last, parts)
 
     return run
 
@@ -302,14 +354,17 @@ def near_duplicates(
     """(node, root) for every id that is linked to another; root is the smallest id reachable by links.
 
     Two rows link if the Jaccard similarity of their sets of word shingles is at least ``least``. SimHash fingerprints of 64 x
-    ``width`` bits choose the pairs: texts that share the key of a band are compared bit-sliced, within a radius 2.5 standard
-    deviations above the mean distance at ``least``. A bucket yields three spanning forests that take closer pairs first (so edges grow
-    with its texts, not with its pairs), and the exact similarity decides each of their edges. So no link is wrong, but a text whose
-    few links are all close to the threshold can be missed, above all in a large group of texts that are almost as alike.
-
-    Rows with a null id and texts without words have no links; rows that share an id are one node. A bucket of over ``tile`` texts
-    is cut into tiles. First only texts of one tile are compared, which folds a large group of near copies to one text for
-    each tile; then the smallest texts of the groups found so far are compared across tiles.
+    ``width`` bits choose the pairs: texts that share the key of a band are compared bit-sliced, within a radius three standard
+    deviations above the mean distance at ``least``, and the exact similarity decides. No link is wrong; a link is missed only if no band or
+    the radius holds its pair.
+
+    Pairs are verified in rounds. First a bucket yields one spanning forest of its close pairs, closest first. Then texts that had a close
+    pair (all texts of buckets of over ``tile``) are compared again, but only where the links found so far leave them in different groups:
+    each text outside a bucket's largest group with all others, in tiles. A bucket yields one forest of pairs that it hasn't tried,
+    then two, four and so on, until no bucket has an untried close pair between two groups. So a group costs about as many
+    verifications as it has texts, plus those of the pairs that fail.
+
+    Rows with a null id and texts without words have no links; rows that share an id are one node.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), body(F.col(text_col)).alias("t")).where(F.col("id").isNotNull())
     names = [f"f{k}" for k in range(width)]
@@ -329,31 +384,60 @@ def near_duplicates(
     bands = choose_bands(reps.count(), least, bits, seed)
     mean = differing_share(least)
     spread = math.sqrt(bits * mean * (1 - mean))
-    radii = [round(bits * differing_share((1 + least) / 2)), *(round(bits * mean + k * spread) for k in (0, 1.25, 2.5))]
-    keyed_schema = "key long, rep long, " + ", ".join(f"{n} long" for n in names)
+    radii = [round(bits * differing_share((1 + least) / 2)), *(round(bits * mean + k * spread) for k in (0, 1.5, 3))]
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
         two = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
         met = pairs.distinct().join(one, "b").join(two, "a").select("a", "ta", "b", "tb")
-        return met.mapInArrow(_jaccard_links(least, words_per_shingle, seed), "a long, b long")
-
-    def compared(keyed: DataFrame) -> DataFrame:
-        grouped = keyed.select("key", "low", "high", "rep", *names).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-        return grouped.mapInArrow(_link_blocks(radii, 128, 3, rounds=3), "a long, b long")
-
-    keyed = reps.mapInArrow(_band_keys(bands), keyed_schema)
-    tiles = materialise(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "tiles")
-    many = tiles.count() > 0
-    mine = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("tiles")).cast("int")
-    keyed = keyed.join(tiles, "key", "left").withColumn("low", F.coalesce(mine, F.lit(0))).withColumn("high", F.col("low"))
-    links = materialise(verified(compared(keyed).unionByName(copies)), "links")
-    roots = connected_components(links, "a", "b")
-    if not many:
-        return roots
-    left = reps.join(roots.where("node != root").select(F.col("node").alias("rep")), "rep", "left_anti")
-    crowded = left.mapInArrow(_band_keys(bands), keyed_schema).join(tiles.select("key"), "key")
-    again = crowded.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    crowded = crowded.join(again, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    crowded = crowded.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-    return connected_components(links.unionByName(verified(compared(crowded))), "a", "b")
+        found = met.mapInArrow(_jaccard(least, words_per_shingle, seed), "a long, b long, alike boolean")
+        return materialise(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "verified")  # rows that share an id: any
+
+    keyed = reps.mapInArrow(_band_keys(bands), "key long, rep long, " + ", ".join(f"{n} long" for n in names))
+    crowded = materialise(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1"), "tiles")
+    tiled = keyed.join(crowded, "key", "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("tiles")), F.lit(0)).cast("int"))
+    grouped = tiled.select("key", "tile", "rep", *names).repartition("key", "tile").sortWithinPartitions("key", "tile", "rep")
+    first = materialise(grouped.mapInArrow(_link_blocks(radii, 128, 2), "a long, b long").distinct(), "first")
+    verdicts = verified(first.unionByName(copies))
+
+    close = first.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    again = keyed.join(crowded.select("key", F.lit(True).alias("crowd")), "key", "left").join(close.withColumn("close", F.lit(True)), "rep", "left")
+    again = materialise(again.where("crowd or close").select("key", "rep", *names), "again")
+    failed = None
+    count = 1
+    while True:
+        roots = connected_components(verdicts.where("alike").select("a", "b"), "a", "b")
+        rows = again.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        rows = materialise(rows.select("key", "rep", "root", *names), "rooted")
+        groups = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+            F.max_by("root", "n").alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")
+        ).where("most < n")
+        groups = groups.select("key", "main", F.ceil((F.col("n") - F.col("most")) / tile).alias("lefts"), F.ceil(F.col("n") / tile).alias("rights"))
+        groups = materialise(groups, "groups")
+
+        def at(rep: str, of: str):
+            return F.pmod(F.xxhash64(F.lit(7), rep), F.col(of))
+
+        def every(of: str):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+        live = rows.join(groups, "key")
+        sides = [
+            live.where("root != main").withColumn("i", at("rep", "lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0)),
+            live.withColumn("j", at("rep", "rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1)),
+        ]
+        wanted = ["key", "i", "j", "side", F.col("rep").alias("a"), F.col("root").alias("b"), *names]
+        input_rows = sides[0].select(*wanted).unionByName(sides[1].select(*wanted))
+        if failed is not None:
+            pairs = failed.join(groups, "key").withColumn("side", F.lit(2)).withColumns({n: F.lit(0).cast("long") for n in names})
+            for x, y in (("a", "b"), ("b", "a")):
+                input_rows = input_rows.unionByName(pairs.withColumn("i", at(x, "lefts")).withColumn("j", at(y, "rights")).select("key", "i", "j", "side", "a", "b", *names))
+        input_rows = input_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "a")
+        found = materialise(input_rows.mapInArrow(_proposals(radii, count), "key long, a long, b long"), "proposals")
+        if not found.take(1):
+            return roots
+        new = verified(found.select("a", "b").join(verdicts, ["a", "b"], "left_anti"))
+        verdicts = verdicts.unionByName(new)
+        gone = found.join(verdicts.where("not alike").select("a", "b"), ["a", "b"]).select("key", "a", "b")
+        failed = gone if failed is None else failed.unionByName(gone)
+        count *= 2
