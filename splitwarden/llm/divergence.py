@@ -42,35 +42,39 @@ def _counts(held: dict, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*keys, terms, pa.array([n for found in held.values() for n in found.values()], pa.int64())], names=names)
 
 
-def _document_terms(batches):
+def _document_terms(most_held: int):
     """(lang, term, n): in how many documents a term stands; a term may have several rows."""
-    names, held = ["lang", "term", "n"], defaultdict(Counter)
-    for batch in slices(batches):
-        for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
-            held[lang,].update(set(terms_of(t)))
-        if sum(map(len, held.values())) > HELD:
-            yield _counts(held, names)
-            held.clear()
-    yield _counts(held, names)
+
+    def run(batches):
+        names, held = ["lang", "term", "n"], defaultdict(Counter)
+        for batch in slices(batches):
+            for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
+                held[lang,].update(set(terms_of(t)))
+            if sum(map(len, held.values())) > most_held:
+                yield _counts(held, names)
+                held.clear()
+        yield _counts(held, names)
+
+    return run
 
 
-def filter_places(lang: str, term: bytes) -> tuple[int, int]:
-    """The two bits of the filter that a kept term sets, as ``_filter`` computes them."""
-    h, most = xxhash.xxh64_intdigest(b"%b %b" % (lang.encode(), term), 42), (1 << FILTER_BITS) - 1
-    return h & most, h >> 32 & most
+def filter_places(lang: str, term: bytes, bits: int) -> tuple[int, int]:
+    """The two bits that a kept term sets in a filter of ``bits`` bits, a power of two, as ``_filter`` computes them."""
+    h = xxhash.xxh64_intdigest(b"%b %b" % (lang.encode(), term), 42)
+    return h & bits - 1, h >> 32 & bits - 1
 
 
-def _filter(kept: DataFrame) -> np.ndarray:
-    """The filter's words of 64 bits: at most 2^FILTER_BITS bits, whatever the number of terms."""
-    h, most = F.xxhash64(F.concat("lang", F.lit(" "), "term")), F.lit((1 << FILTER_BITS) - 1).cast("long")
+def _filter(kept: DataFrame, log_bits: int) -> np.ndarray:
+    """The filter's words of 64 bits: 2^log_bits bits, whatever the number of terms."""
+    h, most = F.xxhash64(F.concat("lang", F.lit(" "), "term")), F.lit((1 << log_bits) - 1).cast("long")
     places = kept.select(F.explode(F.array(h.bitwiseAND(most), F.shiftrightunsigned(h, 32).bitwiseAND(most))).alias("at"))
     words = places.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(max(1, 1 << FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << log_bits - 6, np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out.view(np.uint64)
 
 
-def _recount(shared):
+def _recount(shared, slice_bytes: int, most_held: int):
     """(lang, term, source, n) of the terms that the filter lets through, which a slice's automaton finds in its texts."""
 
     def run(batches):
@@ -83,7 +87,7 @@ def _recount(shared):
             for lang, rows in texts.items():
                 automaton = ahocorasick.Automaton()
                 for term in {t for _, found in rows for t in found.split()}:
-                    if all(int(words[at >> 6]) >> (at & 63) & 1 for at in filter_places(lang, term)):
+                    if all(int(words[at >> 6]) >> (at & 63) & 1 for at in filter_places(lang, term, 64 * len(words))):
                         automaton.add_word(f" {term.decode()} ", term)
                 if not len(automaton):
                     continue
@@ -98,10 +102,10 @@ def _recount(shared):
                 if found:
                     texts[lang].append((source, b" %b " % b" ".join(found)))
                     size += len(texts[lang][-1][1])
-                if size > SLICE_BYTES:
+                if size > slice_bytes:
                     count(texts)
                     texts, size = defaultdict(list), 0
-                    if sum(map(len, held.values())) > HELD:
+                    if sum(map(len, held.values())) > most_held:
                         yield _counts(held, names)
                         held.clear()
         count(texts)
@@ -152,20 +156,23 @@ EXCESS = "(({p} - {q}) * ({p} - {q})) div {q}"
 
 
 def source_divergence(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, top: int = 200
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, top: int = 200,
+    slice_bytes: int = SLICE_BYTES, most_held: int = HELD, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source of a language is from the others, and the terms it has more of.
 
     Part ``pair`` ranks all other sources of the language by the summed excess; part ``term`` ranks a source's ``top`` terms by their
     excess over the whole language. Null texts, languages and sources are read as ''. A source without terms, a language without kept
     terms (all its values are 0) and a language's only source (no pairs) are defined cases; repeated rows count each time; an
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. The other parameters are sizes (``filter_bits``: a power of two from 6 on) and
+    change no result.
     """
     spark = docs.sparkSession
     texts = docs.select(*(body(F.col(c).cast("string")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "t"))))
-    terms = texts.select("lang", "t").mapInArrow(_document_terms, "lang string, term string, n long")
+    terms = texts.select("lang", "t").mapInArrow(_document_terms(most_held), "lang string, term string, n long")
     kept = materialise(terms.groupBy("lang", "term").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"), "kept")
-    found = texts.mapInArrow(_recount(spark.sparkContext.broadcast(_filter(kept))), "lang string, source string, term string, n long")
+    shared = spark.sparkContext.broadcast(_filter(kept, filter_bits))
+    found = texts.mapInArrow(_recount(shared, slice_bytes, most_held), "lang string, source string, term string, n long")
     # one shuffle by term: sums for each source, and the mark of the kept terms
     marked = found.unionByName(kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(0).cast("long").alias("n"))).repartition("lang", "term")
     summed = marked.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))

@@ -197,19 +197,19 @@ def _row(key, words: list[str], start: np.ndarray, length: np.ndarray, period: n
     return key, len(start), s, m, q, 1000 * m // q, _sha(lines), _sha(" ".join([words[k] for k in kept])), len(words), len(words) - len(kept)
 
 
-def _chunks(docs: list[tuple]) -> list[list[tuple]]:
-    """(id, words) pairs in chunks of at most CHUNK_WORDS words, shorter ones first, so those of a chunk are about as long."""
+def _chunks(docs: list[tuple], chunk_words: int) -> list[list[tuple]]:
+    """(id, words) pairs in chunks of at most ``chunk_words`` words, shorter ones first, so those of a chunk are about as long."""
     out, room = [], -1
     for pair in sorted(docs, key=lambda d: len(d[1])):
         if len(pair[1]) > room:
             out.append([])
-            room = CHUNK_WORDS
+            room = chunk_words
         out[-1].append(pair)
         room -= len(pair[1])
     return out
 
 
-def _runs_of(batches, least: int, plant: bool):
+def _runs_of(batches, least: int, plant: bool, chunk_words: int):
     for batch in slices(batches):
         docs, held = [], 0
         keys, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -217,14 +217,14 @@ def _runs_of(batches, least: int, plant: bool):
             words = _word.findall(texts[k].as_py())
             docs.append((key, planted(words, key) if plant else words))
             held += len(words)
-            if held >= 4 * CHUNK_WORDS or k == len(keys) - 1:
-                yield from _found(docs, least)
+            if held >= 4 * chunk_words or k == len(keys) - 1:
+                yield from _found(docs, least, chunk_words)
                 docs, held = [], 0
 
 
-def _found(docs: list[tuple], least: int):
+def _found(docs: list[tuple], least: int, chunk_words: int):
     rows = []
-    for chunk in _chunks(docs):
+    for chunk in _chunks(docs, chunk_words):
         lengths = np.array([len(w) for _, w in chunk])
         codes = pd.factorize(np.array([w for _, words in chunk for w in words], object))[0].astype(np.int64)
         which, *found = runs(codes, lengths, least)
@@ -235,7 +235,9 @@ def _found(docs: list[tuple], least: int):
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, plant: bool = False) -> DataFrame:
+def periodic_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, plant: bool = False, chunk_words: int = CHUNK_WORDS
+) -> DataFrame:
     """The runs of every row's words: their number, the longest one, and digests of all runs and of the text without repetitions.
 
     (id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256, n_words, n_dropped). A run is a stretch of at least
@@ -245,4 +247,4 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by one task, whatever its length, in memory proportional to its words times their number's logarithm.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), body(F.col(text_col)).alias("t"))
-    return rows.mapInArrow(lambda batches: _runs_of(batches, least, plant), SCHEMA)
+    return rows.mapInArrow(lambda batches: _runs_of(batches, least, plant, chunk_words), SCHEMA)

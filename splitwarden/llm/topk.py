@@ -53,7 +53,7 @@ def _scaled(scale: float):
     return run
 
 
-def median_splits(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> list[np.ndarray]:
+def median_splits(x: np.ndarray, leaf_rows: int) -> list[np.ndarray]:
     """The rows of each leaf: halves at the median of the widest dimension, until a leaf is small enough.
 
     There are 2^h leaves, in the order of the tree, so that the nodes are those of a heap.
@@ -124,12 +124,12 @@ class Tree:
         return out
 
 
-def _leaves(batches):
+def _leaves(leaf_rows: int):
     """The index: a row for each leaf. Rows of a shard come together."""
 
     def leaves(at, held):
         x = np.array([v for _, _, v in held])
-        for k, rows in enumerate(median_splits(x)):
+        for k, rows in enumerate(median_splits(x, leaf_rows)):
             yield (*at, k, [held[r][0] for r in rows], [held[r][1] for r in rows], x[rows].tobytes())
 
     def batch_of(rows):
@@ -138,16 +138,19 @@ def _leaves(batches):
             names=["dims", "shard", "leaf", "row", "vec_id", "v"],
         )
 
-    at, held = None, []
-    for batch in slices(batches, 4096):
-        for dims, shard, row, key, v in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if (dims, shard) != at:
-                if held:
-                    yield batch_of(list(leaves(at, held)))
-                at, held = (dims, shard), []
-            held.append((row, key, np.frombuffer(v)))
-    if held:
-        yield batch_of(list(leaves(at, held)))
+    def run(batches):
+        at, held = None, []
+        for batch in slices(batches, 4096):
+            for dims, shard, row, key, v in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if (dims, shard) != at:
+                    if held:
+                        yield batch_of(list(leaves(at, held)))
+                    at, held = (dims, shard), []
+                held.append((row, key, np.frombuffer(v)))
+        if held:
+            yield batch_of(list(leaves(at, held)))
+
+    return run
 
 
 def _search(k: int):
@@ -186,7 +189,10 @@ def _search(k: int):
     return run
 
 
-def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
+def top_k(
+    docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0,
+    shard_rows: tuple[int, int] = SHARD_ROWS, leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` the k rows of the table with the highest inner product.
 
     Components are floor(scale * x) as doubles, so whole numbers; scores are exact, ties go to the smaller id, a missing id last. The
@@ -201,12 +207,12 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
         rows.where("not asks").drop("asks").mapInArrow(_scaled(scale), VECTORS).withColumn("asks", F.lit(False))
     )
     vectors = materialise(scaled.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    least, most = SHARD_ROWS
-    fitting = f"greatest({LEAF_ROWS}, least({most}, {SHARD_BYTES} div (8 * greatest(dims, 1)), greatest({least}, n div {2 * partitions(spark)})))"
+    least, most = shard_rows
+    fitting = f"greatest({leaf_rows}, least({most}, {SHARD_BYTES} div (8 * greatest(dims, 1)), greatest({least}, n div {2 * partitions(spark)})))"
     sizes = materialise(vectors.groupBy("dims").agg(F.count("*").alias("n")).select("dims", F.expr(f"cast(ceil(n / {fitting}) as bigint)").alias("shards")), "sizes")
     placed = vectors.join(sizes, "dims").withColumn("shard", F.expr("pmod(xxhash64(row), shards)"))
     own = placed.repartition("dims", "shard").sortWithinPartitions("dims", "shard").select("dims", "shard", "row", "vec_id", "v")
-    index = materialise(own.mapInArrow(_leaves, INDEX), "index")
+    index = materialise(own.mapInArrow(_leaves(leaf_rows), INDEX), "index")
 
     asked = placed.where("asks").select("dims", "shard", "shards", F.array("row").alias("row"), F.array("vec_id").alias("vec_id"), "v")
 

@@ -41,22 +41,20 @@ def plain_top_k(rows, k, scale=1024.0):
     return sorted(out, key=str)
 
 
-def found_top_k(spark, rows, k):
+def found_top_k(spark, rows, k, **sizes):
     df = awkward(spark.createDataFrame(rows, "vec_id long, embedding array<double>, asks boolean"))
-    got = topk.top_k(df, F.col("asks"), k=k)
+    got = topk.top_k(df, F.col("asks"), k=k, **sizes)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     return sorted(map(tuple, got.collect()), key=str)
 
 
 @pytest.mark.parametrize("spread", [0.02, 5.0])
-def test_top_k_matches_all_scores(spark, monkeypatch, spread):
-    monkeypatch.setattr(topk, "SHARD_ROWS", (64, 128))
-    monkeypatch.setattr(topk, "LEAF_ROWS", 16)
+def test_top_k_matches_all_scores(spark, spread):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 5)) * spread
     rows = [(i, (centres[rng.integers(6)] + rng.normal(size=5) / 20).tolist(), i % 20 == 0) for i in range(700)]
     rows += [(1000 + i, rows[0][1], i % 100 == 0) for i in range(300)]  # a third of the rows hold one vector
-    assert found_top_k(spark, rows, 10) == plain_top_k(rows, 10)
+    assert found_top_k(spark, rows, 10, shard_rows=(64, 128), leaf_rows=16) == plain_top_k(rows, 10)
 
 
 def test_top_k_awkward(spark):
@@ -76,7 +74,7 @@ def test_top_k_awkward(spark):
 def test_a_nearby_k_th_score_saves_leaves():
     rng = np.random.default_rng(5)
     x = np.floor(1024 * (rng.normal(size=(32, 8))[rng.integers(0, 32, 4096)] + rng.normal(size=(4096, 8)) / 50))
-    tree = topk.Tree([(r.tolist(), r.tolist(), x[r]) for r in topk.median_splits(x)])
+    tree = topk.Tree([(r.tolist(), r.tolist(), x[r]) for r in topk.median_splits(x, 64)])
     read = Counter()
 
     class Seen(list):
@@ -167,14 +165,13 @@ def test_periodic_runs_of_documents(spark, sf_dir):
     assert sum(r.n_runs > 0 for r in got) > 10
 
 
-def test_periodic_runs_awkward(spark, monkeypatch):
-    monkeypatch.setattr(periodic, "CHUNK_WORDS", 100)
+def test_periodic_runs_awkward(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (None, "a " * 30), (4, "a " * 30), (4, "a " * 30), (5, "x\x1cy " * 12), (6, "ä ß ä ß " * 5 + "日本語"), (7, "one two"),
         (20, "p q r " * 200), (None, None)
     ]
     df = awkward(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = periodic.periodic_runs(df, plant=True).collect()
+    got = periodic.periodic_runs(df, plant=True, chunk_words=100).collect()
     assert sorted((r[:8] for r in got), key=str) == sorted((plain_document(*r) for r in rows), key=str)
     assert periodic.periodic_runs(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "word " * 200_000 + " ".join(map(str, range(100_000))))], "doc_id long, text string")
@@ -219,18 +216,15 @@ def found_divergence(spark, rows, **options):
     return sorted(map(tuple, got.collect()))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_divergence_matches_all_terms(spark, monkeypatch, small):
-    if small:
-        monkeypatch.setattr(divergence, "SLICE_BYTES", 300)
-        monkeypatch.setattr(divergence, "HELD", 20)
+@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 300, "most_held": 20}])
+def test_divergence_matches_all_terms(spark, sizes):
     rng = random.Random(7)
     words = ["Der", "die", "DAS", "naïve", "日本", "x", "y", "a-b", "c3po", "È"]
     rows = []
     for _ in range(250):
         lang, source = rng.choice(["de", "en", None]), rng.choice(["hot", "hot", "s1", "s2", "s3", None])
         rows.append((" ".join(rng.choice(words) * rng.randrange(1, 3) for _ in range(rng.randrange(12))), lang, source))
-    got = found_divergence(spark, rows, least_docs=3, top=4)
+    got = found_divergence(spark, rows, least_docs=3, top=4, **sizes)
     assert got == plain_divergence(rows, 3, 4)
     assert len({r[0] for r in got}) == 3 and max(r[5] for r in got if r[2] == "term") == 4
 
@@ -252,15 +246,14 @@ def test_divergence_awkward(spark):
 def test_terms_and_filter(spark):
     assert divergence.terms_of("A1b-Ç\x7fÄz\n") == [b"a", b"b", "Ç".encode(), "Äz".encode()]
     assert divergence.terms_of("12 \x1c") == []
-    words = divergence._filter(spark.createDataFrame([("de", "wort"), ("", "ß")], "lang string, term string"))
+    words = divergence._filter(spark.createDataFrame([("de", "wort"), ("", "ß")], "lang string, term string"), 12)
     set_bits = {64 * k + b for k in np.flatnonzero(words).tolist() for b in range(64) if int(words[k]) >> b & 1}
-    assert set_bits == {*divergence.filter_places("de", b"wort"), *divergence.filter_places("", "ß".encode())}
+    assert set_bits == {*divergence.filter_places("de", b"wort", 4096), *divergence.filter_places("", "ß".encode(), 4096)}
 
 
 @pytest.mark.parametrize("bits", [6, 8])
-def test_divergence_with_a_full_filter(spark, monkeypatch, bits):
+def test_divergence_with_a_full_filter(spark, bits):
     """Terms that pass the filter and aren't kept must not count."""
-    monkeypatch.setattr(divergence, "FILTER_BITS", bits)
     rng = random.Random(bits)
     rows = [(" ".join("t" + "".join(rng.choice("abcdef") for _ in range(2)) for _ in range(6)), "en", f"s{k % 4}") for k in range(60)]
-    assert found_divergence(spark, rows, least_docs=10, top=5) == plain_divergence(rows, 10, 5)
+    assert found_divergence(spark, rows, least_docs=10, top=5, filter_bits=bits) == plain_divergence(rows, 10, 5)
