@@ -109,21 +109,30 @@ def _round_groups(seed: int, level: int):
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5,
-    cap: float = 2.0, seed: int = 42, leaf_rows: int = 4096
+    cap: float = 2.0, seed: int = 42, leaf_rows: int = 4096, row_col: str | None = None
 ) -> DataFrame:
-    """(id, size, source, source_size, target, copies, taken) of every row.
+    """(id, size, source, source_size, target, copies, taken) of every row, and its ``row`` where ``row_col`` names a column of row numbers.
 
     ``size`` counts the words (null text: 0), ``copies`` is how often the mix takes the document, ``taken`` = copies x size.
-    A source's taken words miss its target by at most half of one document: the last fractional one of a source is rounded to the
-    nearer integer. No document is taken more than ceil(``cap``) times. Documents without words are all taken floor(target /
-    source size) times. Randomness comes from ids and ``seed`` only, so reruns and other partitionings agree. Null
-    sources form one source, the last; null ids and repeated rows are rounded one by one; an empty table gives an empty result.
-
-    A leaf holds about ``leaf_rows`` documents of one source, chosen by a hash of the id: a hot source just has more leaves.
+    A source's taken words miss its target by less than one document: the last fractional one of a source is drawn with its fraction as
+    the probability, so every document is taken target / source size times on average. No document is taken more than ceil(``cap``) times. Documents
+    without words are all taken floor(target / source size) times. Randomness comes from ids, texts and ``seed`` only, so reruns and other
+    partitionings agree. Null sources form one source, the last; null ids and repeated rows are rounded one by one; an empty table gives an
+    empty result.
+
+    A leaf holds about ``leaf_rows`` documents of one source, chosen by a hash of id, text and, among rows that share both, a number: a hot
+    source, id or text just has more leaves. With ``row_col``, the row number takes that number's place, and decides which of such rows is taken.
     """
+    text = body(F.col(text_col))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.regexp_count(body(F.col(text_col)), F.lit(WORD)).cast("long").alias("size")
+        F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("digest"),
+        *([F.col(row_col).cast("long").alias("row")] if row_col else [])
     )
+    if not row_col:  # number the rows that are alike, in parts, so that no task numbers a hot one alone
+        part = 1 << 16
+        alike = rows.groupBy("id", "source", "size", "digest").agg(F.count("*").alias("n"))
+        alike = alike.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {part})"))).repartition("id", "digest", "part")
+        rows = alike.withColumn("row", F.explode(F.expr(f"sequence(part * {part}, least(n, (part + 1) * {part}) - 1)"))).drop("n", "part")
     rows = materialise(rows, "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap)
     per_source = materialise(per_source, "targets")
@@ -134,10 +143,10 @@ def mix(
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     near = F.round(rate)
     rate = F.when(F.abs(rate - near) < 1e-12, near).otherwise(rate)
-    order = F.xxhash64(F.lit(seed), "id")
+    order = F.xxhash64(F.lit(seed), "id", "digest", "row")
     rows = (
         rows.withColumn("base", F.floor(rate).cast("long")).withColumn("fraction", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0))
-        .withColumn("order", order).withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.ceil(F.col("n") / leaf_rows)))
+        .withColumn("order", order).withColumn("leaf", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "digest", "row"), F.ceil(F.col("n") / leaf_rows)))
     )
     schema = rows.schema
     done = rows.where("fraction = 0")
@@ -151,6 +160,7 @@ def mix(
             break
         groups, level = math.ceil(groups / leaf_rows), level + 1
         open_rows = open_rows.withColumn("leaf", F.floor(F.col("leaf") / leaf_rows))
-    done = done.unionByName(open_rows.withColumn("fraction", F.when(F.col("fraction") >= 0.5, 1.0).otherwise(0.0)))
+    draw = F.xxhash64(F.lit(seed + 2), "source").bitwiseAND((1 << 52) - 1) / float(1 << 52)  # the last one of each source
+    done = done.unionByName(open_rows.withColumn("fraction", F.when(draw < F.col("fraction"), 1.0).otherwise(0.0)))
     copies = F.col("base") + F.col("fraction").cast("long")
-    return done.select("id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(*(["row"] if row_col else []), "id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

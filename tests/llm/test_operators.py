@@ -195,6 +195,25 @@ def test_mixing_awkward(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_without_ids_of_their_own(spark):
+    """A third of the rows have no id, another one id, many of them one text: all are rounded one by one, in leaves of their own."""
+    rng = random.Random(41)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "same words here" if k % 2 else prose(rng, rng.randint(1, 9)), rng.choice("abc")) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, leaf_rows=50).collect()
+    again = mixing.mix(df.repartition(5), leaf_rows=50).collect()
+    assert len(got) == 3000 and sorted(map(str, got)) == sorted(map(str, again))
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for r in got:
+        taken[r.source] += r.taken
+    for s, t in brute.targets(dict(sizes)).items():
+        assert abs(taken[s] - t) < 10
+    numbered = mixing.mix(df.withColumn("place", F.monotonically_increasing_id()), row_col="place").collect()
+    assert len({r.row for r in numbered}) == 3000
+
+
 # ---- 5 ----
 
 

@@ -123,6 +123,22 @@ def test_run_and_awkward_tables(spark, tmp_path):
                 assert all(r.kept == r["__words"] == r["a.b"] == "x" for r in rows)
 
 
+def test_mixing_counts_rows_not_ids(spark, tmp_path):
+    """Rows that share an id, or have none, are taken one by one."""
+    rng = random.Random(31)
+    rows = [(k // 2 if k < 400 else None, prose(rng, rng.randint(5, 40)), "en", rng.choice("abc"), k) for k in range(800)]
+    sizes, taken, times = Counter(), Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    for r in dict(corpus_pipeline.STAGES)["mixing"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect():
+        assert tuple(r) == rows[r.n_chars]
+        taken[r.source] += len(r.text.split())
+        times[r.n_chars] += 1
+    assert max(times.values()) <= 2
+    for source, target in brute.targets(dict(sizes)).items():
+        assert abs(taken[source] - target) < 40
+
+
 def test_no_near_copy_reaches_mixing(spark, tmp_path):
     rng = random.Random(3)
     rows = corpus(2)
