@@ -58,13 +58,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each row as often as the mix takes it, and drops those that it doesn't take."""
+    """Repeats each row as often as the mix takes it, and drops those that it doesn't take. Rows are told apart by a number, not by their ids."""
     ship(spark)
-    copies = mix(
-        docs.select("doc_id", "text", "source"), **MIXING
-    ).groupBy(F.col("id").alias("mixed_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = _aside(docs)
-    rows = rows.join(copies, rows["c_doc_id"].eqNullSafe(copies["mixed_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = materialise(_aside(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(rows, "c_doc_id", "c_text", "c_source", row_col="row", **MIXING).where("copies > 0").select("row", "copies")
+    rows = rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return _back(rows, docs)
 
 
