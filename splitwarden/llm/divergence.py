@@ -58,10 +58,11 @@ def _document_terms(most_held: int):
     return run
 
 
-def filter_places(lang: str, term: bytes, bits: int) -> tuple[int, int]:
-    """The two bits that a kept term sets in a filter of ``bits`` bits, a power of two, as ``_filter`` computes them."""
-    h = xxhash.xxh64_intdigest(b"%b %b" % (lang.encode(), term), 42)
-    return h & bits - 1, h >> 32 & bits - 1
+def filter_places(lang: str, terms: list[bytes], bits: int) -> np.ndarray:
+    """2 x terms: the bits that kept terms set in a filter of ``bits`` bits, a power of two, as ``_filter`` computes them."""
+    lead, digest = b"%b " % lang.encode(), xxhash.xxh64_intdigest
+    h = np.array([digest(lead + t, 42) for t in terms], np.uint64)
+    return np.stack([h, h >> np.uint64(32)]) & np.uint64(bits - 1)
 
 
 def _filter(kept: DataFrame, log_bits: int) -> np.ndarray:
@@ -85,10 +86,10 @@ def _recount(shared, slice_bytes: int, most_held: int):
 
         def count(texts: dict):
             for lang, rows in texts.items():
-                automaton = ahocorasick.Automaton()
-                for term in {t for _, found in rows for t in found.split()}:
-                    if all(int(words[at >> 6]) >> (at & 63) & 1 for at in filter_places(lang, term, 64 * len(words))):
-                        automaton.add_word(f" {term.decode()} ", term)
+                automaton, terms = ahocorasick.Automaton(), list({t for _, found in rows for t in found.split()})
+                at = filter_places(lang, terms, 64 * len(words))
+                for k in np.flatnonzero((words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)).tolist():
+                    automaton.add_word(f" {terms[k].decode()} ", terms[k])
                 if not len(automaton):
                     continue
                 automaton.make_automaton()
@@ -135,14 +136,23 @@ def _corrections(batches):
     for batch in slices(batches):
         keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
         (cut_a, a, p, p0), (cut_b, b, q, q0) = flat(batch.column(3)), flat(batch.column(4))
-        for k, key in enumerate(keys):
-            if key != at:
+        size_a, size_b = np.diff(cut_a), np.diff(cut_b)
+        ends = np.cumsum(size_a * size_b)
+        k = 0
+        while k < len(keys):  # some terms of one pair of blocks, about a million pairs of sources at a time
+            last = int(np.searchsorted(ends, ends[k] + (1 << 20)))
+            last = next((m for m in range(k + 1, last) if keys[m] != keys[k]), max(last, k + 1))
+            if keys[k] != at:
                 if at is not None:
                     yield rows()
-                at, total = key, np.zeros((BLOCK, BLOCK), np.int64)
-            one, two = slice(cut_a[k], cut_a[k + 1]), slice(cut_b[k], cut_b[k + 1])
-            x, x0, y, y0 = p[one, None], p0[one, None], q[None, two], q0[None, two]
-            total[np.ix_(a[one] % BLOCK, b[two] % BLOCK)] += excess(x, y) - excess(x, y0) - excess(x0, y) + excess(x0, y0)
+                at, total = keys[k], np.zeros((BLOCK, BLOCK), np.int64)
+            term = np.repeat(np.arange(k, last), size_a[k:last])  # of each first source
+            times = size_b[term]
+            one = np.repeat(np.arange(cut_a[k], cut_a[last]), times)
+            two = np.arange(len(one)) + np.repeat(cut_b[term] - (np.cumsum(times) - times), times)
+            x, x0, y, y0 = p[one], p0[one], q[two], q0[two]
+            np.add.at(total, (a[one] % BLOCK, b[two] % BLOCK), excess(x, y) - excess(x, y0) - excess(x0, y) + excess(x0, y0))
+            k = last
     if at is not None:
         yield rows()
 
