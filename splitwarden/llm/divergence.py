@@ -13,47 +13,75 @@ the corrections of blocks of sources, so pairs leave them as sums, not term by t
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, materialise, slices
 
-#: Bytes of text in a slice, sources in a block, entries that a task counts before it passes them on, and bits of the filter as a power of two.
-SLICE_BYTES, BLOCK, HELD, FILTER_BITS = 32 << 20, 512, 400_000, 26
+#: Characters of text in a slice, sources in a block, and bits of the filter as a power of two.
+SLICE_BYTES, BLOCK, FILTER_BITS = 24 << 20, 512, 26
 #: ASCII letters become lower case, other ASCII characters blanks; bytes of other characters stay.
 TABLE = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 if b < 128 else b for b in range(256))
 
 
-def terms_of(text: str) -> list[bytes]:
-    return text.encode().translate(TABLE).split()
+def terms_of(texts: list[str]) -> tuple[bytes, pa.Array, np.ndarray]:
+    """The terms of texts, each followed by a blank: as one string of bytes, as an array, and how many each text has."""
+    blobs = [t.encode().translate(TABLE) for t in texts]
+    raw = np.frombuffer(b" ".join(blobs) + b" ", np.uint8)
+    blank = raw == 32
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # of a row of blanks the first one, unless it leads
+    data = raw[keep]
+    ends = np.flatnonzero(data == 32) + 1
+    borders = np.cumsum([len(b) + 1 for b in blobs])
+    counts = np.diff(np.r_[0, np.searchsorted(ends, np.cumsum(keep)[borders - 1], "right")]) if len(blobs) else np.zeros(0, np.int64)
+    data = data.tobytes()
+    terms = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data)])
+    return data, terms, counts
+
+
+def _by_language(batches, slice_bytes: int):
+    """{lang: {source: texts}} of slices of the rows; a row without a source has None."""
+    held, size = defaultdict(lambda: defaultdict(list)), 0
+    for batch in slices(batches):
+        columns = [c.to_pylist() for c in batch.columns]
+        for lang, *source, t in zip(*columns):
+            held[lang][source[0] if source else None].append(t)
+            size += len(t)
+            if size > slice_bytes:
+                yield held
+                held, size = defaultdict(lambda: defaultdict(list)), 0
+    yield held
 
 
-def _counts(held: dict, names: list[str]) -> pa.RecordBatch:
-    """Rows of keys, a term and its count."""
-    size = [len(terms) for terms in held.values()]
-    keys = [pa.array(k, pa.string()).take(pa.array(np.repeat(np.arange(len(size)), size))) for k in (zip(*held) if held else [()] * (len(names) - 2))]
-    terms = pa.array([t for found in held.values() for t in found], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([*keys, terms, pa.array([n for found in held.values() for n in found.values()], pa.int64())], names=names)
+def _rows(lang: str, source: str | None, terms: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """(lang[, source], term, n) of the terms that have a count."""
+    at = np.flatnonzero(counts)
+    text = pc.binary_slice(terms.take(pa.array(at)).cast(pa.binary()), 0, -1).cast(pa.string())  # without the blank
+    keys = {"lang": lang} | ({} if source is None else {"source": source})
+    arrays = {k: pa.array([v], pa.string()).take(pa.array(np.zeros(len(at), np.int64))) for k, v in keys.items()}
+    return pa.RecordBatch.from_pydict(arrays | {"term": text, "n": pa.array(counts[at], pa.int64())})
 
 
-def _document_terms(most_held: int):
-    """(lang, term, n): in how many documents a term stands; a term may have several rows."""
+def _document_terms(slice_bytes: int):
+    """(lang, term, n): in how many documents of a slice a term stands."""
 
     def run(batches):
-        names, held = ["lang", "term", "n"], defaultdict(Counter)
-        for batch in slices(batches):
-            for lang, t in zip(*(c.to_pylist() for c in batch.columns)):
-                held[lang,].update(set(terms_of(t)))
-            if sum(map(len, held.values())) > most_held:
-                yield _counts(held, names)
-                held.clear()
-        yield _counts(held, names)
+        for held in _by_language(batches, slice_bytes):
+            for lang, sources in held.items():
+                _, terms, counts = terms_of(sources[None])
+                coded = terms.dictionary_encode()
+                size = max(1, len(coded.dictionary))
+                pairs = np.sort(np.repeat(np.arange(len(counts)), counts) * size + coded.indices.to_numpy())
+                pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+                yield _rows(lang, None, coded.dictionary, np.bincount(pairs % size, minlength=len(coded.dictionary)))
 
     return run
 
@@ -75,42 +103,28 @@ def _filter(kept: DataFrame, log_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _recount(shared, slice_bytes: int, most_held: int):
-    """(lang, term, source, n) of the terms that the filter lets through, which a slice's automaton finds in its texts."""
+def _recount(shared, slice_bytes: int):
+    """(lang, source, term, n) of the terms that the filter lets through, as a slice's automaton finds them in its texts."""
 
     def run(batches):
         import ahocorasick
 
         words = shared.value
-        names, held = ["lang", "source", "term", "n"], defaultdict(Counter)
-
-        def count(texts: dict):
-            for lang, rows in texts.items():
-                automaton, terms = ahocorasick.Automaton(), list({t for _, found in rows for t in found.split()})
-                at = filter_places(lang, terms, 64 * len(words))
-                for k in np.flatnonzero((words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)).tolist():
-                    automaton.add_word(f" {terms[k].decode()} ", terms[k])
-                if not len(automaton):
+        for held in _by_language(batches, slice_bytes):
+            for lang, sources in held.items():
+                found = {source: terms_of(texts)[:2] for source, texts in sources.items()}
+                own = pa.chunked_array([terms for _, terms in found.values()]).unique()
+                at = filter_places(lang, [t[:-1] for t in own.to_pylist()], 64 * len(words))
+                own = own.filter(pa.array((words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)))
+                if not len(own):
                     continue
+                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                for k, term in enumerate(own.to_pylist()):
+                    automaton.add_word(f" {term.decode()}", k)
                 automaton.make_automaton()
-                for source, found in rows:
-                    held[lang, source].update(map(itemgetter(1), automaton.iter(found.decode())))
-
-        texts, size = defaultdict(list), 0
-        for batch in slices(batches):
-            for lang, source, t in zip(*(c.to_pylist() for c in batch.columns)):
-                found = terms_of(t)
-                if found:
-                    texts[lang].append((source, b" %b " % b" ".join(found)))
-                    size += len(texts[lang][-1][1])
-                if size > slice_bytes:
-                    count(texts)
-                    texts, size = defaultdict(list), 0
-                    if sum(map(len, held.values())) > most_held:
-                        yield _counts(held, names)
-                        held.clear()
-        count(texts)
-        yield _counts(held, names)
+                for source, (data, _) in found.items():
+                    hits = np.fromiter(map(itemgetter(1), automaton.iter(f" {data.decode()}")), np.int64)
+                    yield _rows(lang, source, own, np.bincount(hits, minlength=len(own)))
 
     return run
 
@@ -167,7 +181,7 @@ EXCESS = "(({p} - {q}) * ({p} - {q})) div {q}"
 
 def source_divergence(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = 3, top: int = 200,
-    slice_bytes: int = SLICE_BYTES, most_held: int = HELD, filter_bits: int = FILTER_BITS
+    slice_bytes: int = SLICE_BYTES, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source of a language is from the others, and the terms it has more of.
 
@@ -179,10 +193,10 @@ def source_divergence(
     """
     spark = docs.sparkSession
     texts = docs.select(*(body(F.col(c).cast("string")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "t"))))
-    terms = texts.select("lang", "t").mapInArrow(_document_terms(most_held), "lang string, term string, n long")
+    terms = texts.select("lang", "t").mapInArrow(_document_terms(slice_bytes), "lang string, term string, n long")
     kept = materialise(terms.groupBy("lang", "term").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term"), "kept")
     shared = spark.sparkContext.broadcast(_filter(kept, filter_bits))
-    found = texts.mapInArrow(_recount(shared, slice_bytes, most_held), "lang string, source string, term string, n long")
+    found = texts.mapInArrow(_recount(shared, slice_bytes), "lang string, source string, term string, n long")
     # one shuffle by term: sums for each source, and the mark of the kept terms
     marked = found.unionByName(kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(0).cast("long").alias("n"))).repartition("lang", "term")
     summed = marked.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))

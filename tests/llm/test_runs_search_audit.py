@@ -216,7 +216,7 @@ def found_divergence(spark, rows, **options):
     return sorted(map(tuple, got.collect()))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 300, "most_held": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"slice_bytes": 300}])
 def test_divergence_matches_all_terms(spark, sizes):
     rng = random.Random(7)
     words = ["Der", "die", "DAS", "naïve", "日本", "x", "y", "a-b", "c3po", "È"]
@@ -244,8 +244,10 @@ def test_divergence_awkward(spark):
 
 
 def test_terms_and_filter(spark):
-    assert divergence.terms_of("A1b-Ç\x7fÄz\n") == [b"a", b"b", "Ç".encode(), "Äz".encode()]
-    assert divergence.terms_of("12 \x1c") == []
+    data, terms, counts = divergence.terms_of(["A1b-Ç\x7fÄz\n", "", "12 \x1c", " x", "y y"])
+    assert data.decode() == "a b Ç Äz x y y " and [t.decode() for t in terms.to_pylist()] == ["a ", "b ", "Ç ", "Äz ", "x ", "y ", "y "]
+    assert counts.tolist() == [4, 0, 0, 1, 2]
+    assert divergence.terms_of([])[2].tolist() == [] and divergence.terms_of(["", "1"])[0] == b""
     words = divergence._filter(spark.createDataFrame([("de", "wort"), ("", "ß")], "lang string, term string"), 12)
     set_bits = {64 * k + b for k in np.flatnonzero(words).tolist() for b in range(64) if int(words[k]) >> b & 1}
     assert set_bits == {int(x) for lang, t in (("de", b"wort"), ("", "ß".encode())) for x in divergence.filter_places(lang, [t], 4096).ravel()}
