@@ -34,6 +34,8 @@ AT = r"[(\[]\s?at\s?[)\]]"
 #: Every valid span holds one of these.
 TRIGGER = re.compile(rf"[0-9]+|(?<=[\w\s.%+-])@(?=\s?[\w-])|{AT}")
 RUN = re.compile(r"[A-Za-z0-9_./+=-]*")
+#: Leaders, as in a table of contents or a form: the network reads them as blanks.
+LEADER = re.compile(r"([._=*~-])\1{2,}")
 RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./+=-")
 LONGEST_RUN, LONGEST_LOCAL, LONGEST_DOMAIN = 128, 64, 253
 PUNCTUATION = " \n\t!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -352,32 +354,49 @@ def trained() -> Tagger:
 # ---- texts ----
 
 
+def _words_with_digits(run: str) -> list[tuple[int, int]]:
+    """The words of a run that hold a digit and are no longer than a secret, with as much of the run around them as a secret can span,
+    merged where they meet."""
+    codes = np.frombuffer(run.encode(), np.uint8)
+    word = np.r_[False, ~np.isin(codes, np.frombuffer(b"./+=-", np.uint8)), False]
+    digits = np.r_[0, np.cumsum((codes >= 48) & (codes <= 57))]
+    start, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    good = (end - start <= LONGEST_RUN) & (digits[end] > digits[start])
+    low, high = np.maximum(start[good] - LONGEST_RUN, 0), np.minimum(end[good] + LONGEST_RUN, len(run))
+    apart = np.flatnonzero(low[1:] > high[:-1]) + 1 if len(low) else []
+    return [(int(low[s]), int(high[e - 1])) for s, e in zip([0, *apart], [*apart, len(low)])] if len(low) else []
+
+
 def regions_of(text: str, around: int = 48) -> list[tuple[int, int]]:
     """Where valid spans can lie, and ``around`` characters on both sides: parts of the text that do not overlap, in order.
 
     Around '@' and '(at)' these are the longest local part and domain. Around a digit it is the run of letters, digits and _./+=-
-    that holds it; a digit in a longer run than any valid span has no region, since a span must not end inside a word.
+    that holds it. A run longer than any secret is cut at the characters a span may border on (./+=-): around each of its words with a digit
+    the region is as wide as the longest secret. Words longer than that have none, since a span must not end inside a word.
     """
     out: list = []
     done = 0
+
+    def add(low, high):
+        low, high = max(0, low - around), min(len(text), high + around)
+        if out and low <= out[-1][1]:
+            out[-1] = (min(out[-1][0], low), max(out[-1][1], high))
+        else:
+            out.append((low, high))
+
     for m in TRIGGER.finditer(text):
-        if m.group()[0].isdigit():
-            if m.start() < done:
-                continue
+        if not m.group()[0].isdigit():
+            add(m.start() - LONGEST_LOCAL - 1, m.end() + LONGEST_DOMAIN + 1)
+        elif m.start() >= done:
             done = RUN.match(text, m.start()).end()
             low = m.start()
             while low > 0 and m.start() - low <= LONGEST_RUN and text[low - 1] in RUN_CHARS:
                 low -= 1
-            high = done
-            if high - low > LONGEST_RUN:
+            if done - low <= LONGEST_RUN:
+                add(low, done)
                 continue
-        else:
-            low, high = m.start() - LONGEST_LOCAL - 1, m.end() + LONGEST_DOMAIN + 1
-        low, high = max(0, low - around), min(len(text), high + around)
-        if out and low <= out[-1][1]:
-            out[-1] = (min(out[-1][0], low), max(out[-1][1], high))
-        else:
-            out.append((low, high))
+            for start, end in _words_with_digits(text[low:done]):
+                add(low + start, low + end)
     return out
 
 
@@ -413,6 +432,7 @@ def add_spans(tagger: Tagger, texts: list[str], base: list[list], width: int = 2
     Every character takes its label from one window; runs of one kind, over window borders too, are a span.
     """
     out = [list(b) for b in base]
+    texts = [LEADER.sub(lambda m: " " * len(m.group()), t) for t in texts]
     jobs = ((k, *w) for k, t in enumerate(texts) for w in windows_of(t, width))
     tags, codes, held = {}, {}, []
 
@@ -421,7 +441,10 @@ def add_spans(tagger: Tagger, texts: list[str], base: list[list], width: int = 2
         for r, (k, s, _, _) in enumerate(held):
             part = codes[k][s : s + width]
             rows[r, : len(part)] = part
-        for (k, s, low, high), path in zip(held, tagger.decode(rows)):
+        seen: dict = {}
+        which = [seen.setdefault(row.tobytes(), len(seen)) for row in rows]  # long runs of a few characters fill many windows alike
+        paths = tagger.decode(np.array([np.frombuffer(row, rows.dtype) for row in seen]))
+        for (k, s, low, high), path in zip(held, (paths[x] for x in which)):
             tags[k][low:high] = path[low - s : high - s]
 
     for job in jobs:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -550,6 +551,23 @@ def test_pii_long_runs_take_linear_time(tagger):
         assert time.process_time() - began < 3
 
 
+def test_pii_reads_long_runs(tagger):
+    """Spans that stand in or beside runs longer than any secret, bordered by separators."""
+    for fill in "._-=":
+        for count in (3, 20, 140, 5000):
+            for lead, item, kind in (("call me ", "555-123-4567", "phone"), ("call me ", "4111.1111.1111.1111", "card"), ("phone: ", "555-123-4567", "phone")):
+                text = f"{lead}{fill * count}{item}"
+                at = len(text) - len(item)
+                assert (at, kind, len(text)) in pii.add_spans(tagger, [text], [pii.base_spans(text)])[0], (fill, count, item)
+    rng = random.Random(3)
+    for _ in range(20):
+        text = "".join(rng.choice(["a" * 200, "b7", ".", "-/", "c", "12", " "]) for _ in range(60))
+        inside = {p for low, high in pii.regions_of(text) for p in range(low, high)}
+        for m in re.finditer("[A-Za-z0-9_]+", text):
+            if len(m.group()) <= 128 and any(c.isdigit() for c in m.group()):
+                assert set(range(m.start(), m.end())) <= inside
+
+
 def test_pii_every_form_from_text_to_spans(tagger):
     """Every form of pii.labelled_text, in texts that hold nothing else to look at."""
     rng = random.Random(8)
