@@ -15,7 +15,7 @@ from .operators import alignment, cleaning, fragility, identity, leakage, metric
 from .operators.similarity import knn, knn_vote, pairs_above
 from .plans import compile as plans
 from .plans.audit import issue_order
-from .shared import new_path
+from .shared import new_path, ship
 from .sources import tables
 from .spec.lineage import artifact_id_column, run_id_column
 from .spec.lineage import lineage_edges as edges_of
@@ -41,6 +41,7 @@ def query(sql: str | None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -784,26 +785,44 @@ def alike_sql(x: str, y: str, threshold: float) -> str:
     return f"levenshtein({x}, {y}) <= floor((1 - cast({threshold} as double)) * greatest(length({x}), length({y})) + 1e-9)"
 
 
-@query(
-    f"with s as ({ranked_sql('customer', 'c_custkey')}), v as (select c_name as seq, {CUT_SQL} from s join customer using (c_custkey)), u as (select distinct seq, partition from v), "
-    "p as (select distinct least(a.partition, b.partition) as part_a, greatest(a.partition, b.partition) as part_b, least(a.seq, b.seq) as sa, greatest(a.seq, b.seq) as sb "
-    f"from u a join u b on a.partition < b.partition and {alike_sql('a.seq', 'b.seq', 0.9)}) "
-    "select part_a, part_b, count(p.sa) as n_pairs, round(max(1 - levenshtein(sa, sb) / cast(greatest(length(sa), length(sb)) as double)), 6) as max_identity "
-    "from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b) left join p using (part_a, part_b) group by 1, 2"
-)
+def leak_identity_sql(threshold: float) -> str:
+    return (
+        f"with s as ({ranked_sql('customer', 'c_custkey')}), v as (select c_name as seq, {CUT_SQL} from s join customer using (c_custkey)), u as (select distinct seq, partition from v), "
+        "p as (select distinct least(a.partition, b.partition) as part_a, greatest(a.partition, b.partition) as part_b, least(a.seq, b.seq) as sa, greatest(a.seq, b.seq) as sb "
+        f"from u a join u b on a.partition < b.partition and {alike_sql('a.seq', 'b.seq', threshold)}) "
+        "select part_a, part_b, count(p.sa) as n_pairs, round(max(1 - levenshtein(sa, sb) / cast(greatest(length(sa), length(sb)) as double)), 6) as max_identity "
+        "from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b) left join p using (part_a, part_b) group by 1, 2"
+    )
+
+
+def named_parts(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return splits.random_split(c.select("c_custkey"), "c_custkey").join(c, "c_custkey")
+
+
+@query(leak_identity_sql(0.9))
 def leak_sequence_identity(spark, d):
     """Names as sequences: pairs of different parts with an identity of 0.9 or more."""
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
-    parts = splits.random_split(c.select("c_custkey"), "c_custkey").join(c, "c_custkey")
-    return rounded(identity.similar_sequences(parts, "c_custkey", "c_name", 0.9))
+    return rounded(identity.similar_sequences(named_parts(spark, d), "c_custkey", "c_name", 0.9))
 
 
-CLUSTERED = (
-    "seqs as (select p_name as seq, min(p_partkey) as rep from part group by 1), "
-    f"edges as (select a.rep as a, b.rep as b from seqs a join seqs b on {alike_sql('a.seq', 'b.seq', 0.75)}), "
-    "reach as (select rep as node, rep as root from seqs union select e.b, r.root from reach r join edges e on e.a = r.node), "
-    "clusters as (select seq, min(root) as cluster from reach join seqs on node = rep group by 1)"
-)
+@query(leak_identity_sql(0.3))
+def leak_sequence_identity_low(spark, d):
+    """The same at 0.3, where blocks of names are compared; they share a word, so nearly all pairs are similar, and are only counted."""
+    return rounded(identity.similar_sequences(named_parts(spark, d), "c_custkey", "c_name", 0.3))
+
+
+def clustered_sql(name: str, key: str, seq: str, threshold: float) -> str:
+    """Recursive tables: seqs (seq, rep), edges (a, b), both ways, and clusters (seq, cluster)."""
+    return (
+        f"seqs as (select {seq} as seq, min({key}) as rep from {name} group by 1), "
+        f"edges as (select a.rep as a, b.rep as b from seqs a join seqs b on {alike_sql('a.seq', 'b.seq', threshold)}), "
+        "reach as (select rep as node, rep as root from seqs union select e.b, r.root from reach r join edges e on e.a = r.node), "
+        "clusters as (select seq, min(root) as cluster from reach join seqs on node = rep group by 1)"
+    )
+
+
+CLUSTERED = clustered_sql("part", "p_partkey", "p_name", 0.75)
 
 
 @query(f"with recursive {CLUSTERED} select p_partkey, cluster from part join clusters on seq = p_name")
@@ -1011,12 +1030,71 @@ IDENTITY_SPLIT = SPLIT_SPEC | {
 }
 
 
-@query("""
-    select cast(0 as int) as \"check\", 'sequence_identity' as type, part_a, part_b, cast(0 as bigint) as n_shared from (values ('test', 'train'),
-    ('test', 'val'), ('train', 'val')) t(part_a, part_b)
-""")
+def split_checks_sql(name: str, key: str, seq: str, threshold: float, test: float, val: float, checks: str, where: str = "true") -> str:
+    """Clusters of similar sequences, packed into parts, and then ``checks`` of u (rep, seq, partition) and edges."""
+    return f"""
+        with recursive rows as (select * from {name} where {where}), {clustered_sql('rows', key, seq, threshold)},
+        c as (select cluster, count(*) as size from rows join clusters on seq = {seq} group by 1),
+        o as (select *, coalesce(sum(size) over (order by md5(cluster || ':42'), cluster rows between unbounded preceding and 1 preceding), 0) as before, sum(size) over () as total from c),
+        x as (select *, before < round_even(cast({test} as double) * total, 0) as is_test from o),
+        y as (select *, coalesce(sum(size) over (partition by is_test order by md5(cluster || ':42'), cluster rows between unbounded preceding and 1 preceding), 0) as rest from x),
+        z as (select cluster, case when is_test then 'test' when rest < round_even(cast({val} as double) * total, 0) then 'val' else 'train' end as partition from y),
+        u as (select distinct rep, seq, partition from clusters join z using (cluster) join seqs using (seq)),
+        p as (select a.partition as part_a, b.partition as part_b, count(*) as n from u a join edges e on a.rep = e.a join u b on b.rep = e.b where a.partition < b.partition group by 1, 2)
+        {checks}"""
+
+
+@query(split_checks_sql(
+    "part", "p_partkey", "p_name", 0.75, 0.2, 0.1,
+    "select cast(0 as int) as \"check\", 'sequence_identity' as type, part_a, part_b, coalesce(n, 0) as n_shared from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b) left join p using (part_a, part_b)",
+))
 def identity_split_checks(spark, d):
     """A cluster-aware split by sequence identity has no pair of similar names across its parts."""
     spec = parse("split", IDENTITY_SPLIT)
     parts = plans.compile_split(table(spark, d, "part").select("p_partkey", "p_name"), spec, "p_partkey", sequence="p_name")
     return plans.compile_checks(parts, spec, "p_partkey", "p_name")
+
+
+def short_documents(spark, d):
+    """Documents with their text in ASCII: DuckDB's levenshtein counts bytes."""
+    return table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "[^\\x00-\\x7F]", "?"))
+
+
+SHORT_SQL = "(select * replace (regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as text) from documents)"
+
+LOW_DATASET = DATASET_SPEC | {
+    "filters": [{"field": "sequence_length", "op": "between", "value": [1, 500]}], "redundancy_control": {"method": "sequence_identity", "threshold": 0.3},
+}
+
+
+@query(
+    f"with recursive rows as (select * from {SHORT_SQL} where length(text) between 1 and 500), {clustered_sql('rows', 'doc_id', 'text', 0.3)} "
+    "select doc_id, lang, source from rows join clusters on seq = text where doc_id = cluster"
+)
+def redundancy_identity_low(spark, d):
+    """Short documents, one of each cluster of an identity of 0.3."""
+    return plans.compile_dataset(short_documents(spark, d), parse("dataset", LOW_DATASET)).drop("text")
+
+
+LOW_SPLIT = SPLIT_SPEC | {
+    "split_name": "low", "protocol": "cluster_aware", "ratios": {"train": 0.8, "val": 0.1, "test": 0.1}, "group_field": None,
+    "identity": {"measure": "sequence_identity", "threshold": 0.3},
+    "leakage_checks": [{"type": "sequence_identity", "scope": "train_test", "threshold": 0.3}, {"type": "sequence_identity", "scope": "all", "threshold": 0.25}, {"type": "exact_duplicate", "scope": "all"}],
+}
+
+
+@query(split_checks_sql(
+    SHORT_SQL, "doc_id", "text", 0.3, 0.1, 0.1,
+    f"""
+        , q as (select a.partition as part_a, b.partition as part_b, count(*) as n from u a join u b on a.partition < b.partition and {alike_sql('a.seq', 'b.seq', 0.25)} group by 1, 2),
+        t as (select * from (values ('test', 'train'), ('test', 'val'), ('train', 'val')) t(part_a, part_b))
+        select cast(0 as int) as "check", 'sequence_identity' as type, part_a, part_b, coalesce(n, 0) as n_shared from t left join p using (part_a, part_b) where part_b = 'train'
+        union all select 1, 'sequence_identity', part_a, part_b, coalesce(n, 0) from t left join q using (part_a, part_b)
+        union all select 2, 'exact_duplicate', part_a, part_b, 0 from t""",
+    "length(text) between 1 and 500",
+))
+def identity_split_low(spark, d):
+    """A cluster-aware split of short documents at an identity of 0.3: none across train and test; some at 0.25."""
+    spec = parse("split", LOW_SPLIT)
+    docs = short_documents(spark, d).select("doc_id", "text").where("length(text) between 1 and 500")
+    return plans.compile_checks(plans.compile_split(docs, spec, "doc_id", sequence="text"), spec, "doc_id", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,23 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a block's edges (a, b) connect something that earlier ones don't."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[y] = x
+            keep.append(k)
+    return np.array(keep, np.int64)

@@ -1,17 +1,24 @@
 """Pairs of similar sequences: identity is 1 - edit distance / length of the longer sequence.
 
-Candidates come from an inverted index of q-grams with an exact prefix filter, and the edit distance decides. Only DataFrame functions run here.
+Above an identity of 0.5, candidates come from an inverted index of q-grams with an exact prefix filter, and the edit distance decides,
+with DataFrame functions only. At 0.5 or less edits may destroy every q-gram, so sequences of like length are compared block by block:
+the characters that two of them can share bound their identity, and bit-parallel edit distances decide the rest. Both ways are exact.
+What comes back is no larger than what is asked for: pairs, a spanning forest, or counts by the parts that hold the sequences.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialise
-from .components import connected_components
+from ..shared import materialise, ship
+from . import alignment_kernel as kernel
+from .blocks import neighbour_blocks
+from .components import connected_components, spanning_forest
 from .leakage import PAIRS
 
 
@@ -40,16 +47,61 @@ def _prefix_tokens(sequences: DataFrame, q: int, threshold: float, longest: int)
     return chosen.where("df > 1").select("rep", "n", F.lit(q).alias("q"), "gram", "k")
 
 
-def similar_pairs(sequences: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, identity) of all pairs a < b of the distinct sequences (rep, seq) whose identity is at least ``threshold``.
+def aligned_blocks(sequences: DataFrame, threshold: float, want: str, rows_per_block: int = 1024) -> DataFrame:
+    """Exact comparison of the distinct sequences (rep, seq, mask) at any threshold above 0, in blocks of like length.
+
+    ``want`` is pairs: (a, b, identity) with a < b; forest: edges (a, b, identity) of a spanning forest of each pair of blocks; counts:
+    (mask_a, mask_b, n, m), the number of pairs and the highest identity by the masks of the smaller and the larger rep. Sequences whose lengths differ by more than
+    the threshold allows mostly never meet, and where the characters they can share rule a pair out it is not aligned; but the work
+    grows with the square of the number of distinct sequences of like length, as low thresholds let nearly all be partners.
+    """
+    ship(sequences.sparkSession)
+    length = F.length("seq")
+    band = F.floor(F.log(length.cast("double")) / math.log(1 / threshold)) if threshold < 1 else length
+    rows = sequences.where(length > 0).select(F.col("rep").alias("id"), "seq", "mask", band.cast("int").alias("band"))
+
+    def compare(x: pa.Table, y: pa.Table, same: bool) -> pa.Table:
+        (ids, a, mask), (others, b, mask_b) = ([t.column(c).to_pylist() for c in ("id", "seq", "mask")] for t in (x, y))
+        ids, others = np.array(ids, np.int64), np.array(others, np.int64)
+        (u, m), (v, n) = kernel.codes(a), kernel.codes(b)
+        longer = np.maximum(m[:, None], n[None, :])
+        fits = kernel.most_shared(kernel.composition(u, m), kernel.composition(v, n)) >= threshold * longer - 1e-9
+        if same:
+            fits &= ids[:, None] < others[None, :]
+        i, j = np.nonzero(fits)
+        found = kernel.identities(a, b, i, j, threshold)
+        hit = found >= threshold - 1e-9
+        i, j, found = i[hit], j[hit], found[hit]
+        if want == "forest":
+            keep = spanning_forest(ids[i], others[j])
+            i, j, found = i[keep], j[keep], found[keep]
+        first, second = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
+        if want != "counts":
+            return pa.table({"a": first, "b": second, "identity": found})
+        turned = ids[i] > others[j]
+        one, two = np.array(mask, np.int32)[i], np.array(mask_b, np.int32)[j]
+        keys, which, n = np.unique(np.stack([np.where(turned, two, one), np.where(turned, one, two)]), axis=1, return_inverse=True, return_counts=True)
+        best = np.zeros(len(n))
+        np.maximum.at(best, which.ravel(), found)
+        return pa.table({"mask_a": keys[0], "mask_b": keys[1], "n": n, "m": best})
+
+    schema = "mask_a int, mask_b int, n long, m double" if want == "counts" else "a long, b long, identity double"
+    return neighbour_blocks(rows, ["seq", "mask"], compare, schema, rows_per_block)
+
+
+def similar_pairs(sequences: DataFrame, threshold: float, want: str = "pairs") -> DataFrame:
+    """(a, b, identity) of all pairs a < b of the distinct sequences (rep, seq) whose identity is at least ``threshold``. With
+    ``want="forest"``, and a threshold of 0.5 or less, only enough of them to connect the same sequences.
 
     d edits destroy at most q * d of a sequence's q-grams, so among the q * d + 1 rarest of either sequence one is among those of the other.
     q is chosen by the mean length, so that these are a quarter of all grams at most (the frequent ones are then rarely among them). Sequences
     too short to have that many, and all that could be their partners, are also indexed by single characters, where the filter holds
-    for any length. This needs a threshold above 0.5.
+    for any length. This needs a threshold above 0.5; others go to ``aligned_blocks``.
     """
-    if not 0.5 < threshold <= 1:
-        raise NotImplementedError("sequence identity of 0.5 or less needs an aligner with a seed index")
+    if not 0 < threshold <= 1:
+        raise ValueError("the identity threshold is above 0 and at most 1")
+    if threshold <= 0.5:
+        return aligned_blocks(sequences.select("rep", "seq", F.lit(0).alias("mask")), threshold, want)
     if threshold == 1:
         return sequences.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("identity")).limit(0)
     mean, longest = (x or 1 for x in sequences.agg(F.avg(F.length("seq")), F.max(F.length("seq"))).first())
@@ -59,7 +111,7 @@ def similar_pairs(sequences: DataFrame, threshold: float) -> DataFrame:
     q = max(q, min(2, most))
     tokens = _prefix_tokens(sequences, q, threshold, longest)
     if q > 1:
-        short = max((n for n in range(1, 5000) if n - q + 1 < q * math.floor(_edits_with_any(n, threshold, longest)) + 1), default=0)
+        short = max((n for n in range(1, int(longest) + 1) if n - q + 1 < q * math.floor(_edits_with_any(n, threshold, longest)) + 1), default=0)
         tokens = tokens.unionByName(_prefix_tokens(sequences.where(F.length("seq") <= short / threshold), 1, threshold, longest))
     tokens = materialise(tokens, "tokens")
     left, right = (tokens.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), "q", "gram", "k") for side in "ab")
@@ -81,25 +133,36 @@ def distinct_sequences(df: DataFrame, id_col: str, sequence: str, *more: Column)
 def identity_clusters(df: DataFrame, id_col: str, sequence: str, threshold: float) -> DataFrame:
     """``df`` with cluster: the smallest id that a chain of similar sequences leads to. A row without a sequence is its own cluster."""
     sequences = materialise(distinct_sequences(df, id_col, sequence), "sequences")
-    roots = connected_components(similar_pairs(sequences, threshold), "a", "b")
+    roots = connected_components(similar_pairs(sequences, threshold, "forest"), "a", "b")
     named = sequences.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("seq").alias("__seq"), F.coalesce("root", "rep").alias("__root"))
     return df.join(named, F.col(sequence) == F.col("__seq"), "left").withColumn("cluster", F.coalesce("__root", id_col)).drop("__seq", "__root")
 
 
 def similar_sequences(parts: DataFrame, id_col: str, sequence: str, threshold: float, scope: str = "all") -> DataFrame:
     """(part_a, part_b, n_pairs, max_identity): pairs of distinct sequences, one of each part, that are similar; a sequence that both
-    parts hold is a pair with itself. Copies of a sequence count once."""
-    flags = [F.max((F.col("partition") == p).cast("int")).alias(p) for p in ("train", "val", "test")]
-    sequences = materialise(distinct_sequences(parts, id_col, sequence, *flags), "sequences")
-    pairs = similar_pairs(sequences.select("rep", "seq"), threshold).unionByName(
-        sequences.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("identity"))
+    parts hold is a pair with itself. Copies of a sequence count once. Pairs are counted by the parts that hold their sequences, so
+    at most 49 numbers are left of each task's pairs."""
+    names = ("train", "val", "test")
+    bits = [F.max((F.col("partition") == p).cast("int")) * (1 << k) for k, p in enumerate(names)]
+    mask = F.coalesce(bits[0] + bits[1] + bits[2], F.lit(0))
+    sequences = materialise(distinct_sequences(parts, id_col, sequence, mask.cast("int").alias("mask")), "sequences")
+    if threshold <= 0.5:
+        counts = aligned_blocks(sequences, threshold, "counts")
+    else:
+        pairs = similar_pairs(sequences.select("rep", "seq"), threshold)
+        for side in "ab":
+            pairs = pairs.join(sequences.select(F.col("rep").alias(side), F.col("mask").alias(f"mask_{side}")), side)
+        counts = pairs.groupBy("mask_a", "mask_b").agg(F.count("*").alias("n"), F.max("identity").alias("m"))
+    own = sequences.groupBy(F.col("mask").alias("mask_a"), F.col("mask").alias("mask_b")).agg(F.count("*").alias("n"), F.lit(1.0).alias("m"))
+    counts = counts.select("mask_a", "mask_b", "n", "m").unionByName(own)
+    holds = lambda side, part: F.col(f"mask_{side}").bitwiseAND(1 << names.index(part)) > 0
+    across = lambda x, y: (holds("a", x) & holds("b", y)) | (holds("a", y) & holds("b", x))
+    found = counts.agg(
+        *[f(F.when(across(x, y), F.col(n))).alias(f"{n}|{x}|{y}") for x, y in PAIRS[scope] for n, f in (("n", F.sum), ("m", F.max))]
     )
-    held = lambda side: sequences.select(F.col("rep").alias(side), *[F.col(p).alias(f"{p}_{side}") for p in ("train", "val", "test")])
-    pairs = pairs.join(held("a"), "a").join(held("b"), "b")
-    across = lambda x, y: (F.col(f"{x}_a") * F.col(f"{y}_b") + F.col(f"{y}_a") * F.col(f"{x}_b")) > 0
-    found = pairs.agg(*[f(F.when(across(x, y), F.col("identity"))).alias(f"{n}|{x}|{y}") for x, y in PAIRS[scope] for n, f in (("n", F.count), ("m", F.max))])
     rows = [
-        F.struct(F.lit(x).alias("part_a"), F.lit(y).alias("part_b"), F.col(f"`n|{x}|{y}`").alias("n_pairs"), F.col(f"`m|{x}|{y}`").alias("max_identity")) for x,
-        y in PAIRS[scope]
-    ]
+        F.struct(
+            F.lit(x).alias("part_a"), F.lit(y).alias("part_b"), F.coalesce(F.col(f"`n|{x}|{y}`"), F.lit(0)).cast("long").alias("n_pairs"), F.col(f"`m|{x}|{y}`").alias("max_identity")
+        ) for x, y in PAIRS[scope]
+    ]
     return found.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

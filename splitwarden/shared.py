@@ -1,10 +1,12 @@
-"""The folder that driver and executors share, and tables written to it."""
+"""The folder that driver and executors share, tables written to it, and the package that executors need."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,19 @@ def remove(df: DataFrame) -> None:
     for file in df.inputFiles():
         path = context._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False)
+
+
+_shipped: set = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        path = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)

@@ -400,8 +400,95 @@ def test_identity_pairs_against_all_pairs(spark):
     assert spark.range(1).select(most_edits(F.lit(10), 0.9)).first()[0] == 1
     odd = spark.createDataFrame([(1, None), (2, ""), (3, ""), (4, "MKV"), (None, "MKV")], "id long, s string")
     assert sorted(((r.id, r.cluster) for r in identity_clusters(odd, "id", "s", 0.8).collect()), key=str) == [(1, 1), (2, 2), (3, 2), (4, 4), (None, 4)]
-    with pytest.raises(NotImplementedError):
-        similar_pairs(df, 0.4)
+    with pytest.raises(ValueError):
+        similar_pairs(df, 0.0)
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distances_of_many_pairs():
+    import random
+
+    import numpy as np
+
+    from splitwarden.operators import alignment_kernel as kernel
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé日𝄞") for _ in range(n)) for n in (1, 2, 5, 20, 40, 62, 63, 64, 65, 66, 90, 130) for _ in range(2)]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
+    exact = np.array([1 - edits_between(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) for a, b in zip(i, j)])
+    for threshold in (0.001, 0.3, 0.7):
+        assert np.allclose(kernel.identities(texts, texts, i, j, threshold), np.where(exact >= threshold - 1e-9, exact, 0))
+    rows, lengths = kernel.codes(texts)
+    shared = kernel.most_shared(*[kernel.composition(rows, lengths)] * 2)
+    assert (shared[i, j] >= exact * np.maximum(lengths[i], lengths[j]) - 1e-9).all()
+    assert kernel.edit_distance("", "abc", 9) == 3 and kernel.edit_distance("abc", "", 9) == 3 and kernel.edit_distance("a" * 50, "b" * 50, 10) == 11
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.5])
+def test_identity_at_low_thresholds_against_all_pairs(spark, threshold):
+    """500 sequences of families with many edits, in several blocks: pairs, forests and counts."""
+    import random
+
+    from splitwarden.operators import identity
+
+    rng = random.Random(7)
+    texts = set()
+    while len(texts) < 500:
+        base = [rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rng.choice([1, 3, 8, 15, 30, 70]))]
+        for _ in range(rng.randint(1, 20)):
+            t = [rng.choice(["", "A", "K", c]) if rng.random() < 0.5 else c for c in base]
+            texts.add("".join(t) or "Y")
+    rows = [(k, t) for k, t in enumerate(sorted(texts)[:500])]
+    want = {}
+    for a, x in rows:
+        for b, y in rows:
+            n = max(len(x), len(y))
+            if a < b and (e := edits_between(x, y)) <= int((1 - threshold) * n + 1e-9):
+                want[a, b] = 1 - e / n
+    df = spark.createDataFrame(rows, "rep long, seq string")
+    got = {(r.a, r.b): r.identity for r in identity.aligned_blocks(df.withColumn("mask", F.lit(1)), threshold, "pairs", rows_per_block=100).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(want) > 100
+    assert {(r.a, r.b) for r in identity.similar_pairs(df, threshold).collect()} == set(want)
+
+    root = {a: a for a, _ in rows}
+    for _ in range(30):
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    clusters = identity.identity_clusters(df, "rep", "seq", threshold).collect()
+    assert {r.rep: r.cluster for r in clusters} == root
+
+    parts = df.withColumn("partition", F.expr("element_at(array('train', 'val', 'test'), cast(rep % 3 + 1 as int))"))
+    names = ["train", "val", "test"]
+    for r in identity.similar_sequences(parts, "rep", "seq", threshold).collect():
+        across = [v for (a, b), v in want.items() if {names[a % 3], names[b % 3]} == {r.part_a, r.part_b}]
+        assert r.n_pairs == len(across) and r.max_identity == pytest.approx(max(across))
+
+
+def test_a_split_at_low_identity_runs(spark):
+    """Clusters at 0.3 and their checks, with a spec as it is shipped with examples; odd rows too."""
+    from splitwarden.plans.compile import compile_checks, compile_split
+    from splitwarden.spec.schema import parse
+
+    spec = parse("split", {
+        "split_name": "seqid30", "protocol": "cluster_aware", "ratios": {"train": 0.8, "val": 0.1, "test": 0.1}, "seed": 42,
+        "identity": {"measure": "sequence_identity", "threshold": 0.3, "tool": "mmseqs2"},
+        "leakage_checks": [{"type": "sequence_identity", "scope": "train_test", "threshold": 0.3, "description": "homology"}, {"type": "exact_duplicate", "scope": "all"}],
+    })
+    rows = [(k, t) for k, t in enumerate([None, "", "", "MKVL", "MKVL", "MKVA", "W" * 100, "W" * 30, "PPPPPPPP", "日本語日本語", "CCCC" * 3000])]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    parts = compile_split(df, spec, "id", sequence="seq")
+    assert parts.count() == len(rows)
+    assert {r.n_shared for r in compile_checks(parts, spec, "id", "seq").collect()} == {0}
+    empty = compile_split(df.limit(0), spec, "id", sequence="seq")
+    assert empty.count() == 0 and {r.n_shared for r in compile_checks(empty, spec, "id", "seq").collect()} == {0}
 
 
 def test_pairs_above_against_all_pairs(spark):
