@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import materialise as materialise  # for the operators here
+from ..shared import ship as ship
 
 #: The white space that separates words, as a Java and DuckDB character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -41,22 +39,6 @@ def body(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-_shipped: set = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        path = f"{tempfile.mkdtemp(prefix='package-')}/{package.name}.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        context.addPyFile(path)
-        _shipped.add(context.applicationId)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
