@@ -1,4 +1,4 @@
-"""Exact nearest neighbours, and exact pairs above a cosine similarity, in blocks."""
+"""Exact nearest neighbours in balls, and exact pairs above a cosine similarity in blocks."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import unit_vector
+from ..shared import materialise, ship
 
 
 def _matrix(table: pa.Table, column: str = "v") -> np.ndarray:
@@ -27,44 +28,153 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return out if metric == "manhattan" else np.sqrt(out)
 
 
+def _apart(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances that obey the triangle inequality: those of ``metric``, or for cosine the straight ones of unit vectors."""
+    if metric == "manhattan":
+        return _distances(x, y, metric)
+    squares = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+#: What ``_apart`` may be off by, through rounding.
+SLACK = 1e-6
+
+
+class Balls:
+    """Balls of vectors around centres, in tiles of about ``rows_per_block`` rows.
+
+    Centres are the vectors whose ids have the smallest hashes: one for each tile's worth of rows, ``most_centres`` at most, so what goes to the driver
+    and to every task is bounded. A vector is in the ball of its nearest centre; a large ball just has more tiles.
+    """
+
+    def __init__(self, base: DataFrame, metric: str, rows_per_block: int, most_centres: int = 4096):
+        spark, self.metric = base.sparkSession, metric
+        base = materialise(base, "vectors")
+        wanted = min(most_centres, -(-base.count() // rows_per_block))
+        chosen = base.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(max(1, wanted)).select("v").toArrow()
+        self.empty = not chosen.num_rows
+        self.centres = spark.sparkContext.broadcast(_matrix(chosen) if not self.empty else np.zeros((0, 0)))
+        self.rows = materialise(base.mapInArrow(self.nearest(), "id long, v array<double>, ball int, gap double"), "balls")
+        size = self.rows.groupBy("ball").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
+        self.radius, self.tiles = np.full(len(self.centres.value), -1.0), np.zeros(len(self.centres.value), np.int64)
+        for r in size:
+            self.radius[r["ball"]], self.tiles[r["ball"]] = r["radius"], -(-r["n"] // rows_per_block)
+        sizes = spark.createDataFrame([(k, int(t)) for k, t in enumerate(self.tiles)], "ball int, tiles long")
+        self.tiled = self.rows.join(F.broadcast(sizes), "ball").withColumn("tile", F.pmod(F.xxhash64(F.lit(12), "id"), "tiles"))  # at most most_centres rows
+        self.sizes = sizes
+
+    def nearest(self):
+        """(id, v, ball, gap): the nearest centre and the distance to it."""
+        centres, metric = self.centres, self.metric
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    far = _apart(_matrix(pa.Table.from_batches([batch])), centres.value, metric)
+                    ball = far.argmin(1)
+                    columns = [batch.column("id"), batch.column("v"), pa.array(ball.astype(np.int32)), pa.array(far[np.arange(len(ball)), ball])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "ball", "gap"])
+
+        return run
+
+    def reached(self):
+        """(id, v, ball): the balls that can hold a vector within ``reach`` of a query, by the triangle inequality."""
+        centres, metric, radius = self.centres, self.metric, self.radius
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    far = _apart(_matrix(pa.Table.from_batches([batch])), centres.value, metric)
+                    reach = batch.column("reach").to_numpy(zero_copy_only=False)
+                    q, ball = np.nonzero((radius[None, :] >= 0) & (far - radius[None, :] <= reach[:, None] + SLACK))
+                    at = pa.array(q)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(ball.astype(np.int32))], names=["id", "v", "ball"])
+
+        return run
+
+
+def ball_visits(balls: Balls, queries: DataFrame, k: int, digits: int, leave_out: bool) -> tuple[DataFrame, DataFrame]:
+    """The neighbours from a first round, and the (id, v, ball, tile) that remain to be looked at.
+
+    Each query is first compared with one tile of the ball of its nearest centre. Its k-th distance there bounds the k-th of all, so
+    other tiles count only if their ball reaches into that distance.
+    """
+    near = queries.mapInArrow(balls.nearest(), "id long, v array<double>, ball int, gap double").join(F.broadcast(balls.sizes.where("tiles > 0")), "ball")
+    home = materialise(near.select("id", "v", "ball", F.pmod(F.xxhash64(F.lit(12), "id"), "tiles").alias("tile")), "home")
+    first = materialise(_visit(balls, home, k, digits, leave_out), "first")
+    least = first.groupBy("a").agg(F.max("distance").alias("worst"), F.count("*").alias("n")).where(F.col("n") >= k)
+    worst = F.coalesce("worst", F.lit(float("inf"))) + 10.0**-digits  # distances are rounded
+    reach = F.sqrt(2 * worst) if balls.metric == "cosine" else worst  # a cosine distance is at least half of the squared straight one
+    asked = home.withColumnsRenamed({"ball": "home_ball", "tile": "home_tile"}).join(least.select(F.col("a").alias("id"), "worst"), "id", "left").withColumn("reach", reach)
+    rest = asked.select("id", "v", "reach").mapInArrow(balls.reached(), "id long, v array<double>, ball int").join(F.broadcast(balls.sizes), "ball")
+    rest = rest.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    seen = home.select("id", "ball", "tile").distinct()
+    return first, rest.select("id", "v", "ball", "tile").join(seen, ["id", "ball", "tile"], "left_anti")
+
+
+def _visit(balls: Balls, visits: DataFrame, k: int, digits: int, leave_out: bool, queries_per_task: int = 1 << 18) -> DataFrame:
+    """(a, b, distance): up to k neighbours of each visiting query in its tile. Queries stream through a task that holds one tile."""
+    metric = balls.metric
+    parts = max(1, -(-visits.select("id").distinct().count() // queries_per_task))
+    part = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(parts))
+    left = visits.select("ball", "tile", part.alias("part"), F.lit(1).alias("asks"), "id", "v")
+    right = balls.tiled.select("ball", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("asks"), "id", "v")
+    both = right.unionByName(left).repartition("ball", "tile", "part").sortWithinPartitions("ball", "tile", "part", "asks", "id")
+
+    def run(batches):
+        at, held, ids, rows = None, [], None, None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("ball", "tile", "part", "asks")]
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                here, piece = tuple(int(c[s]) for c in columns[:3]), pa.Table.from_batches([batch.slice(s, e - s)]).select(["id", "v"])
+                if here != at:
+                    at, held, rows = here, [], None
+                if not columns[3][s]:
+                    held.append(piece)
+                    continue
+                if not held and rows is None:
+                    continue
+                if rows is None:
+                    tile = pa.concat_tables(held)
+                    ids, rows, held = tile.column("id").to_numpy(), _matrix(tile), []
+                for low in range(0, piece.num_rows, 1024):
+                    some = piece.slice(low, 1024)
+                    asked = some.column("id").to_numpy()
+                    distance = np.round(_distances(_matrix(some), rows, metric), digits) + 0.0
+                    if leave_out:
+                        distance[asked[:, None] == ids[None, :]] = np.inf
+                    best = np.argsort(distance, axis=1, kind="stable")[:, :k]  # the tile is in the order of its ids
+                    found = np.take_along_axis(distance, best, 1).ravel()
+                    keep = np.isfinite(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(asked, best.shape[1])[keep]), pa.array(ids[best].ravel()[keep]), pa.array(found[keep])], names=["a", "b", "distance"]
+                    )
+
+    return both.mapInArrow(run, "a long, b long, distance double")
+
+
 def knn(
     queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", rows_per_block: int = 2048, digits: int = 9,
     metric: str = "cosine", leave_out: bool = True
 ) -> DataFrame:
     """(a, b, distance, rank): the k rows of ``base`` nearest to each row of ``queries``, itself left out (with ``leave_out``).
 
-    ``metric`` is cosine, euclidean or manhattan. Distances are rounded to ``digits``, and ties go to the smaller id. Each pair of
-    blocks is one matrix product, which yields k candidates for each query; a window of blocks x k rows picks the best. Vectors of
+    ``metric`` is cosine, euclidean or manhattan. Distances are rounded to ``digits``, and ties go to the smaller id. ``base`` is cut into balls (``Balls``);
+    a first round gives each query a bound, and the second looks only at balls that reach into it (``ball_visits``), so nothing is missed, and
+    clustered vectors are compared with few tiles. Unclustered ones in many dimensions are compared with all. Null vectors are left out; vectors of
     a different length than the first don't occur.
     """
-    n_base, n_queries = base.count(), queries.count()
-    blocks = max(1, -(-n_base // rows_per_block))
-    parts = max(1, -(-n_queries // rows_per_block))
+    ship(base.sparkSession)
     unit = (unit_vector(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))).alias("v")
-    left = queries.select(
-        F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bb")
-    )
-    right = base.select(
-        F.col(id_col).cast("long").alias("id"), unit, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("bb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("qb")
-    )
-
-    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["a", "b", "distance"]
-        if not a.num_rows or not b.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        b = b.sort_by("id")
-        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-        distance = np.round(_distances(_matrix(a), _matrix(b), metric), digits) + 0.0
-        if leave_out:
-            distance[ids[:, None] == others[None, :]] = np.inf
-        best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(distance, best, 1).ravel()
-        keep = np.isfinite(found)
-        return pa.table([np.repeat(ids, best.shape[1])[keep], others[best].ravel()[keep], found[keep]], names=names)
-
-    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(nearest, "a long, b long, distance double")
+    rows, asked = (df.select(F.col(id_col).cast("long").alias("id"), unit).where("v is not null") for df in (base, queries))
+    balls = Balls(rows, metric, rows_per_block)
+    if balls.empty:
+        return base.sparkSession.createDataFrame([], "a long, b long, distance double, rank int")
+    first, rest = ball_visits(balls, asked, k, digits, leave_out)
+    found = first.unionByName(_visit(balls, rest, k, digits, leave_out))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

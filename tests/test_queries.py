@@ -491,6 +491,53 @@ def test_a_split_at_low_identity_runs(spark):
     assert empty.count() == 0 and {r.n_shared for r in compile_checks(empty, spec, "id", "seq").collect()} == {0}
 
 
+def plain_neighbours(rows, k, metric, leave_out=True):
+    import numpy as np
+
+    x = np.array([v for _, v in rows], float)
+    if metric == "cosine":
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, norm, out=x.copy(), where=norm > 0)
+    out = []
+    for i, (a, _) in enumerate(rows):
+        step = np.abs(x - x[i])
+        far = 1 - x @ x[i] if metric == "cosine" else step.sum(1) if metric == "manhattan" else np.sqrt((step * step).sum(1))
+        near = sorted((round(float(d), 9) + 0.0, b) for (b, _), d in zip(rows, far) if b != a or not leave_out)[:k]
+        out += [(a, b, r + 1) for r, (_, b) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_knn_in_balls_against_all_rows(spark, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 6)) * 4
+    x = centres[rng.integers(0, 12, 500)] + rng.normal(size=(500, 6)) / 8
+    x[7], x[8], x[9] = 0, 0, x[10]
+    rows = [(k, r.tolist()) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = sorted((r.a, r.b, r["rank"]) for r in knn(df, df, 5, rows_per_block=20, metric=metric).collect())
+    assert got == plain_neighbours(rows, 5, metric)
+    assert knn(df, df.limit(0), 5, metric=metric).count() == 0 == knn(df.limit(0), df, 5, metric=metric).count()
+    few = knn(df.where("id < 2"), df.where("id < 4"), 5, metric=metric, rows_per_block=2).collect()
+    assert sorted((r.a, r["rank"]) for r in few) == [(a, k) for a in (0, 1) for k in (1, 2, 3)]
+
+
+def test_clustered_queries_visit_few_tiles(spark):
+    import numpy as np
+
+    from splitwarden.operators.similarity import Balls, ball_visits
+
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(20, 32)) * 3)[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 32)) / 5
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
+    balls = Balls(df, "euclidean", 50)
+    first, rest = ball_visits(balls, df, 5, 9, True)
+    assert first.count() > 0
+    assert 2000 + rest.count() < 2000 * int(balls.tiles.sum()) / 2  # what a comparison of all blocks would take
+
+
 def test_pairs_above_against_all_pairs(spark):
     import numpy as np
 
