@@ -47,24 +47,25 @@ class Balls:
     and to every task is bounded. A vector is in the ball of its nearest centre; a large ball just has more tiles.
     """
 
-    def __init__(self, base: DataFrame, metric: str, rows_per_block: int, most_centres: int = 4096):
+    def __init__(self, base: DataFrame, metric: str, rows_per_block: int, most_centres: int = 4096, payload: dict[str, str] | None = None):
         spark, self.metric = base.sparkSession, metric
         base = materialise(base, "vectors")
         wanted = min(most_centres, -(-base.count() // rows_per_block))
         chosen = base.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(max(1, wanted)).select("v").toArrow()
         self.empty = not chosen.num_rows
         self.centres = spark.sparkContext.broadcast(_matrix(chosen) if not self.empty else np.zeros((0, 0)))
-        self.rows = materialise(base.mapInArrow(self.nearest(), "id long, v array<double>, ball int, gap double"), "balls")
+        more = "".join(f"{c} {t}, " for c, t in (payload or {}).items())
+        self.rows = materialise(base.select("id", "v", *(payload or {})).mapInArrow(self.nearest(*(payload or {})), f"id long, v array<double>, {more}ball int, gap double"), "balls")
         size = self.rows.groupBy("ball").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
         self.radius, self.tiles = np.full(len(self.centres.value), -1.0), np.zeros(len(self.centres.value), np.int64)
         for r in size:
             self.radius[r["ball"]], self.tiles[r["ball"]] = r["radius"], -(-r["n"] // rows_per_block)
         sizes = spark.createDataFrame([(k, int(t)) for k, t in enumerate(self.tiles)], "ball int, tiles long")
-        self.tiled = self.rows.join(F.broadcast(sizes), "ball").withColumn("tile", F.pmod(F.xxhash64(F.lit(12), "id"), "tiles"))  # at most most_centres rows
+        self.tiled = self.rows.withColumn("own", F.col("ball")).join(F.broadcast(sizes), "ball").withColumn("tile", F.pmod(F.xxhash64(F.lit(12), "id"), "tiles"))  # at most most_centres rows
         self.sizes = sizes
 
-    def nearest(self):
-        """(id, v, ball, gap): the nearest centre and the distance to it."""
+    def nearest(self, *more: str):
+        """(id, v, *more, ball, gap): the nearest centre and the distance to it."""
         centres, metric = self.centres, self.metric
 
         def run(batches):
@@ -72,13 +73,13 @@ class Balls:
                 if batch.num_rows:
                     far = _apart(_matrix(pa.Table.from_batches([batch])), centres.value, metric)
                     ball = far.argmin(1)
-                    columns = [batch.column("id"), batch.column("v"), pa.array(ball.astype(np.int32)), pa.array(far[np.arange(len(ball)), ball])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "ball", "gap"])
+                    own = {c: batch.column(c) for c in ("id", "v", *more)}
+                    yield pa.RecordBatch.from_pydict(own | {"ball": pa.array(ball.astype(np.int32)), "gap": pa.array(far[np.arange(len(ball)), ball])})
 
         return run
 
-    def reached(self):
-        """(id, v, ball): the balls that can hold a vector within ``reach`` of a query, by the triangle inequality."""
+    def reached(self, *more: str):
+        """(id, v, *more, ball): the balls that can hold a vector within ``reach`` of a query, by the triangle inequality."""
         centres, metric, radius = self.centres, self.metric, self.radius
 
         def run(batches):
@@ -87,8 +88,7 @@ class Balls:
                     far = _apart(_matrix(pa.Table.from_batches([batch])), centres.value, metric)
                     reach = batch.column("reach").to_numpy(zero_copy_only=False)
                     q, ball = np.nonzero((radius[None, :] >= 0) & (far - radius[None, :] <= reach[:, None] + SLACK))
-                    at = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(ball.astype(np.int32))], names=["id", "v", "ball"])
+                    yield pa.RecordBatch.from_pydict({c: batch.column(c).take(pa.array(q)) for c in ("id", "v", *more)} | {"ball": pa.array(ball.astype(np.int32))})
 
         return run
 
@@ -112,48 +112,57 @@ def ball_visits(balls: Balls, queries: DataFrame, k: int, digits: int, leave_out
     return first, rest.select("id", "v", "ball", "tile").join(seen, ["id", "ball", "tile"], "left_anti")
 
 
-def _visit(balls: Balls, visits: DataFrame, k: int, digits: int, leave_out: bool, queries_per_task: int = 1 << 18) -> DataFrame:
-    """(a, b, distance): up to k neighbours of each visiting query in its tile. Queries stream through a task that holds one tile."""
-    metric = balls.metric
+def _stream(balls: Balls, visits: DataFrame, payload: dict[str, str], meet, schema: str, queries_per_task: int = 1 << 18) -> DataFrame:
+    """The batches that ``meet(some, x, tile, y)`` yields for visiting queries and their tile: Arrow tables of id and the ``payload``
+    columns (and their types) and matrices of the vectors, 1024 queries at most. Queries stream through a task that holds one tile; tiles with
+    very many are held by several."""
     parts = max(1, -(-visits.select("id").distinct().count() // queries_per_task))
-    part = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(parts))
-    left = visits.select("ball", "tile", part.alias("part"), F.lit(1).alias("asks"), "id", "v")
-    right = balls.tiled.select("ball", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(0).alias("asks"), "id", "v")
-    both = right.unionByName(left).repartition("ball", "tile", "part").sortWithinPartitions("ball", "tile", "part", "asks", "id")
+    share = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(parts))
+    own = ["id", "v", *payload]
+    left = visits.select("ball", "tile", share.alias("share"), F.lit(1).alias("asks"), *own)
+    right = balls.tiled.select("ball", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("share"), F.lit(0).alias("asks"), *own)
+    both = right.unionByName(left).repartition("ball", "tile", "share").sortWithinPartitions("ball", "tile", "share", "asks", "id")
 
     def run(batches):
-        at, held, ids, rows = None, [], None, None
+        at, held, tile, y = None, [], None, None
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("ball", "tile", "part", "asks")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("ball", "tile", "share", "asks")]
             if not batch.num_rows:
                 continue
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
             for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
-                here, piece = tuple(int(c[s]) for c in columns[:3]), pa.Table.from_batches([batch.slice(s, e - s)]).select(["id", "v"])
+                here, piece = tuple(int(c[s]) for c in columns[:3]), pa.Table.from_batches([batch.slice(s, e - s)]).select(own)
                 if here != at:
-                    at, held, rows = here, [], None
+                    at, held, tile = here, [], None
                 if not columns[3][s]:
                     held.append(piece)
-                    continue
-                if not held and rows is None:
-                    continue
-                if rows is None:
-                    tile = pa.concat_tables(held)
-                    ids, rows, held = tile.column("id").to_numpy(), _matrix(tile), []
-                for low in range(0, piece.num_rows, 1024):
-                    some = piece.slice(low, 1024)
-                    asked = some.column("id").to_numpy()
-                    distance = np.round(_distances(_matrix(some), rows, metric), digits) + 0.0
-                    if leave_out:
-                        distance[asked[:, None] == ids[None, :]] = np.inf
-                    best = np.argsort(distance, axis=1, kind="stable")[:, :k]  # the tile is in the order of its ids
-                    found = np.take_along_axis(distance, best, 1).ravel()
-                    keep = np.isfinite(found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(asked, best.shape[1])[keep]), pa.array(ids[best].ravel()[keep]), pa.array(found[keep])], names=["a", "b", "distance"]
-                    )
-
-    return both.mapInArrow(run, "a long, b long, distance double")
+                elif held or tile is not None:
+                    if tile is None:
+                        tile, held = pa.concat_tables(held), []
+                        y = _matrix(tile)
+                    for low in range(0, piece.num_rows, 1024):
+                        some = piece.slice(low, 1024)
+                        yield meet(some, _matrix(some), tile, y)
+
+    return both.mapInArrow(run, schema)
+
+
+def _visit(balls: Balls, visits: DataFrame, k: int, digits: int, leave_out: bool) -> DataFrame:
+    """(a, b, distance): up to k neighbours of each visiting query in its tile."""
+    metric = balls.metric
+
+    def meet(some, x, tile, y):
+        asked, ids = some.column("id").to_numpy(), tile.column("id").to_numpy()
+        distance = np.round(_distances(x, y, metric), digits) + 0.0
+        if leave_out:
+            distance[asked[:, None] == ids[None, :]] = np.inf
+        best = np.argsort(distance, axis=1, kind="stable")[:, :k]  # the tile is in the order of its ids
+        found = np.take_along_axis(distance, best, 1).ravel()
+        keep = np.isfinite(found)
+        columns = [np.repeat(asked, best.shape[1])[keep], ids[best].ravel()[keep], found[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "distance"])
+
+    return _stream(balls, visits, {}, meet, "a long, b long, distance double")
 
 
 def knn(
@@ -180,56 +189,53 @@ def knn(
 
 
 def pairs_above(
-    vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", part: str | None = None, rows_per_block: int = 2048, digits: int = 9
+    vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", part: str | None = None, rows_per_block: int = 2048, digits: int = 9,
+    count: bool = False
 ) -> DataFrame:
     """(a, b, similarity): all pairs a < b with a cosine similarity (rounded to ``digits``) of at least ``threshold``, of different parts if
-    ``part`` names a column.
+    ``part`` names a column. With ``count``, (ball, rows, compared, candidates, pairs) instead: what each ball's tiles had to do.
 
-    Angles obey the triangle inequality, so vectors within an angle t of each other have angles to a pivot that differ by at most t. Rows
-    are dealt into bands of that width around the pivot (the first vector by id), and only a band and the next one meet, in
-    blocks of ``rows_per_block`` rows and one matrix product each. Nothing is lost; a low threshold prunes little. A zero vector's
-    similarity to any other is 0; null vectors are left out. The driver sees one count for each band, of which there are at most 315.
+    Rows are cut into balls (``Balls``). A row looks only at balls that reach into the threshold's distance of it, and of two balls only the rows
+    of the one with the smaller number look at the other. Within a tile the dimensions of the largest spread go first: their product and the
+    norms of what is left of both rows bound the similarity (Cauchy-Schwarz), and only pairs that this leaves are worked out. Nothing is
+    lost; a low threshold prunes little. A zero vector's similarity to any other is 0; null vectors are left out.
     """
-    theta = max(0.01, math.acos(max(-1.0, min(1.0, threshold))) + 1e-6)
+    ship(vectors.sparkSession)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), unit_vector(F.col(vector)).alias("v"), (F.col(part) if part else F.lit(None)).cast("string").alias("part")
     ).where("v is not null")
-    first = rows.orderBy("id").limit(1).first()
-    pivot = F.array(*[F.lit(x) for x in (first["v"] if first else [0.0])])
-    dot = F.aggregate(F.zip_with("v", pivot, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("band", F.floor(F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0))) / theta).cast("int"))
-    tiles = {r["band"]: -(-r["n"] // rows_per_block) for r in rows.groupBy("band").agg(F.count("*").alias("n")).collect()}
-    if not tiles:
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    count = F.create_map(*[F.lit(x) for band, n in tiles.items() for x in (band, n)])
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), count[F.col("band")]).cast("int"))
-    several = lambda n: F.sequence(F.lit(0), n - 1)
-
-    def side(at: str, other: str, step: int) -> DataFrame:
-        """Each row once for every block of its own band and of the next one (``step`` 1 from the left, -1 from the right)."""
-        bands = F.filter(F.array(F.col("band"), F.col("band") + step), lambda b: F.map_contains_key(count, b))
-        out = rows.withColumn(f"{other}_band", F.explode(bands)).withColumn(f"{other}_tile", F.explode(several(count[F.col(f"{other}_band")])))
-        own = [F.col(c).alias(f"{at}_{c}") for c in ("id", "v", "part", "band")]
-        return out.select(*own, F.col("mine").alias(f"{at}_tile"), f"{other}_band", f"{other}_tile")
-
-    keys = ["l_band", "l_tile", "r_band", "r_tile"]
-    once = (F.col("l_band") != F.col("r_band")) | (F.col("l_tile") <= F.col("r_tile"))
-    left, right = side("l", "r", 1).where(once), side("r", "l", -1).where(once)
-
-    def close(x: pa.Table, y: pa.Table) -> pa.Table:
-        names = ["a", "b", "similarity"]
-        if not x.num_rows or not y.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids, others = x.column("l_id").to_numpy(), y.column("r_id").to_numpy()
-        found = np.round(_matrix(x, "l_v") @ _matrix(y, "r_v").T, digits)
-        same_block = all(x.column(f"l_{k}")[0].as_py() == x.column(f"r_{k}")[0].as_py() for k in ("band", "tile"))
-        wanted = (found >= threshold) & ((ids[:, None] < others[None, :]) if same_block else (ids[:, None] != others[None, :]))
+    schema = "ball int, rows long, compared long, candidates long, pairs long" if count else "a long, b long, similarity double"
+    balls = Balls(rows, "cosine", rows_per_block, payload={"part": "string"})
+    if balls.empty:
+        return vectors.sparkSession.createDataFrame([], schema)
+    reach = math.sqrt(max(0.0, 2 - 2 * (threshold - 10.0**-digits)))
+    own = balls.rows.withColumn("reach", F.lit(reach)).withColumn("own", F.col("ball"))
+    visits = own.select("id", "v", "reach", "part", "own").mapInArrow(balls.reached("part", "own"), "id long, v array<double>, part string, own int, ball int")
+    visits = visits.where("ball >= own").join(F.broadcast(balls.sizes), "ball").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    spread = np.argsort(-balls.centres.value.var(axis=0), kind="stable")
+    lead, rest = np.split(spread, [len(spread) // 4])
+
+    def meet(some, x, tile, y):
+        asked, ids = some.column("id").to_numpy(), tile.column("id").to_numpy()
+        within = (some.column("own").to_numpy() == tile.column("own").to_numpy()[0])[:, None]
+        wanted = np.where(within, asked[:, None] < ids[None, :], asked[:, None] != ids[None, :])
         if part:
-            wanted &= np.array(x.column("l_part").to_pylist(), object)[:, None] != np.array(y.column("r_part").to_pylist(), object)[None, :]
+            codes = pa.chunked_array(some.column("part").chunks + tile.column("part").chunks).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            wanted &= codes[: len(asked), None] != codes[None, len(asked) :]
+        compared = int(wanted.sum())
+        left = [np.sqrt(np.maximum((m[:, rest] ** 2).sum(1), 0)) for m in (x, y)]
+        wanted &= x[:, lead] @ y[:, lead].T + left[0][:, None] * left[1][None, :] >= threshold - 10.0**-digits - SLACK
         i, j = np.nonzero(wanted)
-        return pa.table([np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j]), found[i, j]], names=names)
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(close, "a long, b long, similarity double")
+        exact = np.einsum("nd,nd->n", x[i], y[j]) if 8 * len(i) < wanted.size else (x @ y.T)[i, j]
+        found = np.round(exact, digits)
+        hit = found >= threshold
+        if count:
+            numbers = [tile.column("own").to_numpy()[:1], [tile.num_rows], [compared], [len(i)], [int(hit.sum())]]
+            return pa.RecordBatch.from_arrays([pa.array(n) for n in numbers], names=["ball", "rows", "compared", "candidates", "pairs"])
+        a, b = asked[i[hit]], ids[j[hit]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[hit])], names=["a", "b", "similarity"])
+
+    return _stream(balls, visits.select("id", "v", "part", "own", "ball", "tile"), {"part": "string", "own": "int"}, meet, schema)
 
 
 def knn_vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:

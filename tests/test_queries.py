@@ -524,6 +524,25 @@ def test_knn_in_balls_against_all_rows(spark, metric):
     assert sorted((r.a, r["rank"]) for r in few) == [(a, k) for a in (0, 1) for k in (1, 2, 3)]
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.9])
+def test_pairs_above_counts_what_it_compares(spark, threshold):
+    """All pairs, and fewer candidates than pairs that a comparison of all blocks would work out."""
+    import numpy as np
+
+    from splitwarden.operators.similarity import pairs_above
+
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(15, 24)) * np.linspace(3, 0.2, 24))[rng.integers(0, 15, 600)] + rng.normal(size=(600, 24)) / 6
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    i, j = np.nonzero(np.triu(np.round(unit @ unit.T, 9) >= threshold, 1))
+    got = pairs_above(df, threshold, rows_per_block=40)
+    assert sorted((r.a, r.b) for r in got.select("a", "b").collect()) == sorted(zip(i.tolist(), j.tolist()))
+    done = pairs_above(df, threshold, rows_per_block=40, count=True).agg(F.sum("compared"), F.sum("candidates"), F.sum("pairs")).first()
+    assert done[2] == len(i) <= done[1] <= done[0] <= 600 * 599 / 2
+    assert threshold < 0.9 or done[1] < 0.5 * 600 * 599 / 2
+
+
 def test_clustered_queries_visit_few_tiles(spark):
     import numpy as np
 
