@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finite, safe_ratio
+from .ranking import sums_in_order
 
 
 def metric_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -22,15 +23,40 @@ def fragility_stats(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     return out.withColumn("range", F.col("max") - F.col("min")).withColumn("cv", safe_ratio(F.col("std"), F.col("mean")))
 
 
+def quantiles(df: DataFrame, keys: list[str], metric: str, shares: list[float]) -> DataFrame:
+    """n, the rows with a number, and q0, q1, ...: exact quantiles with linear interpolation, for each of ``keys``.
+
+    A distributed selection: distinct values with their counts are dealt out by range, running counts tell which of them hold the wanted
+    ranks, and only these, two for each quantile, are kept. No task and no state holds a group.
+    """
+    counts = df.groupBy(*keys).agg(F.count(metric).alias("n"))
+    values = df.where(F.col(metric).isNotNull()).groupBy(*keys, F.col(metric).alias("__x")).agg(F.count("*").alias("__times"))
+    rows = sums_in_order(values, keys, [F.col("__x")], F.col("__times"))
+    found = []
+    for k, share in enumerate(shares):
+        at = F.lit(share) * (F.col("__n") - 1)
+        for name, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            here = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__times"))
+            found.append(F.max(F.when(here, F.col("__x"))).alias(f"__{name}{k}"))
+    kept = rows.groupBy(*keys).agg(*found).select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[f"__{name}{k}" for k in range(len(shares)) for name in ("low", "high")])
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
+    out = counts.join(kept, match, "left")
+    for k, share in enumerate(shares):
+        at = F.lit(share) * (F.col("n") - 1)
+        low, high = F.col(f"__low{k}").cast("double"), F.col(f"__high{k}").cast("double")
+        out = out.withColumn(f"q{k}", F.when(low == high, low).otherwise(low * (F.ceil(at) - at) + high * (at - F.floor(at))))
+    return out.select(*keys, "n", *[f"q{k}" for k in range(len(shares))])
+
+
 def quartiles(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """n, median, q25, q75 and iqr with linear interpolation; rows with a null key are left out."""
     rows = df
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    cuts = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one buffer for the three
-    out = rows.groupBy(*keys).agg(F.count(metric).alias("n"), cuts.alias("__q"))
-    at = lambda k: F.get("__q", F.lit(k))
-    return out.select(*keys, "n", at(1).alias("median"), at(0).alias("q25"), at(2).alias("q75"), (at(2) - at(0)).alias("iqr"))
+    out = quantiles(rows, keys, metric, [0.25, 0.5, 0.75])
+    return out.select(*keys, "n", F.col("q1").alias("median"), F.col("q0").alias("q25"), F.col("q2").alias("q75"), (F.col("q2") - F.col("q0")).alias("iqr"))
 
 
 def pivot(df: DataFrame, index: str, column: str, value: str, values: list[str]) -> DataFrame:

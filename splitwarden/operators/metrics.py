@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
+from .ranking import sliced
 
 
 def threshold(df: DataFrame, prob: str = "y_prob", at: float = 0.5) -> DataFrame:
@@ -31,17 +32,18 @@ def binary_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def score_steps(df: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
+def score_steps(df: DataFrame, keys: list[str]) -> DataFrame:
     """For each distinct score: rows n, positives p, both cumulated from the highest score (cn, cp), and totals (total, pos).
 
-    Scores are grouped first, so ties are one row and map-side aggregation does most of the work. Cumulative sums run within
-    ``buckets`` equal slices of 0..1 and are completed by the slices' totals: a group of many scores meets in no single task.
+    Scores are grouped first, so ties are one row and map-side aggregation does most of the work. Cumulative sums run within sampled
+    ranges of keys and score and are completed by the ranges' totals, so a group of many scores meets in no single task, however close they
+    are. Rows without a score count in the totals only.
     """
     steps = df.groupBy(*keys, F.col("y_prob").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col("y_true").cast("long")).alias("p"))
-    steps = steps.withColumn("slice", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * buckets))
+    steps = sliced(steps, keys, [F.col("score").desc()]).withColumnRenamed("__slice", "slice")
     slices = steps.groupBy(*keys, "slice").agg(F.sum("n").alias("sn"), F.sum("p").alias("sp"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    above = group.orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(
         *[F.col(k).alias(f"k_{k}") for k in keys], F.col("slice").alias("k_slice"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("an"),
         F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("ap"), F.sum("sn").over(group).alias("total"), F.sum("sp").over(group).alias("pos")
@@ -50,7 +52,7 @@ def score_steps(df: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"k_{k}"))
     within = Window.partitionBy(*keys, "slice").orderBy(F.col("score").desc())
-    steps = steps.withColumn("wn", F.sum("n").over(within)).withColumn("wp", F.sum("p").over(within)).join(slices, match)
+    steps = steps.where(F.col("score").isNotNull()).withColumn("wn", F.sum("n").over(within)).withColumn("wp", F.sum("p").over(within)).join(slices, match)
     return steps.select(*keys, "score", "n", "p", (F.col("an") + F.col("wn")).alias("cn"), (F.col("ap") + F.col("wp")).alias("cp"), "total", "pos")
 
 

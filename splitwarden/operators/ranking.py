@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shuffle_key
+from ..shared import materialise
 
 
 def sums_before(df: DataFrame, by: list[str], bucket: Column, order: list, value: Column | None = None) -> DataFrame:
@@ -35,6 +36,20 @@ def rank_in_buckets(df: DataFrame, by: list[str], bucket: Column, order: list) -
     return sums_before(df, by, bucket, order).withColumn("__rank", F.col("__before") + 1).drop("__before")
 
 
+def sliced(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``df`` with __slice, which doesn't decrease along ``by`` and ``order``: Spark samples splitters and deals rows out by range.
+
+    Slices have about as many rows each, however the values lie and however large one group of ``by`` is; only rows equal in all of these
+    share one for certain. The table is written, so the numbers stay what they are when a task runs again.
+    """
+    return materialise(df.repartitionByRange(*by, *order).withColumn("__slice", F.spark_partition_id()), "sliced")
+
+
+def sums_in_order(df: DataFrame, by: list[str], order: list, value: Column | None = None) -> DataFrame:
+    """``df`` with __before and __n as of ``sums_before``, in two passes over sampled ranges: sums within a slice, and slices' totals as offsets."""
+    return sums_before(sliced(df, by, order), by, F.col("__slice"), order, value).drop("__slice")
+
+
 def key_bucket(key: str = "__key") -> Column:
     """The first four hex digits of a digest: 65536 buckets of like size, and as many offsets at most."""
     return F.substring(key, 1, 4)

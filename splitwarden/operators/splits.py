@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shuffle_key
-from .ranking import key_bucket, range_bucket, rank_in_buckets, ranked, sums_before
+from .ranking import key_bucket, rank_in_buckets, ranked, sums_before, sums_in_order
 
 RATIOS = (0.8, 0.1, 0.1)
 
@@ -69,9 +69,9 @@ group_split = cluster_split
 
 
 def _times(df: DataFrame, time: str) -> DataFrame:
-    """(__time, __before, __n): the rows before each distinct time, and all rows; sums run in ranges of time."""
+    """(__time, __before, __n): the rows before each distinct time, and all rows; sums run in sampled ranges of time."""
     times = df.groupBy(F.col(time).alias("__time")).agg(F.count("*").alias("__size"))
-    return sums_before(times, [], range_bucket(times, "__time"), [F.col("__time")], F.col("__size"))
+    return sums_in_order(times, [], [F.col("__time")], F.col("__size"))
 
 
 def temporal_split(df: DataFrame, time: str, ratios=RATIOS) -> DataFrame:

@@ -649,3 +649,46 @@ def test_pooling_and_layers(spark):
     assert embedding.select_layer(e)["attribute"] == "layer_idx" and e.layer_idx == -1 and embedding.select_layer(object())["attribute"] is None
     wide = spark.createDataFrame([(1, 2.0, 3.0, None)], "id long, p_1 double, p_2 double, sequence string")
     assert tuple(embedding.feature_matrix(wide, ["p_1", "p_2"]).select("embedding", "sequence").first()) == ([2.0, 3.0], "<missing_seq>")
+
+
+def test_slices_follow_the_rows_not_the_values(spark):
+    """Scores within a millionth of each other, most of one group, still lie in all slices, and the area is right."""
+    import random
+
+    from splitwarden.operators import metrics
+    from splitwarden.operators.ranking import sliced
+
+    rng = random.Random(1)
+    rows = [("hot" if k % 10 else f"g{k % 3}", 0.5 + rng.random() * 1e-6, rng.randrange(2)) for k in range(4000)] + [("hot", None, 1), (None, 0.5, 0), (None, 0.6, 1)]
+    df = spark.createDataFrame(rows, "g string, y_prob double, y_true int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would make one task of so few rows
+    try:
+        counts = [r["count"] for r in sliced(df, ["g"], [F.col("y_prob")]).groupBy("__slice").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(counts) == 4 and max(counts) < 2 * 4003 / 4
+    got = {r.g: r.auroc for r in metrics.auroc(df.where("y_prob is not null"), ["g"]).collect()}
+    for group in ("hot", "g0", None):
+        pos, neg = ([p for g, p, y in rows if g == group and p is not None and y == v] for v in (1, 0))
+        area = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+        assert got[group] == pytest.approx(area)
+
+
+def test_quantiles_by_selection(spark):
+    import numpy as np
+
+    from splitwarden.operators import fragility
+
+    rng = np.random.default_rng(2)
+    groups = {("a", 1): rng.normal(size=900), ("a", None): rng.integers(0, 3, 400).astype(float), ("b", 2): np.array([5.0]), ("c", 3): np.array([])}
+    rows = [(*key, float(v)) for key, values in groups.items() for v in values] + [("a", 1, None), ("c", 3, None)]
+    df = spark.createDataFrame(rows, "g string, h int, x double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.h): (r.n, [r[f"q{k}"] for k in range(6)]) for r in fragility.quantiles(df, ["g", "h"], "x", shares).collect()}
+    assert set(got) == set(groups)
+    for key, values in groups.items():
+        assert got[key][0] == len(values)
+        assert got[key][1] == ([None] * 6 if not len(values) else [pytest.approx(q) for q in np.quantile(values, shares)])
+    assert fragility.quantiles(df.limit(0), ["g"], "x", [0.5]).count() == 0
+    whole = fragility.quantiles(df, [], "x", [0.5]).first()
+    assert whole.q0 == pytest.approx(np.median(np.concatenate(list(groups.values()))))
