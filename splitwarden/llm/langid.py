@@ -17,15 +17,35 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+@dataclass
+class Postings:
+    """Which landmarks have each n-gram: those of n-gram k are landmarks[starts[k]:starts[k + 1]]."""
+
+    starts: np.ndarray
+    landmarks: np.ndarray
+    count: int  # of all landmarks
+
+    @classmethod
+    def of(cls, grams: np.ndarray, marks: list[np.ndarray]) -> Postings:
+        at = np.searchsorted(grams, np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+        which = np.repeat(np.arange(len(marks), dtype=np.int32), [len(m) for m in marks])
+        order = np.argsort(at, kind="stable")
+        return cls(np.searchsorted(at[order], np.arange(len(grams) + 1)), which[order], len(marks))
+
+
 @dataclass
 class LanguageModel:
     labels: list
     grams: np.ndarray  # the sorted codes of all n-grams that a landmark has
-    landmarks: np.ndarray  # grams x m, 0 or 1
+    landmarks: Postings
     landmark_norms: np.ndarray
     weights: np.ndarray  # m x labels
     orders: int
 
+    def size(self) -> int:
+        """Bytes of its arrays."""
+        return sum(a.nbytes for a in (self.grams, self.landmarks.starts, self.landmarks.landmarks, self.landmark_norms, self.weights))
+
 
 def gram_codes(text: str, orders: int) -> np.ndarray:
     """The distinct 64-bit codes of the n-grams of the whole lower-cased text, n = 1..orders, sorted. Code points are mixed one to one
@@ -48,14 +68,24 @@ def _distinct(codes: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
     return held
 
 
-def _features(codes: list[np.ndarray], grams: np.ndarray, landmarks: np.ndarray, landmark_norms: np.ndarray) -> np.ndarray:
-    """The kernel of each text with each landmark: shared n-grams over the root of both counts."""
-    present = np.zeros((len(codes), len(grams)), np.float32)
-    for k, c in enumerate(codes):
-        at = np.searchsorted(c, grams)
-        present[k] = c[np.minimum(at, len(c) - 1)] == grams if len(c) else 0
-    norms = np.sqrt(np.array([max(len(c), 1) for c in codes]))
-    return (present @ landmarks) / (norms[:, None] * landmark_norms[None, :])
+def _features(codes: list[np.ndarray], grams: np.ndarray, landmarks: Postings | np.ndarray, landmark_norms: np.ndarray) -> np.ndarray:
+    """The kernel of each text with each landmark: shared n-grams over the root of both counts. ``landmarks`` may be a matrix, n-grams x landmarks."""
+    if isinstance(landmarks, np.ndarray):
+        landmarks = Postings.of(grams, [grams[c > 0] for c in landmarks.T])
+    sizes = [len(c) for c in codes]
+    shared = np.zeros(len(codes) * landmarks.count, np.int64)
+    if len(grams) and sum(sizes):
+        all_codes, text = np.concatenate(codes), np.repeat(np.arange(len(codes)), sizes)
+        at = np.minimum(np.searchsorted(grams, all_codes), len(grams) - 1)
+        known = grams[at] == all_codes
+        at, text = at[known], text[known]
+        for low in range(0, len(at), 1 << 16):  # so that what is looked up at once is bounded by the landmarks
+            first, row = landmarks.starts[at[low : low + (1 << 16)]], text[low : low + (1 << 16)]
+            many = landmarks.starts[at[low : low + (1 << 16)] + 1] - first
+            place = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+            shared += np.bincount(np.repeat(row * landmarks.count, many) + landmarks.landmarks[place], minlength=len(shared))
+    norms = np.sqrt(np.maximum(sizes, 1))
+    return shared.reshape(len(codes), landmarks.count).astype(np.float32) / (norms[:, None] * landmark_norms[None, :])
 
 
 def fit(
@@ -71,8 +101,8 @@ def fit(
     chosen = [k for name in names for k in [i for i in first if labels[i] == name][:landmarks_per_label]]
     marks = [codes[k] for k in chosen]
     grams = np.unique(np.concatenate(marks))
-    z = np.stack([np.isin(grams, m) for m in marks], 1).astype(np.float32)
-    zn = np.sqrt(np.maximum(z.sum(0), 1))
+    z = Postings.of(grams, marks)
+    zn = np.sqrt(np.maximum([len(m) for m in marks], 1))
     kernel = lambda held: np.concatenate([_features(held[k : k + batch], grams, z, zn) for k in range(0, len(held), batch)]).astype(float)
     values, vectors = np.linalg.eigh(kernel(marks))
     good = values > 1e-6 * values.max()
@@ -127,16 +157,19 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_label: int = 200, **settings) -> LanguageModel:
     sample = training_sample(docs, id_col, text_col, lang_col, rows_per_label).collect()
     if not sample:
-        return LanguageModel([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.float32), 1)
+        return LanguageModel([], np.zeros(0, np.uint64), Postings.of(np.zeros(0, np.uint64), []), np.zeros(0), np.zeros((0, 0), np.float32), 1)
     return fit([r.text for r in sample], [r.lang for r in sample], **settings)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 512 << 20) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row, from the whole text alone.
 
     Null texts and texts without a letter (also empty ones) are 'und' with score 0, as is everything where no label was learned.
-    Repeated rows get equal results; a null id is not held out; an empty table gives an empty result.
+    Repeated rows get equal results; a null id is not held out; an empty table gives an empty result. A model of over ``most_bytes``, which the
+    number of labels and of landmarks for each decides, is an error: it goes to every executor.
     """
+    if model.size() > most_bytes:
+        raise ValueError(f"the model has {model.size()} bytes; fit it with fewer landmarks for each label")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
