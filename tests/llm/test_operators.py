@@ -301,7 +301,7 @@ def test_language_id_equals_plain_kernel_ridge():
 def test_language_model_of_many_labels_is_small(spark):
     """250 labels with an alphabet each: landmarks are kept sparse, and a model that is too large isn't sent out."""
     rng = random.Random(67)
-    rows = [("".join(rng.choice([*map(chr, range(200 + 20 * k, 220 + 20 * k)), " "]) for _ in range(300)), f"l{k:03d}") for k in range(250) for _ in range(4)]
+    rows = [("".join(rng.choice([*map(chr, range(0x4E00 + 20 * k, 0x4E14 + 20 * k)), " "]) for _ in range(300)), f"l{k:03d}") for k in range(250) for _ in range(4)]
     model = langid.fit([t for t, _ in rows], [y for _, y in rows], landmarks_per_label=3)
     assert len(model.labels) == 250 and model.size() < 32 << 20 < 4 * len(model.grams) * model.landmarks.count  # a dense matrix in single precision
     got, _ = langid.predict(model, [t for t, _ in rows[3::4]])  # not among the landmarks
