@@ -361,7 +361,7 @@ def near_duplicates(
     Pairs are verified in rounds. First a bucket yields one spanning forest of its close pairs, closest first. Then texts that had a close
     pair (all texts of buckets of over ``tile``) are compared again, but only where the links found so far leave them in different groups:
     each text outside a bucket's largest group with all others, in tiles. A bucket yields one forest of pairs that it hasn't tried,
-    then two, four and so on, until no bucket has an untried close pair between two groups. So a group costs about as many
+    then four, sixteen and so on, until no bucket has an untried close pair between two groups; a bucket without one is done for good. So a group costs about as many
     verifications as it has texts, plus those of the pairs that fail.
 
     Rows with a null id and texts without words have no links; rows that share an id are one node.
@@ -440,4 +440,5 @@ def near_duplicates(
         verdicts = verdicts.unionByName(new)
         gone = found.join(verdicts.where("not alike").select("a", "b"), ["a", "b"]).select("key", "a", "b")
         failed = gone if failed is None else failed.unionByName(gone)
-        count *= 2
+        again = materialise(again.join(found.select("key").distinct(), "key", "left_semi"), "again")  # groups only grow, so the others are done
+        count *= 4
