@@ -613,8 +613,8 @@ def issue_severity_counts(spark, d):
     from events), o as (select *, row_number() over (order by case severity when 'ERROR' then 0 when 'WARNING' then 1 when 'INFO' then 2 else 9 end, code,
     coalesce(path, ''), event_id) as place from i) select place, severity, code, path from o where place <= 100
 """)
-def issue_sort(spark, d):
-    """The first hundred issues in order, a top-k report; issue_sort_all returns them all."""
+def issue_top_100(spark, d):
+    """A top-k report: the first hundred issues in order; issue_sort_all returns them all."""
     order = [severity_rank(F.col("severity")), F.col("code"), F.coalesce("path", F.lit("")), F.col("event_id")]
     first = _issues(spark, d).orderBy(*order).limit(100)
     return first.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "severity", "code", "path")
