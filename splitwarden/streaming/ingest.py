@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.keyed import KeyedTable
 from ..spec.registry import put_if_absent
 
 RUN_SCHEMA = "run_id string, created_at_utc string, format_version string, notes string"
 
 
-def ingest_runs(spark: SparkSession, folder: str, table: str, checkpoint: str, schema: str = RUN_SCHEMA):
+def ingest_runs(spark: SparkSession, folder: str, table: str | KeyedTable, checkpoint: str, schema: str = RUN_SCHEMA):
     """A query that puts run records which arrive as JSON files into a Parquet table, unless their run_id is there already.
 
+    A KeyedTable takes several streams at once and a micro-batch that runs again; a plain folder is for one writer.
+
     ``availableNow`` takes all files that are there and stops; the checkpoint remembers them. Within a micro-batch the earliest record of
     an id wins.
     """
@@ -21,6 +24,9 @@ def ingest_runs(spark: SparkSession, folder: str, table: str, checkpoint: str, s
         rows = batch.where(F.col("run_id").isNotNull()).groupBy("run_id").agg(
             F.min(F.struct("created_at_utc", *[c for c in batch.columns if c not in ("run_id", "created_at_utc")])).alias("r")
         ).select("run_id", "r.*").select(*batch.columns)
+        if isinstance(table, KeyedTable):
+            table.put(rows)
+            return
         try:
             existing = spark.read.schema(batch.schema).parquet(table)
             existing.head(1)
