@@ -58,6 +58,7 @@ class Balls:
         self.rows = materialise(base.select("id", "v", *(payload or {})).mapInArrow(self.nearest(*(payload or {})), f"id long, v array<double>, {more}ball int, gap double"), "balls")
         size = self.rows.groupBy("ball").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
         self.radius, self.tiles = np.full(len(self.centres.value), -1.0), np.zeros(len(self.centres.value), np.int64)
+        self.n = sum(r["n"] for r in size)
         for r in size:
             self.radius[r["ball"]], self.tiles[r["ball"]] = r["radius"], -(-r["n"] // rows_per_block)
         sizes = spark.createDataFrame([(k, int(t)) for k, t in enumerate(self.tiles)], "ball int, tiles long")
@@ -93,15 +94,16 @@ class Balls:
         return run
 
 
-def ball_visits(balls: Balls, queries: DataFrame, k: int, digits: int, leave_out: bool) -> tuple[DataFrame, DataFrame]:
-    """The neighbours from a first round, and the (id, v, ball, tile) that remain to be looked at.
+def ball_visits(balls: Balls, queries: DataFrame, k: int, digits: int, leave_out: bool) -> tuple[DataFrame, DataFrame, int]:
+    """The neighbours from a first round, the (id, v, ball, tile) that remain to be looked at, and the number of queries.
 
     Each query is first compared with one tile of the ball of its nearest centre. Its k-th distance there bounds the k-th of all, so
     other tiles count only if their ball reaches into that distance.
     """
     near = queries.mapInArrow(balls.nearest(), "id long, v array<double>, ball int, gap double").join(F.broadcast(balls.sizes.where("tiles > 0")), "ball")
     home = materialise(near.select("id", "v", "ball", F.pmod(F.xxhash64(F.lit(12), "id"), "tiles").alias("tile")), "home")
-    first = materialise(_visit(balls, home, k, digits, leave_out), "first")
+    count = home.count()
+    first = materialise(_visit(balls, home, count, k, digits, leave_out), "first")
     least = first.groupBy("a").agg(F.max("distance").alias("worst"), F.count("*").alias("n")).where(F.col("n") >= k)
     worst = F.coalesce("worst", F.lit(float("inf"))) + 10.0**-digits  # distances are rounded
     reach = F.sqrt(2 * worst) if balls.metric == "cosine" else worst  # a cosine distance is at least half of the squared straight one
@@ -109,14 +111,14 @@ def ball_visits(balls: Balls, queries: DataFrame, k: int, digits: int, leave_out
     rest = asked.select("id", "v", "reach").mapInArrow(balls.reached(), "id long, v array<double>, ball int").join(F.broadcast(balls.sizes), "ball")
     rest = rest.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     seen = home.select("id", "ball", "tile").distinct()
-    return first, rest.select("id", "v", "ball", "tile").join(seen, ["id", "ball", "tile"], "left_anti")
+    return first, rest.select("id", "v", "ball", "tile").join(seen, ["id", "ball", "tile"], "left_anti"), count
 
 
-def _stream(balls: Balls, visits: DataFrame, payload: dict[str, str], meet, schema: str, queries_per_task: int = 1 << 18) -> DataFrame:
+def _stream(balls: Balls, visits: DataFrame, queries: int, payload: dict[str, str], meet, schema: str, queries_per_task: int = 1 << 18) -> DataFrame:
     """The batches that ``meet(some, x, tile, y)`` yields for visiting queries and their tile: Arrow tables of id and the ``payload``
-    columns (and their types) and matrices of the vectors, 1024 queries at most. Queries stream through a task that holds one tile; tiles with
+    columns (and their types) and matrices of the vectors, 1024 queries at most. ``queries`` is how many there are. They stream through a task that holds one tile; tiles with
     very many are held by several."""
-    parts = max(1, -(-visits.select("id").distinct().count() // queries_per_task))
+    parts = max(1, -(-queries // queries_per_task))
     share = F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(parts))
     own = ["id", "v", *payload]
     left = visits.select("ball", "tile", share.alias("share"), F.lit(1).alias("asks"), *own)
@@ -147,7 +149,7 @@ def _stream(balls: Balls, visits: DataFrame, payload: dict[str, str], meet, sche
     return both.mapInArrow(run, schema)
 
 
-def _visit(balls: Balls, visits: DataFrame, k: int, digits: int, leave_out: bool) -> DataFrame:
+def _visit(balls: Balls, visits: DataFrame, queries: int, k: int, digits: int, leave_out: bool) -> DataFrame:
     """(a, b, distance): up to k neighbours of each visiting query in its tile."""
     metric = balls.metric
 
@@ -162,7 +164,7 @@ def _visit(balls: Balls, visits: DataFrame, k: int, digits: int, leave_out: bool
         columns = [np.repeat(asked, best.shape[1])[keep], ids[best].ravel()[keep], found[keep]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "distance"])
 
-    return _stream(balls, visits, {}, meet, "a long, b long, distance double")
+    return _stream(balls, visits, queries, {}, meet, "a long, b long, distance double")
 
 
 def knn(
@@ -182,8 +184,8 @@ def knn(
     balls = Balls(rows, metric, rows_per_block)
     if balls.empty:
         return base.sparkSession.createDataFrame([], "a long, b long, distance double, rank int")
-    first, rest = ball_visits(balls, asked, k, digits, leave_out)
-    found = first.unionByName(_visit(balls, rest, k, digits, leave_out))
+    first, rest, count = ball_visits(balls, asked, k, digits, leave_out)
+    found = first.unionByName(_visit(balls, rest, count, k, digits, leave_out))
     rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -235,7 +237,7 @@ def pairs_above(
         a, b = asked[i[hit]], ids[j[hit]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[hit])], names=["a", "b", "similarity"])
 
-    return _stream(balls, visits.select("id", "v", "part", "own", "ball", "tile"), {"part": "string", "own": "int"}, meet, schema)
+    return _stream(balls, visits.select("id", "v", "part", "own", "ball", "tile"), balls.n, {"part": "string", "own": "int"}, meet, schema)
 
 
 def knn_vote(neighbours: DataFrame, labels: DataFrame, weighted: bool = False) -> DataFrame:

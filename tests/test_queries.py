@@ -552,7 +552,7 @@ def test_clustered_queries_visit_few_tiles(spark):
     x = (rng.normal(size=(20, 32)) * 3)[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 32)) / 5
     df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
     balls = Balls(df, "euclidean", 50)
-    first, rest = ball_visits(balls, df, 5, 9, True)
+    first, rest, _ = ball_visits(balls, df, 5, 9, True)
     assert first.count() > 0
     assert 2000 + rest.count() < 2000 * int(balls.tiles.sum()) / 2  # what a comparison of all blocks would take
 
