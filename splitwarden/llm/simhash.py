@@ -301,10 +301,25 @@ def _jaccard(least: float, words_per_shingle: int, seed: int):
     return run
 
 
-def _proposals(radii: list[int], count: int):
+def _band_masks(bands: np.ndarray, bits: int) -> np.ndarray:
+    """bands x words: the bits of each band's key."""
+    chosen = np.zeros((len(bands), bits), np.uint8)
+    chosen[np.arange(len(bands))[:, None], bands] = 1
+    return np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
+
+
+def _meet_earlier(x: np.ndarray, masks: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Whether pairs whose fingerprints differ in the bits of ``x`` share the key of one of these bands."""
+    out = np.zeros(len(x), bool)
+    for low in range(0, len(x) if len(masks) else 0, at_once):
+        out[low : low + at_once] = ((x[low : low + at_once, None, :] & masks[None]) == 0).all(-1).any(-1)
+    return out
+
+
+def _proposals(radii: list[int], count: int, masks: np.ndarray):
     """Reads rows (key, i, j, side, a, b, words of the fingerprint) sorted by the first four: of side 0 and 1 are the texts (rep a, root b) that
     are to be compared, of side 2 the pairs (a, b) that were not alike. Yields (key, a, b) of ``count`` forests of the other close pairs
-    of texts with different roots."""
+    of texts with different roots. A pair counts in the first band only that it shares, so that buckets don't propose it again and again."""
 
     def compare(key, parts):
         left, right, failed = (np.concatenate(x) if x else np.zeros((0, parts[0][0].shape[1]), np.int64) for x in parts)
@@ -312,7 +327,8 @@ def _proposals(radii: list[int], count: int):
         reps, roots = both[:, 0], both[:, 1]
         n = len(left)
         at = [dict(zip(reps[:n].tolist(), range(n))), dict(zip(reps[n:].tolist(), range(n, len(reps))))]
-        levels = close_pairs(both[:, 2:].copy().view(np.uint64), radii, 128, 8 * (both.shape[1] - 2), n)
+        fps, earlier = both[:, 2:].copy().view(np.uint64), masks[: key[0] % len(masks)]
+        levels = close_pairs(fps, radii, 128, 8 * fps.shape[1], n)
         fresh = np.zeros((n, len(reps)), bool)
         fresh[:, n:] = roots[:n, None] != roots[None, n:]
         for a, b in failed[:, :2].tolist():
@@ -323,7 +339,9 @@ def _proposals(radii: list[int], count: int):
         for links in levels:
             here = np.unpackbits(links[:n].view(np.uint8), axis=1, bitorder="little")[:, : len(reps)].astype(bool) & fresh
             fresh &= ~here
-            pairs += zip(*(x.tolist() for x in np.nonzero(here)))
+            i, j = np.nonzero(here)
+            own = ~_meet_earlier(fps[i] ^ fps[j], earlier)
+            pairs += zip(i[own].tolist(), j[own].tolist())
         found = np.array(sorted({tuple(sorted((int(reps[i]), int(reps[j])))) for i, j in forests(pairs, roots.tolist(), count)}), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key[0])), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["key", "a", "b"])
 
@@ -405,8 +423,8 @@ def near_duplicates(
     again = materialise(again.where("crowd or close").select("key", "rep", *names), "again")
     failed = None
     count = 1
+    roots = connected_components(verdicts.where("alike").select("a", "b"), "a", "b")
     while True:
-        roots = connected_components(verdicts.where("alike").select("a", "b"), "a", "b")
         rows = again.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         rows = materialise(rows.select("key", "rep", "root", *names), "rooted")
         groups = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
@@ -433,11 +451,19 @@ def near_duplicates(
             for x, y in (("a", "b"), ("b", "a")):
                 input_rows = input_rows.unionByName(pairs.withColumn("i", at(x, "lefts")).withColumn("j", at(y, "rights")).select("key", "i", "j", "side", "a", "b", *names))
         input_rows = input_rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "a")
-        found = materialise(input_rows.mapInArrow(_proposals(radii, count), "key long, a long, b long"), "proposals")
+        found = materialise(input_rows.mapInArrow(_proposals(radii, count, _band_masks(bands, bits)), "key long, a long, b long"), "proposals")
         if not found.take(1):
             return roots
         new = verified(found.select("a", "b").join(verdicts, ["a", "b"], "left_anti"))
         verdicts = verdicts.unionByName(new)
+        joined = materialise(new.where("alike").select("a", "b"), "joined")
+        if joined.take(1):  # groups join groups: only these are worked out anew
+            for side in "ab":
+                of = roots.select(F.col("node").alias(side), F.col("root").alias("of"))
+                joined = joined.join(of, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+            moved = connected_components(joined, "a", "b").select(F.col("node").alias("old"), F.col("root").alias("new"))
+            kept = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+            roots = materialise(kept.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))), "roots")
         gone = found.join(verdicts.where("not alike").select("a", "b"), ["a", "b"]).select("key", "a", "b")
         failed = gone if failed is None else failed.unionByName(gone)
         again = materialise(again.join(found.select("key").distinct(), "key", "left_semi"), "again")  # groups only grow, so the others are done
