@@ -1,7 +1,7 @@
 """Pairs of similar sequences: identity is 1 - edit distance / length of the longer sequence.
 
-Above an identity of 0.5, candidates come from an inverted index of q-grams with an exact prefix filter, and the edit distance decides,
-with DataFrame functions only. At 0.5 or less edits may destroy every q-gram, so sequences of like length are compared block by block:
+Above an identity of 0.5, candidates come from an index of what one or two deletions leave where no more edits are allowed, otherwise from an
+inverted index of q-grams with an exact prefix filter, and the edit distance decides, with DataFrame functions only. At 0.5 or less edits may destroy every q-gram, so sequences of like length are compared block by block:
 the characters that two of them can share bound their identity, and bit-parallel edit distances decide the rest. Both ways are exact.
 What comes back is no larger than what is asked for: pairs, a spanning forest, or counts by the parts that hold the sequences.
 """
@@ -47,52 +47,191 @@ def _prefix_tokens(sequences: DataFrame, q: int, threshold: float, longest: int)
     return chosen.where("df > 1").select("rep", "n", F.lit(q).alias("q"), "gram", "k")
 
 
-def aligned_blocks(sequences: DataFrame, threshold: float, want: str, rows_per_block: int = 1024) -> DataFrame:
+def _deletions(sequences: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``sequences`` with variant: each of what is left of a sequence when 0 to (1 - threshold) * length, at most ``most``, characters are deleted."""
+    without = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+    edits, none = most_edits(F.length("seq"), threshold), F.array().cast("array<string>")
+    level, found = F.array("seq"), F.array("seq")
+    for k in range(1, most + 1):
+        level = F.when((edits >= k) & (F.length("seq") >= k), F.array_distinct(F.flatten(F.transform(level, without)))).otherwise(none)
+        found = F.concat(found, level)
+    return sequences.withColumn("variant", F.explode(found))
+
+
+def _deletion_pairs(sequences: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(a, b, mask_a, mask_b, identity) of all similar pairs of (rep, seq, mask), by equal variants: two sequences within d edits have equal ones
+    with at most d characters deleted from each, and d is at most what the own length allows, since of a pair of unequal
+    length the shorter one gives up one character less for each that the longer one has more.
+
+    At ``most`` 1 a pair has just one variant in common (a run of equal characters gives one, and the longer of two gives the shorter itself).
+    """
+    groups = _deletions(sequences.select("rep", "seq", "mask"), threshold, most)
+    groups = groups.groupBy("variant").agg(F.collect_list(F.struct("rep", "seq", "mask")).alias("g")).where(F.size("g") > 1)
+    both = groups.select("g", F.explode("g").alias("x")).select("x", F.explode("g").alias("y")).where(F.col("x.rep") < F.col("y.rep"))
+    longer = F.greatest(F.length("x.seq"), F.length("y.seq"))
+    both = both.withColumn("edits", F.levenshtein("x.seq", "y.seq", most)).where((F.col("edits") >= 0) & (F.col("edits") <= most_edits(longer, threshold)))
+    found = both.select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.mask").alias("mask_a"), F.col("y.mask").alias("mask_b"), (1 - F.col("edits") / longer).alias("identity")
+    )
+    return found if most < 2 else found.dropDuplicates(["a", "b"])
+
+
+def _most_deleted(sequences: DataFrame, threshold: float, variants: int = 300) -> int | None:
+    """The edits between sequences as long as the longest, if these are 1 or 2 and sequences have few variants on average."""
+    n = F.length("seq").cast("double")
+    edits = most_edits(n, threshold)
+    each = F.when(edits == 0, 1).when(edits == 1, n + 1).otherwise(1 + n + n * (n - 1) / 2)
+    most, mean = sequences.agg(F.max(edits), F.avg(each)).first()
+    return int(most) if most in (1, 2) and mean <= variants else None
+
+
+def _forest(i: np.ndarray, j: np.ndarray, group: np.ndarray, other: np.ndarray, likely: np.ndarray, identities) -> tuple[np.ndarray, np.ndarray]:
+    """Places and identities of those of the candidates (i, j) that connect groups, likely ones first: what is connected is not aligned any more."""
+    names, at = np.unique(np.concatenate([group, other]), return_inverse=True)
+    one, two = at[: len(group)][i], at[len(group) :][j]
+    root = np.arange(len(names))
+    left, taken, values, size = np.argsort(-likely, kind="stable"), [np.zeros(0, np.int64)], [np.zeros(0)], 64
+    while True:
+        left = left[root[one[left]] != root[two[left]]]
+        if not len(left):
+            return np.concatenate(taken), np.concatenate(values)
+        some, left = left[:size], left[size:]
+        found = identities(i[some], j[some])
+        hit = found > 0
+        some, found = some[hit], found[hit]
+        keep = spanning_forest(root[one[some]], root[two[some]])
+        for k in some[keep].tolist():
+            root[root == root[two[k]]] = root[one[k]]
+        taken.append(some[keep])
+        values.append(found[keep])
+        size = min(2 * size, 1 << 16)
+
+
+def aligned_blocks(
+    sequences: DataFrame, threshold: float, want: str, rows_per_block: int = 1024, across: list[tuple[int, int]] | None = None, hubs: int = 16, few: int = 2048
+) -> DataFrame:
     """Exact comparison of the distinct sequences (rep, seq, mask) at any threshold above 0, in blocks of like length.
 
-    ``want`` is pairs: (a, b, identity) with a < b; forest: edges (a, b, identity) of a spanning forest of each pair of blocks; counts:
-    (mask_a, mask_b, n, m), the number of pairs and the highest identity by the masks of the smaller and the larger rep. Sequences whose lengths differ by more than
-    the threshold allows mostly never meet, and where the characters they can share rule a pair out it is not aligned; but the work
-    grows with the square of the number of distinct sequences of like length, as low thresholds let nearly all be partners.
+    ``want`` is pairs: (a, b, identity) with a < b; forest: edges (a, b, identity) that connect what chains of pairs do; counts:
+    (mask_a, mask_b, n, m), the number of pairs and the highest identity by the masks of the smaller and the larger rep (n may be 0 where a row only tells m). Sequences whose lengths differ by more than
+    the threshold allows mostly never meet, and where the characters they can share rule a pair out it is not aligned; but pairs
+    grow with the square of the number of distinct sequences of like length, as low thresholds let nearly all be partners. Therefore
+
+    * a forest of more than ``few`` sequences first compares all with ``hubs`` of each band of lengths; then the rows of the largest components meet only what is not in them;
+    * counts compare only sequences whose masks hold the two bits of one of the ``across`` pairs (None: all), and large packs (same band, and
+      so long a prefix in common that what is left can all be edited) are counted without being compared (``_packs``).
     """
     ship(sequences.sparkSession)
     length = F.length("seq")
     band = F.floor(F.log(length.cast("double")) / math.log(1 / threshold)) if threshold < 1 else length
     rows = sequences.where(length > 0).select(F.col("rep").alias("id"), "seq", "mask", band.cast("int").alias("band"))
+    if want == "pairs":
+        return _compared(rows.withColumn("kind", F.lit(0)), threshold, want, rows_per_block, lambda x, y: True)
+    if want == "counts":
+        return _counted(rows, threshold, rows_per_block, across)
+    rows = rows.withColumn("comp", F.col("id"))
+    if rows.count() <= few:
+        return _compared(rows.withColumn("kind", F.lit(0)), threshold, want, rows_per_block, lambda x, y: True)
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64(F.lit(14), "id"), "id"))
+    rows = materialise(rows.withColumn("kind", (place <= hubs).cast("int")), "rows")
+    first = materialise(_compared(rows, threshold, want, rows_per_block, lambda x, y: x + y > 0), "forest")
+    roots = materialise(connected_components(first, "a", "b"), "roots")
+    large = [r["root"] for r in roots.groupBy("root").count().orderBy(F.desc("count"), "root").limit(8).collect()]
+    rank = F.coalesce(*[F.when(F.col("root") == r, k + 1) for k, r in enumerate(large)], F.lit(0)) if large else F.lit(0)
+    rows = rows.drop("kind").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("kind", rank).withColumn("comp", F.coalesce("root", "id"))
+    return first.unionByName(_compared(materialise(rows, "rows"), threshold, want, rows_per_block, lambda x, y: x != y or x == 0))
+
+
+def _compared(rows: DataFrame, threshold: float, want: str, rows_per_block: int, meets) -> DataFrame:
+    """What ``aligned_blocks`` wants of the rows (id, seq, mask, band, kind, and comp for a forest) whose kinds meet."""
 
     def compare(x: pa.Table, y: pa.Table, same: bool) -> pa.Table:
-        (ids, a, mask), (others, b, mask_b) = ([t.column(c).to_pylist() for c in ("id", "seq", "mask")] for t in (x, y))
-        ids, others = np.array(ids, np.int64), np.array(others, np.int64)
+        (ids, a, more), (others, b, more_b) = ([t.column(c).to_pylist() for c in ("id", "seq", extra)] for t in (x, y))
+        ids, others, more, more_b = (np.array(v, np.int64) for v in (ids, others, more, more_b))
         (u, m), (v, n) = kernel.codes(a), kernel.codes(b)
         longer = np.maximum(m[:, None], n[None, :])
-        fits = kernel.most_shared(kernel.composition(u, m), kernel.composition(v, n)) >= threshold * longer - 1e-9
+        shared = kernel.most_shared(kernel.composition(u, m), kernel.composition(v, n))
+        fits = shared >= threshold * longer - 1e-9
         if same:
             fits &= ids[:, None] < others[None, :]
         i, j = np.nonzero(fits)
-        found = kernel.identities(a, b, i, j, threshold)
-        hit = found >= threshold - 1e-9
-        i, j, found = i[hit], j[hit], found[hit]
         if want == "forest":
-            keep = spanning_forest(ids[i], others[j])
-            i, j, found = i[keep], j[keep], found[keep]
+            at, found = _forest(i, j, more, more_b, shared[i, j] / longer[i, j], lambda i, j: kernel.identities(a, b, i, j, threshold))
+            i, j = i[at], j[at]
+        else:
+            found = kernel.identities(a, b, i, j, threshold)
+            hit = found >= threshold - 1e-9
+            i, j, found = i[hit], j[hit], found[hit]
         first, second = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
         if want != "counts":
             return pa.table({"a": first, "b": second, "identity": found})
         turned = ids[i] > others[j]
-        one, two = np.array(mask, np.int32)[i], np.array(mask_b, np.int32)[j]
+        one, two = more[i].astype(np.int32), more_b[j].astype(np.int32)
         keys, which, n = np.unique(np.stack([np.where(turned, two, one), np.where(turned, one, two)]), axis=1, return_inverse=True, return_counts=True)
         best = np.zeros(len(n))
         np.maximum.at(best, which.ravel(), found)
         return pa.table({"mask_a": keys[0], "mask_b": keys[1], "n": n, "m": best})
 
+    extra = "comp" if want == "forest" else "mask"
     schema = "mask_a int, mask_b int, n long, m double" if want == "counts" else "a long, b long, identity double"
-    return neighbour_blocks(rows, ["seq", "mask"], compare, schema, rows_per_block)
+    return neighbour_blocks(rows, ["seq", extra], compare, schema, rows_per_block, meets)
+
+
+def _lie_across(x: int, y: int, across: list[tuple[int, int]] | None) -> bool:
+    return across is None or any(x & p and y & q or x & q and y & p for p, q in across)
+
+
+def _packs(rows: DataFrame, threshold: float, least: int, most: int = 16) -> DataFrame:
+    """``rows`` with pack: a number for each of the largest groups of over ``least`` sequences of one band (at most ``most`` of them) with a common
+    prefix of threshold * the longest length there, 0 for others. All pairs of a pack are similar, since no more than the rest is edited."""
+    spark = rows.sparkSession
+    longest = {r["band"]: r["n"] for r in rows.groupBy("band").agg(F.max(F.length("seq")).alias("n")).collect()}
+    if not longest:
+        return rows.withColumn("pack", F.lit(0))
+    lead = F.create_map(*[F.lit(x) for band, n in longest.items() for x in (band, math.ceil(threshold * n - 1e-9))])[F.col("band")]
+    rows = rows.withColumn("lead", F.substring(F.col("seq"), F.lit(1), lead))
+    large = rows.groupBy("band", "lead").count().where(F.col("count") > least).orderBy(F.desc("count"), "band", "lead").limit(most).collect()
+    table = spark.createDataFrame([(r["band"], r["lead"], k + 1) for k, r in enumerate(large)], "band int, lead string, pack int")
+    return rows.join(F.broadcast(table), ["band", "lead"], "left").withColumn("pack", F.coalesce("pack", F.lit(0))).drop("lead")
+
+
+def _counted(rows: DataFrame, threshold: float, rows_per_block: int, across: list[tuple[int, int]] | None) -> DataFrame:
+    """The counts of ``aligned_blocks``. In a pack the highest identity is looked for among pairs of one or two edits, which an index of deletions
+    finds; only for masks without such a pair the pack is compared block by block."""
+    rows = materialise(_packs(rows, threshold, rows_per_block), "packs").withColumn("kind", F.col("pack") * 8 + F.col("mask"))
+    other = lambda x, y: x // 8 != y // 8 or x < 8
+    out = _compared(rows, threshold, "counts", rows_per_block, lambda x, y: other(x, y) and _lie_across(x % 8, y % 8, across))
+    sizes = [(r["pack"], r["mask"], r["n"]) for r in rows.where("pack > 0").groupBy("pack", "mask").agg(F.count("*").alias("n")).collect()]
+    sure: dict = {}
+    for p, x, n in sizes:
+        for q, y, k in sizes:
+            if p == q and x <= y and _lie_across(x, y, across):
+                sure[x, y] = sure.get((x, y), 0) + (n * (n - 1) // 2 if x == y else n * k)
+    sure = {k: n for k, n in sure.items() if n}
+    if not sure:
+        return out
+    out = out.unionByName(rows.sparkSession.createDataFrame([(x, y, n, None) for (x, y), n in sure.items()], "mask_a int, mask_b int, n long, m double"))
+    packed = rows.where("pack > 0").withColumn("rep", F.col("id"))
+    longest = packed.agg(F.max(F.length("seq"))).first()[0]
+    open_ = {(x, y) for x, y in sure}
+    for edits in (1, 2):
+        t = 1 - edits / longest
+        if open_ and t > threshold and _most_deleted(packed, t):
+            near = _deletion_pairs(packed, t, edits).groupBy(F.least("mask_a", "mask_b").alias("mask_a"), F.greatest("mask_a", "mask_b").alias("mask_b"))
+            near = materialise(near.agg(F.lit(0).cast("long").alias("n"), F.max("identity").alias("m")), "nearest")
+            out = out.unionByName(near)
+            open_ -= {(r["mask_a"], r["mask_b"]) for r in near.collect()}
+    if open_:
+        found = _compared(packed, threshold, "counts", rows_per_block, lambda x, y: not other(x, y) and (min(x % 8, y % 8), max(x % 8, y % 8)) in open_)
+        out = out.unionByName(found.withColumn("n", F.lit(0).cast("long")))
+    return out
 
 
 def similar_pairs(sequences: DataFrame, threshold: float, want: str = "pairs") -> DataFrame:
     """(a, b, identity) of all pairs a < b of the distinct sequences (rep, seq) whose identity is at least ``threshold``. With
     ``want="forest"``, and a threshold of 0.5 or less, only enough of them to connect the same sequences.
 
+    Short sequences, which can have two edits at most, go to ``_deletion_pairs``, whose candidates are hardly more than the pairs. Of others
     d edits destroy at most q * d of a sequence's q-grams, so among the q * d + 1 rarest of either sequence one is among those of the other.
     q is chosen by the mean length, so that these are a quarter of all grams at most (the frequent ones are then rarely among them). Sequences
     too short to have that many, and all that could be their partners, are also indexed by single characters, where the filter holds
@@ -104,6 +243,9 @@ def similar_pairs(sequences: DataFrame, threshold: float, want: str = "pairs") -
         return aligned_blocks(sequences.select("rep", "seq", F.lit(0).alias("mask")), threshold, want)
     if threshold == 1:
         return sequences.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("identity")).limit(0)
+    most = _most_deleted(sequences, threshold)
+    if most:
+        return _deletion_pairs(sequences.withColumn("mask", F.lit(0)), threshold, most).select("a", "b", "identity")
     mean, longest = (x or 1 for x in sequences.agg(F.avg(F.length("seq")), F.max(F.length("seq"))).first())
     most = min(5, math.ceil(threshold / (1 - threshold) - 1e-9) - 1)  # beyond it, no sequence has that many
     share = lambda n: (n * math.floor(_edits_with_any(mean, threshold, longest)) + 1) / max(1.0, mean - n + 1)
@@ -147,7 +289,10 @@ def similar_sequences(parts: DataFrame, id_col: str, sequence: str, threshold: f
     mask = F.coalesce(bits[0] + bits[1] + bits[2], F.lit(0))
     sequences = materialise(distinct_sequences(parts, id_col, sequence, mask.cast("int").alias("mask")), "sequences")
     if threshold <= 0.5:
-        counts = aligned_blocks(sequences, threshold, "counts")
+        counts = aligned_blocks(sequences, threshold, "counts", across=[(1 << names.index(x), 1 << names.index(y)) for x, y in PAIRS[scope]])
+    elif most := _most_deleted(sequences, threshold):
+        pairs = _deletion_pairs(sequences, threshold, most)
+        counts = pairs.groupBy("mask_a", "mask_b").agg(F.count("*").alias("n"), F.max("identity").alias("m"))
     else:
         pairs = similar_pairs(sequences.select("rep", "seq"), threshold)
         for side in "ab":
