@@ -60,6 +60,50 @@ def _short(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray, n: np.ndarray
     return out
 
 
+def _long(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, pairs: int = 1 << 12) -> np.ndarray | None:
+    """As ``_short`` for patterns of any length, several words of bits for each pair, which pass on their carries; None where the table of
+    letters would be large."""
+    letters, at = np.unique(np.concatenate([patterns.ravel(), texts.ravel()]), return_inverse=True)
+    p, t = at[: patterns.size].reshape(patterns.shape), at[patterns.size :].reshape(texts.shape)
+    words = -(-patterns.shape[1] // 64)
+    if words * len(patterns) * len(letters) > 1 << 23:
+        return None
+    equal = np.zeros((words, len(patterns), len(letters)), np.uint64)
+    for k in range(patterns.shape[1]):
+        here = np.flatnonzero(m > k)
+        equal[k // 64, here, p[here, k]] |= ONE << np.uint64(k % 64)
+    final, bit, top = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64), np.uint64(63)
+    order = np.lexsort((-n[j], -final[i]))
+    out = np.empty(len(i), np.int64)
+    for low in range(0, len(order), pairs):
+        here = order[low : low + pairs]
+        here = here[np.argsort(-n[j[here]], kind="stable")]  # longer texts first, so that those still open are the first ones
+        a, b = i[here], j[here]
+        steps, ends, last = n[b], final[a], bit[a]
+        used = int(ends.max()) + 1
+        up, down = np.full((used, len(a)), ~np.uint64(0)), np.zeros((used, len(a)), np.uint64)
+        score = m[a].copy()
+        for k in range(int(steps.max(initial=0))):
+            live = int(np.searchsorted(-steps, -k))  # steps > k
+            letter, who = t[b[:live], k], a[:live]
+            plus, minus = np.ones(live, np.uint64), np.zeros(live, np.uint64)
+            for w in range(used):
+                pv, mv = up[w, :live], down[w, :live]
+                eq = equal[w, who, letter]
+                xv = eq | mv
+                eq |= minus
+                xh = ((eq & pv) + pv ^ pv) | eq
+                ph, mh = mv | ~(xh | pv), pv & xh
+                ending = ends[:live] == w
+                score[:live] += np.where(ending, (ph >> last[:live] & ONE).astype(np.int64) - (mh >> last[:live] & ONE).astype(np.int64), 0)
+                next_plus, next_minus = ph >> top, mh >> top
+                ph, mh = ph << ONE | plus, mh << ONE | minus
+                up[w, :live], down[w, :live] = mh | ~(xv | ph), ph & xv
+                plus, minus = next_plus, next_minus
+        out[here] = score
+    return out
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """The edit distance, or a number above ``most`` where it is above that. The columns are whole numbers of len(a) bits."""
     m = len(a)
@@ -101,6 +145,10 @@ def identities(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray, thresho
             of = np.unique(args[4][at])
             wide = int(args[1][of].max())
             edits[at] = _short(args[0][:, : min(64, wide)], np.minimum(args[1], 64), args[2], args[3], args[4][at], args[5][at])
-    for k in np.flatnonzero(~first & ~second).tolist():
+    rest = np.flatnonzero(~first & ~second)
+    found = _long(x, m, y, n, i[rest], j[rest]) if len(rest) >= 64 else None
+    if found is not None:
+        edits[rest], rest = found, rest[:0]
+    for k in rest.tolist():
         edits[k] = edit_distance(a[i[k]], b[j[k]], int(most[k]))
     return np.where(edits <= most, 1 - edits / np.maximum(longer, 1), 0.0)
