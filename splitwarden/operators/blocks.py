@@ -30,8 +30,10 @@ def neighbour_blocks(rows: DataFrame, payload: list[str], compare: Callable, sch
         (x, y) for x, (band, kind) in enumerate(cells) for y, (other, its) in enumerate(cells)
         if (other == band and y >= x or other == band + 1) and (not meets or meets(kind, its))
     ]
+    of = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    kinds = [of[field.split()[1]] for field in schema.split(", ")]
     if not meet:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame(pa.table({n: pa.array([], t) for n, t in zip(names, kinds)}))
     wanted = max(64, 4 * spark.sparkContext.defaultParallelism)
     while True:
         tiles = [-(-sizes[c] // rows_per_block) for c in cells]
@@ -63,8 +65,6 @@ def neighbour_blocks(rows: DataFrame, payload: list[str], compare: Callable, sch
         x, y = (t.select([f"{at}_{c}" for c in ("id", *payload)]).rename_columns(["id", *payload]) for at, t in (("l", x), ("r", y)))
         return compare(x, y, same)
 
-    of = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    kinds = [of[field.split()[1]] for field in schema.split(", ")]
     parts = max(1, min(2 * tasks, 2048))  # a number, since few bytes can be much work and would be put into one task
     left, right = (side(*at).where(once).repartition(parts, *keys) for at in ("lr", "rl"))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, schema)

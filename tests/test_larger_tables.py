@@ -120,3 +120,41 @@ def test_counts_and_forests_of_packs_and_hubs(spark):
         assert counted(identity.aligned_blocks(df, 0.3, "counts", rows_per_block=8, across=across)) == {k: [n, pytest.approx(m)] for k, (n, m) in want.items()}
     edges = [(r.a, r.b) for r in identity.aligned_blocks(df, 0.3, "forest", rows_per_block=8, hubs=2, few=0).collect()]
     assert set(edges) <= set(pairs) and roots(mask, edges) == roots(mask, pairs)
+
+
+def test_names_that_differ_in_digits_are_counted_not_compared(spark, monkeypatch):
+    """Numbers before and after a common word make many prefixes, but two patterns, whose pairs are all similar."""
+    from splitwarden.operators import identity
+
+    rows = [(k, f"{k % 40}-Customer#{k * 7:07d}", 1 << k % 3) for k in range(120)]
+    df = spark.createDataFrame(rows, "rep long, seq string, mask int")
+    compared, met = identity._compared, []
+
+    def watched(some, threshold, want, rows_per_block, meets):
+        kinds = [r["kind"] for r in some.select("kind").distinct().collect()]
+        met.extend((x, y) for x in kinds for y in kinds if meets(x, y))
+        return compared(some, threshold, want, rows_per_block, meets)
+
+    monkeypatch.setattr(identity, "_compared", watched)
+    across, want = [(1, 2), (1, 4), (2, 4)], {}
+    for (a, b), v in all_pairs(rows, 0.3).items():
+        key = tuple(sorted((rows[a][2], rows[b][2])))
+        if key in across:
+            n, m = want.get(key, (0, 0))
+            want[key] = [n + 1, max(m, v)]
+    assert counted(identity.aligned_blocks(df, 0.3, "counts", rows_per_block=8, across=across)) == {k: [n, pytest.approx(m)] for k, (n, m) in want.items()}
+    assert not met
+
+
+@pytest.mark.parametrize("test", ["Customer#000000999", "Customer#00000000", "Customer#000000456", "Customer#987654321", "9999-Stomer#1", "x", None])
+def test_highest_identity_between_counted_names(spark, test):
+    """The closest pair may be one digit, one inserted character or many edits apart, or the same name in both parts, wherever it is looked for."""
+    from splitwarden.operators import identity
+
+    rows = [(k, f"Customer#{k:09d}", "train") for k in range(1100)] + [(2000, "Supplier", "val"), (2001, "Customer#000000017", "val"), (2002, test, "test")]
+    df = spark.createDataFrame(rows, "rep long, seq string, partition string")
+    got = {(r.part_a, r.part_b): (r.n_pairs, r.max_identity) for r in identity.similar_sequences(df, "rep", "seq", 0.3).collect()}
+    held = {p: {s for _, s, part in rows if part == p and s} for p in ("train", "val", "test")}
+    for (x, y), (n, m) in got.items():
+        near = [1 - e / max(len(a), len(b)) for a in held[x] for b in held[y] if (e := edits(a, b)) <= int(0.7 * max(len(a), len(b)) + 1e-9)]
+        assert (n, m) == (len(near), pytest.approx(max(near)) if near else None)
