@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialise as materialise  # for the operators here
+from ..shared import appended as appended  # for the operators here
+from ..shared import materialise as materialise
+from ..shared import new_path as new_path
 from ..shared import ship as ship
 
 #: The white space that separates words, as a Java and DuckDB character class body.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import body, materialise, slices
+from .common import appended, body, materialise, new_path, slices
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -380,7 +380,8 @@ def near_duplicates(
     pair (all texts of buckets of over ``tile``) are compared again, but only where the links found so far leave them in different groups:
     each text outside a bucket's largest group with all others, in tiles. A bucket yields one forest of pairs that it hasn't tried,
     then four, sixteen and so on, until no bucket has an untried close pair between two groups; a bucket without one is done for good. So a group costs about as many
-    verifications as it has texts, plus those of the pairs that fail.
+    verifications as it has texts, plus those of the pairs that fail. Rounds read only the texts that can be in a pair, and verdicts of all rounds are one table,
+    so neither the driver's plans nor its tasks grow with the rounds.
 
     Rows with a null id and texts without words have no links; rows that share an id are one node.
     """
@@ -405,8 +406,8 @@ def near_duplicates(
     radii = [round(bits * differing_share((1 + least) / 2)), *(round(bits * mean + k * spread) for k in (0, 1.5, 3))]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-        two = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
+        one = asked.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+        two = asked.select(F.col("id").alias("a"), F.col("t").alias("ta"))
         met = pairs.distinct().join(one, "b").join(two, "a").select("a", "ta", "b", "tb")
         found = met.mapInArrow(_jaccard(least, words_per_shingle, seed), "a long, b long, alike boolean")
         return materialise(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "verified")  # rows that share an id: any
@@ -416,11 +417,13 @@ def near_duplicates(
     tiled = keyed.join(crowded, "key", "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("tiles")), F.lit(0)).cast("int"))
     grouped = tiled.select("key", "tile", "rep", *names).repartition("key", "tile").sortWithinPartitions("key", "tile", "rep")
     first = materialise(grouped.mapInArrow(_link_blocks(radii, 128, 2), "a long, b long").distinct(), "first")
-    verdicts = verified(first.unionByName(copies))
-
     close = first.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     again = keyed.join(crowded.select("key", F.lit(True).alias("crowd")), "key", "left").join(close.withColumn("close", F.lit(True)), "rep", "left")
     again = materialise(again.where("crowd or close").select("key", "rep", *names), "again")
+    ids = again.select(F.col("rep").alias("id")).unionByName(copies.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    asked = materialise(texts.join(ids, "id", "left_semi"), "asked")
+    tried, fallen = new_path(docs.sparkSession, "tried"), new_path(docs.sparkSession, "fallen")
+    verdicts = appended(verified(first.unionByName(copies)), tried)
     failed = None
     count = 1
     roots = connected_components(verdicts.where("alike").select("a", "b"), "a", "b")
@@ -455,7 +458,7 @@ def near_duplicates(
         if not found.take(1):
             return roots
         new = verified(found.select("a", "b").join(verdicts, ["a", "b"], "left_anti"))
-        verdicts = verdicts.unionByName(new)
+        verdicts = appended(new, tried)
         joined = materialise(new.where("alike").select("a", "b"), "joined")
         if joined.take(1):  # groups join groups: only these are worked out anew
             for side in "ab":
@@ -465,6 +468,6 @@ def near_duplicates(
             kept = roots.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
             roots = materialise(kept.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))), "roots")
         gone = found.join(verdicts.where("not alike").select("a", "b"), ["a", "b"]).select("key", "a", "b")
-        failed = gone if failed is None else failed.unionByName(gone)
+        failed = appended(gone, fallen)
         again = materialise(again.join(found.select("key").distinct(), "key", "left_semi"), "again")  # groups only grow, so the others are done
         count *= 4

@@ -195,3 +195,34 @@ def test_near_copies_of_many_groups(spark, tile):
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
     gone = {r.node for r in found if r.node != r.root}
     assert gone == want and len(want) > 100, (len(want), len(want - gone), len(gone - want))
+
+
+def test_rounds_of_near_copies_keep_the_drivers_plans_small(spark, monkeypatch):
+    """The tables that a round reads are as many in the last round as in the second, and rounds read only texts that can be in a pair."""
+    from splitwarden.llm import simhash
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(12):
+        base = prose(rng, 120, 3000).split(" ")
+        for _ in range(20):
+            words = list(base)
+            for _ in range(2):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(1000 + k, prose(rng, 100, 3000)) for k in range(400)]
+    written, scans = simhash.materialise, {}
+
+    def watched(df, name):
+        scans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        out = written(df, name)
+        if name == "asked":
+            scans["rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", watched)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=64)
+    texts = dict(rows)
+    assert {r.node for r in found.collect() if r.node != r.root} == set(texts) - set(smallest_of_groups(texts, near_pairs(texts)))
+    assert len(scans["proposals"]) > 3 and scans["proposals"][1] == scans["proposals"][-1] and scans["verified"][1] == scans["verified"][-1], scans
+    assert scans["rows"] <= 240 + 40, scans["rows"]

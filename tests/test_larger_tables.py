@@ -158,3 +158,19 @@ def test_highest_identity_between_counted_names(spark, test):
     for (x, y), (n, m) in got.items():
         near = [1 - e / max(len(a), len(b)) for a in held[x] for b in held[y] if (e := edits(a, b)) <= int(0.7 * max(len(a), len(b)) + 1e-9)]
         assert (n, m) == (len(near), pytest.approx(max(near)) if near else None)
+
+
+def test_components_take_no_round_to_see_that_they_are_done(spark, monkeypatch):
+    """Stars are components already; what isn't a star comes out as before."""
+    from splitwarden.operators import components
+
+    written, names = components.materialise, []
+    monkeypatch.setattr(components, "materialise", lambda df, name: names.append(name) or written(df, name))
+    rng = random.Random(6)
+    stars = [(1, 5), (7, 1), (2, 9), (9, 2), (3, 3), (None, 4)]
+    for edges, rounds in ((stars, 0), ([], 0), ([(1, 2), (2, 3)], 1), ([(k, k + 1) for k in range(40)], 8), ([(rng.randrange(90), rng.randrange(90)) for _ in range(60)], 8)):
+        names.clear()
+        got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+        pairs = [e for e in edges if None not in e]
+        want = roots({x for e in pairs for x in e}, pairs)
+        assert got == {n: r for n, r in want.items() if n != r} and names.count("large") <= rounds, (edges, names)
