@@ -60,9 +60,9 @@ def _short(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray, n: np.ndarray
     return out
 
 
-def _long(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, pairs: int = 1 << 12) -> np.ndarray | None:
-    """As ``_short`` for patterns of any length, several words of bits for each pair, which pass on their carries; None where the table of
-    letters would be large."""
+def _long(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, pairs: int = 1 << 13) -> np.ndarray | None:
+    """As ``_short`` for patterns of any length, several words of bits for each pair, at most ``pairs`` at a time. All words of a column are
+    worked out together, only the carry of the sum goes from word to word. None where the table of letters would be large."""
     letters, at = np.unique(np.concatenate([patterns.ravel(), texts.ravel()]), return_inverse=True)
     p, t = at[: patterns.size].reshape(patterns.shape), at[patterns.size :].reshape(texts.shape)
     words = -(-patterns.shape[1] // 64)
@@ -72,34 +72,59 @@ def _long(patterns: np.ndarray, m: np.ndarray, texts: np.ndarray, n: np.ndarray,
     for k in range(patterns.shape[1]):
         here = np.flatnonzero(m > k)
         equal[k // 64, here, p[here, k]] |= ONE << np.uint64(k % 64)
-    final, bit, top = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64), np.uint64(63)
-    order = np.lexsort((-n[j], -final[i]))
+    flat, table = equal.ravel(), len(patterns) * len(letters)
+    columns = np.ascontiguousarray(t.T)
+    final, top = (m - 1) // 64, np.uint64(63)
+    order = np.lexsort((-n[j], final[i]))
+    ends = final[i[order]]
     out = np.empty(len(i), np.int64)
-    for low in range(0, len(order), pairs):
-        here = order[low : low + pairs]
-        here = here[np.argsort(-n[j[here]], kind="stable")]  # longer texts first, so that those still open are the first ones
+    low = 0
+    while low < len(order):  # pairs of as many words, longer texts first, so that those still open are the first ones
+        used = int(ends[low]) + 1
+        here = order[low : min(low + min(pairs, max(64, (1 << 18) // used)), int(np.searchsorted(ends, ends[low], side="right")))]
+        low += len(here)
         a, b = i[here], j[here]
-        steps, ends, last = n[b], final[a], bit[a]
-        used = int(ends.max()) + 1
-        up, down = np.full((used, len(a)), ~np.uint64(0)), np.zeros((used, len(a)), np.uint64)
-        score = m[a].copy()
-        for k in range(int(steps.max(initial=0))):
-            live = int(np.searchsorted(-steps, -k))  # steps > k
-            letter, who = t[b[:live], k], a[:live]
-            plus, minus = np.ones(live, np.uint64), np.zeros(live, np.uint64)
-            for w in range(used):
-                pv, mv = up[w, :live], down[w, :live]
-                eq = equal[w, who, letter]
-                xv = eq | mv
-                eq |= minus
-                xh = ((eq & pv) + pv ^ pv) | eq
-                ph, mh = mv | ~(xh | pv), pv & xh
-                ending = ends[:live] == w
-                score[:live] += np.where(ending, (ph >> last[:live] & ONE).astype(np.int64) - (mh >> last[:live] & ONE).astype(np.int64), 0)
-                next_plus, next_minus = ph >> top, mh >> top
-                ph, mh = ph << ONE | plus, mh << ONE | minus
-                up[w, :live], down[w, :live] = mh | ~(xv | ph), ph & xv
-                plus, minus = next_plus, next_minus
+        steps = n[b]
+        shift = ((m[a] - 1) % 64).astype(np.uint64)
+        score = m[a].astype(np.int64)
+        base = a[None, :] * len(letters) + (np.arange(used) * table)[:, None]
+        pv, mv = np.full((used, len(a)), ~np.uint64(0)), np.zeros((used, len(a)), np.uint64)
+        live = 0
+        for k in range(int(steps[0]) if len(steps) else 0):
+            still = int(np.searchsorted(-steps, -k))  # steps > k
+            if still != live:
+                live = still
+                pv, mv, base, who = pv[:, :live].copy(), mv[:, :live].copy(), base[:, :live].copy(), b[:live].copy()
+                eq, xh, ph, mh = (np.empty((used, live), np.uint64) for _ in range(4))
+                last, over = shift[:live].copy(), np.empty((used, live), bool)
+            np.take(flat, base + columns[k][who], out=eq, mode="clip")
+            np.bitwise_and(eq, pv, out=xh)
+            xh += pv
+            np.less(xh, pv, out=over)
+            carry = over[:-1]
+            while carry.any():  # into the next words, and on from those that it fills
+                xh[1:] += carry
+                carry &= xh[1:] == 0
+                carry[1:], carry[:1] = carry[:-1].copy(), False
+            xh ^= pv
+            xh |= eq
+            np.bitwise_or(xh, pv, out=ph)
+            np.invert(ph, out=ph)
+            ph |= mv
+            np.bitwise_and(pv, xh, out=mh)
+            score[:live] += (ph[-1] >> last & ONE).astype(np.int64)
+            score[:live] -= (mh[-1] >> last & ONE).astype(np.int64)
+            eq |= mv
+            up, down = ph[:-1] >> top, mh[:-1] >> top
+            ph <<= ONE
+            mh <<= ONE
+            ph[0] |= ONE
+            ph[1:] |= up
+            mh[1:] |= down
+            np.bitwise_or(eq, ph, out=pv)
+            np.invert(pv, out=pv)
+            pv |= mh
+            np.bitwise_and(ph, eq, out=mv)
         out[here] = score
     return out
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialise, ship
+from ..shared import appended, materialise, new_path, ship
 from . import alignment_kernel as kernel
 from .blocks import neighbour_blocks
 from .components import connected_components, spanning_forest
@@ -111,7 +111,7 @@ def _forest(i: np.ndarray, j: np.ndarray, group: np.ndarray, other: np.ndarray,
     names, at = np.unique(np.concatenate([group, other]), return_inverse=True)
     one, two = at[: len(group)][i], at[len(group) :][j]
     root = np.arange(len(names))
-    left, taken, values, size = np.argsort(-likely, kind="stable"), [np.zeros(0, np.int64)], [np.zeros(0)], 64
+    left, taken, values, size = np.argsort(-likely, kind="stable"), [np.zeros(0, np.int64)], [np.zeros(0)], 512
     while True:
         left = left[root[one[left]] != root[two[left]]]
         if not len(left):
@@ -129,7 +129,7 @@ def _forest(i: np.ndarray, j: np.ndarray, group: np.ndarray, other: np.ndarray,
 
 
 def aligned_blocks(
-    sequences: DataFrame, threshold: float, want: str, rows_per_block: int = 1024, across: list[tuple[int, int]] | None = None, hubs: int = 16, few: int = 2048
+    sequences: DataFrame, threshold: float, want: str, rows_per_block: int = 1024, across: list[tuple[int, int]] | None = None, hubs: int = 16, few: int = 2048, few_pairs: int = 1 << 21
 ) -> DataFrame:
     """Exact comparison of the distinct sequences (rep, seq, mask) at any threshold above 0, in blocks of like length.
 
@@ -139,7 +139,8 @@ def aligned_blocks(
     the threshold allows mostly never meet, and where the characters they can share rule a pair out it is not aligned; but pairs
     grow with the square of the number of distinct sequences of like length, as low thresholds let nearly all be partners. Therefore
 
-    * a forest of more than ``few`` sequences first compares all with ``hubs`` of each band of lengths; then the rows of the largest components meet only what is not in them;
+    * a forest of more than ``few`` sequences first compares all with ``hubs`` of each band of lengths, then what is not in the largest component with eight times as
+      many, and so on while that leaves under three quarters outside and more than ``few_pairs`` to compare; at last the rows of the largest components meet only what is not in them;
     * counts compare only sequences whose masks hold the two bits of one of the ``across`` pairs (None: all), and then large packs (so long a prefix
       in common that what is left can all be edited, or equal but for digits) are counted without being compared (``_packs``).
     """
@@ -154,16 +155,28 @@ def aligned_blocks(
             return _compared(rows.withColumn("kind", F.lit(0)), threshold, want, rows_per_block, lambda x, y: True)
         return _counted(rows, threshold, rows_per_block, across)
     rows = rows.withColumn("comp", F.col("id"))
-    if rows.count() <= few:
+    total = rows.count()
+    if total <= few:
         return _compared(rows.withColumn("kind", F.lit(0)), threshold, want, rows_per_block, lambda x, y: True)
     place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64(F.lit(14), "id"), "id"))
-    rows = materialise(rows.withColumn("kind", (place <= hubs).cast("int")), "rows")
-    first = materialise(_compared(rows, threshold, want, rows_per_block, lambda x, y: x + y > 0), "forest")
-    roots = materialise(connected_components(first, "a", "b"), "roots")
-    large = [r["root"] for r in roots.groupBy("root").count().orderBy(F.desc("count"), "root").limit(8).collect()]
-    rank = F.coalesce(*[F.when(F.col("root") == r, k + 1) for k, r in enumerate(large)], F.lit(0)) if large else F.lit(0)
-    rows = rows.drop("kind").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("kind", rank).withColumn("comp", F.coalesce("root", "id"))
-    return first.unionByName(_compared(materialise(rows, "rows"), threshold, want, rows_per_block, lambda x, y: x != y or x == 0))
+    rows = materialise(rows.withColumn("place", place), "rows")
+    path = new_path(sequences.sparkSession, "forest")
+    forest = appended(_compared(rows.withColumn("kind", (F.col("place") <= hubs).cast("int")), threshold, want, rows_per_block, lambda x, y: x + y > 0), path)
+    before = total
+    while True:
+        roots = materialise(connected_components(forest, "a", "b"), "roots")
+        large = roots.groupBy("root").count().orderBy(F.desc("count"), "root").limit(8).collect()
+        rank = F.coalesce(*[F.when(F.col("comp") == r["root"], k + 1) for k, r in enumerate(large)], F.lit(0)) if large else F.lit(0)
+        named = rows.drop("comp").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        named = materialise(named.withColumn("kind", rank), "rows")
+        outside = total - large[0]["count"] - 1 if large else total
+        hubs *= 8
+        if 4 * outside > 3 * before or hubs >= total or outside * total <= few_pairs:
+            break
+        before = outside
+        some = named.where((F.col("kind") != 1) | (F.col("place") <= hubs)).withColumn("kind", F.when(F.col("kind") == 1, 2).otherwise((F.col("place") <= hubs).cast("int")))
+        forest = appended(_compared(some, threshold, want, rows_per_block, lambda x, y: x + y > 0 and x * y < 4), path)
+    return forest.unionByName(_compared(named, threshold, want, rows_per_block, lambda x, y: x != y or x == 0))
 
 
 def _compared(rows: DataFrame, threshold: float, want: str, rows_per_block: int, meets) -> DataFrame:

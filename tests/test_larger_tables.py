@@ -174,3 +174,23 @@ def test_components_take_no_round_to_see_that_they_are_done(spark, monkeypatch):
         pairs = [e for e in edges if None not in e]
         want = roots({x for e in pairs for x in e}, pairs)
         assert got == {n: r for n, r in want.items() if n != r} and names.count("large") <= rounds, (edges, names)
+
+
+def test_what_hubs_leave_outside_meets_more_hubs_first(spark, monkeypatch):
+    """The last comparison, with all, is of few rows only; the forest connects what all pairs do."""
+    from splitwarden.operators import identity
+
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choice("abcdefgh"[: 4 if k % 6 else 8]) for _ in range(rng.randint(12, 15))), 0) for k in range(300)]
+    rows += [(400 + k, c * 13, 0) for k, c in enumerate("XYZ")] + [(500, "Q" * 6 + "XXXXXXX", 0), (501, "1" * 13, 0), (502, "2" * 11, 0)]
+    pairs, compared, outside = all_pairs(rows, 0.4), identity._compared, []
+
+    def watched(some, threshold, want, rows_per_block, meets):
+        outside.append(some.where("kind <> 1").count())
+        return compared(some, threshold, want, rows_per_block, meets)
+
+    monkeypatch.setattr(identity, "_compared", watched)
+    forest = identity.aligned_blocks(spark.createDataFrame(rows, "rep long, seq string, mask int"), 0.4, "forest", rows_per_block=64, hubs=1, few=0, few_pairs=0)
+    edges = [(r.a, r.b) for r in forest.collect()]
+    assert set(edges) <= set(pairs) and roots([r[0] for r in rows], edges) == roots([r[0] for r in rows], pairs)
+    assert len(outside) > 2 and outside[-1] <= 60, outside
