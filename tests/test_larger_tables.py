@@ -194,3 +194,53 @@ def test_what_hubs_leave_outside_meets_more_hubs_first(spark, monkeypatch):
     edges = [(r.a, r.b) for r in forest.collect()]
     assert set(edges) <= set(pairs) and roots([r[0] for r in rows], edges) == roots([r[0] for r in rows], pairs)
     assert len(outside) > 2 and outside[-1] <= 60, outside
+
+
+def _by_distance(x, y, asked, ids, k):
+    import numpy as np
+
+    from splitwarden.operators.similarity import _distances
+
+    out = []
+    for a, row in zip(asked, np.round(_distances(x, y, "manhattan"), 9)):
+        near = sorted((d, i) for d, i in zip(row.tolist(), ids) if i != a and np.isfinite(d))
+        out += [(a, i, d) for d, i in near[:k]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "heavy", "equal", "small", "wide"])
+def test_manhattan_neighbours_work_out_few_distances(kind):
+    """Steps of 6 bits bound the distances; what they leave is worked out in full, and the result is that of all."""
+    import numpy as np
+
+    from splitwarden.operators.similarity import _Grid, _nearest_in_steps
+
+    rng = np.random.default_rng(8)
+    y = {
+        "even": lambda: rng.normal(size=(6000, 64)) / 8, "heavy": lambda: rng.standard_cauchy(size=(300, 5)), "equal": lambda: rng.integers(0, 2, (300, 3)) * 1.0,
+        "small": lambda: rng.normal(size=(3, 2)), "wide": lambda: np.concatenate([rng.normal(size=(200, 600)), 1e6 * rng.normal(size=(3, 600))]),
+    }[kind]()
+    grid, x, ids = _Grid(y), y[:40], np.arange(len(y))
+    want = _by_distance(x, y, range(40), range(len(y)), 5)
+    least = {a: d for a, _, d in want}
+    for reach in (None, np.array([least[a] + 0.001 for a in range(len(x))])):
+        i, j, d = _nearest_in_steps(grid, x, y, reach, np.arange(len(x)), ids, 5, 9, some=200)
+        assert list(zip(i.tolist(), j.tolist(), d.tolist())) == want[: len(i)] and len(i) == len(want)
+    if kind == "even":
+        assert len(grid.within(x, reach)[0]) < x.shape[0] * len(y) / 50
+
+
+def test_manhattan_neighbours_with_ties_and_repeated_ids(spark):
+    import numpy as np
+
+    from splitwarden.operators.similarity import knn
+
+    rng = np.random.default_rng(9)
+    y = np.round(rng.normal(size=(500, 6)), 1)
+    y[7, 2], y[11] = np.inf, y[12]
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(y)] + [(3, y[4].tolist())], "id long, embedding array<double>")
+    ids, y = [*range(500), 3], np.concatenate([y, y[4:5]])
+    for rows in (None, 40):
+        got = [(r.a, r.b, r.distance) for r in knn(df.where("id % 9 = 2"), df, 4, rows_per_block=rows, metric="manhattan").orderBy("a", "rank").collect()]
+        asked = [k for k in range(500) if k % 9 == 2]
+        assert got == _by_distance(y[asked], y, asked, ids, 4)
